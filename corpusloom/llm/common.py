@@ -117,3 +117,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     labels = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return labels.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
+#: Up to so many rows with one row per group are broadcast; more are joined by a salted shuffle.
+SMALL_ROWS = 10_000
+SALTS = 16
+
+
+def join_groups(rows: DataFrame, per_group: DataFrame, key: str) -> DataFrame:
+    """rows with what per_group (one row per key, which is not null) says on their key, however many rows a key has."""
+    per_group = materialize(per_group, "groups")
+    if per_group.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(per_group), key)
+    salted = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+    return rows.withColumn("_salt", spread).join(salted, [key, "_salt"]).drop("_salt")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import digest_index, url_filter
+from corpusloom.llm import chat, curriculum, digest_index, url_filter
 from corpusloom.llm.common import new_path
 
 
@@ -15,6 +15,39 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Both turns of conversation -1.
+CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"),
+    )
+    read = chat.read_windows(chat.format_windows(rows.unionByName(more)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    digests = read.select("conv_id", "window", F.size("turns").cast("long").alias("n"), said.alias("said"), "loss", F.length("formatted").cast("long").alias("chars"))
+    whole = digests.groupBy("conv_id").agg(
+        F.sum("n").alias("n_turns"), F.count("*").alias("n_windows"), F.sum("chars").alias("formatted_chars"),
+        F.sort_array(F.collect_list(F.struct("window", "said", "loss"))).alias("w"),
+    )
+    loss = F.array_join(F.col("w.loss"), "")
+    return whole.select(
+        "conv_id", "n_turns", F.sha2(F.array_join(F.col("w.said"), ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars", "n_windows",
+    )
+
+
+def op5_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    units, entries = curriculum.plan(docs)
+    first = entries.groupBy("doc_id", "key").agg(F.min("position").alias("first_position"))
+    return units.join(first, ["doc_id", "key"], "left").select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "first_position"
+    )
+
+
 #: Host labels whose pages make up the listed URLs of op4.
 LISTED_HOST = r"(^|\.)(spam-farm|cheap-pills|casino-win|free-bets)\."
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -35,7 +68,9 @@ def op9_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat_format": op3_chat_format,
     "op4_url_filter": op4_url_filter,
+    "op5_curriculum": op5_curriculum,
     "op9_digest_index": op9_digest_index,
 }
 
@@ -50,7 +85,98 @@ _SPLIT_URL = rf"""
         select *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') canon from cut
     )"""
 
+_WORDS = r"len(regexp_extract_all({}, '[^\x20\x09-\x0D]+'))"
+
+
+def _escaped(text: str) -> str:
+    return rf"replace(replace({text}, '\', '\\'), '<|', '<\|')"
+
+
+def _training_time(y: str, knots: tuple) -> str:
+    area = [0.0]
+    for (t0, w0), (t1, w1) in zip(knots, knots[1:], strict=False):
+        area.append(area[-1] + (t1 - t0) * (w0 + w1) / 2)
+    cases = ""
+    for (t0, w0), (t1, w1), a0, a1 in zip(knots, knots[1:], area, area[1:], strict=False):
+        over, slope = f"({y} * {area[-1]!r}::double - {a0!r}::double)", 2 * (w1 - w0) / (t1 - t0)
+        step = f"2.0::double * {over} / ({w0!r}::double + sqrt(greatest({w0 * w0!r}::double + {slope!r}::double * {over}, 0.0::double)))"
+        cases += f" when {y} * {area[-1]!r}::double <= {a1!r}::double then {t0!r}::double + case when {over} > 0 then {step} else 0.0::double end"
+    return f"case {cases} else 1.0::double end"
+
+
+def _shuffled(salt: str) -> str:
+    return f"('0x' || substr(md5('{salt}' || coalesce(doc_id::varchar, 'null')), 1, 15))::bigint"
+
+
+_MIX = f"""
+    with sized as (select doc_id, source, {_WORDS.format("coalesce(text, '')")}::bigint size from documents),
+    sources as (select source, sum(size)::bigint source_size, row_number() over (order by source nulls last) - 1 rank from sized group by source),
+    weighed as (select *, rank % 3 class, (case rank % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end)::double weight, source_size * 2.0::double most from sources),
+    levels as (
+        select *, most / weight ratio,
+               ((sum(source_size) over ()) * 1.5::double - coalesce(sum(most) over (order by most / weight, rank rows between unbounded preceding and 1 preceding), 0))
+               / sum(weight) over (order by most / weight, rank rows between current row and unbounded following) as lev from weighed
+    ),
+    goals as (
+        select *, least(most, coalesce((select arg_min(lev, (ratio, rank)) from levels where lev <= ratio) * weight, most)) target from levels
+    ),
+    ordered as (
+        select doc_id, sized.source, size, source_size, target, class, {_shuffled("take")} h,
+               case when size >= greatest(1.0, source_size * 0.01::double) then -size else 0 end first
+        from sized join goals on sized.source is not distinct from goals.source
+    ),
+    summed as (
+        select *, coalesce(sum(size) over (partition by source order by first, h, doc_id rows between unbounded preceding and 1 preceding), 0) before,
+               case when target >= source_size then 1 else 0 end whole from ordered
+    ),
+    mixed as (select *, whole + case when before + size / 2.0::double <= target - whole * source_size then 1 else 0 end copies from summed),
+    entries as (
+        select *, {_shuffled("place")} p, sum(size * copies) over (partition by source) / copies_all source_taken from (
+            select *, 1 copies_all from mixed
+        )
+    ),
+    passes as (select *, unnest(range(1, copies + 1)) pass from entries where copies > 0),
+    placed as (
+        select *, coalesce((coalesce(sum(size) over (partition by source order by pass, p, doc_id rows between unbounded preceding and 1 preceding), 0)
+                  + size / 2.0::double) / nullif(source_taken, 0), 0.0) y from passes
+    ),
+    firsts as (
+        select doc_id, min(case class when 0 then {_training_time("y", curriculum.SCHEDULES[0])} when 1 then {_training_time("y", curriculum.SCHEDULES[1])}
+               else {_training_time("y", curriculum.SCHEDULES[2])} end) first_position from placed group by doc_id
+    )
+    select doc_id, size, source_size, target, (size * copies)::bigint taken, first_position from mixed left join firsts using (doc_id)"""
+
+_CHAT = rf"""
+    with rows as (
+        select conv_id, turn, coalesce(role, '') role, coalesce(text, '') as text from conversations
+        union all values (-1, 0, 'user', '{CONTROL_TEXT}'), (-1, 1, 'assistant', '{CONTROL_TEXT}')
+    ),
+    sized as (
+        select *, {_WORDS.format("text")} + {chat.MARKS} tokens, 24 + length({_escaped("text")}) + length(replace({_escaped("role")}, chr(10), '
+')) chars,
+               row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 pos from rows
+    ),
+    placed as (select *, sum(tokens) over (partition by conv_id order by pos) - tokens as start from sized),
+    cut as (select *, start // {chat.STRIDE} win, pos = 0 and role = 'system' is_system from placed),
+    heads as (select conv_id, win, min(start) head from cut group by all),
+    extra as (
+        select c.conv_id, chars from cut c join heads h on c.conv_id is not distinct from h.conv_id and h.win = c.win + 1
+        where not is_system and c.start >= h.head - {chat.HISTORY}
+        union all select c.conv_id, chars from cut c join heads h on c.conv_id is not distinct from h.conv_id and h.win > 0 where is_system
+    ),
+    more as (select conv_id, sum(chars) chars from extra group by 1),
+    whole as (
+        select conv_id, count(*) n_turns, sum(chars) chars, count(distinct win) n_windows,
+               string_agg(role || chr(10) || text || chr(10), '' order by pos) said,
+               coalesce(string_agg(text, '' order by pos) filter (role = 'assistant'), '') loss from cut group by 1
+    )
+    select w.conv_id, n_turns, sha256(said) turns_sha256, length(loss) loss_chars, sha256(loss) loss_sha256,
+           (w.chars + coalesce(m.chars, 0))::bigint formatted_chars, n_windows
+    from whole w left join more m on w.conv_id is not distinct from m.conv_id"""
+
 ORACLE: dict[str, str] = {
+    "op3_chat_format": _CHAT,
+    "op5_curriculum": _MIX,
     "op4_url_filter": _SPLIT_URL
     + rf""", listed as (select distinct canon from named where regexp_matches(host, '{LISTED_HOST}')),
     rules(rule, says) as (values {', '.join(f"('{r}', '{v}')" for r, v in URL_RULES)}),
