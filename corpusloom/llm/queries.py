@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, curriculum, digest_index, url_filter
+from corpusloom.llm import chat, cover_tree, curriculum, digest_index, url_filter
 from corpusloom.llm.common import new_path
 
 
@@ -61,6 +61,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed, URL_RULES)
 
 
+def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = digest_index.DigestIndex(spark, new_path(spark, "digest_index"), int(spark.conf.get("spark.sql.shuffle.partitions")))
     verdicts = index.ingest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_url_filter": op4_url_filter,
     "op5_curriculum": op5_curriculum,
+    "op8_cover_tree": op8_cover_tree,
     "op9_digest_index": op9_digest_index,
 }
 
