@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, cover_tree, curriculum, digest_index, url_filter
-from corpusloom.llm.common import new_path
+from corpusloom.llm import chat, cover_tree, curriculum, digest_index, quality, url_filter
+from corpusloom.llm.common import fold, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,13 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed, URL_RULES)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    rows = quality.scored(docs, model).select("doc_id", (fold(F.col("doc_id")) % 5 == 0).alias("held_out"), "score")
+    return rows.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -75,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_url_filter": op4_url_filter,
     "op5_curriculum": op5_curriculum,
+    "op6_quality": op6_quality,
     "op8_cover_tree": op8_cover_tree,
     "op9_digest_index": op9_digest_index,
 }
