@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, cover_tree, curriculum, digest_index, quality, url_filter
+from corpusloom.llm import chat, cover_tree, curriculum, dart_minhash, digest_index, quality, url_filter
 from corpusloom.llm.common import fold, new_path
 
 
@@ -68,6 +68,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_curriculum": op5_curriculum,
     "op6_quality": op6_quality,
+    "op7_dart_minhash": op7_dart_minhash,
     "op8_cover_tree": op8_cover_tree,
     "op9_digest_index": op9_digest_index,
 }

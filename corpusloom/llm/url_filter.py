@@ -1,24 +1,17 @@
 """URL filters: rules on hosts and paths, and a blocked Bloom filter of listed URLs before an exact hash join.
 
-The filter is a table of blocks, eight 64-bit words each; a URL sets one bit in each word of its block. Its
-size is bounded by a parameter whatever the list's length, so it may be broadcast; what passes it goes to a
-hash join with the list, which removes the false positives.
+The filter's size is bounded whatever the list's length, so it is broadcast; what passes it goes to a hash join
+with the list, which removes the false positives.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.bloom import MAX_FILTER_BYTES, blocked_bloom, with_maybe
 from corpusloom.llm.common import ascii_lower, materialize
 
-WORDS = 8
-BITS_PER_URL = 16
-#: Bound of the broadcast filter; a longer list makes it let more URLs through to the join, none is lost.
-MAX_FILTER_BYTES = 32 << 20
-
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first :// up to /, ? or #, A-Z lower-cased; path: then up to ? or #; both empty without ://."""
@@ -45,21 +38,6 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return rule, verdict
 
 
-def _bits(url: Column) -> list[Column]:
-    """For each word of the block, the word with the URL's bit set."""
-    h = F.xxhash64(url, F.lit("bit"))
-    at = [F.shiftrightunsigned(h, 6 * i).bitwiseAND(63).cast("int") for i in range(WORDS)]
-    return [F.call_function("shiftleft", F.lit(1).cast("long"), x) for x in at]
-
-
-def blocked_bloom(listed: DataFrame, n_listed: int, max_bytes: int = MAX_FILTER_BYTES) -> tuple[DataFrame, int]:
-    """(block, w0..w7) of the distinct urls of listed, and the number of blocks; empty blocks have no row."""
-    per_block = WORDS * 8
-    blocks = max(1, min(max_bytes // per_block, math.ceil(n_listed * BITS_PER_URL / (per_block * 8))))
-    keyed = listed.select(F.pmod(F.xxhash64("url"), F.lit(blocks)).alias("block"), *[b.alias(f"w{i}") for i, b in enumerate(_bits(F.col("url")))])
-    return keyed.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)]), blocks
-
-
 def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """Adds host, path, rule, verdict to (page_id, url): the longest fitting rule's, else block for listed URLs.
 
@@ -68,17 +46,12 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], max
     count once or not at all. Other columns of pages are ignored; an empty table or list is allowed.
     """
     listed = materialize(listed.filter(F.col("url").isNotNull()).select("url").distinct(), "listed_urls")
-    bloom, blocks = blocked_bloom(listed, listed.count(), max_filter_bytes)
+    bloom = blocked_bloom(listed, listed.count(), max_filter_bytes)
     host, path = host_and_path(F.col("url"))
     seen = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, says = longest_rule(F.col("host"), F.col("path"), rules)
     seen = seen.withColumns({"rule": rule, "says": says, "canon": canonical(F.col("host"), F.col("path"))})
-    seen = seen.withColumn("_block", F.pmod(F.xxhash64("canon"), F.lit(blocks)))
-    probe = seen.join(F.broadcast(bloom), F.col("_block") == F.col("block"), "left")
-    hit = F.lit(True)
-    for i, bit in enumerate(_bits(F.col("canon"))):
-        hit = hit & (F.col(f"w{i}").bitwiseAND(bit) != 0)
-    probe = probe.withColumn("maybe", F.coalesce(hit, F.lit(False)) & F.col("says").isNull())
+    probe = with_maybe(seen, F.col("canon"), bloom).withColumn("maybe", F.col("maybe") & F.col("says").isNull())
     columns = ["page_id", "host", "path", "rule", "says", "canon"]
     passed = probe.filter("maybe").select(*columns).join(listed.hint("shuffle_hash"), F.col("canon") == F.col("url"), "left")
     passed = passed.withColumn("listed", F.col("url").isNotNull()).drop("url")
