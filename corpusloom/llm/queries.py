@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, cover_tree, curriculum, dart_minhash, digest_index, quality, url_filter
+from corpusloom.llm import chat, cover_tree, curriculum, dart_minhash, digest_index, quality, suffix_tree, url_filter
 from corpusloom.llm.common import fold, new_path
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_held_out(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: Both turns of conversation -1.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -83,6 +87,7 @@ def op9_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_tree": op1_suffix_tree,
     "op3_chat_format": op3_chat_format,
     "op4_url_filter": op4_url_filter,
     "op5_curriculum": op5_curriculum,
