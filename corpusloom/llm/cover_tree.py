@@ -20,7 +20,7 @@ from corpusloom.llm.common import connected_components, join_groups, materialize
 
 THRESHOLD = 0.93
 #: Bound of all labels' pivots together, which are broadcast; vectors of a node that one task takes.
-MAX_PIVOTS, BLOCK = 2048, 1024
+MAX_PIVOTS, BLOCK = 2048, 2048
 #: Bounds are held with this margin, so rounding never decides; open pairs are decided by the cosine itself.
 MARGIN = 1e-6
 
@@ -30,21 +30,43 @@ def unit_rows(vectors: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def levels(x: np.ndarray, least: float) -> list[list[tuple[int, np.ndarray]]]:
-    """Nested covers: each level's nodes are (centre, members), the members within its radius, which halves from 1."""
-    radius, nodes, out = 1.0, [np.arange(len(x))], []
+class Level:
+    """One level of a cover tree: each row's node, and the nodes' centres and covering radii."""
+
+    def __init__(self, node_of: np.ndarray, centre: np.ndarray, apart2: np.ndarray):
+        self.node_of, self.centre = node_of, centre
+        self.radius = np.zeros(len(centre))
+        np.maximum.at(self.radius, node_of, np.sqrt(np.maximum(0, apart2[np.arange(len(node_of)), centre[node_of]])))
+        self.order = np.argsort(node_of, kind="stable")
+        self.start = np.searchsorted(node_of[self.order], np.arange(len(centre) + 1))
+
+    def members(self, node: int) -> np.ndarray:
+        return self.order[self.start[node] : self.start[node + 1]]
+
+
+def levels(x: np.ndarray, apart: float) -> list[Level]:
+    """Nested covers: a node's members are within the level's radius of its centre, from 2 * apart halving to apart / 4."""
+    apart2 = 2 - 2 * (x @ x.T)
+    radius, groups, alone, out = 2 * apart, [np.arange(len(x))], np.zeros(0, np.int64), []
     while True:
-        level, below = [], []
-        for rest in nodes:
-            while len(rest):
-                near = ((x[rest] - x[rest[0]]) ** 2).sum(axis=1) <= radius * radius if len(rest) > 1 else np.ones(1, bool)
-                level.append((int(rest[0]), rest[near]))
-                rest = rest[~near]
-        out.append(level)
-        below = [m for _, m in level]
-        if radius <= least or all(len(m) == 1 for m in below):
+        node_of, centre, below = np.empty(len(x), np.int64), [], []
+        for rows in groups:
+            near = (apart2 if len(rows) == len(x) else apart2[np.ix_(rows, rows)]) <= radius * radius
+            np.fill_diagonal(near, True)
+            free = np.ones(len(rows), bool)
+            for k in np.flatnonzero(near.sum(axis=1) > 1):  # the others are nodes of their own
+                own = near[k] & free
+                if free[k] and own.sum() > 1:
+                    free &= ~own
+                    node_of[rows[own]] = len(centre)
+                    centre.append(rows[k])
+                    below.append(rows[own])
+            alone = np.concatenate([alone, rows[free]])
+        node_of[alone] = len(centre) + np.arange(len(alone))
+        out.append(Level(node_of, np.concatenate([np.array(centre, np.int64), alone]), apart2))
+        if radius <= apart / 4 or not below:
             return out
-        nodes, radius = below, radius / 2
+        groups, radius = below, radius / 2
 
 
 def link_blocks(a: np.ndarray, b: np.ndarray | None, wa: np.ndarray, wb: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -52,65 +74,58 @@ def link_blocks(a: np.ndarray, b: np.ndarray | None, wa: np.ndarray, wb: np.ndar
     apart = float(np.sqrt(2 - 2 * cosine))
     same = b is None
     x = a if same else np.vstack([a, b])
-    weight, n = (wa if same else np.concatenate([wa, wb])), len(a)
+    weight, shift = (wa, 0) if same else (np.concatenate([wa, wb]), len(a))
+    b = a if same else b
     deg, comp = np.zeros(len(x), np.int64), np.arange(len(x))
-    ta = levels(a, apart / 4)
-    tb = ta if same else levels(b, apart / 4)
-    depth = max(len(ta), len(tb))
-    tree = [ta[min(k, len(ta) - 1)] for k in range(depth)], [[(c + (0 if same else n), m + (0 if same else n)) for c, m in tb[min(k, len(tb) - 1)]] for k in range(depth)]
-    whole: list[tuple[np.ndarray, np.ndarray, bool]] = []
+    ta = levels(a, apart)
+    tb = ta if same else levels(b, apart)
     edges: list[tuple[np.ndarray, np.ndarray]] = []
-    at = np.indices((len(tree[0][0]), len(tree[1][0]))).reshape(2, -1)
-    if same:
-        at = at[:, at[0] <= at[1]]
-    for k in range(depth):
-        la, lb = tree[0][k], tree[1][k]
-        ca, cb = np.array([c for c, _ in la]), np.array([c for c, _ in lb])
-        ra = np.array([np.sqrt(((x[m] - x[c]) ** 2).sum(axis=1).max()) for c, m in la])
-        rb = ra if same else np.array([np.sqrt(((x[m] - x[c]) ** 2).sum(axis=1).max()) for c, m in lb])
-        if k == 0:
-            dots = (x[ca] @ x[cb].T)[at[0], at[1]]
-        else:
-            dots = np.concatenate([np.einsum("ij,ij->i", x[ca[i]], x[cb[j]]) for i, j in zip(np.array_split(at[0], len(at[0]) // 65536 + 1), np.array_split(at[1], len(at[1]) // 65536 + 1), strict=True)])
-        dist, reach = np.sqrt(np.maximum(0, 2 - 2 * dots)), ra[at[0]] + rb[at[1]]
-        all_in = dist + reach <= apart - MARGIN
-        whole += [(la[i][1], lb[j][1], same and i == j) for i, j in at[:, all_in].T]
-        at = at[:, ~all_in & (dist - reach <= apart + MARGIN)]
-        if k + 1 < depth:  # children of the pairs that stay open
-            inside = []
-            for old, new in ((la, tree[0][k + 1]), (lb, tree[1][k + 1])):
-                owner = np.empty(len(x), np.int64)
-                for q, (_, m) in enumerate(old):
-                    owner[m] = q
-                kids: list[list[int]] = [[] for _ in old]
-                for q, (c, _) in enumerate(new):
-                    kids[owner[c]].append(q)
-                inside.append(kids)
-            pairs = [(p, q) for i, j in at.T for p in inside[0][i] for q in inside[1][j] if not same or i != j or p <= q]
-            at = np.array(pairs, np.int64).reshape(-1, 2).T
+    at = None
+    for k in range(max(len(ta), len(tb))):
+        la, lb = ta[min(k, len(ta) - 1)], tb[min(k, len(tb) - 1)]
+        if at is None:
+            dots = a[la.centre] @ b[lb.centre].T
+            close = dots >= 1 - np.square((la.radius + apart + MARGIN)[:, None] + lb.radius[None, :]) / 2
+            if same:
+                close = np.triu(close)
+                np.fill_diagonal(close, np.diff(la.start) > 1)
+            at = np.array(np.nonzero(close))
+            dist = np.sqrt(np.maximum(0, 2 - 2 * dots[at[0], at[1]]))
         else:
+            dots = [np.einsum("ij,ij->i", a[la.centre[i]], b[lb.centre[j]]) for i, j in zip(np.array_split(at[0], at.shape[1] // 65536 + 1), np.array_split(at[1], at.shape[1] // 65536 + 1), strict=True)]
+            dist = np.sqrt(np.maximum(0, 2 - 2 * np.concatenate(dots)))
+        reach = la.radius[at[0]] + lb.radius[at[1]]
+        whole = dist + reach <= apart - MARGIN
+        for i, j in at[:, whole].T:
+            ma, mb = la.members(i), lb.members(j) + shift
+            if same and i == j:
+                deg[ma] += weight[ma].sum() - weight[ma]
+            else:
+                deg[ma] += weight[mb].sum()
+                deg[mb] += weight[ma].sum()
+            both = np.concatenate([ma, mb])
+            edges.append((both[1:], np.full(len(both) - 1, both[0])))
+        at = at[:, ~whole & (dist - reach <= apart + MARGIN)]
+        if k + 1 < max(len(ta), len(tb)):  # the children of what stays open
+            na, nb = ta[min(k + 1, len(ta) - 1)], tb[min(k + 1, len(tb) - 1)]
+            kids = []
             for i, j in at.T:
-                ma, mb = la[i][1], lb[j][1]
-                hit = x[ma] @ x[mb].T >= cosine
-                if same and i == j:
-                    hit = np.triu(hit, 1)
-                p, q = np.nonzero(hit)
-                edges.append((ma[p], mb[q]))
-    for ma, mb, itself in whole:
-        if itself:
-            deg[ma] += weight[ma].sum() - weight[ma]
+                p, q = np.unique(na.node_of[la.members(i)]), np.unique(nb.node_of[lb.members(j)])
+                p, q = np.repeat(p, len(q)), np.tile(q, len(p))
+                kids.append(np.stack([p, q])[:, p <= q] if same and i == j else np.stack([p, q]))
+            at = np.concatenate(kids, axis=1) if kids else np.zeros((2, 0), np.int64)
         else:
-            deg[ma] += weight[mb].sum()
-            deg[mb] += weight[ma].sum()
-        first = np.concatenate([ma, mb])
-        edges.append((first[1:], np.full(len(first) - 1, first[0])))
-    plain = len(edges) - len(whole)
-    for p, q in edges[:plain]:
-        np.add.at(deg, p, weight[q])
-        np.add.at(deg, q, weight[p])
+            for i, j in at.T:
+                ma, mb = la.members(i), lb.members(j)
+                hit = a[ma] @ b[mb].T >= cosine
+                p, q = np.nonzero(np.triu(hit, 1) if same and i == j else hit)
+                p, q = ma[p], mb[q] + shift
+                np.add.at(deg, p, weight[q])
+                np.add.at(deg, q, weight[p])
+                edges.append((p, q))
     if edges:
         p, q = np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges])
-        while len(p):
+        while True:
             before = comp.copy()
             low = np.minimum(comp[p], comp[q])
             np.minimum.at(comp, p, low)
