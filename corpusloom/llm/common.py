@@ -51,8 +51,8 @@ def n_words(col: Column) -> Column:
 
 
 def fold(col: Column) -> Column:
-    """crc32 of the value as text."""
-    return F.crc32(col.cast("string").cast("binary"))
+    """crc32 of the value as text, null as empty text."""
+    return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
 def ascii_lower(col: Column) -> Column:

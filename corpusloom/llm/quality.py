@@ -24,7 +24,7 @@ from corpusloom.llm.common import WORD, fold, materialize, text_or_empty
 #: Hashed vectors, their length, and the lengths of character n-grams of a word between < and >.
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (3, 4)
 #: Bound of the training sample: so many documents of each label.
-SAMPLE_PER_LABEL = 2500
+SAMPLE_PER_LABEL = 1500
 EPOCHS, RATE, SEED = 6, 1.0, 7
 #: Words that a Python worker remembers.
 REMEMBERED = 300_000
@@ -82,7 +82,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
             step += 1
             if not len(at):
                 continue
-            share = n / n.sum()
+            share = n / float(n.sum())
             hidden = share @ vectors[at]
             z = hidden @ layer + bias
             p = np.exp(z - z.max())
@@ -134,12 +134,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [bag(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype(str), "quality": pdf["quality"], "at": [a for a, _ in found], "n": [n for _, n in found]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype(str), "quality": pdf["quality"], "at": [a.tobytes() for a, _ in found], "n": [n.tobytes() for _, n in found]})
 
-    rows = texts.mapInPandas(bags, "doc_id string, quality int, at array<int>, n array<float>").toPandas().sort_values("doc_id", kind="stable")
-    rows["text_size"] = [float(np.sum(n)) for n in rows["n"]]
-    rows = rows.sort_values(["doc_id", "text_size"], kind="stable")
-    return train([(np.asarray(a, np.int64), np.asarray(n, np.float64)) for a, n in zip(rows["at"], rows["n"], strict=True)], rows["quality"].to_numpy(np.int64))
+    rows = texts.mapInPandas(bags, "doc_id string, quality int, at binary, n binary").toPandas().sort_values(["doc_id", "at", "n"])
+    pairs = [(np.frombuffer(a, np.int32), np.frombuffer(n, np.float32)) for a, n in zip(rows["at"], rows["n"], strict=True)]
+    return train(pairs, rows["quality"].to_numpy(np.int64))
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
