@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, cover_tree, curriculum, dart_minhash, digest_index, quality, suffix_tree, url_filter
+from corpusloom.llm import chat, cover_tree, curriculum, dart_minhash, digest_index, pii_crf, quality, suffix_tree, url_filter
 from corpusloom.llm.common import fold, new_path
 
 
@@ -86,6 +86,14 @@ def op9_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii_crf.detect(docs, pii_crf.fit(docs))
+    spelled = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii_crf.KINDS]
+    return found.select("doc_id", *counts, F.sha2(spelled("base"), 256).alias("base_sha256"), spelled("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree": op1_suffix_tree,
     "op3_chat_format": op3_chat_format,
@@ -95,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_dart_minhash": op7_dart_minhash,
     "op8_cover_tree": op8_cover_tree,
     "op9_digest_index": op9_digest_index,
+    "op10_skip_chain_crf": op10_skip_chain_crf,
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
