@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bloom import blocked_bloom, with_maybe
@@ -192,9 +192,9 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     ones included, are linked when they are equal, null as empty. Of rows that repeat a doc_id, one may be kept.
     A null doc_id is above all others. Other columns are ignored; an empty table gives no rows.
 
-    In each bucket of a band all members are compared with its smallest node. Where a bucket still holds more
-    than one component after that, all its pairs across components are compared, so no candidate link is
-    lost, and no bucket's pairs are written out within a component.
+    In each bucket of a band all members are compared with its smallest node. The nodes of buckets that still hold
+    more than one component after that are joined exactly, across components, on their rarest shingles (see
+    across()), so no link between candidates is lost and no bucket's pairs are written out.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = texts.mapInPandas(_sketches, "doc_id long, node long, size long, s0 long, s1 long, bands array<long>")
@@ -211,26 +211,19 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     buckets = materialize(buckets.select(F.col("bucket").alias("b"), "low"), "band_buckets")
     in_bucket = materialize(members.join(buckets, F.col("bucket") == F.col("b")).select("bucket", "node", "size", "s0", "s1", "low"), "bucket_members")
 
-    def close(a: str, b: str):
-        differ = F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))) + F.bit_count(F.col(f"{a}s1").bitwiseXOR(F.col(f"{b}s1")))
-        sizes = F.least(f"{a}size", f"{b}size") >= F.greatest(f"{a}size", f"{b}size") * F.lit(at_least - 1e-9)
-        return sizes & (differ <= SKETCH_BITS)
-
     lows = nodes.select(F.col("node").alias("low"), *[F.col(c).alias(f"l_{c}") for c in ("size", "s0", "s1")])
     star = in_bucket.filter("node <> low").select("node", "low", "size", "s0", "s1").distinct()
-    star = star.join(lows, "low").filter(close("", "l_")).select(F.col("node").alias("a"), F.col("low").alias("b"))
-    links = verified(texts, nodes, materialize(star, "star_pairs"), at_least)
+    star = star.join(lows, "low").filter(_close("", "l_", at_least)).select(F.col("node").alias("a"), F.col("low").alias("b"))
+    packed = elements_of(texts, nodes, in_bucket.select("node").distinct())
+    links = verified(packed, materialize(star, "star_pairs"), at_least)
     comps = connected_components(links)
 
     placed = in_bucket.join(comps, F.col("node") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "node"))
     placed = materialize(placed.select("bucket", "node", "size", "s0", "s1", "comp"), "placed_members")
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
     mixed = materialize(mixed.select(F.col("bucket").alias("b")), "mixed_buckets")
-    rest = materialize(placed.join(mixed, F.col("bucket") == F.col("b")).drop("b"), "mixed_members")
-    other = rest.select(*[F.col(c).alias(f"o_{c}") for c in rest.columns])
-    cross = rest.join(other, (F.col("bucket") == F.col("o_bucket")) & (F.col("comp") < F.col("o_comp")) & close("", "o_"))
-    cross = materialize(cross.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct(), "cross_pairs")
-    more = verified(texts, nodes, cross, at_least)
+    rest = placed.join(mixed, F.col("bucket") == F.col("b")).select("node", "size", "s0", "s1", "comp").distinct()
+    more = verified(packed, across(packed, materialize(rest, "mixed_nodes"), at_least), at_least)
     if not more.isEmpty():
         comps = connected_components(links.unionByName(more))
 
@@ -243,21 +236,64 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     return out.select("doc_id", F.col("first.doc_id").alias("class_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"))
 
 
-def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, at_least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose exact similarity is at_least. Only texts in a pair are shuffled, and the few
-    that a Bloom filter of their ids lets through."""
-    ids = pairs.select(F.col("a").alias("n")).unionByName(pairs.select(F.col("b").alias("n"))).distinct()
-    needed = materialize(nodes.join(ids, F.col("node") == F.col("n")).select("doc_id", "node"), "needed_nodes")
-    bloom = blocked_bloom(needed.filter("doc_id is not null").select("doc_id"), needed.count())
-    some = with_maybe(texts, F.col("doc_id"), bloom).filter("maybe or doc_id is null").drop("maybe")
-    ids = needed.select(F.col("doc_id").alias("i"), F.col("node").alias("want"))
-    some = some.join(ids.select("i").distinct(), F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
-    packed = materialize(some.mapInPandas(_packed, "node long, elements binary"), "elements")
+def _close(a: str, b: str, at_least: float) -> Column:
+    """Whether sizes and sketches of two nodes allow the similarity."""
+    differ = F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))) + F.bit_count(F.col(f"{a}s1").bitwiseXOR(F.col(f"{b}s1")))
+    return (F.least(f"{a}size", f"{b}size") >= F.greatest(f"{a}size", f"{b}size") * F.lit(at_least - 1e-9)) & (differ <= SKETCH_BITS)
+
+
+def elements_of(texts: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, elements) of the nodes of ids. Of the texts, only those are shuffled that a Bloom filter lets through."""
+    needed = materialize(nodes.join(ids, "node").select("doc_id"), "needed_ids")
+    some = with_maybe(texts, F.col("doc_id"), blocked_bloom(needed.filter("doc_id is not null"), needed.count()))
+    some = some.filter("maybe or doc_id is null").drop("maybe")
+    some = some.join(needed.select(F.col("doc_id").alias("i")).distinct(), F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
+    return materialize(some.mapInPandas(_packed, "node long, elements binary"), "elements")
+
+
+def verified(packed: DataFrame, pairs: DataFrame, at_least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose exact similarity is at_least."""
     a = packed.select(F.col("node").alias("a"), F.col("elements").alias("a_set"))
     b = packed.select(F.col("node").alias("b"), F.col("elements").alias("b_set"))
-    both = pairs.join(a, "a").join(b, "b")
     exact = F.pandas_udf(_similarity, "double").asNondeterministic()  # so that the filter doesn't run it again
-    return materialize(both.select("a", "b", exact("a_set", "b_set").alias("s")).filter(F.col("s") >= at_least).select("a", "b"), "near_links")
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", exact("a_set", "b_set").alias("s"))
+    return materialize(both.filter(F.col("s") >= at_least).select("a", "b"), "near_links")
+
+
+def _exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for at in range(0, len(pdf), 200):
+            part = pdf.iloc[at : at + 200]
+            sets = [np.frombuffer(x, np.int64) for x in part["elements"]]
+            yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), [len(x) for x in sets]), "element": np.concatenate(sets)})
+
+
+def across(packed: DataFrame, members: DataFrame, at_least: float) -> DataFrame:
+    """Pairs (a, b) of members (node, size, s0, s1, comp) of unlike comp, among them all with the similarity.
+
+    Prefix filtering: of a set of n elements, ordered from rare to frequent, two sets of that similarity have one in
+    common among the first n - ceil(at_least * n) + 1 of each, and enough elements after it. An element's
+    largest component is only paired with the others.
+    """
+    rows = packed.join(members.select(F.col("node").alias("m")), F.col("node") == F.col("m"), "left_semi").mapInPandas(_exploded, "node long, element long")
+    rows = materialize(rows, "member_elements")
+    shared = materialize(rows.groupBy("element").agg(F.count("*").alias("df")).filter("df > 1"), "shared_elements")
+    rows = rows.join(shared, "element").join(members, "node")
+    by_node = Window.partitionBy("node")
+    # Elements that no other member has come first; only their number counts.
+    place = F.col("size") - F.count("*").over(by_node) + F.row_number().over(by_node.orderBy("df", "element")) - 1
+    prefix = rows.withColumn("pos", place).filter(F.col("pos") <= F.col("size") - F.ceil(F.col("size") * F.lit(at_least) - F.lit(1e-9)))
+    prefix = materialize(prefix.drop("df"), "prefix_elements")
+    by_comp = prefix.groupBy("element", "comp").agg(F.count("*").alias("n"))
+    largest = by_comp.groupBy("element").agg(F.max(F.struct("n", "comp")).alias("big"), F.count("*").alias("comps")).filter("comps > 1")
+    largest = materialize(largest.select("element", F.col("big.comp").alias("largest")), "mixed_elements")
+    prefix = materialize(prefix.join(largest, "element"), "mixed_prefixes")
+    left = prefix.filter("comp <> largest").drop("largest")
+    right = prefix.select(*[F.col(c).alias(f"o_{c}") for c in left.columns])
+    need = (F.col("size") + F.col("o_size")) * F.lit(at_least / (1 + at_least)) - F.lit(1e-6)
+    enough = F.least(F.col("size") - F.col("pos"), F.col("o_size") - F.col("o_pos")) >= need
+    pairs = left.join(right, (F.col("element") == F.col("o_element")) & (F.col("comp") != F.col("o_comp")) & enough & _close("", "o_", at_least))
+    return materialize(pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct(), "cross_pairs")
 
 
 def dedup(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:

@@ -141,8 +141,11 @@ def graph_of(texts: list[str]) -> Graph:
             shapes.append(features(token, gap))
             while k < len(by_start) and by_start[k][2] <= start:
                 k += 1
-            # Earlier finds may reach further than the one at k; those that overlap begin before the token's end.
-            cover = [by_start[j][1] for j in range(max(0, k - 2), min(len(by_start), k + 6)) if by_start[j][0] < end and by_start[j][2] > start]
+            cover, j = [], k
+            while j < len(by_start) and by_start[j][0] < end:
+                if by_start[j][2] > start:
+                    cover.append(by_start[j][1])
+                j += 1
             seen.append(1 + min(cover) if cover else -1)
             if before is not None and gap <= 3:
                 links.append((me - 1, me, 0))
