@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, cover_tree, curriculum, dart_minhash, digest_index, pii_crf, quality, suffix_tree, url_filter
+from corpusloom.llm import chat, cover_tree, curriculum, dart_minhash, digest_index, pii_crf, piece_sampling, quality, suffix_tree, url_filter
 from corpusloom.llm.common import fold, new_path
 
 
@@ -19,6 +19,15 @@ def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score_held_out(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each sample's ids, and whether decoding them gives the whole text again."""
+    pieces = piece_sampling.load(spark)
+    rows = piece_sampling.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), pieces, check=True)
+    return rows.select(
+        "doc_id", "sample", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "inclusion", F.col("exact").alias("round_trip")
+    )
+
+
 #: Both turns of conversation -1.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -97,6 +106,7 @@ def op10_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree": op1_suffix_tree,
+    "op2_piece_sampling": op2_piece_sampling,
     "op3_chat_format": op3_chat_format,
     "op4_url_filter": op4_url_filter,
     "op5_curriculum": op5_curriculum,
