@@ -26,6 +26,8 @@ BANDS, ROWS = 26, 5
 K = BANDS * ROWS
 #: Of 128 one-bit coordinates, so many may differ: at 0.8 they differ in 12.8, with a deviation of 3.4.
 SKETCH_BITS = 34
+#: Turns in which buckets are compared with a hub.
+STAR_ROUNDS = 4
 REMEMBERED, BATCH_SHINGLES = 500_000, 200_000
 
 _words = re.compile(WORD).findall
@@ -192,9 +194,9 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     ones included, are linked when they are equal, null as empty. Of rows that repeat a doc_id, one may be kept.
     A null doc_id is above all others. Other columns are ignored; an empty table gives no rows.
 
-    In each bucket of a band all members are compared with its smallest node. The nodes of buckets that still hold
-    more than one component after that are joined exactly, across components, on their rarest shingles (see
-    across()), so no link between candidates is lost and no bucket's pairs are written out.
+    In each bucket of a band all members are compared with one of them, its hub; buckets that still hold more than one
+    component get another hub, STAR_ROUNDS times. What stays mixed is joined exactly, across components, on its
+    rarest shingles (see across()), so no link between candidates is lost and no bucket's pairs are written out.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = texts.mapInPandas(_sketches, "doc_id long, node long, size long, s0 long, s1 long, bands array<long>")
@@ -207,25 +209,23 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     nodes = materialize(nodes, "sketch_nodes")
 
     members = nodes.select("node", "size", "s0", "s1", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("low"), F.count("*").alias("n")).filter("n > 1")
-    buckets = materialize(buckets.select(F.col("bucket").alias("b"), "low"), "band_buckets")
-    in_bucket = materialize(members.join(buckets, F.col("bucket") == F.col("b")).select("bucket", "node", "size", "s0", "s1", "low"), "bucket_members")
-
-    lows = nodes.select(F.col("node").alias("low"), *[F.col(c).alias(f"l_{c}") for c in ("size", "s0", "s1")])
-    star = in_bucket.filter("node <> low").select("node", "low", "size", "s0", "s1").distinct()
-    star = star.join(lows, "low").filter(_close("", "l_", at_least)).select(F.col("node").alias("a"), F.col("low").alias("b"))
-    packed = elements_of(texts, nodes, in_bucket.select("node").distinct())
-    links = verified(packed, materialize(star, "star_pairs"), at_least)
-    comps = connected_components(links)
-
-    placed = in_bucket.join(comps, F.col("node") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "node"))
-    placed = materialize(placed.select("bucket", "node", "size", "s0", "s1", "comp"), "placed_members")
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
-    mixed = materialize(mixed.select(F.col("bucket").alias("b")), "mixed_buckets")
-    rest = placed.join(mixed, F.col("bucket") == F.col("b")).select("node", "size", "s0", "s1", "comp").distinct()
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = materialize(buckets.select(F.col("bucket").alias("b")), "band_buckets")
+    placed = members.join(buckets, F.col("bucket") == F.col("b")).drop("b").withColumn("comp", F.col("node"))
+    placed = materialize(placed, "placed_members")
+    packed = elements_of(texts, nodes, placed.select("node").distinct())
+    links = comps = None
+    for turn in range(STAR_ROUNDS):
+        found = verified(packed, star_pairs(placed, nodes, turn, at_least), at_least)
+        if found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        comps = connected_components(links)
+        placed = _still_mixed(placed, comps)
+    rest = placed.select("node", "size", "s0", "s1", "comp").distinct()
     more = verified(packed, across(packed, materialize(rest, "mixed_nodes"), at_least), at_least)
-    if not more.isEmpty():
-        comps = connected_components(links.unionByName(more))
+    if comps is None or not more.isEmpty():
+        comps = connected_components(more if links is None else links.unionByName(more))
 
     classes = groups.join(comps, F.col("node") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "node"))
     classes = materialize(classes.select("node", "comp", "best", "n"), "class_nodes")
@@ -242,6 +242,26 @@ def _close(a: str, b: str, at_least: float) -> Column:
     return (F.least(f"{a}size", f"{b}size") >= F.greatest(f"{a}size", f"{b}size") * F.lit(at_least - 1e-9)) & (differ <= SKETCH_BITS)
 
 
+def star_pairs(placed: DataFrame, nodes: DataFrame, turn: int, at_least: float) -> DataFrame:
+    """(a, b): members of each bucket with its hub of this turn, unless they are in one component."""
+    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")
+    hubs = materialize(placed.groupBy("bucket").agg(F.min(order).alias("hub")).select(F.col("bucket").alias("b"), "hub"), "bucket_hubs")
+    pairs = placed.join(hubs, F.col("bucket") == F.col("b")).filter(F.col("comp") != F.col("hub.comp"))
+    pairs = pairs.select("node", F.col("hub.node").alias("hub"), "size", "s0", "s1").distinct()
+    ends = nodes.select(F.col("node").alias("hub"), *[F.col(c).alias(f"l_{c}") for c in ("size", "s0", "s1")])
+    pairs = pairs.join(ends, "hub").filter(_close("", "l_", at_least))
+    return materialize(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "star_pairs")
+
+
+def _still_mixed(placed: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component."""
+    placed = placed.drop("comp").join(comps, F.col("node") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "node"))
+    placed = materialize(placed.drop("id", "component"), "placed_members")
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
+    mixed = materialize(mixed.select(F.col("bucket").alias("b")), "mixed_buckets")
+    return materialize(placed.join(mixed, F.col("bucket") == F.col("b")).drop("b"), "mixed_members")
+
+
 def elements_of(texts: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """(node, elements) of the nodes of ids. Of the texts, only those are shuffled that a Bloom filter lets through."""
     needed = materialize(nodes.join(ids, "node").select("doc_id"), "needed_ids")
