@@ -81,7 +81,7 @@ def _best_of(queries: pd.DataFrame, k: int) -> Callable:
             x = _units(pdf["embedding"])
             there = (x != 0).any(axis=1)
             # Rounded, so that the order of ties does not hang on the order of additions.
-            scores = np.round(matrix @ x.T, 6)
+            scores = np.round(matrix @ x.T, 6) + 0.0  # no negative zeros
             chunk = pdf["chunk_id"].to_numpy()
             for kb, rows in pdf.groupby("kb_id").indices.items():
                 rows = rows[there[rows]]

@@ -167,8 +167,10 @@ ORACLE: dict[str, str] = {
     "update_where": "select c_custkey, case when c_acctbal < 0 then 'OVERDUE' else c_mktsegment end c_mktsegment, case when c_acctbal < 0 then 0.0 else c_acctbal end::double c_acctbal from customer",
     "hash_embedding": f"with bodies as (select item_id id, text body from benchmark), {EMBED} select id query_id, idx, round(weight, 6) weight from units",
     "hash_cosine_topk": f"""with bodies as (select 'q' || item_id id, text body from benchmark union all select 'd' || doc_id, text from documents), {EMBED},
-        scored as (select substr(q.id, 2)::bigint query_id, substr(d.id, 2) chunk_id, round(sum(q.weight * d.weight), 6) dense_score
-            from units q join units d using (idx) where q.id[1] = 'q' and d.id[1] = 'd' group by all),
+        dots as (select q.id q, d.id d, sum(q.weight * d.weight) s from units q join units d using (idx) where q.id[1] = 'q' and d.id[1] = 'd' group by all),
+        ids as (select distinct id from units),
+        scored as (select substr(q.id, 2)::bigint query_id, substr(d.id, 2) chunk_id, round(coalesce(s, 0), 6) + 0.0 dense_score
+            from ids q join ids d on q.id[1] = 'q' and d.id[1] = 'd' left join dots on dots.q = q.id and dots.d = d.id),
         placed as (select query_id, cast(substr(source, 4) as integer) kb_id, chunk_id, dense_score from scored join documents on chunk_id = doc_id::varchar)
         select *, row_number() over (partition by query_id, kb_id order by dense_score desc, chunk_id) dense_rank from placed qualify dense_rank <= 3""",
     "dense_topk_per_kb": f"with {dense()} select *, row_number() over (partition by query_id order by kb_id, dense_rank) pos from nearest",

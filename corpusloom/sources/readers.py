@@ -92,7 +92,7 @@ def segments(spark: SparkSession, path: str, kb_id: int) -> DataFrame:
         F.lit(kb_id).alias("kb_id"), F.xxhash64("path").alias("document_id"), X.base_name(F.col("path")).alias("file_name"), X.stem(F.col("path")).alias("title"), "content", X.extension(F.col("path")).alias("ext")
     )
     parsed = [files.filter(F.col("ext") == ext).drop("ext").mapInPandas(_parsed(parse), SEGMENT_SCHEMA) for ext, parse in (("docx", docx_segments), ("pdf", pdf_segments))]
-    plain = files.filter(~F.col("ext").isin("docx", "pdf")).withColumn("text", F.decode("content", F.lit("utf-8")))
+    plain = files.filter(~F.col("ext").isin("docx", "pdf")).withColumn("text", F.decode("content", "utf-8"))
     return parsed[0].unionByName(parsed[1]).unionByName(line_segments(plain))
 
 

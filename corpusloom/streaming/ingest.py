@@ -34,15 +34,18 @@ def ingest(spark: SparkSession, source: str, schema, parents: ParquetTable, chil
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _timed(events: DataFrame, late: str | None) -> DataFrame:
+    """A stream with its watermark, which needs instants."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late and events.isStreaming else events
+
+
 def latency_windows(events: DataFrame, size: str = "1 hour", late: str | None = "1 hour") -> DataFrame:
     """(ts, event_type, value) -> count, mean and largest value of each window and type; late: the watermark of a stream."""
-    events = events.withWatermark("ts", late) if late and events.isStreaming else events
-    out = events.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.max("value").alias("max_value"))
+    out = _timed(events, late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.max("value").alias("max_value"))
     return out.select(F.col("window.start").alias("window_start"), "event_type", "n", "mean_value", "max_value")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "1 hour") -> DataFrame:
     """(ts, user_id) -> each user's sessions: events with no gap of that length between them."""
-    events = events.withWatermark("ts", late) if late and events.isStreaming else events
-    out = events.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"))
+    out = _timed(events, late).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("session_window.start").alias("session_start"), "n")
