@@ -99,3 +99,15 @@ def not_yet_known(uploads: DataFrame, documents: DataFrame) -> DataFrame:
     """Uploads whose knowledge base, name and hash no document has."""
     keys = ["kb_id", "file_name", "file_hash"]
     return uploads.join(documents.select(*keys), keys, "left_anti")
+
+
+def propagate(rows: DataFrame, confirmed: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """rows with what confirmed (one row per key) says in columns; empty text and null leave them as they are."""
+    new = confirmed.select(key, *[F.nullif(F.col(c), F.lit("")).alias(f"_{c}") for c in columns])
+    out = rows.join(new, key, "left")
+    return out.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
+def replace_documents(chunks: DataFrame, fresh: DataFrame, key: str = "document_id") -> DataFrame:
+    """chunks with those of fresh's documents replaced: what a document no longer holds goes."""
+    return chunks.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)

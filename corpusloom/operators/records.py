@@ -38,3 +38,9 @@ def nested(left: DataFrame, right: DataFrame, key: str, columns: list[str], name
     """left with the sorted list of its rows of right; an empty list where there are none."""
     lists = right.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
     return left.join(lists, key, "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
+
+
+def cited_documents(citations: DataFrame, documents: DataFrame, kbs: DataFrame) -> DataFrame:
+    """(kb_id, document_id) pairs as they are cited, with repeats -> each once with its document's and knowledge base's names."""
+    found = citations.select("kb_id", "document_id").distinct().join(documents.select("kb_id", "document_id", "file_name"), ["kb_id", "document_id"])
+    return found.join(kbs.select("kb_id", F.col("name").alias("kb_name")), "kb_id").select("kb_id", "document_id", "kb_name", "file_name")

@@ -288,6 +288,15 @@ def learned_sparse(spark, sf_dir):
     return retrieval.sparse_scores(asked, cells.select(F.col("vec_id").alias("chunk_id"), "term", "weight"))
 
 
+@query
+def direct_kb_query(spark, sf_dir):
+    """The three nearest documents of one knowledge base, without permissions, as an API key's holder gets them."""
+    rows = chunks(spark, sf_dir).filter("kb_id = 3")
+    found = retrieval.as_vectors(retrieval.hash_embedding(rows, "chunk_id", "content"), "chunk_id").withColumn("kb_id", F.lit(3))
+    asked = retrieval.as_vectors(retrieval.hash_embedding(items(spark, sf_dir), "query_id", "query"), "query_id")
+    return retrieval.dense_topk(asked, found, 3).select("query_id", "chunk_id", "dense_score", "dense_rank")
+
+
 # Ranking
 
 
@@ -496,6 +505,16 @@ def retrieval_pipeline(spark, sf_dir):
     return out.select("query_id", "intent", F.array_join("parent_ids", ",").alias("parent_ids"), F.round("confidence", 6).alias("confidence"), F.round("support", 6).alias("support"), "refusal_reason")
 
 
+@query
+def trial_retrieval(spark, sf_dir):
+    """A trial of one knowledge base: four times as many candidates as results, reranked."""
+    rows = documents(spark, sf_dir).filter("kb_id = 3")
+    corpus = pipeline.Corpus.build(rows, Budgets.for_ingestion())
+    config = Retrieval("trial", retriever="hybrid_rrf", rerank=True, top_k=5, candidates=20, refusal=False)
+    out = pipeline.retrieve(pipeline.Hits.find(items(spark, sf_dir), corpus, config.candidates), corpus, config)
+    return out.select("query_id", F.array_join("parent_ids", ",").alias("parent_ids"), F.round("confidence", 6).alias("confidence"))
+
+
 # Records
 
 
@@ -556,6 +575,14 @@ def chat_kb_bridge(spark, sf_dir):
     return c.join(bridge, "n_nationkey").join(s, "n_nationkey").select("c_custkey", "n_name", "n_suppliers")
 
 
+@query
+def citation_lookup(spark, sf_dir):
+    """Documents of which each is cited three times, some under a wrong knowledge base."""
+    rows = documents(spark, sf_dir).filter("document_id % 5 = 0")
+    cited = rows.select(F.when(F.col("document_id") % 3 == 0, 999).otherwise(F.col("kb_id")).alias("kb_id"), "document_id", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    return records.cited_documents(cited, documents(spark, sf_dir), _kbs(spark, sf_dir))
+
+
 # Metadata and messages
 
 _NAMES = ("QX-9000_2024年3月手册.docx", "采购合同 2023-11-05.pdf", "后勤运维报修工单.md", "notes.txt")
@@ -574,6 +601,21 @@ def metadata_merge(spark, sf_dir):
     return documents(spark, sf_dir).select("document_id", metadata.confirmed_or(confirmed, F.col("department")).alias("department"))
 
 
+@query
+def metadata_confirm(spark, sf_dir):
+    """Lines take over what was confirmed of their documents, unless that is empty."""
+    lines = chunking.line_segments(documents(spark, sf_dir)).join(documents(spark, sf_dir).select("document_id", "department"), "document_id")
+    said = documents(spark, sf_dir).filter("document_id % 2 = 0").select("document_id", F.when(F.col("document_id") % 4 == 0, "").otherwise("后勤").alias("department"))
+    return changes.propagate(lines.select("document_id", "seg_no", "department"), said, "document_id", ["department"])
+
+
+@query
+def reindex_documents(spark, sf_dir):
+    """Documents of even id come again with the first of their lines alone."""
+    lines = chunking.line_segments(documents(spark, sf_dir)).select("document_id", "seg_no", "text")
+    return changes.replace_documents(lines, lines.filter("document_id % 2 = 0 and seg_no = 0"))
+
+
 @query
 def envelope_roundtrip(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").filter("text is not null").withColumn("context", F.to_json(F.struct("conv_id", "turn")))

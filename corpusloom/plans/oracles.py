@@ -173,6 +173,15 @@ ORACLE: dict[str, str] = {
             from ids q join ids d on q.id[1] = 'q' and d.id[1] = 'd' left join dots on dots.q = q.id and dots.d = d.id),
         placed as (select query_id, cast(substr(source, 4) as integer) kb_id, chunk_id, dense_score from scored join documents on chunk_id = doc_id::varchar)
         select *, row_number() over (partition by query_id, kb_id order by dense_score desc, chunk_id) dense_rank from placed qualify dense_rank <= 3""",
+    "direct_kb_query": f"""with bodies as (select 'q' || item_id id, text body from benchmark union all select 'd' || doc_id, text from documents where source = 'src3'), {EMBED},
+        dots as (select q.id q, d.id d, sum(q.weight * d.weight) s from units q join units d using (idx) where q.id[1] = 'q' and d.id[1] = 'd' group by all),
+        ids as (select distinct id from units),
+        scored as (select substr(q.id, 2)::bigint query_id, substr(d.id, 2) chunk_id, round(coalesce(s, 0), 6) + 0.0 dense_score
+            from ids q join ids d on q.id[1] = 'q' and d.id[1] = 'd' left join dots on dots.q = q.id and dots.d = d.id)
+        select *, row_number() over (partition by query_id order by dense_score desc, chunk_id) dense_rank from scored qualify dense_rank <= 3""",
+    "citation_lookup": f"with {DOCS} select kb_id, document_id, 'src' || kb_id kb_name, file_name from docs where document_id % 5 = 0 and document_id % 3 <> 0",
+    "metadata_confirm": f"with {DOCS}, {LINES} select l.document_id, seg_no, case when l.document_id % 4 = 2 then '后勤' else department end department from lines l join docs using (document_id)",
+    "reindex_documents": f"with {DOCS}, {LINES} select document_id, seg_no, text from lines where document_id % 2 = 1 or seg_no = 0",
     "dense_topk_per_kb": f"with {dense()} select *, row_number() over (partition by query_id order by kb_id, dense_rank) pos from nearest",
     "dense_topk_filtered": f"with {dense('v.vec_id >= 100 and v.label in (1, 2, 3)')} select * from nearest",
     "dense_postfilter": f"with {dense()} select * from nearest where chunk_id::bigint >= 100",
