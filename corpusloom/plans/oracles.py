@@ -79,6 +79,39 @@ VERSIONS = f"""{LINES},
     old as (select document_id, seg_no index, sha256(text) content_hash, document_id || '-' || seg_no uuid from lines),
     new as (select document_id, seg_no index, sha256(case when seg_no % 7 = 3 then 'new ' || text else text end) content_hash from lines where seg_no % 5 <> 4)"""
 
+
+
+def parents(size: int) -> str:
+    """The fold of lines into parents of at most size characters, a step for each line."""
+    full = f"f.size + length(l.text) > {size} and not regexp_matches(l.text, '{CLAUSE_SQL}')"
+    return f"""{LINES},
+        folded as (
+            select document_id, kb_id, section_path, seg_no, 0 parent_index, length(text) size, text from lines where seg_no = 0
+            union all
+            select l.document_id, l.kb_id, l.section_path, l.seg_no, f.parent_index + case when {full} then 1 else 0 end,
+                   case when {full} then length(l.text) else f.size + length(l.text) end, l.text
+            from folded f join lines l on l.document_id = f.document_id and l.seg_no = f.seg_no + 1),
+        grouped as (select document_id, kb_id, section_path, parent_index, string_agg(text, chr(10) || chr(10) order by seg_no) content from folded group by all),
+        parents as (select *, sha256('parent::' || kb_id || '::' || document_id || '::' || parent_index || '::' || content) parent_id from grouped)"""
+
+
+def children(size: int, overlap: int) -> str:
+    """The fold of a parent's paragraphs into children, a step for each paragraph."""
+    return f"""walk as (
+            select document_id, parent_index, parent_id, list_filter(list_transform(regexp_split_to_array(content, '\n{{2,}}|\r\n'), lambda t: trim(t)), lambda t: t <> '') ps,
+                   0 i, '' held, 0::bigint used, []::varchar[] kids from parents
+            union all
+            select document_id, parent_index, parent_id, ps, i + 1, case when big then '' when h <> '' then h || chr(10) || chr(10) || p else p end, case when big then 0 else u + length(p) end,
+                   case when big then list_concat(case when h <> '' then list_append(o, h) else o end,
+                        list_transform(range((length(p) + {size - 1}) // {size}), lambda k: substr(p, (k * {size} + 1)::int, {size}))) else o end
+            from (
+                select *, length(p) > 1.5 * {size} big, case when over then right(held, {overlap}) else held end h, case when over then length(right(held, {overlap})) else used end u,
+                       case when over then list_append(kids, held) else kids end o
+                from (select *, ps[i + 1] p, held <> '' and used + length(ps[i + 1]) > {size} as over from walk where i < len(ps)))),
+        packed as (select document_id, parent_index, parent_id, list_filter(case when held <> '' then list_append(kids, held) else kids end, lambda c: trim(c) <> '') kids from walk where i = len(ps)),
+        children as (select document_id, parent_index, parent_id, unnest(kids) content, unnest(range(len(kids))) child_index from packed)"""
+
+
 PROFILES = f"""facts as (
         select kb_id, count(*) document_count, list_sort(list(distinct department)) departments, list_sort(list(distinct doc_type)) doc_types from docs group by all),
     firsts as (select *, row_number() over (partition by kb_id order by document_id) n from docs),
@@ -141,16 +174,20 @@ ORACLE: dict[str, str] = {
     "clause_starts": """with t as (select doc_id document_id, (doc_id % 7) || case when doc_id % 3 = 0 then '.' else ' ' end || doc_id || ' ' || substr(text, 1, 20) s from documents)
         select document_id, nullif(regexp_extract(s, '^\\s*(\\d+(?:\\.\\d+){1,4})', 1), '') clause,
         'a > b' || coalesce(' > ' || nullif(regexp_extract(s, '^\\s*(\\d+(?:\\.\\d+){1,4})', 1), ''), '') section_path from t""",
-    "parent_chunks": f"""with recursive {DOCS}, {LINES},
-        folded as (
-            select document_id, kb_id, section_path, seg_no, 0 parent_index, length(text) size, text from lines where seg_no = 0
+    "parent_chunks": f"with recursive {DOCS}, {parents(1200)} select document_id, parent_index, content, section_path, parent_id from parents",
+    "child_chunks": f"""with recursive {DOCS}, {parents(1000)}, {children(500, 120)} select document_id, parent_index, child_index, content,
+        sha256('child::' || parent_id || '::' || child_index || '::' || content) chunk_id from children""",
+    "chunk_diff_banded": f"""with recursive {DOCS}, {VERSIONS},
+        olds as (select document_id, content_hash, list(struct_pack(i := index, u := uuid) order by index) os from old group by all),
+        news as (select document_id, content_hash, list(index order by index) ns from new group by all),
+        walk as (
+            select document_id, content_hash, coalesce(os, []) os, coalesce(ns, []) ns, 1 i, 1 j, null::varchar as action, null::varchar uuid, null::bigint as index
+            from olds full join news using (document_id, content_hash)
             union all
-            select l.document_id, l.kb_id, l.section_path, l.seg_no,
-                   f.parent_index + case when f.size + length(l.text) > 1200 and not regexp_matches(l.text, '{CLAUSE_SQL}') then 1 else 0 end,
-                   case when f.size + length(l.text) > 1200 and not regexp_matches(l.text, '{CLAUSE_SQL}') then length(l.text) else f.size + length(l.text) end, l.text
-            from folded f join lines l on l.document_id = f.document_id and l.seg_no = f.seg_no + 1),
-        grouped as (select document_id, kb_id, section_path, parent_index, string_agg(text, chr(10) || chr(10) order by seg_no) content from folded group by all)
-        select document_id, parent_index, content, section_path, sha256('parent::' || kb_id || '::' || document_id || '::' || parent_index || '::' || content) parent_id from grouped""",
+            select document_id, content_hash, os, ns, i + (step <> 'create')::int, j + (step <> 'delete')::int, step, case when step <> 'create' then os[i].u end, case when step <> 'delete' then ns[j] end
+            from (select *, case when i <= len(os) and j <= len(ns) and abs(os[i].i - ns[j]) <= 10 then 'update'
+                                 when j > len(ns) or (i <= len(os) and os[i].i < ns[j]) then 'delete' else 'create' end step from walk where i <= len(os) or j <= len(ns)))
+        select action, uuid, index, document_id, content_hash from walk where action is not null""",
     "page_text": """with b as (select *, regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g') bare from pages)
         select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g')) title,
                trim(regexp_replace(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) heading,
