@@ -184,7 +184,7 @@ def chunk_diff_delete(spark, sf_dir):
 @query
 def chunk_diff_banded(spark, sf_dir):
     old, new = _two_versions(spark, sf_dir)
-    return changes.banded_diff(old, new, scope=["document_id"])
+    return changes.banded_diff(old, new, scope=["document_id"]).withColumn("index", F.coalesce("index", F.lit(-1).cast("long")))
 
 
 @query

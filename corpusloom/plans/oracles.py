@@ -187,7 +187,7 @@ ORACLE: dict[str, str] = {
             select document_id, content_hash, os, ns, i + (step <> 'create')::int, j + (step <> 'delete')::int, step, case when step <> 'create' then os[i].u end, case when step <> 'delete' then ns[j] end
             from (select *, case when i <= len(os) and j <= len(ns) and abs(os[i].i - ns[j]) <= 10 then 'update'
                                  when j > len(ns) or (i <= len(os) and os[i].i < ns[j]) then 'delete' else 'create' end step from walk where i <= len(os) or j <= len(ns)))
-        select action, uuid, index, document_id, content_hash from walk where action is not null""",
+        select action, uuid, coalesce(index, -1) as index, document_id, content_hash from walk where action is not null""",
     "page_text": """with b as (select *, regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g') bare from pages)
         select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g')) title,
                trim(regexp_replace(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) heading,
