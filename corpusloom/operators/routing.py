@@ -59,9 +59,8 @@ def keywords(texts: DataFrame, key: str, text: str, limit: int = KEYWORDS, by_fr
 
 def profile_text(profiles_: DataFrame, keywords_: DataFrame) -> DataFrame:
     """(kb_id, profile): name, description, summary and keywords in one text."""
-    words = keywords_.groupBy("kb_id").agg(F.array_join(F.col("sorted.keyword"), " ").alias("words")) if "sorted" in keywords_.columns else (
-        keywords_.groupBy("kb_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "keyword"))), lambda s: s["keyword"]), " ").alias("words"))
-    )
+    listed = F.sort_array(F.collect_list(F.struct("rank", "keyword")))
+    words = keywords_.groupBy("kb_id").agg(F.array_join(F.transform(listed, lambda s: s["keyword"]), " ").alias("words"))
     joined = profiles_.join(words, "kb_id", "left")
     return joined.select("kb_id", F.concat_ws(" ", "name", F.coalesce("description", F.lit("")), "summary", F.coalesce("words", F.lit(""))).alias("profile"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -98,6 +97,3 @@ def make_store(name: str, spark: SparkSession, path: str) -> ParquetTable:
 def append_traces(traces: DataFrame, path: str) -> None:
     traces.withColumn("trace_id", F.expr("uuid()")).write.mode("append").parquet(path)
 
-
-def temporary_name(prefix: str) -> str:
-    return f"{prefix}-{uuid.uuid4().hex}"
