@@ -39,7 +39,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() has written; nothing may read them later."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -85,33 +95,31 @@ def prefix_sum(df: DataFrame, group: str, bucket: Column, order: list[Column], v
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) links of long ids -> (id, component), component being the smallest id reachable; isolated ids are absent.
 
-    Alternates large-star and small-star steps: each takes a minimum per node, which is summed before the
-    shuffle, and joins it back, so a node with very many links is split like any other skewed join. Each
-    round is written to the shared folder; only a row count and a checksum reach the driver.
+    Alternates large-star and small-star steps: each takes a minimum per node, by tasks before the shuffle, and joins
+    it back, so a node with very many links is split like any other skewed join. Each round is written to the
+    shared folder; the driver only learns whether all that is left are stars.
     """
 
-    def star(e: DataFrame, large: bool, name: str) -> DataFrame:
-        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), name + "_low")
+    def star(e: DataFrame, large: bool) -> DataFrame:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "lowest_neighbours")
         linked = both.join(low.withColumnRenamed("a", "_a"), F.col("a") == F.col("_a"))
         if large:
             out = linked.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
-            out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-                low.select("a", F.col("m").alias("b"))
-            )
-        return out.filter("a <> b").distinct()
+            out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+            out = out.filter("a <> b").distinct()
+        out = materialize(out, "links")
+        release(low, e)
+        return out
 
     # Each link runs from its larger to its smaller end.
-    now = materialize(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links"
-    )
-    mark = None
+    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     for _ in range(max_rounds):
-        now = materialize(star(now, True, "large"), "links")
-        now = materialize(star(now, False, "small"), "links")
-        last, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == last:
+        now = star(star(now, True), False)
+        # Stars alone are left when no end has two centres and no centre is an end.
+        ends = now.groupBy("a").agg(F.count("*").alias("n"))
+        if ends.filter("n > 1").isEmpty() and ends.join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")

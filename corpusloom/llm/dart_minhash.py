@@ -27,8 +27,8 @@ K = BANDS * ROWS
 #: Of 128 one-bit coordinates, so many may differ: at 0.8 they differ in 12.8, with a deviation of 3.4.
 SKETCH_BITS = 34
 #: Turns in which buckets are compared with a hub.
-STAR_ROUNDS = 4
-REMEMBERED, BATCH_SHINGLES = 500_000, 200_000
+STAR_ROUNDS = 3
+REMEMBERED, BATCH_SHINGLES, BATCH_ROWS = 250_000, 200_000, 500
 
 _words = re.compile(WORD).findall
 _u, MASK = np.uint64, (1 << 64) - 1
@@ -151,7 +151,7 @@ def bands_of(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = _Hashes()
-    for pdf in batches:
+    for pdf in (whole.iloc[k : k + BATCH_ROWS] for whole in batches for k in range(0, len(whole), BATCH_ROWS)):
         nodes, sets = [], []
         for text in pdf["text"]:
             words = word_hashes(text, hashes)
@@ -250,7 +250,7 @@ def star_pairs(placed: DataFrame, nodes: DataFrame, turn: int, at_least: float)
     pairs = pairs.select("node", F.col("hub.node").alias("hub"), "size", "s0", "s1").distinct()
     ends = nodes.select(F.col("node").alias("hub"), *[F.col(c).alias(f"l_{c}") for c in ("size", "s0", "s1")])
     pairs = pairs.join(ends, "hub").filter(_close("", "l_", at_least))
-    return materialize(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "star_pairs")
+    return materialize(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")), "star_pairs")
 
 
 def _still_mixed(placed: DataFrame, comps: DataFrame) -> DataFrame:
