@@ -24,10 +24,10 @@ from corpusloom.llm.common import WORD, fold, materialize, text_or_empty
 #: Hashed vectors, their length, and the lengths of character n-grams of a word between < and >.
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (3, 4)
 #: Bound of the training sample: so many documents of each label.
-SAMPLE_PER_LABEL = 1500
+SAMPLE_PER_LABEL = 2500
 EPOCHS, RATE, SEED = 6, 1.0, 7
 #: Words that a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 _words = re.compile(WORD).findall
 
