@@ -1,8 +1,8 @@
 """PII: patterns, and a skip-chain conditional random field that carries their finds through each document.
 
 Tokens with a digit or an @ are the field's variables (the others are outside every entity by definition).
-Neighbouring tokens are linked in a chain, and a token is linked with the one before it that repeats it or has
-the same digits, however far away. Tokens that a pattern covers are observed; damped loopy message passing over
+Neighbouring tokens are linked in a chain, and all tokens that repeat each other or have the same digits are linked
+with one of them, an observed one if there is any, however far away. Tokens that a pattern covers are observed; damped loopy message passing over
 chain and skip potentials labels the rest, so a number told once as a phone number is one wherever it returns.
 """
 
@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import materialize, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-#: Bound of the training sample, in documents; passes of gradient ascent; rounds and damping of message passing.
-SAMPLE_DOCS, STEPS, RATE, ROUNDS, DAMPING = 2000, 200, 2.0, 12, 0.3
+#: Bound of the training sample, in documents; passes of gradient ascent; damping of message passing.
+SAMPLE_DOCS, STEPS, RATE, DAMPING = 2000, 200, 2.0, 0.3
+#: A document's messages pass until none moves by more than this; should they swing for ever, until PATIENCE rounds and
+#: two for each variable of the document are over, the later half of them damped by CALMED.
+SETTLED, PATIENCE, CALMED = 1e-4, 400, 0.9
 #: A token is labelled when its belief in a kind is at least this.
 BELIEF = 0.5
 
@@ -124,7 +127,8 @@ class Graph:
     base: list[list[tuple[int, int, int]]]
 
 
-def graph_of(texts: list[str]) -> Graph:
+def graph_of(texts: list[str], anchored: bool = True) -> Graph:
+    """Repeats are linked with their anchor, the first observed one or else the first; if not anchored, each with the one before it."""
     spans, shapes, seen, links, base = [], [], [], [], []
     for text in texts:
         found = base_spans(text)
@@ -132,7 +136,8 @@ def graph_of(texts: list[str]) -> Graph:
         tokens = variables(text)
         tokens = [t for t in tokens if t[0] < t[1]]
         spans.append(tokens)
-        last_of: dict[str, int] = {}
+        places: dict[str, list[int]] = {}
+        chained: set[int] = set()
         before, k = None, 0
         by_start = sorted(found)
         for start, end in tokens:
@@ -149,11 +154,13 @@ def graph_of(texts: list[str]) -> Graph:
             seen.append(1 + min(cover) if cover else -1)
             if before is not None and gap <= 3:
                 links.append((me - 1, me, 0))
-            key = skip_key(token)
-            if key in last_of and not (before is not None and gap <= 3 and last_of[key] == me - 1):
-                links.append((last_of[key], me, 1))
-            last_of[key] = me
+                chained.add(me)
+            places.setdefault(skip_key(token), []).append(me)
             before = end
+        for same in places.values():
+            anchor = next((i for i in same if seen[i] >= 0), same[0])
+            ends = [(min(anchor, i), max(anchor, i)) for i in same if i != anchor] if anchored else zip(same, same[1:])
+            links.extend((i, j, 1) for i, j in ends if not (i == j - 1 and j in chained))
     n = len(shapes)
     return Graph(spans, np.array(shapes, np.int64).reshape(n, len(SLOTS)), np.array(seen, np.int64), np.array(links, np.int64).reshape(-1, 3), base)
 
@@ -198,29 +205,41 @@ def train(shapes: np.ndarray, labels: np.ndarray, links: np.ndarray, steps: int
     return field
 
 
-def beliefs(graph: Graph, field: Field, rounds: int = ROUNDS) -> np.ndarray:
-    """Label probabilities of all variables, by damped sum-product messages along chain and skip links."""
+def beliefs(graph: Graph, field: Field, rounds: int | None = None) -> np.ndarray:
+    """Label probabilities of all variables, by damped sum-product messages along chain and skip links.
+
+    Each document's messages pass until they settle, whatever other documents there are; rounds sets another bound."""
     n = len(graph.seen)
     node = sum((w[graph.shapes[:, k]] for k, w in enumerate(field.shape)), np.zeros((n, LABELS)))
     fixed = graph.seen >= 0
     node[fixed] = -60.0
     node[fixed, graph.seen[fixed]] = 0.0
+    doc = np.repeat(np.arange(len(graph.spans)), [len(x) for x in graph.spans]) if graph.spans else np.zeros(n, np.int64)
+    most = PATIENCE + 2 * np.bincount(doc) if rounds is None else np.full(doc.max(initial=0) + 1, rounds)
     a, b, kind = graph.links.T if len(graph.links) else np.zeros((3, 0), np.int64)
-    source, target, kinds = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([kind, kind])
-    back = np.concatenate([np.arange(len(a), 2 * len(a)), np.arange(len(a))])
-    message, pair = np.zeros((len(source), LABELS)), field.pair[kinds]
-    total = node.copy()
-    for _ in range(rounds if len(source) else 0):
-        out = (total[source] - message[back])[:, :, None] + pair
-        top = out.max(axis=1)
-        new = _log_softmax(top + np.log(np.exp(out - top[:, None, :]).sum(axis=1)))
-        moved = np.abs(np.exp(new) - np.exp(message)).max()
-        message = _log_softmax(DAMPING * message + (1 - DAMPING) * new)
-        total = node.copy()
-        for label in range(LABELS):
-            total[:, label] += np.bincount(target, message[:, label], n)
-        if moved < 1e-3:
-            break
+    message, total, passed = np.zeros((2 * len(a), LABELS)), node.copy(), 0
+    while len(a):  # once for each set of documents that still move
+        m = len(a)
+        here, source = np.unique(np.concatenate([a, b]), return_inverse=True)
+        target = np.concatenate([source[m:], source[:m]])
+        back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
+        pair, owner = field.pair[np.concatenate([kind, kind])], doc[np.concatenate([a, a])]
+        sums, moving = total[here], np.ones(2 * m, bool)
+        while moving.all():
+            passed += 1
+            out = (sums[source] - message[back])[:, :, None] + pair
+            top = out.max(axis=1)
+            new = _log_softmax(top + np.log(np.exp(out - top[:, None, :]).sum(axis=1)))
+            moved = np.zeros(len(most))
+            np.maximum.at(moved, owner, np.abs(np.exp(new) - np.exp(message)).max(axis=1))
+            damping = np.where(2 * passed > most[owner], CALMED, DAMPING)[:, None]
+            message = _log_softmax(damping * message + (1 - damping) * new)
+            sums = node[here]
+            for label in range(LABELS):
+                sums[:, label] += np.where(fixed[here], 0.0, np.bincount(target, message[:, label], len(here)))  # however many repeats, an observed one stays so
+            moving = (moved[owner] > SETTLED) & (passed < most[owner])
+        total[here] = sums
+        a, b, kind, message = a[moving[:m]], b[moving[:m]], kind[moving[:m]], message[moving]
     return np.exp(_log_softmax(total))
 
 
@@ -245,14 +264,15 @@ def find(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int, int]
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Field:
-    """Learns the field from the patterns' finds in at most sample documents, those whose ids hash lowest."""
+    """Learns the field from the patterns' finds in at most sample documents, those whose ids hash lowest; of repeats, from
+    each and the one before it, as an anchor's many links would outweigh all else."""
     ids = docs.select(F.col("doc_id").alias("id")).filter("id is not null").orderBy(F.xxhash64("id"), "id").limit(sample)
     ids = materialize(ids.distinct(), "pii_sample")
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
 
     def graphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            g = graph_of(list(pdf["text"]))
+            g = graph_of(list(pdf["text"]), anchored=False)
             yield pd.DataFrame({"n": [len(g.seen)], "shapes": [g.shapes.astype(np.int8).tobytes()], "seen": [g.seen.astype(np.int8).tobytes()], "links": [g.links.astype(np.int32).tobytes()]})
 
     rows = texts.select("text").mapInPandas(graphs, "n long, shapes binary, seen binary, links binary").toPandas().sort_values(["n", "shapes", "seen"])

@@ -394,6 +394,20 @@ def test_field_carries_labels_to_repeats(spark):
     assert [(pii_crf.KINDS[k], text[s:e]) for s, k, e in spans] == [("phone", "+15551234567"), ("phone", "15551234567")]
 
 
+def test_field_reaches_a_hundred_repeats_and_no_other_document():
+    shape = [np.zeros((n, pii_crf.LABELS)) for n in pii_crf.SLOTS]
+    pair = np.zeros((2, pii_crf.LABELS, pii_crf.LABELS))
+    pair[1] = 4 * np.eye(pii_crf.LABELS)
+    shape[0][:, 0] = 1.0
+    field, again = pii_crf.Field(shape, pair), "again 15551234567 said twice. " * 50
+    text = again + "call +15551234567 now. " + again
+    others = ["1 2 3 " * 40, "7 and then 7 and 8 and then 8", ""]
+    got = pii_crf.find([text, *others], field)
+    assert [text[s:e] for s, k, e in got[0][1] if pii_crf.KINDS[k] == "phone"] == ["15551234567"] * 50 + ["+15551234567"] + ["15551234567"] * 50
+    alone, both = pii_crf.beliefs(pii_crf.graph_of(others[:2]), field), pii_crf.beliefs(pii_crf.graph_of([*others[:2], text]), field)
+    assert np.array_equal(alone, both[: len(alone)])
+
+
 def test_messages_give_the_marginals_of_a_tree():
     rng = np.random.default_rng(0)
     n = 5
