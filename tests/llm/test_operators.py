@@ -190,6 +190,13 @@ def test_mix_reaches_targets(spark, sf_dir):
     assert entries.filter("position < 0 or position > 1 or position is null").isEmpty()
 
 
+def test_mix_passes_by_a_document_that_is_too_long(spark):
+    rows = [(0, " ".join(["a"] * 9000), "s"), *[(i, " ".join(["a"] * 100), "s") for i in range(1, 101)]]
+    units, _ = curriculum.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=4000 / 19000)
+    got = units.groupBy("size").agg(F.sum("copies").alias("n")).collect()
+    assert {r["size"]: r.n for r in got} == {9000: 0, 100: 40}
+
+
 def test_mix_follows_schedules(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 3 + 1).cast("int")).alias("source"))
     _, entries = curriculum.plan(docs)
