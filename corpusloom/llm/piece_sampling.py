@@ -31,10 +31,10 @@ from corpusloom.llm.suffix_tree import Places
 #: The vocabulary; it is read by the driver alone.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K, SHARPNESS = 3, 1.5
-#: A longer run without a blank is cut here, so that products of probabilities stay in range.
+#: A longer unit's lattice is summed in logarithms, as products of its probabilities would leave the range of numbers.
 LONGEST_UNIT = 24
-#: Units that a worker remembers (of more, those seen once are forgotten), and adds at once.
-REMEMBERED, TOGETHER = 200_000, 16_000
+#: Units that a worker remembers (of more, those seen once are forgotten), and adds at once; ids held for each on average.
+REMEMBERED, TOGETHER, HELD = 200_000, 16_000, 50
 
 BLANK = "▁"
 #: Stands for a text's own BLANK, which only byte pieces may spell; no text holds a lone surrogate.
@@ -90,6 +90,16 @@ class _Places(dict):
         return self.lattices.add(unit)
 
 
+def _log_weight(w: float, size: int) -> float:
+    """The logarithm of a piece's weight without its SCALE."""
+    return math.log(w) - size * math.log(SCALE)
+
+
+def _log_sum(logs: list[float]) -> float:
+    top = max(logs)
+    return top + math.log(sum(math.exp(x - top) for x in logs))
+
+
 def ragged(offs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indices of the runs [off, off + size), one after the other."""
     ends = np.cumsum(sizes)
@@ -124,10 +134,12 @@ class Lattices:
         self.piece_ids = np.array([pieces.ids[p][0] for p in names], np.int32)
         self.weights = np.array([pieces.ids[p][1] for p in names])
         self.drawn: dict[str, list] = {}
+        self.drawn_size = 0
         self.from_there: dict[str, list[float]] = {}
         self.place = _Places(self)
         self.unit: list[str] = []
-        self.p, self.off, self.size = np.zeros((1024, 2)), np.zeros((1024, 2), np.int64), np.zeros((1024, 2), np.int64)
+        self.p, self.log_p = np.zeros((1024, 2)), np.zeros((1024, 2))
+        self.off, self.size = np.zeros((1024, 2), np.int64), np.zeros((1024, 2), np.int64)
         self.seen = np.zeros(1024, np.int32)
         self.buffer, self.used = np.zeros(1 << 16, np.int32), 0
 
@@ -142,10 +154,10 @@ class Lattices:
     def forget_if_full(self) -> None:
         """Keeps the units that were seen again, unless these are more than half of what may be remembered."""
         n = len(self.unit)
-        if n <= REMEMBERED:
+        if n <= REMEMBERED and self.used <= HELD * REMEMBERED:
             return
         keep = np.flatnonzero(self.seen[:n] > 1)
-        if len(keep) > REMEMBERED // 2:
+        if len(keep) > REMEMBERED // 2 or self.size[keep].sum() > HELD * REMEMBERED // 2:
             keep = keep[:0]
         sizes, offs = self.size[keep].ravel(), self.off[keep].ravel()
         ids = self.buffer[ragged(offs, sizes)]
@@ -153,7 +165,7 @@ class Lattices:
         self.place.clear()
         self.place.update(zip(self.unit, range(len(self.unit)), strict=True))
         m = len(keep)
-        for name in ("p", "size", "seen", "off"):
+        for name in ("p", "log_p", "size", "seen", "off"):
             old = getattr(self, name)
             old[:m] = old[keep]
         self.seen[:m] = 0
@@ -161,9 +173,26 @@ class Lattices:
         self.buffer[: len(ids)], self.used = ids, len(ids)
 
     def edges(self, unit: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """From each character on, (end, ids, weight) of the pieces; a character without a piece is spelled in bytes."""
+        """From each character on, (end, ids, weight) of the pieces; a character without a piece is spelled in bytes.
+        A long unit's weights are parts of what is left from the character on, so that all ways from there weigh 1."""
         if unit in self.drawn:
             return self.drawn[unit]
+        out = self._edges(unit)
+        if len(unit) > LONGEST_UNIT:
+            left = [0.0] * (len(unit) + 1)
+            for i in range(len(unit) - 1, -1, -1):
+                logs = [_log_weight(w, j - i) + left[j] for j, _, w in out[i]]
+                left[i] = _log_sum(logs)
+                out[i] = [(j, ids, math.exp(x - left[i])) for (j, ids, _), x in zip(out[i], logs, strict=True)]
+        if self.drawn_size >= REMEMBERED // 10 * LONGEST_UNIT:
+            self.drawn.clear()
+            self.from_there.clear()
+            self.drawn_size = 0
+        self.drawn[unit] = out
+        self.drawn_size += len(unit)
+        return out
+
+    def _edges(self, unit: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
         out = []
         for i in range(len(unit)):
             node, here = self.trie, []
@@ -177,10 +206,6 @@ class Lattices:
             if not here or here[0][0] != i + 1:
                 here.insert(0, (i + 1, self._bytes(unit[i]), self.pieces.byte_weight))
             out.append(here)
-        if len(self.drawn) >= REMEMBERED // 10:
-            self.drawn.clear()
-            self.from_there.clear()
-        self.drawn[unit] = out
         return out
 
     def sums(self, unit: str) -> list[float]:
@@ -199,6 +224,8 @@ class Lattices:
 
     def add(self, unit: str) -> int:
         """Sums the unit's lattice and finds its two best segmentations, in one pass from the left."""
+        if len(unit) > LONGEST_UNIT:
+            return self._add_long(unit)
         n, trie = len(unit), self.trie
         mass, first, second = [1.0] + [0.0] * n, [1.0] + [0.0] * n, [0.0] * (n + 1)
         to_first: list = [None] * (n + 1)
@@ -246,9 +273,36 @@ class Lattices:
                 out.extend(reversed(self._bytes(unit[i])) if k < 0 else (k,))
                 at = i
             both.append(tuple(reversed(out)))
+        with np.errstate(divide="ignore"):
+            return self._hold(unit, both, np.log([first[n] / mass[n], second[n] / mass[n]]))
+
+    def _add_long(self, unit: str) -> int:
+        """add() in logarithms."""
+        n = len(unit)
+        came: list[list[float]] = [[0.0]] + [[] for _ in range(n)]
+        best: list[list[tuple]] = [[(0.0, 0, (), 0)]] + [[] for _ in range(n)]
+        mass = [0.0] * (n + 1)
+        for i, edges in enumerate(self._edges(unit)):
+            mass[i], came[i] = _log_sum(came[i]), []
+            for j, ids, w in edges:
+                w = _log_weight(w, j - i)
+                came[j].append(mass[i] + w)
+                best[j] = sorted(best[j] + [(x[0] + w, i, ids, rank) for rank, x in enumerate(best[i])], key=lambda x: -x[0])[:2]
+        mass[n] = _log_sum(came[n])
+        both = []
+        for rank in (0, 1):
+            at, out = n, []
+            while at and rank < len(best[at]):
+                _, at, ids, rank = best[at][rank]
+                out.extend(reversed(ids))
+            both.append(tuple(reversed(out)))
+        return self._hold(unit, both, np.array([x[0] - mass[n] for x in best[n]] + [-math.inf] * (2 - len(best[n]))))
+
+    def _hold(self, unit: str, both: list[tuple[int, ...]], log_p: np.ndarray) -> int:
+        """The unit's place; from now on it is remembered with these two."""
         k = len(self.unit)
         self._grow(k + 1)
-        self.p[k] = first[n] / mass[n], second[n] / mass[n]
+        self.p[k], self.log_p[k] = np.exp(log_p), log_p
         self.off[k] = self.push(both[0]), self.push(both[1])
         self.size[k] = len(both[0]), len(both[1])
         self.seen[k] = 0
@@ -260,8 +314,8 @@ class Lattices:
         """add() for many units at once: a step for each start and length of a piece, over all units that are so long."""
         units = [u for u in units if u not in self.place]
         known = self.pieces.ids.keys()
-        for u in [u for u in units if not known >= set(u)]:
-            self.add(u)  # with characters in bytes
+        for u in [u for u in units if len(u) > LONGEST_UNIT or not known >= set(u)]:
+            self.add(u)  # long, or with characters in bytes
         units = sorted((u for u in units if u not in self.place), key=len, reverse=True)
         for k in range(0, len(units), TOGETHER):
             self._add_plain(units[k : k + TOGETHER])
@@ -318,6 +372,8 @@ class Lattices:
         self._grow(first + n)
         new = slice(first, first + n)
         self.p[new], self.size[new], self.seen[new] = p.T, lengths.T, 0
+        with np.errstate(divide="ignore"):
+            self.log_p[new] = np.log(p.T)
         counts = lengths.T.ravel()  # a unit's first, then its second
         offs = np.cumsum(counts) - counts
         # They were found from their ends.
@@ -329,7 +385,7 @@ class Lattices:
 
     def _grow(self, n: int) -> None:
         while n > len(self.p):
-            for name in ("p", "off", "size", "seen"):
+            for name in ("p", "log_p", "off", "size", "seen"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
 
@@ -337,10 +393,10 @@ class Lattices:
         return tuple(self.pieces.byte_id + b for b in (BLANK if c == OWN_BLANK else c).encode())
 
     def draw(self, unit: str, excluded: list[tuple[int, ...]], uniform) -> tuple[tuple[int, ...], float] | None:
-        """A segmentation that is not excluded, by its probability, and that; None if all are."""
+        """A segmentation that is not excluded, by its probability, and that one's logarithm; None if all are."""
         edges, beta = self.edges(unit), self.sums(unit)
         ways = [w for w in (self._way(edges, ids) for ids in set(excluded)) if w is not None]
-        at, out, p = 0, [], 1.0
+        at, out, log_p = 0, [], -math.log(beta[0])
         while at < len(edges):
             options = []
             for j, ids, w in edges[at]:
@@ -360,9 +416,9 @@ class Lattices:
             j, ids, w = edges[at][pick]
             ways = [way for way in ways if way[0].get(at) == j]
             out.extend(ids)
-            p *= w
+            log_p += math.log(w)
             at = j
-        return tuple(out), p / beta[0]
+        return tuple(out), log_p
 
     @staticmethod
     def _way(edges: list, ids: tuple[int, ...]) -> tuple[dict[int, int], dict[int, float]] | None:
@@ -386,10 +442,7 @@ class Lattices:
 
 def units_of(text: str) -> list[str]:
     marked = BLANK + text.replace(BLANK, OWN_BLANK).replace(" ", BLANK) if text else ""
-    out = _units(marked)
-    if max(map(len, out), default=0) > LONGEST_UNIT:
-        out = [u[k : k + LONGEST_UNIT] for u in out for k in range(0, len(u), LONGEST_UNIT)]
-    return out
+    return _units(marked)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -431,7 +484,7 @@ def top_k(text: str, lattices: Lattices, noise: Noise, k: int, units: list[str]
         return [(np.zeros(0, np.int32), 0.0, 0.0, 1.0)]
     at = np.fromiter(map(lattices.place.__getitem__, units), np.int64, n)
     lattices.seen[at] += 1
-    p, off, size, used = lattices.p[at], lattices.off[at], lattices.size[at], lattices.used
+    p, log_p, off, size, used = lattices.p[at], lattices.log_p[at], lattices.off[at], lattices.size[at], lattices.used
 
     def drawn(j: int, excluded: list[tuple[int, ...]]) -> tuple[int, int, float, tuple[int, ...]] | None:
         found = lattices.draw(units[j], excluded, noise.one)
@@ -441,16 +494,16 @@ def top_k(text: str, lattices: Lattices, noise: Noise, k: int, units: list[str]
         return tuple(lattices.buffer[offs[j] : offs[j] + sizes[j]].tolist())
 
     def fresh(start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places and sizes in the buffer, and probabilities, of the units from start on, drawn by their probabilities."""
+        """Places and sizes in the buffer, and log-probabilities, of the units from start on, drawn by their probabilities."""
         u = noise.many(n - start)
-        offs, sizes, prob = off[start:, 0].copy(), size[start:, 0].copy(), p[start:, 0].copy()
-        for j in np.flatnonzero(u >= prob).tolist():
+        offs, sizes, logs = off[start:, 0].copy(), size[start:, 0].copy(), log_p[start:, 0].copy()
+        for j in np.flatnonzero(u >= p[start:, 0]).tolist():
             i = start + j
             if u[j] < p[i, 0] + p[i, 1]:
-                offs[j], sizes[j], prob[j] = off[i, 1], size[i, 1], p[i, 1]
+                offs[j], sizes[j], logs[j] = off[i, 1], size[i, 1], log_p[i, 1]
             elif other := drawn(i, [ids_of(i, off[:, 0], size[:, 0]), ids_of(i, off[:, 1], size[:, 1])]):
-                offs[j], sizes[j], prob[j] = other[:3]
-        return offs, sizes, prob
+                offs[j], sizes[j], logs[j] = other[:3]
+        return offs, sizes, logs
 
     queue: list[tuple] = [(math.log(-math.log(noise.one())), 0, None)]
     out: list[tuple[np.ndarray, float, float]] = []
@@ -459,18 +512,17 @@ def top_k(text: str, lattices: Lattices, noise: Noise, k: int, units: list[str]
         value, _, part = heapq.heappop(queue)
         value, start, taken = -value, 0, None
         if part is None:
-            offs, sizes, prob = fresh(0)
+            offs, sizes, logs = fresh(0)
         else:
-            old_offs, old_sizes, old_prob, start, excluded = part
+            old_offs, old_sizes, old_logs, start, excluded = part
             new = drawn(start, excluded)
             if new is None:
                 continue
             tail = fresh(start + 1)
-            offs, sizes, prob = (np.concatenate([a[:start], [x], t]) for a, x, t in zip((old_offs, old_sizes, old_prob), new[:3], tail, strict=True))
+            offs, sizes, logs = (np.concatenate([a[:start], [x], t]) for a, x, t in zip((old_offs, old_sizes, old_logs), new[:3], tail, strict=True))
             taken = [*excluded, new[3]]
-        logs = np.log(prob)
         out.append((lattices.buffer[ragged(offs, sizes)], float(logs.sum()), value))
-        left = 1 - prob
+        left = -np.expm1(logs)
         if taken is not None:
             left[:start] = 0
             # What this unit has left after all that were taken there.
@@ -485,7 +537,7 @@ def top_k(text: str, lattices: Lattices, noise: Noise, k: int, units: list[str]
             for j in np.argsort(-values, kind="stable")[: k + 1].tolist():
                 i = int(open_[j])
                 count += 1
-                heapq.heappush(queue, (-float(values[j]), count, (offs, sizes, prob, i, taken if taken is not None and i == start else [ids_of(i, offs, sizes)])))
+                heapq.heappush(queue, (-float(values[j]), count, (offs, sizes, logs, i, taken if taken is not None and i == start else [ids_of(i, offs, sizes)])))
     lattices.used = used
     limit = -queue[0][0] if queue and len(out) == k else -math.inf
     return [(s, lp, g, -math.expm1(-math.exp(min(700.0, lp - limit))) if limit > -math.inf else 1.0) for s, lp, g in out]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -139,3 +140,33 @@ def test_many_units_at_once_are_as_one_by_one(pieces):
         assert np.allclose(one.p[a], many.p[b], rtol=1e-12)
         ids = lambda x, k: [tuple(x.buffer[o : o + n].tolist()) for o, n in zip(x.off[k], x.size[k], strict=True)]
         assert ids(one, a)[0] == ids(many, b)[0] and (ids(one, a) == ids(many, b) or one.p[a][0] == one.p[a][1])
+
+
+@pytest.mark.parametrize("text", ["=" * 60, "internationalization" * 3, "-" * 60])
+def test_a_long_unit_has_its_full_lattice(pieces, lattices, text):
+    """Against exact sums over all segmentations; some piece lies across character 24."""
+    unit = P.BLANK + text
+    assert P.units_of(text) == [unit]
+    total, best = [Fraction(1)] + [Fraction(0)] * len(unit), [Fraction(1)] + [Fraction(0)] * len(unit)
+    weight, size = {}, {}
+    for i in range(len(unit)):
+        for j in range(i + 1, min(len(unit), i + lattices.longest_piece) + 1):
+            if unit[i:j] in pieces.ids:
+                k, w = pieces.ids[unit[i:j]]
+                weight[k], size[k] = Fraction(w) / Fraction(P.SCALE) ** (j - i), j - i
+                total[j] += total[i] * weight[k]
+                best[j] = max(best[j], best[i] * weight[k])
+    assert lattices.p[lattices.place[unit]][0] == pytest.approx(float(best[-1] / total[-1]))
+    across = False
+    for s in range(40):
+        got = P.top_k(text, lattices, P.Noise(str(s), 0), 3)
+        assert len({tuple(g[0].tolist()) for g in got}) == 3
+        for ids, log_p, *_ in got:
+            assert math.exp(log_p) == pytest.approx(float(math.prod(weight[k] for k in ids.tolist()) / total[-1]))
+            across |= 24 not in np.cumsum([size[k] for k in ids.tolist()])
+    assert across
+
+
+def test_log_probability_of_a_very_long_unit(lattices):
+    for _, log_p, *_ in P.top_k("=" * 5000 + "ab" * 1000, lattices, P.Noise("long", 0), 3):
+        assert math.isfinite(log_p)
