@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import curriculum, dart_minhash, digest_index, piece_sampling, quality
@@ -10,8 +10,8 @@ from corpusloom.llm.common import new_path
 
 #: A document stays when its quality score is at least this.
 LEAST_QUALITY = 0.3
-#: Segmentations of each document that the last stage emits.
-SAMPLES = 1
+#: Distinct segmentations of each row that the last stage emits.
+SAMPLES = piece_sampling.K
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sampled segmentation of each document; rows that repeat a document get the same."""
-    return piece_sampling.encode(docs, piece_sampling.load(spark), k=SAMPLES)
+    """A row for each of docs, in their order, with an array of sampled segmentations; rows that repeat a document get others."""
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("_row")
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+    rows = rows.withColumn("_repeat", F.row_number().over(same) - 1).orderBy("_row")
+    return piece_sampling.encode(rows, piece_sampling.load(spark), k=SAMPLES, repeat="_repeat", together=True)
 
 
 STAGES = [

@@ -549,12 +549,15 @@ def decode(ids: np.ndarray | list[int], spelled: list[bytes]) -> str:
     return b"".join(map(spelled.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-def encode(docs: DataFrame, pieces: Pieces, k: int = K, seed: int = 0, check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, k: int = K, seed: int = 0, check: bool = False, repeat: str | None = None, together: bool = False) -> DataFrame:
     """(doc_id, text, maybe more) -> a row for each of up to k segmentations: doc_id, sample from 0 on in falling order of
     perturbed log-probability, ids, log_prob, perturbed, inclusion; with check also exact, whether ids give the text.
 
     A text with fewer segmentations gives all of them, an empty or null one a row without ids. Noise follows from
-    doc_id and text, so rows that repeat get the same samples. Other columns are ignored.
+    doc_id and text, so rows that repeat get the same samples, unless repeat names a column that numbers them from 0 on:
+    then they take k each in turn of the samples drawn without replacement, beginning anew where a text has no more,
+    and inclusion is that among k samples for each row so far. With together, a text's rows are one, with an array
+    samples. Other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     made: list[Lattices] = []
@@ -566,30 +569,44 @@ def encode(docs: DataFrame, pieces: Pieces, k: int = K, seed: int = 0, check: bo
         for batch in batches:
             for begin in range(0, batch.num_rows, 250):
                 part = batch.slice(begin, 250)
-                keys, rows, sizes, flat = part.column("doc_id").to_pylist(), [], [0], []
-                which = []
+                keys, turns, rows, sizes, flat = part.column("doc_id").to_pylist(), part.column("turn").to_pylist(), [], [0], []
+                which, ends = [], [0]
                 texts = part.column("text").to_pylist()
                 units = [units_of(t) for t in texts]
                 made[0].forget_if_full()
                 made[0].add_many(list(set().union(*units)))
-                for r, (key, text) in enumerate(zip(keys, texts, strict=True)):
+                for r, (key, text, turn) in enumerate(zip(keys, texts, turns, strict=True)):
                     noise = Noise(f"{key}/{len(text)}/{text[:64]}", seed)
-                    for s, (ids, lp, g, inc) in enumerate(top_k(text, made[0], noise, k, units[r])):
+                    found = top_k(text, made[0], noise, k * (turn + 1), units[r])
+                    start = k * turn if k * turn < len(found) else turn % len(found)
+                    for s in range(start, start + min(k, len(found))):
+                        s %= len(found)
+                        ids, lp, g, inc = found[s]
                         flat.append(ids)
                         sizes.append(sizes[-1] + len(ids))
                         rows.append((s, lp, g, inc, (decode(ids, spelled) == text) if check else None))
                         which.append(r)
+                    ends.append(len(which))
                 columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
+                out = pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(pa.array(which)), pa.array(columns[0], pa.int32()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(flat))),
                      pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.bool_())],
                     ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion", "exact"],
                 )
+                if together:
+                    names = [n for n in out.schema.names[1:] if check or n != "exact"]
+                    samples = pa.StructArray.from_arrays([out.column(n) for n in names], names)
+                    out = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), samples)], ["doc_id", "samples"])
+                yield out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(
-        run, f"doc_id {kind}, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, exact boolean"
-    )
+    turn = (F.col(repeat) if repeat else F.lit(0)).cast("int")
+    texts = docs.select("doc_id", text_or_empty().alias("text"), turn.alias("turn"))
+    fields = {"sample": "int", "ids": "array<int>", "log_prob": "double", "perturbed": "double", "inclusion": "double", "exact": "boolean"}
+    if together:
+        inner = ", ".join(f"{n}: {t}" for n, t in fields.items() if check or n != "exact")
+        return texts.mapInArrow(run, f"doc_id {kind}, samples array<struct<{inner}>>")
+    rows = texts.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} {t}" for n, t in fields.items()))
     return rows if check else rows.drop("exact")
 
 

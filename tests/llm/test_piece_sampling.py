@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpusloom.llm import piece_sampling as P
 
 pytestmark = pytest.mark.skipif(not os.path.exists(P.MODEL), reason="no vocabulary")
@@ -170,3 +171,13 @@ def test_a_long_unit_has_its_full_lattice(pieces, lattices, text):
 def test_log_probability_of_a_very_long_unit(lattices):
     for _, log_p, *_ in P.top_k("=" * 5000 + "ab" * 1000, lattices, P.Noise("long", 0), 3):
         assert math.isfinite(log_p)
+
+
+def test_pipeline_encodes_repeats_differently(spark):
+    text = "several unbelievably long words"
+    docs = spark.createDataFrame([(1, text), (2, ""), (1, text), (3, None), (2, ""), (4, "a"), (1, text)], "doc_id long, text string")
+    got = corpus_pipeline.encode_pieces(spark, docs, "").collect()
+    assert [r.doc_id for r in got] == [1, 2, 1, 3, 2, 4, 1]
+    ids = [[tuple(s.ids) for s in r.samples] for r in got]
+    assert len({x for i in (0, 2, 6) for x in ids[i]}) == 3 * P.K
+    assert ids[1] == ids[3] == ids[4] == [()] and ids[5]
