@@ -46,6 +46,7 @@ def all_ways(lattices, unit):
 def test_two_best_and_their_probabilities(lattices):
     for unit in ("▁the", "▁tion", "日", "▁▁ab"):
         ways = all_ways(lattices, unit)
+        lattices.add_many([unit])
         k = lattices.place[unit]
         best = sorted(ways.values(), reverse=True)[:2]
         assert np.allclose(lattices.p[k][: len(best)], best)
@@ -54,7 +55,7 @@ def test_two_best_and_their_probabilities(lattices):
 def test_drawing_without_the_excluded(lattices):
     unit = "▁rea"
     ways = all_ways(lattices, unit)
-    noise = P.Noise("draw", 0)
+    noise = P.Noise("draw")
     top = sorted(ways, key=ways.get, reverse=True)
     got = Counter(lattices.draw(unit, [top[0]], noise.one)[0] for _ in range(4000))
     rest = 1 - ways[top[0]]
@@ -73,7 +74,7 @@ def test_samples_without_replacement():
     first, second = Counter(), Counter()
     n = 4000
     for i in range(n):
-        got = P.top_k(text, lattices, P.Noise(str(i), 0), 4)
+        got = P.top_k(text, lattices, i, 4)
         ids = [tuple(g[0].tolist()) for g in got]
         assert len(set(ids)) == len(ids) and [g[2] for g in got] == sorted((g[2] for g in got), reverse=True)
         assert all(math.exp(g[1]) == pytest.approx(joint[x]) and 0 < g[3] <= 1 for g, x in zip(got, ids, strict=True))
@@ -87,25 +88,25 @@ def test_samples_without_replacement():
 def test_inclusion_scores_weigh_to_one():
     """Horvitz-Thompson: the sampled probabilities over their inclusion scores add up to 1 on average."""
     lattices = P.Lattices(P.Pieces.load(sharpness=0.5))
-    sums = [sum(math.exp(lp) / inc for _, lp, _, inc in P.top_k("rea on", lattices, P.Noise(f"ht{i}", 0), 3)) for i in range(3000)]
+    sums = [sum(math.exp(lp) / inc for _, lp, _, inc in P.top_k("rea on", lattices, f"ht{i}", 3)) for i in range(3000)]
     assert np.mean(sums) == pytest.approx(1, abs=0.05)
 
 
 def test_all_of_a_small_lattice(lattices):
     ways = all_ways(lattices, P.units_of("on")[0])
-    got = P.top_k("on", lattices, P.Noise("x", 0), 1000)
-    assert len(got) <= len(ways) and all(g[3] == 1 for g in got)
+    got = P.top_k("on", lattices, "x", 1000)
+    assert len(got) == len(ways) and all(g[3] == 1 for g in got)
 
 
 @pytest.mark.parametrize("text", ODD)
 def test_round_trip(pieces, lattices, text):
-    for ids, *_ in P.top_k(text, lattices, P.Noise("k", 0), 5):
+    for ids, *_ in P.top_k(text, lattices, "k", 5):
         assert P.decode(ids, pieces.spelled) == text
 
 
 def test_forgetting_changes_nothing(pieces, monkeypatch):
     texts = [f"some words {i} here and{i % 7} there" for i in range(200)]
-    run = lambda lattices: [[tuple(g[0].tolist()) for g in P.top_k(t, lattices, P.Noise(t, 0), 2)] for t in texts]
+    run = lambda lattices: [[tuple(g[0].tolist()) for g in P.top_k(t, lattices, t, 2)] for t in texts]
     want = run(P.Lattices(pieces))
     monkeypatch.setattr(P, "REMEMBERED", 20)
 
@@ -113,7 +114,7 @@ def test_forgetting_changes_nothing(pieces, monkeypatch):
         out = []
         for t in texts:
             lattices.forget_if_full()
-            out.append([tuple(g[0].tolist()) for g in P.top_k(t, lattices, P.Noise(t, 0), 2)])
+            out.append([tuple(g[0].tolist()) for g in P.top_k(t, lattices, t, 2)])
         return out
 
     assert run(P.Lattices(pieces)) == want
@@ -143,6 +144,37 @@ def test_many_units_at_once_are_as_one_by_one(pieces):
         assert ids(one, a)[0] == ids(many, b)[0] and (ids(one, a) == ids(many, b) or one.p[a][0] == one.p[a][1])
 
 
+def test_walks_follow_the_lattice(lattices):
+    """The intervals share [0, 1) by the segmentations' probabilities, and each number walks to the one it lies in."""
+    for unit in ("▁rea", "▁tion", "▁▁ab", "n"):
+        lattices.add_many([unit])
+        k = np.array([lattices.place[unit]])
+        ways = all_ways(lattices, unit)
+        begins = {ids: lattices.low[k[0], r] for r, ids in enumerate(sorted(ways, key=ways.get, reverse=True)[:2]) if len(ways) > 1}
+        v = (np.arange(4000) + 0.5) / 4000
+        offs, sizes, logs, low = lattices.walk(np.repeat(k, 4000), v)
+        got = [tuple(lattices.buffer[o : o + s].tolist()) for o, s in zip(offs, sizes, strict=True)]
+        assert np.allclose(np.exp(logs), [ways[ids] for ids in got])
+        for ids, n in Counter(got).items():
+            assert n == pytest.approx(4000 * ways[ids], abs=1.01)
+        assert all(low[i] <= v[i] and (got[i] not in begins or low[i] == begins[got[i]]) for i in range(4000))
+
+
+def test_many_texts_are_as_one_by_one(pieces):
+    texts = [*ODD, "rea on", "Several unbelievably long words\nin two lines", "rea on", "=" * 60 + " rea"]
+    one, many = P.Lattices(pieces), P.Lattices(pieces)
+    keys, ks = [P.key_of(i) for i in range(len(texts))], [3 + i % 4 for i in range(len(texts))]
+    flat = lambda found: [(tuple(g[0].tolist()), *(round(x, 9) for x in g[1:])) for g in found]
+    want = [flat(P.top_k(t, one, i, k)) for i, (t, k) in enumerate(zip(texts, ks, strict=True))]
+    assert [flat(f) for f in P.top_k_many(texts, keys, ks, many)] == want
+
+
+@pytest.mark.parametrize("text", [*ODD, "a b\nc d", "a  b", "\n x", "x \ny", "end "])
+def test_chunks_hold_the_units(text):
+    marked = P.BLANK + text.replace(P.BLANK, P.OWN_BLANK).replace(" ", P.BLANK) if text else ""
+    assert P.units_of(text) == P._units(marked)
+
+
 @pytest.mark.parametrize("text", ["=" * 60, "internationalization" * 3, "-" * 60])
 def test_a_long_unit_has_its_full_lattice(pieces, lattices, text):
     """Against exact sums over all segmentations; some piece lies across character 24."""
@@ -157,10 +189,11 @@ def test_a_long_unit_has_its_full_lattice(pieces, lattices, text):
                 weight[k], size[k] = Fraction(w) / Fraction(P.SCALE) ** (j - i), j - i
                 total[j] += total[i] * weight[k]
                 best[j] = max(best[j], best[i] * weight[k])
+    lattices.add_many([unit])
     assert lattices.p[lattices.place[unit]][0] == pytest.approx(float(best[-1] / total[-1]))
     across = False
     for s in range(40):
-        got = P.top_k(text, lattices, P.Noise(str(s), 0), 3)
+        got = P.top_k(text, lattices, s, 3)
         assert len({tuple(g[0].tolist()) for g in got}) == 3
         for ids, log_p, *_ in got:
             assert math.exp(log_p) == pytest.approx(float(math.prod(weight[k] for k in ids.tolist()) / total[-1]))
@@ -169,7 +202,7 @@ def test_a_long_unit_has_its_full_lattice(pieces, lattices, text):
 
 
 def test_log_probability_of_a_very_long_unit(lattices):
-    for _, log_p, *_ in P.top_k("=" * 5000 + "ab" * 1000, lattices, P.Noise("long", 0), 3):
+    for _, log_p, *_ in P.top_k("=" * 5000 + "ab" * 1000, lattices, "long", 3):
         assert math.isfinite(log_p)
 
 
