@@ -56,6 +56,15 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def nested(docs: DataFrame, **columns: Column) -> DataFrame:
+    """docs as one column, row, beside the given ones, so that no working name meets a name of theirs; flat() undoes it."""
+    return docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def flat(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
+
+
 def n_words(col: Column) -> Column:
     return F.regexp_count(col, F.lit(WORD)).cast("long")
 

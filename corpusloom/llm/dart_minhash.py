@@ -13,22 +13,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bloom import blocked_bloom, with_maybe
-from corpusloom.llm.common import WORD, connected_components, materialize, text_or_empty
+from corpusloom.llm.common import WORD, connected_components, flat, materialize, nested, text_or_empty
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair has a band in common with probability 0.99997.
 BANDS, ROWS = 26, 5
 K = BANDS * ROWS
-#: Of 128 one-bit coordinates, so many may differ: at 0.8 they differ in 12.8, with a deviation of 3.4.
+#: Of 128 one-bit coordinates, so many may differ where a later turn's hub is tried: at 0.8 they differ in 12.8, with a
+#: deviation of 3.4. What such a turn passes over is left to the exact join.
 SKETCH_BITS = 34
 #: Turns in which buckets are compared with a hub.
-STAR_ROUNDS = 3
-REMEMBERED, BATCH_SHINGLES, BATCH_ROWS = 250_000, 200_000, 500
+STAR_ROUNDS = 2
+REMEMBERED, BATCH_SHINGLES, BATCH_ROWS = 100_000, 100_000, 250
 
 _words = re.compile(WORD).findall
 _u, MASK = np.uint64, (1 << 64) - 1
@@ -149,11 +151,19 @@ def bands_of(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Batches a few rows at a time, with their texts."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, BATCH_ROWS):
+            part = batch.slice(k, BATCH_ROWS)
+            yield part, part.column("text").to_pylist()
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
-    for pdf in (whole.iloc[k : k + BATCH_ROWS] for whole in batches for k in range(0, len(whole), BATCH_ROWS)):
+    for part, texts in _parts(batches):
         nodes, sets = [], []
-        for text in pdf["text"]:
+        for text in texts:
             words = word_hashes(text, hashes)
             nodes.append(node_of(text, words))
             sets.append(shingles(words))
@@ -166,19 +176,22 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sig = signatures([(e, n.astype(np.float64)) for e, n in weighed])
             low_bits = (sig[:, :128] >> _u(1) & _u(1)).astype(bool)
             sketch = np.packbits(low_bits, axis=1).view(np.int64)
-            bands = bands_of(sig)
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].iloc[at:to].astype("Int64"), "node": nodes[at:to], "size": [len(s) for s in sets[at:to]], "s0": sketch[:, 0], "s1": sketch[:, 1],
-                "bands": [b if len(s) else np.zeros(0, np.int64) for b, s in zip(bands, sets[at:to], strict=True)],
-            })
+            sizes = np.array([len(s) for s in sets[at:to]])
+            bands = bands_of(sig)[sizes > 0]
+            ends = np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").slice(at, to - at), pa.array(nodes[at:to], pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel()))],
+                ["doc_id", "node", "size", "s0", "s1", "bands"],
+            )
             at = to
 
 
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
-    for pdf in batches:
-        rows = [(node_of(t, w), as_set(shingles(w)).tobytes()) for t in pdf["text"] for w in [word_hashes(t, hashes)]]
-        yield pd.DataFrame(rows, columns=["node", "elements"])
+    for _, texts in _parts(batches):
+        rows = [(node_of(t, w), as_set(shingles(w)).tobytes()) for t in texts for w in [word_hashes(t, hashes)]]
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["node", "elements"])
 
 
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -194,12 +207,13 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     ones included, are linked when they are equal, null as empty. Of rows that repeat a doc_id, one may be kept.
     A null doc_id is above all others. Other columns are ignored; an empty table gives no rows.
 
-    In each bucket of a band all members are compared with one of them, its hub; buckets that still hold more than one
-    component get another hub, STAR_ROUNDS times. What stays mixed is joined exactly, across components, on its
-    rarest shingles (see across()), so no link between candidates is lost and no bucket's pairs are written out.
+    In each bucket of a band all members are compared with one of them, its hub: first the smallest, then, in buckets
+    that still hold more than one component, another. What stays mixed is joined exactly, across components, on its
+    rarest shingles outside the first hub (see across()), so no link between candidates is lost and no bucket's
+    pairs are written out. Texts are never cut; a very long one takes about 200 bytes a word of its task's memory.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = texts.mapInPandas(_sketches, "doc_id long, node long, size long, s0 long, s1 long, bands array<long>")
+    rows = texts.mapInArrow(_sketches, "doc_id long, node long, size long, s0 long, s1 long, bands array<long>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "sketches")
     # One row of each node stands for it: all of them have the same sketch.
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
@@ -215,14 +229,16 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     placed = materialize(placed, "placed_members")
     packed = elements_of(texts, nodes, placed.select("node").distinct())
     links = comps = None
+    smallest = hubs_of(placed, F.struct("size", "node", "comp"))
     for turn in range(STAR_ROUNDS):
-        found = verified(packed, star_pairs(placed, nodes, turn, at_least), at_least)
+        hubs = smallest if not turn else hubs_of(placed, F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp"))
+        found = verified(packed, star_pairs(placed, nodes, hubs, at_least, sketched=turn > 0), at_least)
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
         comps = connected_components(links)
         placed = _still_mixed(placed, comps)
-    rest = placed.select("node", "size", "s0", "s1", "comp").distinct()
+    rest = placed.join(smallest, F.col("bucket") == F.col("b")).select("node", "size", "comp", F.col("hub.node").alias("hub")).distinct()
     more = verified(packed, across(packed, materialize(rest, "mixed_nodes"), at_least), at_least)
     if comps is None or not more.isEmpty():
         comps = connected_components(more if links is None else links.unionByName(more))
@@ -236,20 +252,24 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     return out.select("doc_id", F.col("first.doc_id").alias("class_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"))
 
 
-def _close(a: str, b: str, at_least: float) -> Column:
-    """Whether sizes and sketches of two nodes allow the similarity."""
-    differ = F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))) + F.bit_count(F.col(f"{a}s1").bitwiseXOR(F.col(f"{b}s1")))
-    return (F.least(f"{a}size", f"{b}size") >= F.greatest(f"{a}size", f"{b}size") * F.lit(at_least - 1e-9)) & (differ <= SKETCH_BITS)
+def _sizes_allow(a: str, b: str, at_least: float) -> Column:
+    """Whether the sizes of two nodes allow the similarity."""
+    return F.least(a, b) >= F.greatest(a, b) * F.lit(at_least - 1e-9)
+
 
+def hubs_of(placed: DataFrame, order: Column) -> DataFrame:
+    """(b, hub) of each bucket, the hub being its first member in this order."""
+    return materialize(placed.groupBy("bucket").agg(F.min(order).alias("hub")).select(F.col("bucket").alias("b"), "hub"), "bucket_hubs")
 
-def star_pairs(placed: DataFrame, nodes: DataFrame, turn: int, at_least: float) -> DataFrame:
-    """(a, b): members of each bucket with its hub of this turn, unless they are in one component."""
-    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")
-    hubs = materialize(placed.groupBy("bucket").agg(F.min(order).alias("hub")).select(F.col("bucket").alias("b"), "hub"), "bucket_hubs")
+
+def star_pairs(placed: DataFrame, nodes: DataFrame, hubs: DataFrame, at_least: float, sketched: bool) -> DataFrame:
+    """(a, b): members of each bucket with its hub, unless they are in one component, or too unlike by their sketches."""
     pairs = placed.join(hubs, F.col("bucket") == F.col("b")).filter(F.col("comp") != F.col("hub.comp"))
     pairs = pairs.select("node", F.col("hub.node").alias("hub"), "size", "s0", "s1").distinct()
     ends = nodes.select(F.col("node").alias("hub"), *[F.col(c).alias(f"l_{c}") for c in ("size", "s0", "s1")])
-    pairs = pairs.join(ends, "hub").filter(_close("", "l_", at_least))
+    pairs = pairs.join(ends, "hub").filter(_sizes_allow("size", "l_size", at_least))
+    if sketched:
+        pairs = pairs.filter(F.bit_count(F.col("s0").bitwiseXOR(F.col("l_s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("l_s1"))) <= SKETCH_BITS)
     return materialize(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")), "star_pairs")
 
 
@@ -268,7 +288,7 @@ def elements_of(texts: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame
     some = with_maybe(texts, F.col("doc_id"), blocked_bloom(needed.filter("doc_id is not null"), needed.count()))
     some = some.filter("maybe or doc_id is null").drop("maybe")
     some = some.join(needed.select(F.col("doc_id").alias("i")).distinct(), F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
-    return materialize(some.mapInPandas(_packed, "node long, elements binary"), "elements")
+    return materialize(some.mapInArrow(_packed, "node long, elements binary"), "elements")
 
 
 def verified(packed: DataFrame, pairs: DataFrame, at_least: float) -> DataFrame:
@@ -280,52 +300,65 @@ def verified(packed: DataFrame, pairs: DataFrame, at_least: float) -> DataFrame:
     return materialize(both.filter(F.col("s") >= at_least).select("a", "b"), "near_links")
 
 
-def _exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for at in range(0, len(pdf), 200):
-            part = pdf.iloc[at : at + 200]
-            sets = [np.frombuffer(x, np.int64) for x in part["elements"]]
-            yield pd.DataFrame({"node": np.repeat(part["node"].to_numpy(), [len(x) for x in sets]), "element": np.concatenate(sets)})
+def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The elements of each set that its hub's lacks, with how many it has of them and in common with the hub."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            part = batch.slice(at, BATCH_ROWS)
+            both = [np.frombuffer(x, _u) for x in part.column("elements").to_pylist()], [np.frombuffer(x, _u) for x in part.column("h_elements").to_pylist()]
+            out = [np.setdiff1d(a, h, assume_unique=True) for a, h in zip(*both, strict=True)]
+            n = np.array([len(x) for x in out])
+            inside = np.array([len(a) for a in both[0]]) - n
+            which = pa.array(np.repeat(np.arange(len(out)), n))
+            names = ["hub", "node", "size", "comp"]
+            columns = [part.column(c).take(which) for c in names]
+            columns += [pa.array(np.repeat(x, n)) for x in (n, inside)] + [pa.array(np.concatenate(out).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "outside", "inside", "element"])
 
 
 def across(packed: DataFrame, members: DataFrame, at_least: float) -> DataFrame:
-    """Pairs (a, b) of members (node, size, s0, s1, comp) of unlike comp, among them all with the similarity.
-
-    Prefix filtering: of a set of n elements, ordered from rare to frequent, two sets of that similarity have one in
-    common among the first n - ceil(at_least * n) + 1 of each, and enough elements after it. An element's
-    largest component is only paired with the others.
+    """Pairs (a, b) of members (node, size, comp, hub) with one hub and unlike comp, among them all with the similarity.
+
+    A hub is no larger than its members, and those as similar to it as that share its comp. So of two members of unlike
+    comp one, a, has fewer than s / (1 + s) * (|a| + |hub|) elements in common with the hub, where two similar sets have
+    at least s / (1 + s) * (|a| + |b|) in common: they share an element that the hub lacks. Only such elements are
+    joined, however many members repeat what the hub says. Prefix filtering holds for these too: with the elements outside the
+    hub first, from rare to frequent, similar sets have one in common among the first n - ceil(s * n) + 1 of each, and
+    enough elements after it. An element's largest component is only paired with the others.
     """
-    rows = packed.join(members.select(F.col("node").alias("m")), F.col("node") == F.col("m"), "left_semi").mapInPandas(_exploded, "node long, element long")
-    rows = materialize(rows, "member_elements")
-    shared = materialize(rows.groupBy("element").agg(F.count("*").alias("df")).filter("df > 1"), "shared_elements")
-    rows = rows.join(shared, "element").join(members, "node")
-    by_node = Window.partitionBy("node")
+    sets = members.filter("node <> hub").join(packed, "node").join(packed.select(F.col("node").alias("hub"), F.col("elements").alias("h_elements")), "hub")
+    rows = sets.mapInArrow(_outside, "hub long, node long, size long, comp long, outside long, inside long, element long")
+    rows = materialize(rows, "outside_elements")
+    key = ["hub", "element"]
+    shared = materialize(rows.groupBy(*key).agg(F.count("*").alias("df")).filter("df > 1"), "shared_elements")
+    rows = rows.join(shared, key)
+    by_node = Window.partitionBy("hub", "node")
     # Elements that no other member has come first; only their number counts.
-    place = F.col("size") - F.count("*").over(by_node) + F.row_number().over(by_node.orderBy("df", "element")) - 1
+    place = F.col("outside") - F.count("*").over(by_node) + F.row_number().over(by_node.orderBy("df", "element")) - 1
     prefix = rows.withColumn("pos", place).filter(F.col("pos") <= F.col("size") - F.ceil(F.col("size") * F.lit(at_least) - F.lit(1e-9)))
     prefix = materialize(prefix.drop("df"), "prefix_elements")
-    by_comp = prefix.groupBy("element", "comp").agg(F.count("*").alias("n"))
-    largest = by_comp.groupBy("element").agg(F.max(F.struct("n", "comp")).alias("big"), F.count("*").alias("comps")).filter("comps > 1")
-    largest = materialize(largest.select("element", F.col("big.comp").alias("largest")), "mixed_elements")
-    prefix = materialize(prefix.join(largest, "element"), "mixed_prefixes")
+    by_comp = prefix.groupBy(*key, "comp").agg(F.count("*").alias("n"))
+    largest = by_comp.groupBy(*key).agg(F.max(F.struct("n", "comp")).alias("big"), F.count("*").alias("comps")).filter("comps > 1")
+    largest = materialize(largest.select(*key, F.col("big.comp").alias("largest")), "mixed_elements")
+    prefix = materialize(prefix.join(largest, key), "mixed_prefixes")
     left = prefix.filter("comp <> largest").drop("largest")
     right = prefix.select(*[F.col(c).alias(f"o_{c}") for c in left.columns])
     need = (F.col("size") + F.col("o_size")) * F.lit(at_least / (1 + at_least)) - F.lit(1e-6)
-    enough = F.least(F.col("size") - F.col("pos"), F.col("o_size") - F.col("o_pos")) >= need
-    pairs = left.join(right, (F.col("element") == F.col("o_element")) & (F.col("comp") != F.col("o_comp")) & enough & _close("", "o_", at_least))
+    enough = F.least("inside", "o_inside") + F.least(F.col("outside") - F.col("pos"), F.col("o_outside") - F.col("o_pos")) >= need
+    same = (F.col("hub") == F.col("o_hub")) & (F.col("element") == F.col("o_element"))
+    pairs = left.join(right, same & (F.col("comp") != F.col("o_comp")) & enough & _sizes_allow("size", "o_size", at_least))
     return materialize(pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct(), "cross_pairs")
 
 
 def dedup(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that stay, one of each class, with all their columns; see near_duplicates().
+    """The rows of docs that stay, one of each class, with all their columns whatever their names; see near_duplicates().
 
     Rows that repeat a doc_id stay together where one of them does, but for rows equal in all columns.
     """
     verdicts = near_duplicates(docs, at_least).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    dropped = materialize(verdicts.filter("not kept").select(F.col("doc_id").alias("_id")), "dropped_ids")
-    key = F.col("doc_id").cast("long")
-    bloom = blocked_bloom(dropped.filter("_id is not null"), dropped.count())
-    probe = with_maybe(docs, key, bloom, "_maybe").withColumn("_maybe", F.col("_maybe") | F.col("doc_id").isNull())
-    sure = probe.filter("not _maybe").select(*docs.columns)
-    asked = probe.filter("_maybe").join(dropped, key.eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
-    return sure.unionByName(asked)
+    dropped = materialize(verdicts.filter("not kept").select(F.col("doc_id").alias("gone")), "dropped_ids")
+    rows = nested(docs, key=F.col("doc_id").cast("long"))
+    bloom = blocked_bloom(dropped.filter("gone is not null"), dropped.count())
+    probe = with_maybe(rows, F.col("key"), bloom).withColumn("maybe", F.col("maybe") | F.col("key").isNull())
+    asked = probe.filter("maybe").join(dropped, F.col("key").eqNullSafe(F.col("gone")), "left_anti")
+    return flat(probe.filter("not maybe").select("row").unionByName(asked.select("row")))

@@ -124,14 +124,16 @@ def test_near_copies_of_a_template_without_a_common_hub(spark):
 def test_prefix_filter_finds_all_links(spark):
     rng = np.random.default_rng(5)
     words = [f"w{k}" for k in range(120)]
-    rows = [(i, " ".join(w if rng.random() > 0.02 else f"x{rng.integers(40)}" for w in words)) for i in range(40)]
+    rows = [(i, " ".join(w if rng.random() > 0.02 else f"x{rng.integers(40)}" for w in words)) for i in range(60)]
     hashes = dart_minhash._Hashes()
     sets = {i: dart_minhash.as_set(dart_minhash.shingles(dart_minhash.word_hashes(t, hashes))) for i, t in rows}
     packed = spark.createDataFrame([(i, s.tobytes()) for i, s in sets.items()], "node long, elements binary")
-    members = spark.createDataFrame([(i, len(s), 0, 0, i % 3) for i, s in sets.items()], "node long, size long, s0 long, s1 long, comp long")
+    hub = min(sets, key=lambda i: len(sets[i]))
+    comp = {i: hub if dart_minhash.similarity(s, sets[hub]) >= 0.8 else i % 3 + 1000 for i, s in sets.items()}
+    members = spark.createDataFrame([(i, len(s), comp[i], hub) for i, s in sets.items()], "node long, size long, comp long, hub long")
     pairs = {(r.a, r.b) for r in dart_minhash.across(packed, members, 0.8).collect()}
-    true = {(i, j) for i in sets for j in sets if i < j and i % 3 != j % 3 and dart_minhash.similarity(sets[i], sets[j]) >= 0.8}
-    assert true and true <= pairs
+    true = {(i, j) for i in sets for j in sets if i < j and comp[i] != comp[j] and dart_minhash.similarity(sets[i], sets[j]) >= 0.8}
+    assert len(true) > 20 and true <= pairs
 
 
 def test_near_dedup_of_odd_rows(spark, odd):
