@@ -44,6 +44,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at a path of any store that Spark reads."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables that materialize() has written; nothing may read them later."""
     for t in tables:

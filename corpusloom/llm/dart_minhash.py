@@ -25,11 +25,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair has a band in common with probability 0.99997.
 BANDS, ROWS = 26, 5
 K = BANDS * ROWS
-#: Of 128 one-bit coordinates, so many may differ where a later turn's hub is tried: at 0.8 they differ in 12.8, with a
-#: deviation of 3.4. What such a turn passes over is left to the exact join.
+#: Of 128 one-bit coordinates, so many may differ where the first hubs are tried: at 0.8 they differ in 12.8, with a
+#: deviation of 3.4. What the first turn passes over is left to the second, which compares all, and to the exact join.
 SKETCH_BITS = 34
-#: Turns in which buckets are compared with a hub.
-STAR_ROUNDS = 2
 REMEMBERED, BATCH_SHINGLES, BATCH_ROWS = 100_000, 100_000, 250
 
 _words = re.compile(WORD).findall
@@ -207,10 +205,10 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     ones included, are linked when they are equal, null as empty. Of rows that repeat a doc_id, one may be kept.
     A null doc_id is above all others. Other columns are ignored; an empty table gives no rows.
 
-    In each bucket of a band all members are compared with one of them, its hub: first the smallest, then, in buckets
-    that still hold more than one component, another. What stays mixed is joined exactly, across components, on its
-    rarest shingles outside the first hub (see across()), so no link between candidates is lost and no bucket's
-    pairs are written out. Texts are never cut; a very long one takes about 200 bytes a word of its task's memory.
+    In each bucket of a band all members are compared with one of them, its hub; then, in buckets that still hold more
+    than one component, with one of the largest. What stays mixed is joined exactly, across components, on its rarest
+    differences from that hub (see across()), so no link between candidates is lost and no bucket's pairs are written
+    out. Texts are never cut; a very long one takes about 200 bytes a word of its task's memory.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = texts.mapInArrow(_sketches, "doc_id long, node long, size long, s0 long, s1 long, bands array<long>")
@@ -229,16 +227,14 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     placed = materialize(placed, "placed_members")
     packed = elements_of(texts, nodes, placed.select("node").distinct())
     links = comps = None
-    smallest = hubs_of(placed, F.struct("size", "node", "comp"))
-    for turn in range(STAR_ROUNDS):
-        hubs = smallest if not turn else hubs_of(placed, F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp"))
-        found = verified(packed, star_pairs(placed, nodes, hubs, at_least, sketched=turn > 0), at_least)
-        if found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        comps = connected_components(links)
-        placed = _still_mixed(placed, comps)
-    rest = placed.join(smallest, F.col("bucket") == F.col("b")).select("node", "size", "comp", F.col("hub.node").alias("hub")).distinct()
+    for last in (False, True):
+        hubs = hubs_of(placed)
+        found = verified(packed, star_pairs(placed, nodes, hubs, at_least, sketched=not last), at_least)
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            comps = connected_components(links)
+            placed = _still_mixed(placed, comps)
+    rest = placed.join(hubs, F.col("bucket") == F.col("b")).select("node", "size", "comp", F.col("hub.node").alias("hub")).distinct()
     more = verified(packed, across(packed, materialize(rest, "mixed_nodes"), at_least), at_least)
     if comps is None or not more.isEmpty():
         comps = connected_components(more if links is None else links.unionByName(more))
@@ -257,9 +253,11 @@ def _sizes_allow(a: str, b: str, at_least: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * F.lit(at_least - 1e-9)
 
 
-def hubs_of(placed: DataFrame, order: Column) -> DataFrame:
-    """(b, hub) of each bucket, the hub being its first member in this order."""
-    return materialize(placed.groupBy("bucket").agg(F.min(order).alias("hub")).select(F.col("bucket").alias("b"), "hub"), "bucket_hubs")
+def hubs_of(placed: DataFrame) -> DataFrame:
+    """(b, hub) of each bucket: of its largest component the member whose hash is highest, so that buckets agree."""
+    of_comp = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.max(F.struct(F.xxhash64("node").alias("h"), "node")).alias("m"))
+    hubs = of_comp.groupBy(F.col("bucket").alias("b")).agg(F.max(F.struct("n", "m.h", "m.node", "comp")).alias("hub"))
+    return materialize(hubs, "bucket_hubs")
 
 
 def star_pairs(placed: DataFrame, nodes: DataFrame, hubs: DataFrame, at_least: float, sketched: bool) -> DataFrame:
@@ -300,51 +298,54 @@ def verified(packed: DataFrame, pairs: DataFrame, at_least: float) -> DataFrame:
     return materialize(both.filter(F.col("s") >= at_least).select("a", "b"), "near_links")
 
 
-def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The elements of each set that its hub's lacks, with how many it has of them and in common with the hub."""
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The elements in which each set differs from its hub's: those that it has and the hub lacks, and, under other
+    names, those that it lacks; with how many these are, and the size of the hub."""
     for batch in batches:
         for at in range(0, batch.num_rows, BATCH_ROWS):
             part = batch.slice(at, BATCH_ROWS)
-            both = [np.frombuffer(x, _u) for x in part.column("elements").to_pylist()], [np.frombuffer(x, _u) for x in part.column("h_elements").to_pylist()]
-            out = [np.setdiff1d(a, h, assume_unique=True) for a, h in zip(*both, strict=True)]
-            n = np.array([len(x) for x in out])
-            inside = np.array([len(a) for a in both[0]]) - n
-            which = pa.array(np.repeat(np.arange(len(out)), n))
+            own, hub = ([np.frombuffer(x, _u) for x in part.column(c).to_pylist()] for c in ("elements", "h_elements"))
+            apart = [np.concatenate([np.setdiff1d(a, h, assume_unique=True), mix(np.setdiff1d(h, a, assume_unique=True) + _u(1))]) for a, h in zip(own, hub, strict=True)]
+            n = np.array([len(x) for x in apart])
+            which = pa.array(np.repeat(np.arange(len(apart)), n))
             names = ["hub", "node", "size", "comp"]
             columns = [part.column(c).take(which) for c in names]
-            columns += [pa.array(np.repeat(x, n)) for x in (n, inside)] + [pa.array(np.concatenate(out).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "outside", "inside", "element"])
+            columns += [pa.array(np.repeat(x, n)) for x in (n, np.array([len(h) for h in hub]))] + [pa.array(np.concatenate(apart).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "apart", "h_size", "element"])
 
 
 def across(packed: DataFrame, members: DataFrame, at_least: float) -> DataFrame:
-    """Pairs (a, b) of members (node, size, comp, hub) with one hub and unlike comp, among them all with the similarity.
-
-    A hub is no larger than its members, and those as similar to it as that share its comp. So of two members of unlike
-    comp one, a, has fewer than s / (1 + s) * (|a| + |hub|) elements in common with the hub, where two similar sets have
-    at least s / (1 + s) * (|a| + |b|) in common: they share an element that the hub lacks. Only such elements are
-    joined, however many members repeat what the hub says. Prefix filtering holds for these too: with the elements outside the
-    hub first, from rare to frequent, similar sets have one in common among the first n - ceil(s * n) + 1 of each, and
-    enough elements after it. An element's largest component is only paired with the others.
+    """Pairs (a, b) of members (node, size, comp, hub) with one hub and unlike comp, among them all with the similarity s.
+
+    Members as similar to their hub as that share its comp. Let a set's differences be what it has and its hub lacks, or
+    the reverse. Two sets are similar when they differ in at most r * (|a| + |b|) elements, r = (1 - s) / (1 + s); they
+    differ in |da| + |db| - 2 * (differences in common). So they need n = (|da| + |db| - r * (|a| + |b|)) / 2 in common, and
+    n <= 0 would take both to be similar to the hub. Only differences are joined, however much all members repeat of what
+    the hub says. With these from rare to frequent, similar sets have one in common after which there are enough left in
+    both. A difference's largest component is only paired with the others.
     """
+    r = (1 - at_least) / (1 + at_least)
     sets = members.filter("node <> hub").join(packed, "node").join(packed.select(F.col("node").alias("hub"), F.col("elements").alias("h_elements")), "hub")
-    rows = sets.mapInArrow(_outside, "hub long, node long, size long, comp long, outside long, inside long, element long")
-    rows = materialize(rows, "outside_elements")
+    rows = sets.mapInArrow(_differences, "hub long, node long, size long, comp long, apart long, h_size long, element long")
+    rows = materialize(rows, "differences")
     key = ["hub", "element"]
-    shared = materialize(rows.groupBy(*key).agg(F.count("*").alias("df")).filter("df > 1"), "shared_elements")
+    shared = materialize(rows.groupBy(*key).agg(F.count("*").alias("df")).filter("df > 1"), "shared_differences")
     rows = rows.join(shared, key)
     by_node = Window.partitionBy("hub", "node")
-    # Elements that no other member has come first; only their number counts.
-    place = F.col("outside") - F.count("*").over(by_node) + F.row_number().over(by_node.orderBy("df", "element")) - 1
-    prefix = rows.withColumn("pos", place).filter(F.col("pos") <= F.col("size") - F.ceil(F.col("size") * F.lit(at_least) - F.lit(1e-9)))
-    prefix = materialize(prefix.drop("df"), "prefix_elements")
+    # Differences that no other member has come first; only their number counts.
+    place = F.col("apart") - F.count("*").over(by_node) + F.row_number().over(by_node.orderBy("df", "element")) - 1
+    # Whatever the other set, n is at least (apart - r * (size + h_size)) / 2.
+    last = (F.col("apart") + F.lit(r) * (F.col("size") + F.col("h_size"))) / 2 + F.lit(1e-6)
+    prefix = rows.withColumn("pos", place).filter(F.col("pos") <= last)
+    prefix = materialize(prefix.drop("df", "h_size"), "prefix_differences")
     by_comp = prefix.groupBy(*key, "comp").agg(F.count("*").alias("n"))
     largest = by_comp.groupBy(*key).agg(F.max(F.struct("n", "comp")).alias("big"), F.count("*").alias("comps")).filter("comps > 1")
-    largest = materialize(largest.select(*key, F.col("big.comp").alias("largest")), "mixed_elements")
+    largest = materialize(largest.select(*key, F.col("big.comp").alias("largest")), "mixed_differences")
     prefix = materialize(prefix.join(largest, key), "mixed_prefixes")
     left = prefix.filter("comp <> largest").drop("largest")
     right = prefix.select(*[F.col(c).alias(f"o_{c}") for c in left.columns])
-    need = (F.col("size") + F.col("o_size")) * F.lit(at_least / (1 + at_least)) - F.lit(1e-6)
-    enough = F.least("inside", "o_inside") + F.least(F.col("outside") - F.col("pos"), F.col("o_outside") - F.col("o_pos")) >= need
+    need = (F.col("apart") + F.col("o_apart") - F.lit(r) * (F.col("size") + F.col("o_size"))) / 2 - F.lit(1e-6)
+    enough = F.least(F.col("apart") - F.col("pos"), F.col("o_apart") - F.col("o_pos")) >= need
     same = (F.col("hub") == F.col("o_hub")) & (F.col("element") == F.col("o_element"))
     pairs = left.join(right, same & (F.col("comp") != F.col("o_comp")) & enough & _sizes_allow("size", "o_size", at_least))
     return materialize(pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct(), "cross_pairs")

@@ -1,20 +1,25 @@
 """Exact dedup: a persistent digest index, bucketed and sorted by hash.
 
 New documents are hashed, reduced to one row per distinct digest, and held against the index by a sort-merge
-anti join that reads the index without a shuffle; what is new is appended in the same buckets.
+anti join that reads the index without a shuffle; what is new is appended in the same buckets. A batch counts from the
+moment its name is written to the index's commits: until then neither its digests nor its verdicts are seen, and from then
+on ingesting it again only reads its verdicts.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, new_path, text_or_empty
+from corpusloom.llm.common import exists, flat, materialize, nested, new_path, text_or_empty
 
 #: A digest with more than one row in HOT_SHARE is hot; so at most HOT_SHARE digests are.
 HOT_SHARE = 1000
+BUCKETS = 64
 
 
 def digest_of(text: Column | None = None) -> Column:
@@ -24,41 +29,65 @@ def digest_of(text: Column | None = None) -> Column:
 
 @dataclass
 class DigestIndex:
-    """Digests seen so far, at path in any store that the cluster shares; buckets is fixed when it is made."""
+    """Digests seen so far, in a folder of any store that the cluster shares, for one writer at a time.
+
+    The folder holds layout (the number of buckets, fixed when the index is made), digests, commits and verdicts.
+    """
 
     spark: SparkSession
     path: str
-    buckets: int = 64
+    buckets: int = BUCKETS
+
+    def __post_init__(self) -> None:
+        layout = f"{self.path}/layout"
+        if not exists(self.spark, f"{layout}/_SUCCESS"):
+            self.spark.createDataFrame([], "batch string, attempt string").write.mode("overwrite").parquet(f"{self.path}/commits")
+            self.spark.createDataFrame([(self.buckets,)], "buckets int").write.mode("overwrite").parquet(layout)
+        self.buckets = self.spark.read.parquet(layout).first()["buckets"]
 
     @property
     def table(self) -> str:
-        return "digest_index_" + "".join(c if c.isalnum() else "_" for c in self.path)[-80:].lower()
+        """The name under which the session's catalogue knows the digests; each path has its own."""
+        return "digest_index_" + hashlib.sha256(self.path.encode()).hexdigest()[:32]
 
-    def read(self) -> DataFrame:
+    def _open(self) -> None:
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, n_docs BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {int(self.buckets)} BUCKETS LOCATION '{self.path}'"
+            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, n_docs BIGINT, attempt STRING) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {int(self.buckets)} BUCKETS LOCATION '{self.path}/digests'"
         )
-        return self.spark.table(self.table)
 
-    def append(self, fresh: DataFrame) -> None:
-        self.read()
+    def commits(self) -> DataFrame:
+        return self.spark.read.schema("batch string, attempt string").parquet(f"{self.path}/commits")
+
+    def read(self) -> DataFrame:
+        """digest, keep_id, n_docs of all committed batches."""
+        self._open()
+        # One row for each batch: far fewer than there are files.
+        return self.spark.table(self.table).join(F.broadcast(self.commits().select("attempt")), "attempt", "left_semi").drop("attempt")
+
+    def _append(self, fresh: DataFrame, attempt: str) -> None:
+        self._open()
         (
-            fresh.select("digest", "keep_id", "n_docs")
+            fresh.select("digest", "keep_id", "n_docs", F.lit(attempt).alias("attempt"))
             .repartition(self.buckets, "digest")
             .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
-            .option("path", self.path).saveAsTable(self.table)
+            .option("path", f"{self.path}/digests").saveAsTable(self.table)
         )
 
-    def ingest(self, docs: DataFrame) -> DataFrame:
+    def ingest(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
         """Dedups docs (doc_id long, text) against themselves and the index, and appends what is new.
 
         Returns a row for each row of docs: doc_id, keep_id (the indexed document, else the largest doc_id among
         the equal texts), group_size (rows of docs with the text, and those counted when it was indexed), kept,
-        digest. kept holds for one row of a text that the index did not have. Null texts count as empty; a null
-        doc_id is below all others; of repeated rows with one doc_id, one is kept. Other columns are ignored.
-        An empty table gives no rows.
+        digest. kept holds for one row of a text that the index did not have. batch names what is ingested, so that
+        it may be tried again after any failure: a name that was committed changes nothing and gives the verdicts of
+        then. Null texts count as empty; a null doc_id is below all others; of repeated rows with one doc_id, one is
+        kept. Whole texts are hashed, however long. Other columns are ignored. An empty table gives no rows.
         """
+        name = hashlib.sha256(batch.encode()).hexdigest() if batch is not None else uuid.uuid4().hex
+        done = self.commits().filter(F.col("batch") == name).first()
+        if done:
+            return self.spark.read.parquet(f"{self.path}/verdicts/{name}-{done['attempt']}")
         rows = materialize(
             docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of().alias("digest")).withColumn(
                 "row", F.monotonically_increasing_id()
@@ -74,13 +103,18 @@ class DigestIndex:
             "digest", F.col("i_keep").alias("keep_id"), F.lit(None).cast("long").alias("keep_row"), (F.col("n_docs") + F.col("i_n")).alias("n_docs")
         )
         decided = materialize(fresh.unionByName(known), "decided_digests")
-        self.append(fresh)
-        return _spread(rows, decided).select(
+        verdicts = spread(rows, decided).select(
             "doc_id", "keep_id", F.col("n_docs").alias("group_size"), F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), "digest"
         )
+        attempt = uuid.uuid4().hex
+        path = f"{self.path}/verdicts/{name}-{attempt}"
+        verdicts.write.parquet(path)
+        self._append(fresh, attempt)
+        self.spark.createDataFrame([(name, attempt)], "batch string, attempt string").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        return self.spark.read.parquet(path)
 
 
-def _spread(rows: DataFrame, decided: DataFrame) -> DataFrame:
+def spread(rows: DataFrame, decided: DataFrame) -> DataFrame:
     """rows with what is decided on their digest. The at most HOT_SHARE hot digests are broadcast; the others are
     joined by a shuffle in which no digest has more than one row in HOT_SHARE."""
     at_least = max(2, rows.count() // HOT_SHARE + 1)
@@ -95,21 +129,39 @@ def _indexed_hot(hot: DataFrame) -> bool:
     return hot.limit(HOT_SHARE + 1).count() > HOT_SHARE
 
 
-def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of docs that stay, with all their columns; without an index, docs are only compared with each other.
+def in_batches(docs: DataFrame, index: DigestIndex, cuts: list[int]) -> DataFrame:
+    """Ingests docs (doc_id long, text) in batches of falling doc_id, cut at these ids, null ids last, so that of all equal
+    texts the largest doc_id stays; ingest()'s columns, group_size counted over all batches."""
+    key, parts, above = F.col("doc_id").cast("long"), [], F.lit(True)
+    for cut in sorted(set(cuts), reverse=True):
+        parts.append(docs.filter(above & (key > cut)))
+        above = key <= cut
+    parts.append(docs.filter(above | key.isNull()))
+    verdicts = [index.ingest(part.select("doc_id", "text"), f"part {n}") for n, part in enumerate(parts)]
+    rows = verdicts[0]
+    for more in verdicts[1:]:
+        rows = rows.unionByName(more)
+    sizes = materialize(rows.groupBy("digest").agg(F.count("*").alias("n_docs")), "digest_sizes")
+    return spread(rows.drop("group_size"), sizes).withColumnRenamed("n_docs", "group_size")
+
+
+def dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
+    """The rows of docs that stay, with all their columns whatever their names; without an index, docs are only compared
+    with each other.
 
-    Of repeated rows with one doc_id and one text, the one with the largest other columns stays.
+    Of rows that repeat a doc_id and a text, one stays.
     """
     spark = docs.sparkSession
     index = index or DigestIndex(spark, new_path(spark, "digest_index"))
-    verdicts = index.ingest(docs)
-    verdicts = verdicts.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    verdicts = materialize(verdicts.filter("not kept or n > 1").select("digest", F.col("doc_id").alias("v_id"), "kept"), "dropped_keys")
-    keyed = docs.withColumn("_digest", digest_of())
-    same = (F.col("_digest") == F.col("digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("v_id"))
-    stays = keyed.join(verdicts, same, "left_anti").select(*docs.columns)
+    verdicts = index.ingest(docs, batch).groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    verdicts = materialize(verdicts.filter("not kept or n > 1").select(F.col("digest").alias("v_digest"), F.col("doc_id").alias("v_id"), "kept"), "dropped_keys")
+    rows = nested(docs, digest=digest_of(), id=F.col("doc_id").cast("long"))
+    same = (F.col("digest") == F.col("v_digest")) & F.col("id").eqNullSafe(F.col("v_id"))
+    stays = rows.join(verdicts, same, "left_anti").select("row")
     again = verdicts.filter("kept")
     if again.isEmpty():
-        return stays
-    repeated = keyed.join(again, same).groupBy("digest", "v_id").agg(F.max(F.struct(*docs.columns)).alias("r"))
-    return stays.unionByName(repeated.select("r.*"))
+        return flat(stays)
+    # The first in the order of their hashes; a map can be hashed in no other way than as text.
+    hashed = F.xxhash64(F.to_json("row"))
+    repeated = rows.join(again, same).groupBy("v_digest", "v_id").agg(F.min_by("row", hashed).alias("row"))
+    return flat(stays.unionByName(repeated.select("row")))

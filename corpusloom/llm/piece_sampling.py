@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -381,7 +382,7 @@ class Lattices:
     # all ways there, so a number in [0, 1) walks to one segmentation, and each segmentation has an interval of its own.
 
     def _keep_steps(self, new: np.ndarray, sizes: np.ndarray, mass: np.ndarray, found: list[tuple[np.ndarray, ...]]) -> None:
-        """Writes out the lattices of new units, and the intervals of their two best segmentations."""
+        """Writes out the lattices of new units."""
         base = np.cumsum(sizes + 1) - sizes - 1
         row, end, came, piece, x = (np.concatenate(c) for c in zip(*found, strict=True))
         state = base[row] + end
@@ -401,8 +402,14 @@ class Lattices:
         for name, values in (("step_from", came), ("step_piece", piece), ("step_sum", share)):
             self._extend(name, int(before), values)
         self.n_states += len(counts)
+        self.low[new] = np.nan
+
+    def begins(self, places: np.ndarray) -> np.ndarray:
+        """Where the intervals of the units' two best segmentations begin."""
+        new = np.unique(places[np.isnan(self.low[places, 0])])
         for which in (0, 1):
             self.low[new, which] = self._trace(new, self.off[new, which], self.size[new, which])
+        return self.low[places]
 
     def _extend(self, name: str, at: int, values: np.ndarray) -> None:
         old = getattr(self, name)
@@ -605,9 +612,9 @@ class Noise:
         return (((x ^ x >> 31) >> 11) + 0.5) / (1 << 53)
 
 
-def _uniform(keys: np.ndarray, stream: int, at: np.ndarray) -> np.ndarray:
-    """The number in (0, 1) at a place of a key's stream."""
-    x = _mix(keys + np.uint64((stream + 1) * _STREAM & _MASK)) + (at.astype(np.uint64) + np.uint64(1)) * _GOLDEN
+def _uniform(keys: np.ndarray, sizes: np.ndarray | int, stream: int, at: np.ndarray) -> np.ndarray:
+    """The numbers in (0, 1) at places of the keys' streams, so many of each key."""
+    x = np.repeat(_mix(keys + np.uint64((stream + 1) * _STREAM & _MASK)) + _GOLDEN, sizes) + at.view(np.uint64) * _GOLDEN
     return ((_mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
@@ -636,7 +643,7 @@ class Search:
         self.out: list[list[tuple[int, float, float]]] = [[] for _ in texts]
 
     def run(self) -> None:
-        values = -np.log(-np.log(_uniform(self.keys, 0, np.zeros(len(self.keys), np.int64))))
+        values = -np.log(-np.log(_uniform(self.keys, 1, 0, np.zeros(len(self.keys), np.int64))))
         jobs = [(d, float(values[d]), -1, -1, []) for d in np.flatnonzero(self.ends > self.starts).tolist() if self.ks[d] > 0]
         while jobs:
             self._round(jobs)
@@ -664,12 +671,8 @@ class Search:
         # All units after the one that deviates.
         sizes = end - begin - start - 1
         at = ragged(begin + start + 1, sizes)
-        if len(at) == len(self.places):
-            u = _uniform(np.repeat(self.keys[who], sizes), stream, at - np.repeat(begin, sizes))
-            p, places = self.p, self.places
-        else:
-            u = _uniform(np.repeat(self.keys[who], sizes), stream, at - np.repeat(begin, sizes))
-            p, places = self.p[at], self.places[at]
+        u = _uniform(self.keys[who], sizes, stream, at - np.repeat(begin, sizes))
+        p, places = (self.p, self.places) if len(at) == len(self.places) else (self.p[at], self.places[at])
         pick = (u >= p[:, 0]).astype(np.int8)
         later = np.flatnonzero(pick)
         pick[later] += u[later] >= p[later, 0] + p[later, 1]
@@ -688,10 +691,10 @@ class Search:
             self._draw(i, d, stream, best, (offs, lengths, logs))
         other, owner = other[plain], owner[plain]
         k = self.places[other]
-        low, wide = lattices.low[k], lattices.p[k]
+        low, wide = lattices.begins(k), lattices.p[k]
         swap = low[:, 0] > low[:, 1]
         low[swap], wide[swap] = low[swap][:, ::-1], wide[swap][:, ::-1]
-        v = _uniform(self.keys[owner], stream + 1, other - self.starts[owner]) * np.maximum(0.0, 1 - wide.sum(axis=1))
+        v = _uniform(self.keys[owner], 1, stream + 1, other - self.starts[owner]) * np.maximum(0.0, 1 - wide.sum(axis=1))
         for r in (0, 1):
             v += np.where(v >= low[:, r], wide[:, r], 0.0)
         units, lows, points, failed = [other], [low], [v], set()
@@ -708,7 +711,7 @@ class Search:
             if left <= 1e-13:
                 failed.add(x)
                 continue
-            point = float(_uniform(self.keys[d : d + 1], stream + 1, np.array([s]))[0]) * left
+            point = float(_uniform(self.keys[d : d + 1], 1, stream + 1, np.array([s]))[0]) * left
             for b, w in gone:
                 point += w if point >= b else 0.0
             units.append(np.array([i]))
@@ -745,7 +748,7 @@ class Search:
                 taken[x] = [*jobs[x][4], self._ids(sample, int(begin[x] + start[x]))]
                 left[heads[x]] = max(0.0, 1 - sum(math.exp(lp) for _, lp in taken[x]))
         who = np.array([j[0] for j in jobs])
-        u = _uniform(np.repeat(self.keys[who], sizes), stream, at - np.repeat(begin, sizes))
+        u = _uniform(self.keys[who], sizes, stream, at - np.repeat(begin, sizes))
         with np.errstate(divide="ignore"):
             mass = before[at] - np.repeat(before[begin], sizes) + np.log(np.where(left > 1e-12, left, 0.0))
         values = _gumbel(mass, np.repeat([j[1] for j in jobs], sizes), u)
@@ -807,7 +810,7 @@ class Search:
             lists.append(ways)
         whole = [(sum((x for x, _ in way), ()), sum(y for _, y in way)) for way in itertools.product(*lists)]
         logs = np.array([y for _, y in whole])
-        values = logs - np.log(-np.log(_uniform(np.full(total, self.keys[d]), 0, np.arange(1, total + 1))))
+        values = logs - np.log(-np.log(_uniform(self.keys[d : d + 1], total, 0, np.arange(1, total + 1))))
         order = np.argsort(-values, kind="stable")
         limit = values[order[self.ks[d]]] if total > self.ks[d] else -math.inf
         return [(np.array(whole[i][0], np.int32), float(logs[i]), float(values[i]), _inclusion(float(logs[i]), limit)) for i in order[: self.ks[d]].tolist()]
@@ -838,13 +841,13 @@ def decode(ids: np.ndarray | list[int], spelled: list[bytes]) -> str:
     return b"".join(map(spelled.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-def decode_many(ids: np.ndarray, ends: list[int], spelled: pa.Array) -> Iterator[str]:
-    """decode() for the runs of ids between each two ends."""
+def spelled_runs(ids: np.ndarray, ends: list[int], spelled: pa.Array) -> Iterator[bytes]:
+    """The bytes that decode() decodes, for the runs of ids between each two ends."""
     joined = spelled.take(pa.array(ids))
     offsets, data = np.frombuffer(joined.buffers()[1], np.int32)[: len(ids) + 1].tolist(), joined.buffers()[2]
     data = data.to_pybytes() if data else b""
     for a, b in itertools.pairwise(ends):
-        yield data[offsets[a] : offsets[b]].decode("utf-8", "replace")[1:]
+        yield data[offsets[a] : offsets[b]]
 
 
 #: A worker's lattices outlive its tasks; of one vocabulary at a time.
@@ -860,9 +863,9 @@ def _lattices(pieces: Pieces) -> Lattices:
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows that are searched at once."""
-    sizes = np.array([len(t) for t in batch.column("text").to_pylist()], np.int64)
+    sizes = pc.binary_length(batch.column("text").cast(pa.binary())).to_pylist()
     begin, held = 0, 0
-    for r, size in enumerate(sizes.tolist()):
+    for r, size in enumerate(sizes):
         if r > begin and (r - begin >= BATCH_ROWS or held + size > BATCH_CHARS):
             yield batch.slice(begin, r - begin)
             begin, held = r, 0
@@ -907,7 +910,8 @@ def encode(docs: DataFrame, pieces: Pieces, k: int = K, seed: int = 0, check: bo
                 ends.append(len(which))
             columns = list(zip(*rows, strict=True))
             if check:
-                columns[4] = [said == texts[r] for r, said in zip(which, decode_many(np.concatenate(flat), sizes, spelled), strict=True)]
+                want = [f" {t}".encode() if t else b"" for t in texts]
+                columns[4] = [said == want[r] for r, said in zip(which, spelled_runs(np.concatenate(flat), sizes, spelled), strict=True)]
             out = pa.RecordBatch.from_arrays(
                 [part.column("doc_id").take(pa.array(which)), pa.array(columns[0], pa.int32()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(flat))),
                  pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64()), pa.array(columns[4], pa.bool_())],

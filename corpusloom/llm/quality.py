@@ -1,8 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-Words and their character n-grams are hashed to vectors, a document is the average of all of them, and a softmax
+Words, pairs of neighbouring words, and words' character n-grams are hashed to vectors, a document is the average of all of them, and a softmax
 layer tells its label; vectors and layer are trained together by stochastic gradient descent in numpy on a
-bounded sample of labelled documents. As the layer is linear, a word adds one number to a document's score;
+bounded sample of labelled documents. As the layer is linear, a word or pair adds one number to a document's score;
 scoring sums these numbers over the whole text on the executors.
 """
 
@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -23,9 +22,13 @@ from corpusloom.llm.common import WORD, fold, materialize, text_or_empty
 
 #: Hashed vectors, their length, and the lengths of character n-grams of a word between < and >.
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (3, 4)
+#: Hashed vectors of pairs of neighbouring words.
+PAIR_BUCKETS = 1 << 17
 #: Bound of the training sample: so many documents of each label.
 SAMPLE_PER_LABEL = 2500
 EPOCHS, RATE, SEED = 6, 1.0, 7
+#: A small sample is gone through more often, until there are so many steps.
+LEAST_STEPS = 15_000
 #: Words that a Python worker remembers.
 REMEMBERED = 150_000
 
@@ -38,22 +41,25 @@ def features(word: str) -> list[int]:
     return [h(f"w{word}") % BUCKETS] + [h(marked[i : i + n]) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)]
 
 
-#: A word that repeats the one before it is an n-gram of this bucket, so many times.
-REPEAT, REPEAT_WEIGHT = xxhash.xxh32_intdigest("w w") % BUCKETS, 8
+def word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
 
-def repeats(words: list[str]) -> int:
-    return sum(map(eq, words, words[1:]))
+def pairs(hashes: np.ndarray) -> np.ndarray:
+    """Buckets of the pairs of neighbouring words, of the words' hashes in order; a word after itself is one n-gram,
+    whatever the word."""
+    h = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.where(hashes[:-1] == hashes[1:], BUCKETS, (h >> np.uint64(40)).astype(np.int64) % (PAIR_BUCKETS - 1) + BUCKETS + 1)
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of the whole text."""
-    counts = np.zeros(BUCKETS, np.float32)
     words = _words(text)
+    counts = np.bincount(pairs(np.fromiter(map(word_hash, words), np.uint64, len(words))), minlength=BUCKETS + PAIR_BUCKETS).astype(np.float32)
     for w in words:
         for k in features(w):
             counts[k] += 1
-    counts[REPEAT] += REPEAT_WEIGHT * repeats(words)
     at = np.flatnonzero(counts)
     return at.astype(np.int32), counts[at]
 
@@ -69,11 +75,12 @@ class Model:
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
     """Plain SGD over documents in shuffled order, the rate falling to zero; labels are weighted to equal sums."""
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
+    vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + PAIR_BUCKETS, DIM))
     layer, bias = np.zeros((DIM, 2)), np.zeros(2)
     if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(BUCKETS), 0.0)
+        return Model(np.zeros(BUCKETS + PAIR_BUCKETS), 0.0)
     weight = len(labels) / (2 * np.bincount(labels, minlength=2))
+    epochs = max(epochs, -(-LEAST_STEPS // len(labels)))
     step, steps = 0, epochs * len(labels)
     for _ in range(epochs):
         for i in rng.permutation(len(labels)):
@@ -96,24 +103,33 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
 
 
 class _Margins(dict):
-    """word -> its part of the margin and, as the imaginary part, its number of features."""
+    """word -> its place in the arrays of the words' parts of the margin, numbers of features, and hashes."""
 
     def __init__(self, parts: np.ndarray):
-        self.parts = parts.tolist()
-        self.repeat = REPEAT_WEIGHT * complex(self.parts[REPEAT], 1)
+        self.parts, self.all_parts = parts.tolist(), parts
+        self.clear()
 
-    def __missing__(self, word: str) -> complex:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = features(word)
-        self[word] = made = complex(sum(map(self.parts.__getitem__, found)), len(found))
-        return made
+    def clear(self) -> None:
+        super().clear()
+        self.part, self.size, self.hash = np.zeros(REMEMBERED), np.zeros(REMEMBERED), np.zeros(REMEMBERED, np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        found, at = features(word), len(self)
+        self[word] = at
+        if at == len(self.part):  # a text of more words than are remembered between texts
+            self.part, self.size, self.hash = (np.concatenate([x, np.zeros_like(x)]) for x in (self.part, self.size, self.hash))
+        self.part[at], self.size[at], self.hash[at] = sum(map(self.parts.__getitem__, found)), len(found), word_hash(word)
+        return at
 
 
 def score_text(text: str, margins: _Margins, bias: float) -> float:
     words = _words(text)
-    total = sum(map(margins.__getitem__, words), 0j) + repeats(words) * margins.repeat
-    margin = bias + (total.real / total.imag if total.imag else 0.0)
+    if len(margins) + len(words) > REMEMBERED:
+        margins.clear()
+    at = np.fromiter(map(margins.__getitem__, words), np.int64, len(words))
+    near = pairs(margins.hash[at])
+    size = margins.size[at].sum() + len(near)
+    margin = bias + ((margins.part[at].sum() + margins.all_parts[near].sum()) / size if size else 0.0)
     return float(1 / (1 + np.exp(-np.clip(margin, -500, 500))))
 
 
@@ -121,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
     """Learns labels (doc_id, quality 0 or 1) from the texts of docs, from rows whose crc32(doc_id) mod 5 is not 0.
 
     Of each label, the per_label documents whose ids hash lowest are taken, so the sample is bounded and the same
-    in each run. Null or other labels are ignored; of contradicting labels 0 counts. Without both labels,
+    in each run; of rows of docs that repeat an id, one. Null or other labels are ignored; of contradicting labels 0 counts. Without both labels,
     every score is a half.
     """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) % 5 != 0))
@@ -136,13 +152,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
             found = [bag(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype(str), "quality": pdf["quality"], "at": [a.tobytes() for a, _ in found], "n": [n.tobytes() for _, n in found]})
 
-    rows = texts.mapInPandas(bags, "doc_id string, quality int, at binary, n binary").toPandas().sort_values(["doc_id", "at", "n"])
-    pairs = [(np.frombuffer(a, np.int32), np.frombuffer(n, np.float32)) for a, n in zip(rows["at"], rows["n"], strict=True)]
-    return train(pairs, rows["quality"].to_numpy(np.int64))
+    # One row of those that repeat an id, so that what comes to the driver is bounded like the sample.
+    rows = texts.mapInPandas(bags, "doc_id string, quality int, at binary, n binary").groupBy("doc_id").agg(F.min(F.struct("at", "n", "quality")).alias("r"))
+    rows = rows.select("doc_id", "r.*").toPandas().sort_values("doc_id")
+    found = [(np.frombuffer(a, np.int32), np.frombuffer(n, np.float32)) for a, n in zip(rows["at"], rows["n"], strict=True)]
+    return train(found, rows["quality"].to_numpy(np.int64))
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """docs, all columns kept, with the probability of label 1; null texts count as empty and score as the bias says."""
+    """docs, all columns kept, with the probability of label 1; null texts count as empty and score as the bias says.
+    A column of that name is replaced. Texts are scored whole, one at a time, each word of one at about 200 bytes."""
     share = docs.sparkSession.sparkContext.broadcast(model)
     made: list[_Margins] = []
 

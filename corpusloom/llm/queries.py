@@ -61,17 +61,22 @@ def op5_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Host labels whose pages make up the listed URLs of op4.
-LISTED_HOST = r"(^|\.)(spam-farm|cheap-pills|casino-win|free-bets)\."
+#: The list of op4: pages 0 to 999, in each language, of these sites' hosts. It is made from these constants, not from pages.
+LISTED_SITES, LISTED_SUBDOMAINS = ("tionsh", "thther", "ththan", "ththth", "ththon", "ththed", "ththly", "therin"), ("", "m.", "blog.")
+LISTED_DOMAINS, LISTED_LANGS, LISTED_PAGES = ("example.com", "example.net", "example.org"), ("de", "en", "es", "fr"), 1000
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """Column url: the canonical URLs of op4's list."""
+    each = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
+    rows = spark.range(LISTED_PAGES).select("id", each(LISTED_SITES).alias("site")).select("*", each(LISTED_SUBDOMAINS).alias("sub"))
+    rows = rows.select("*", each(LISTED_DOMAINS).alias("domain")).select("*", each(LISTED_LANGS).alias("lang"))
+    return rows.select(url_filter.canonical(F.concat("sub", "site", F.lit("."), "domain"), F.concat(F.lit("/"), "lang", F.lit("/"), F.col("id").cast("string"))).alias("url"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    host, path = url_filter.host_and_path(F.col("url"))
-    listed = pages.select(host.alias("host"), path.alias("path")).filter(F.col("host").rlike(LISTED_HOST))
-    listed = listed.select(url_filter.canonical(F.col("host"), F.col("path")).alias("url"))
-    return url_filter.judge(pages, listed, URL_RULES)
+    return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), listed_urls(spark), URL_RULES)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +95,11 @@ def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = digest_index.DigestIndex(spark, new_path(spark, "digest_index"), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    verdicts = index.ingest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Two batches, the larger ids first: the second is held against an index that has the first."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    index = digest_index.DigestIndex(spark, new_path(spark, "digest_index"))
+    verdicts = digest_index.in_batches(docs, index, [] if low is None else [(low + high) // 2])
     return verdicts.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -221,7 +229,11 @@ ORACLE: dict[str, str] = {
     "op3_chat_format": _CHAT,
     "op5_curriculum": _MIX,
     "op4_url_filter": _SPLIT_URL
-    + rf""", listed as (select distinct canon from named where regexp_matches(host, '{LISTED_HOST}')),
+    + rf""", listed as (
+        select sub || site || '.' || domain || '/' || lang || '/' || n canon
+        from (select unnest({list(LISTED_SITES)}) site), (select unnest({list(LISTED_SUBDOMAINS)}) sub), (select unnest({list(LISTED_DOMAINS)}) domain),
+             (select unnest({list(LISTED_LANGS)}) lang), range({LISTED_PAGES}) t(n)
+    ),
     rules(rule, says) as (values {', '.join(f"('{r}', '{v}')" for r, v in URL_RULES)}),
     fits as (
         select page_id, max_by(rule, length(rule)) rule, max_by(says, length(rule)) says from named, rules

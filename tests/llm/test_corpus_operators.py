@@ -50,7 +50,47 @@ def test_index_over_two_batches(spark, odd):
     assert index.read().count() == 9
     # A session that starts anew finds the index at its path.
     spark.sql(f"drop table {index.table}")
-    assert digest_index.DigestIndex(spark, index.path, 4).read().count() == 9
+    same = digest_index.DigestIndex(spark, index.path, 16)
+    assert same.read().count() == 9 and same.buckets == 4
+
+
+def test_a_batch_counts_once(spark, odd):
+    index = digest_index.DigestIndex(spark, common.new_path(spark, "index"), 4)
+    lost = index.ingest(odd, "monday")  # its consumer fails
+    again = index.ingest(odd, "monday")
+    assert sorted(map(str, again.collect())) == sorted(map(str, lost.collect())) and again.filter("kept").count() == 8
+    assert index.ingest(odd, "tuesday").filter("kept").count() == 0 and index.read().count() == 8
+
+
+def test_a_batch_that_was_not_committed_is_not_seen(spark, odd, monkeypatch):
+    index = digest_index.DigestIndex(spark, common.new_path(spark, "index"), 4)
+
+    def fails(fresh, attempt):
+        append(fresh, attempt)
+        raise OSError("lost")
+
+    append = index._append
+    monkeypatch.setattr(index, "_append", fails)
+    with pytest.raises(OSError):
+        index.ingest(odd, "monday")
+    monkeypatch.undo()
+    assert index.read().count() == 0
+    assert index.ingest(odd, "monday").filter("kept").count() == 8 and index.read().count() == 8
+
+
+def test_each_path_has_its_own_index(spark):
+    paths = [common.new_path(spark, "index") + f"/{c}/" + "x" * 90 for c in "ab"]
+    a, b = (digest_index.DigestIndex(spark, p, 4) for p in paths)
+    a.ingest(spark.createDataFrame([(1, "t")], "doc_id long, text string"))
+    assert a.table != b.table and a.read().count() == 1 and b.read().count() == 0
+
+
+def test_batches_of_falling_ids(spark, odd):
+    index = digest_index.DigestIndex(spark, common.new_path(spark, "index"), 4)
+    got = digest_index.in_batches(odd, index, [0, 4]).collect()
+    want = digest_index.DigestIndex(spark, common.new_path(spark, "index"), 4).ingest(odd).collect()
+    assert sorted((str(r.doc_id), r.keep_id, r.group_size, r.digest) for r in got) == sorted((str(r.doc_id), r.keep_id, r.group_size, r.digest) for r in want)
+    assert sum(r.kept for r in got) == 8
 
 
 def test_dedup_keeps_columns_and_one_row_of_a_text(spark, odd):
@@ -461,5 +501,45 @@ def test_pipeline_stages(spark, sf_dir):
     assert mixed.columns == columns
     words = lambda d: d.agg(F.sum(common.n_words(F.col("text")))).first()[0]
     assert abs(words(mixed) / words(near) - 1.5) < 0.2
-    out = corpus_pipeline.encode_pieces(spark, mixed, sf_dir)
-    assert out.count() == mixed.count()
+    out = common.materialize(corpus_pipeline.encode_pieces(spark, mixed, sf_dir), "encoded")
+    assert sorted(r.position for r in out.collect()) == list(range(mixed.count()))
+    # The plan's order is that of the output.
+    planned = curriculum.plan(near)[1].orderBy("position", "key", "doc_id", "copy").collect()
+    assert [r.doc_id for r in out.orderBy("position").collect()] == [r.doc_id for r in planned]
+    texts = {r.doc_id: r.text or "" for r in near.collect()}
+    spelled = corpus_pipeline.piece_sampling.load(spark).spelled
+    for r in out.collect():
+        assert {corpus_pipeline.piece_sampling.decode(s.ids, spelled) for s in r.samples} == {texts[r.doc_id]}
+        assert len({tuple(s.ids) for s in r.samples}) == len(r.samples)
+
+
+def test_run_is_its_stages(spark, sf_dir, monkeypatch):
+    """run() on a table of its own: a bad document, copies, near copies and two sources."""
+    monkeypatch.setattr(corpus_pipeline, "LEAST_QUALITY", 0.5)
+    good, bad = [f"fine{k} prose{k % 7} reads{k % 5} well{k % 3}" for k in range(60)], "junk junk junk junk"
+    long = " ".join(f"word{k}" for k in range(100))
+    rows = [(i, t, "ab"[i % 2]) for i, t in enumerate(good)] + [(100 + i, bad, "a") for i in range(40)] + [(200, good[3], "a"), (300, long, "b"), (301, long + " more", "a")]
+    folder = common.new_path(spark, "tables")
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(r[0], int("junk" not in r[1])) for r in rows], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    out = corpus_pipeline.run(spark, folder).collect()
+    ids = Counter(r.doc_id for r in out)
+    assert not any(100 <= i < 140 for i in ids) and 3 not in ids and 301 not in ids and max(ids.values()) <= 2
+    assert sorted(r.position for r in out) == list(range(len(out)))
+    assert {200, 300} <= set(ids) or len(ids) > 50
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_rows(spark, odd, empty):
+    """Nulls, empty texts, repeated rows, working names as columns, and a map; no column is lost or written over."""
+    names = "digest v_id v_digest id _id _at _block _maybe maybe _key e_key e_id _position position _copy copy _score score row whole_row turn samples _metadata".split()
+    docs = odd.drop("row").withColumns({n: F.lit(f"own {n}") for n in names} | {"m": F.create_map(F.lit("a"), F.lit(1))})
+    docs = docs.limit(0) if empty else docs
+    folder = common.new_path(spark, "tables")
+    spark.createDataFrame([(1, 1), (0, 1), (4, 0)], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.materialize(stage(spark, docs, folder), "odd_stage")
+        assert out.columns == docs.columns and out.count() <= 2 * docs.count() and (empty or out.count() > 0)
+        assert out.filter(" or ".join(f"`{n}` <> 'own {n}'" for n in names)).isEmpty()
+    out = corpus_pipeline.encode_pieces(spark, docs, folder)
+    assert out.count() == docs.count() and out.columns == ["doc_id", "position", "samples"]
