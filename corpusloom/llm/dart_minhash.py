@@ -28,6 +28,8 @@ K = BANDS * ROWS
 #: Of 128 one-bit coordinates, so many may differ where the first hubs are tried: at 0.8 they differ in 12.8, with a
 #: deviation of 3.4. What the first turn passes over is left to the second, which compares all, and to the exact join.
 SKETCH_BITS = 34
+#: Members of a bucket with which all of it are compared.
+HUBS = 4
 REMEMBERED, BATCH_SHINGLES, BATCH_ROWS = 100_000, 100_000, 250
 
 _words = re.compile(WORD).findall
@@ -205,9 +207,9 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     ones included, are linked when they are equal, null as empty. Of rows that repeat a doc_id, one may be kept.
     A null doc_id is above all others. Other columns are ignored; an empty table gives no rows.
 
-    In each bucket of a band all members are compared with one of them, its hub; then, in buckets that still hold more
-    than one component, with one of the largest. What stays mixed is joined exactly, across components, on its rarest
-    differences from that hub (see across()), so no link between candidates is lost and no bucket's pairs are written
+    In each bucket of a band all members are compared with a few of them, its hubs; then, in buckets that still hold more
+    than one component, with a few of the largest. What stays mixed is joined exactly, across components, on its rarest
+    differences from one hub (see differences()), so no link between candidates is lost and no bucket's pairs are written
     out. Texts are never cut; a very long one takes about 200 bytes a word of its task's memory.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -227,17 +229,27 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     placed = materialize(placed, "placed_members")
     packed = elements_of(texts, nodes, placed.select("node").distinct())
     links = comps = None
-    for last in (False, True):
-        hubs = hubs_of(placed)
-        found = verified(packed, star_pairs(placed, nodes, hubs, at_least, sketched=not last), at_least)
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            comps = connected_components(links)
-            placed = _still_mixed(placed, comps)
-    rest = placed.join(hubs, F.col("bucket") == F.col("b")).select("node", "size", "comp", F.col("hub.node").alias("hub")).distinct()
-    more = verified(packed, across(packed, materialize(rest, "mixed_nodes"), at_least), at_least)
-    if comps is None or not more.isEmpty():
-        comps = connected_components(more if links is None else links.unionByName(more))
+
+    def linked(pairs: DataFrame) -> bool:
+        """Verifies pairs; whether that has changed the components."""
+        nonlocal links, comps
+        found = verified(packed, pairs, at_least)
+        if comps is not None and found.isEmpty():
+            return False
+        links = found if links is None else links.unionByName(found)
+        comps = connected_components(links)
+        return True
+
+    if linked(star_pairs(placed, nodes, hubs_of(placed), at_least, sketched=True)):
+        placed = _still_mixed(placed, comps)
+    hubs = hubs_of(placed, of_largest=True)
+    if linked(star_pairs(placed, nodes, hubs, at_least, sketched=False)):
+        placed = _still_mixed(placed, comps)
+    rest = placed.join(hubs, F.col("bucket") == F.col("b")).select("node", "size", "comp", F.col("hubs")[0].alias("hub")).distinct()
+    apart = differences(packed, materialize(rest, "mixed_nodes"), at_least)
+    if linked(across(apart, at_least, first=True)):
+        apart = materialize(_with_comp(apart, comps), "differences")
+    linked(across(apart, at_least))
 
     classes = groups.join(comps, F.col("node") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "node"))
     classes = materialize(classes.select("node", "comp", "best", "n"), "class_nodes")
@@ -253,28 +265,38 @@ def _sizes_allow(a: str, b: str, at_least: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * F.lit(at_least - 1e-9)
 
 
-def hubs_of(placed: DataFrame) -> DataFrame:
-    """(b, hub) of each bucket: of its largest component the member whose hash is highest, so that buckets agree."""
-    of_comp = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.max(F.struct(F.xxhash64("node").alias("h"), "node")).alias("m"))
-    hubs = of_comp.groupBy(F.col("bucket").alias("b")).agg(F.max(F.struct("n", "m.h", "m.node", "comp")).alias("hub"))
-    return materialize(hubs, "bucket_hubs")
+def hubs_of(placed: DataFrame, of_largest: bool = False) -> DataFrame:
+    """(b, hubs) of each bucket: HUBS members, maybe of its largest component, with the highest hashes, so that buckets agree."""
+    highest = [F.max(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node")).alias(f"m{k}") for k in range(HUBS)]
+    if of_largest:
+        of_comp = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"), *highest)
+        largest = F.max(F.struct("n", F.col("m0.h").alias("h"), "comp", *[f"m{k}" for k in range(HUBS)])).alias("m")
+        hubs = of_comp.groupBy("bucket").agg(largest).select(F.col("bucket").alias("b"), *[F.col(f"m.m{k}").alias(f"m{k}") for k in range(HUBS)])
+    else:
+        hubs = placed.groupBy(F.col("bucket").alias("b")).agg(*highest)
+    return materialize(hubs.select("b", F.array_distinct(F.array(*[f"m{k}.node" for k in range(HUBS)])).alias("hubs")), "bucket_hubs")
 
 
 def star_pairs(placed: DataFrame, nodes: DataFrame, hubs: DataFrame, at_least: float, sketched: bool) -> DataFrame:
-    """(a, b): members of each bucket with its hub, unless they are in one component, or too unlike by their sketches."""
-    pairs = placed.join(hubs, F.col("bucket") == F.col("b")).filter(F.col("comp") != F.col("hub.comp"))
-    pairs = pairs.select("node", F.col("hub.node").alias("hub"), "size", "s0", "s1").distinct()
-    ends = nodes.select(F.col("node").alias("hub"), *[F.col(c).alias(f"l_{c}") for c in ("size", "s0", "s1")])
-    pairs = pairs.join(ends, "hub").filter(_sizes_allow("size", "l_size", at_least))
+    """(a, b): members of each bucket with its hubs, unless sizes, or maybe sketches, are too unlike."""
+    pairs = placed.join(hubs, F.col("bucket") == F.col("b")).select("node", "comp", "size", "s0", "s1", F.explode("hubs").alias("hub"))
+    pairs = pairs.filter("node <> hub").distinct()
+    ends = placed.select(F.col("node").alias("hub"), F.col("comp").alias("l_comp"), *[F.col(c).alias(f"l_{c}") for c in ("size", "s0", "s1")]).distinct()
+    pairs = pairs.join(ends, "hub").filter((F.col("comp") != F.col("l_comp")) & _sizes_allow("size", "l_size", at_least))
     if sketched:
         pairs = pairs.filter(F.bit_count(F.col("s0").bitwiseXOR(F.col("l_s0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("l_s1"))) <= SKETCH_BITS)
-    return materialize(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")), "star_pairs")
+    return materialize(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "star_pairs")
+
+
+def _with_comp(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """rows with their nodes' components."""
+    rows = rows.drop("comp").join(comps, F.col("node") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "node"))
+    return rows.drop("id", "component")
 
 
 def _still_mixed(placed: DataFrame, comps: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one component."""
-    placed = placed.drop("comp").join(comps, F.col("node") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "node"))
-    placed = materialize(placed.drop("id", "component"), "placed_members")
+    placed = materialize(_with_comp(placed, comps), "placed_members")
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
     mixed = materialize(mixed.select(F.col("bucket").alias("b")), "mixed_buckets")
     return materialize(placed.join(mixed, F.col("bucket") == F.col("b")).drop("b"), "mixed_members")
@@ -314,40 +336,52 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, [*names, "apart", "h_size", "element"])
 
 
-def across(packed: DataFrame, members: DataFrame, at_least: float) -> DataFrame:
-    """Pairs (a, b) of members (node, size, comp, hub) with one hub and unlike comp, among them all with the similarity s.
+def differences(packed: DataFrame, members: DataFrame, at_least: float) -> DataFrame:
+    """Of members (node, size, comp, hub), whose similarity to their hub is known, the differences on which across() joins.
 
     Members as similar to their hub as that share its comp. Let a set's differences be what it has and its hub lacks, or
     the reverse. Two sets are similar when they differ in at most r * (|a| + |b|) elements, r = (1 - s) / (1 + s); they
     differ in |da| + |db| - 2 * (differences in common). So they need n = (|da| + |db| - r * (|a| + |b|)) / 2 in common, and
     n <= 0 would take both to be similar to the hub. Only differences are joined, however much all members repeat of what
-    the hub says. With these from rare to frequent, similar sets have one in common after which there are enough left in
-    both. A difference's largest component is only paired with the others.
+    the hub says. With these from rare to frequent, similar sets have one in common after which there are enough left in both.
     """
     r = (1 - at_least) / (1 + at_least)
     sets = members.filter("node <> hub").join(packed, "node").join(packed.select(F.col("node").alias("hub"), F.col("elements").alias("h_elements")), "hub")
     rows = sets.mapInArrow(_differences, "hub long, node long, size long, comp long, apart long, h_size long, element long")
-    rows = materialize(rows, "differences")
+    rows = materialize(rows, "all_differences")
     key = ["hub", "element"]
-    shared = materialize(rows.groupBy(*key).agg(F.count("*").alias("df")).filter("df > 1"), "shared_differences")
-    rows = rows.join(shared, key)
+    rows = rows.join(materialize(rows.groupBy(*key).agg(F.count("*").alias("df")).filter("df > 1"), "shared_differences"), key)
     by_node = Window.partitionBy("hub", "node")
     # Differences that no other member has come first; only their number counts.
     place = F.col("apart") - F.count("*").over(by_node) + F.row_number().over(by_node.orderBy("df", "element")) - 1
     # Whatever the other set, n is at least (apart - r * (size + h_size)) / 2.
     last = (F.col("apart") + F.lit(r) * (F.col("size") + F.col("h_size"))) / 2 + F.lit(1e-6)
-    prefix = rows.withColumn("pos", place).filter(F.col("pos") <= last)
-    prefix = materialize(prefix.drop("df", "h_size"), "prefix_differences")
-    by_comp = prefix.groupBy(*key, "comp").agg(F.count("*").alias("n"))
-    largest = by_comp.groupBy(*key).agg(F.max(F.struct("n", "comp")).alias("big"), F.count("*").alias("comps")).filter("comps > 1")
-    largest = materialize(largest.select(*key, F.col("big.comp").alias("largest")), "mixed_differences")
-    prefix = materialize(prefix.join(largest, key), "mixed_prefixes")
-    left = prefix.filter("comp <> largest").drop("largest")
-    right = prefix.select(*[F.col(c).alias(f"o_{c}") for c in left.columns])
+    return materialize(rows.withColumn("pos", place).filter(F.col("pos") <= last).drop("df", "h_size"), "differences")
+
+
+def across(rows: DataFrame, at_least: float, first: bool = False) -> DataFrame:
+    """Pairs (a, b) of nodes of unlike comp with one hub, among them all with the similarity; of differences()' rows.
+
+    first: each difference's components are only held against one member of its largest, the nearest to the hub, so there
+    are no more pairs than rows. A node similar to many of a component is found here and does not meet all of it later.
+    """
+    r, key = (1 - at_least) / (1 + at_least), ["hub", "element"]
+    nearest = F.min(F.struct("apart", "pos", "node", "size")).alias("near")
+    by_comp = rows.groupBy(*key, "comp").agg(F.count("*").alias("n"), nearest)
+    largest = by_comp.groupBy(*key).agg(F.max(F.struct("n", "comp", "near")).alias("big"), F.count("*").alias("comps")).filter("comps > 1")
+    largest = materialize(largest.select(*key, F.col("big.comp").alias("largest"), "big.near"), "mixed_differences")
+    mixed = materialize(rows.join(largest, key), "mixed_rows")
+    left = mixed.filter("comp <> largest")
+    if first:
+        both = left.select("*", F.col("largest").alias("o_comp"), *[F.col(f"near.{c}").alias(f"o_{c}") for c in ("apart", "pos", "node", "size")])
+    else:
+        right = mixed.drop("largest", "near")
+        right = right.select(*[F.col(c).alias(f"o_{c}") for c in right.columns])
+        left = left.drop("largest", "near")
+        both = left.join(right, (F.col("hub") == F.col("o_hub")) & (F.col("element") == F.col("o_element")))
     need = (F.col("apart") + F.col("o_apart") - F.lit(r) * (F.col("size") + F.col("o_size"))) / 2 - F.lit(1e-6)
     enough = F.least(F.col("apart") - F.col("pos"), F.col("o_apart") - F.col("o_pos")) >= need
-    same = (F.col("hub") == F.col("o_hub")) & (F.col("element") == F.col("o_element"))
-    pairs = left.join(right, same & (F.col("comp") != F.col("o_comp")) & enough & _sizes_allow("size", "o_size", at_least))
+    pairs = both.filter((F.col("comp") != F.col("o_comp")) & enough & _sizes_allow("size", "o_size", at_least))
     return materialize(pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct(), "cross_pairs")
 
 

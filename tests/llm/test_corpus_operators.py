@@ -171,7 +171,9 @@ def test_prefix_filter_finds_all_links(spark):
     hub = min(sets, key=lambda i: len(sets[i]))
     comp = {i: hub if dart_minhash.similarity(s, sets[hub]) >= 0.8 else i % 3 + 1000 for i, s in sets.items()}
     members = spark.createDataFrame([(i, len(s), comp[i], hub) for i, s in sets.items()], "node long, size long, comp long, hub long")
-    pairs = {(r.a, r.b) for r in dart_minhash.across(packed, members, 0.8).collect()}
+    rows = dart_minhash.differences(packed, members, 0.8)
+    pairs = {(r.a, r.b) for r in dart_minhash.across(rows, 0.8).collect()}
+    assert {(r.a, r.b) for r in dart_minhash.across(rows, 0.8, first=True).collect()} < pairs
     true = {(i, j) for i in sets for j in sets if i < j and comp[i] != comp[j] and dart_minhash.similarity(sets[i], sets[j]) >= 0.8}
     assert len(true) > 20 and true <= pairs
 
