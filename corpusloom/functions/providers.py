@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import ranking, retrieval
@@ -79,6 +79,18 @@ def reranker(name: str) -> Callable[[DataFrame, int | None], DataFrame]:
     return RERANKERS.get(name.lower(), unranked)
 
 
+def gated_reranker(name: str) -> Callable[[DataFrame, int | None], DataFrame]:
+    """The reranker, but a query's only candidate is passed on without a score."""
+    rerank = reranker(name)
+
+    def run(candidates: DataFrame, top_n: int | None) -> DataFrame:
+        several = F.count("*").over(Window.partitionBy("query_id")) > 1
+        rows = rerank(candidates.withColumn("several", several), top_n)
+        return rows.withColumn("rerank_score", F.when(F.col("several"), F.col("rerank_score"))).drop("several")
+
+    return run
+
+
 def store_for(store: str, embedding_name: str) -> str:
     """A store with learned sparse vectors is of no use with hashed ones: the exact store takes its place."""
     return "exact" if store.lower() == "hybrid" and embedding_name.lower() == "local_hash" else store

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +58,18 @@ def embedding_tokens(text: Column) -> Column:
     return _with_bigrams(_terms(F.lower(text), QUERY_TERM))
 
 
+#: name -> the terms of a text as BM25 counts them; a user may add analyzers.
+ANALYZERS: dict[str, Callable[[Column], Column]] = {
+    "default": embedding_tokens,
+    "whitespace": lambda text: F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != ""),
+    "english": lambda text: _terms(F.lower(text), r"[a-z0-9]+"),
+}
+
+
+def register_analyzer(name: str, terms: Callable[[Column], Column]) -> None:
+    ANALYZERS[name] = terms
+
+
 def count_of(text: Column, token: Column) -> Column:
     """Occurrences that do not overlap; none of an empty token."""
     n = (F.length(text) - F.length(F.replace(text, token))) / F.length(token)
@@ -137,6 +151,26 @@ def temperature(t: Column) -> Column:
     return F.greatest(F.lit(0.01), F.least(t, F.lit(1.0)))
 
 
+def fixed(number: Column, digits: int) -> Column:
+    """With so many digits after the point; halves are rounded away from zero."""
+    return F.when(number.isNotNull(), F.format_string(f"%.{int(digits)}f", F.round(number.cast("double"), digits)))
+
+
+def percent(share: Column, digits: int = 1) -> Column:
+    return F.concat(fixed(share * 100, digits), F.lit("%"))
+
+
+def megabytes(size: Column) -> Column:
+    return F.concat(fixed(size / F.lit(1048576.0), 2), F.lit(" MB"))
+
+
+def iso(at: Column) -> Column:
+    """A time as text, YYYY-MM-DDTHH:MM:SS, with microseconds if there are any; null for null."""
+    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(at, "SSSSSS")
+    return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
+
+
 def json_object(text: Column) -> Column:
     """The outermost {...} of a model's answer, without code fences; the stripped text if there is none."""
     bare = strip(F.regexp_replace(F.regexp_replace(strip(F.coalesce(text, F.lit(""))), r"^```(?i:json)?", ""), r"```$", ""))

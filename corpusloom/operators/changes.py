@@ -75,8 +75,10 @@ def banded_diff(old: DataFrame, new: DataFrame, band: int = BAND, scope: list[st
 
 
 def merge_by_key(existing: DataFrame, changes: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """existing with changes put in; of several changes of a key the one of the largest order stays."""
-    latest = Window.partitionBy(*keys).orderBy(F.col(order).desc() if order else F.lit(1))
+    """existing with changes put in; of several changes of a key the one of the largest order stays, of those that tie, and
+    without an order, the one of the smallest hash of all columns."""
+    hashed = F.xxhash64(F.to_json(F.struct(*changes.columns)))
+    latest = Window.partitionBy(*keys).orderBy(*([F.col(order).desc()] if order else []), hashed)
     changes = changes.withColumn("_rank", F.row_number().over(latest)).filter("_rank = 1").drop("_rank")
     return existing.join(changes.select(*keys), keys, "left_anti").unionByName(changes, allowMissingColumns=True)
 

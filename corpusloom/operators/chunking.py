@@ -1,7 +1,7 @@
 """Segments, parents and children of documents, with stable ids.
 
-A document's segments are folded in order, so each document is one row of a mapInPandas batch and the fold is a
-small helper; nothing is shuffled.
+A document's segments are gathered by a shuffle and folded in order, so each document is one row of a mapInPandas batch and
+the fold is a small helper.
 """
 
 from __future__ import annotations
@@ -13,9 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import metadata
 from corpusloom.functions import text as X
 from corpusloom.schemas import Budgets
 
+#: Characters of a document from which its metadata is suggested.
+SAMPLE_CHARS = 6000
+
 _clause = re.compile(X.CLAUSE)
 _paragraph = re.compile(r"\n{2,}|\r\n")
 
@@ -87,6 +91,22 @@ def parents(segments: DataFrame, budgets: Budgets = Budgets()) -> DataFrame:
     return out.withColumn("parent_id", X.sha256_of(F.lit("parent"), F.col("kb_id"), F.col("document_id"), F.col("parent_index"), F.col("content")))
 
 
+def sample_text(segments: DataFrame) -> DataFrame:
+    """(kb_id, document_id, file_name, sample): the first SAMPLE_CHARS characters of each document's segments, a line each."""
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("seg_no", "text"))), lambda s: s["text"])
+    whole = segments.groupBy("kb_id", "document_id", "file_name").agg(F.array_join(lines, "\n").alias("whole"))
+    return whole.select("kb_id", "document_id", "file_name", F.substring("whole", 1, SAMPLE_CHARS).alias("sample"))
+
+
+def preview(documents: DataFrame, budgets: Budgets = Budgets()) -> tuple[DataFrame, DataFrame]:
+    """(chunks, suggestions) of documents that are not stored yet: the children that ingestion would make, under the ids of
+    knowledge base 0 and document 0, with file_name; and the metadata that each document's name and sample suggest."""
+    segments = line_segments(documents)
+    chunks = children(parents(segments.withColumns({"kb_id": F.lit(0), "document_id": F.lit(0).cast("long")}), budgets), budgets)
+    said = sample_text(segments).select("document_id", "file_name", "sample", metadata.suggest(F.col("file_name"), F.col("sample")).alias("suggested"))
+    return chunks, said
+
+
 def children(parents_: DataFrame, budgets: Budgets = Budgets()) -> DataFrame:
     """Children with child_index, content and chunk_id; the parents' other columns are kept."""
 

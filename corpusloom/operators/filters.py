@@ -14,7 +14,7 @@ _RANGE = {
     "$gte": lambda c, v: c >= v, "$gt": lambda c, v: c > v, "$lte": lambda c, v: c <= v,
     "$lt": lambda c, v: c < v, "$eq": lambda c, v: c == v, "$ne": lambda c, v: c != v,
 }
-_TEXT = {"$gte": ">=", "$gt": ">", "$lte": "<=", "$lt": "<", "$eq": "==", "$ne": "!="}
+_TEXT = {"$gte": ">=", "$gt": ">", "$lte": "<=", "$lt": "<", "$eq": "=", "$ne": "<>"}
 
 
 def condition(name: str, expected: object) -> Column:
@@ -39,23 +39,32 @@ def apply_filters(df: DataFrame, filters: dict) -> DataFrame:
 
 
 def _quoted(v: object) -> str:
-    return ("true" if v else "false") if isinstance(v, bool) else json.dumps(v, ensure_ascii=False)
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else json.dumps(v)
 
 
 def pushdown_text(filters: dict) -> str:
-    """The filter as text for a store; null and empty values, also in lists, are left out, as are empty lists."""
+    """The filter as SQL text for where(), of comparisons that a Parquet scan takes over; null and empty values, also in
+    lists, are left out, as are empty lists. Where nothing is left the text is empty."""
     out = []
     for name, expected in filters.items():
+        column = f"`{name}`"
         if isinstance(expected, dict):
-            out += [f"{name} {_TEXT[op]} {_quoted(v)}" for op, v in expected.items() if op in _TEXT and v not in (None, "")]
+            out += [f"{column} {_TEXT[op]} {_quoted(v)}" for op, v in expected.items() if op in _TEXT and v not in (None, "")]
         elif isinstance(expected, (list, tuple)):
             values = [v for v in expected if v not in (None, "")]
-            out += [f"{name} in [{', '.join(map(_quoted, values))}]"] if values else []
+            out += [f"{column} in ({', '.join(map(_quoted, values))})"] if values else []
         elif expected not in (None, ""):
-            out.append(f"{name} == {_quoted(expected)}")
+            out.append(f"{column} = {_quoted(expected)}")
     return " and ".join(out)
 
 
+def pushed(df: DataFrame, filters: dict) -> DataFrame:
+    text = pushdown_text(filters)
+    return df.where(text) if text else df
+
+
 def permitted(filters: dict, allowed: list[str] | None = None, superuser: bool = False) -> dict:
     """filters with the user's departments, cut down to those asked for; an empty cut matches nothing."""
     if superuser:

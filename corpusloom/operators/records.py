@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corpusloom.functions import text as X
 
 SNAPSHOT_ROWS, PREVIEW_CHARS, TEXT_CHARS, LIST_ITEMS, MOST_TRACES, TURNS = 20, 240, 2000, 80, 200, 6
 
@@ -13,10 +18,44 @@ def snapshot(candidates: DataFrame, rank: str = "rank") -> DataFrame:
     return candidates.filter(F.col(rank) <= SNAPSHOT_ROWS).withColumn("preview", F.substring("content", 1, PREVIEW_CHARS)).drop("content")
 
 
-def truncated(column: Column, kind: str) -> Column:
-    """A text or a list of texts cut to what a trace may hold."""
-    cut = lambda c: F.substring(c, 1, TEXT_CHARS)
-    return F.transform(F.slice(column, 1, LIST_ITEMS), cut) if kind == "list" else cut(column)
+def truncated(column: Column, kind: T.DataType) -> Column:
+    """A value of any type cut to what a trace may hold: texts to TEXT_CHARS, lists to LIST_ITEMS, at every depth."""
+    if isinstance(kind, T.StringType):
+        return F.substring(column, 1, TEXT_CHARS)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(F.slice(column, 1, LIST_ITEMS), lambda x: truncated(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(column, lambda _, v: truncated(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(column.isNotNull(), F.struct(*[truncated(column[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return column
+
+
+def trace(rows: DataFrame, key: str, created_at: Column) -> DataFrame:
+    """A trace record for each row: its key, the time as text, and all other columns, truncated, as JSON."""
+    payload = F.struct(*[truncated(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema.fields if f.name != key])
+    return rows.select(key, X.iso(created_at).alias("created_at"), F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def variable(rows: DataFrame, column: str, *order: Column) -> Column:
+    """One value, as a session variable holds it: the column of the first row in this order, null without rows."""
+    return rows.orderBy(*order).select(column).limit(1).scalar()
+
+
+def first_row(rows: DataFrame, condition: Column, *order: Column) -> DataFrame:
+    """The first of the rows that the condition holds for."""
+    return rows.filter(condition).orderBy(*order).limit(1)
+
+
+def counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): the sizes of tables, as a dashboard shows them."""
+    return reduce(DataFrame.unionByName, [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()])
+
+
+def task_states(tasks: DataFrame, upload: str, status: str, done: str, failed: str) -> DataFrame:
+    """For each upload, how many tasks it has, whether all of them are done and whether any failed."""
+    s = F.coalesce(F.col(status), F.lit(""))
+    return tasks.groupBy(upload).agg(F.count("*").alias("n_tasks"), F.bool_and(s == done).alias("all_done"), F.bool_or(s == failed).alias("any_failed"))
 
 
 def page(rows: DataFrame, key: str, skip: int, size: int) -> DataFrame:

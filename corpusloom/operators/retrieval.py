@@ -1,23 +1,27 @@
 """Candidate search: hashed embeddings, dense, lexical and BM25 top-k, over batches of queries.
 
-Every operator takes all queries at once. Only dense search compares each query with each vector, in blocks of a
-bounded number of queries; the others join postings.
+Every operator takes all queries at once, in blocks of a bounded number that are broadcast. Chunks stay where they are: a task
+scores its own by products of matrices and keeps the k best of each query, so the shuffle holds k rows a query and task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 
 DIMENSION = 384
-#: Queries that one pass of dense search broadcasts.
-QUERY_BLOCK = 1024
+#: Queries that one pass over the chunks broadcasts; runs of which a task remembers the tokens.
+QUERY_BLOCK, REMEMBERED = 1024, 200_000
 K1, B = 1.2, 0.75
 RUN = r"[一-鿿]+|[A-Za-z0-9_-]+"
 
@@ -45,6 +49,71 @@ def as_vectors(cells: DataFrame, key: str, dimension: int = DIMENSION) -> DataFr
     return filled.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
 
 
+def query_blocks(queries: DataFrame, block: int) -> Iterator[pd.DataFrame]:
+    """The queries in blocks of about that many, by the hash of their ids: what one pass over the chunks broadcasts."""
+    n = -(-queries.count() // block)
+    of = F.pmod(F.xxhash64("query_id"), F.lit(max(n, 1)))
+    for k in range(n):
+        part = queries.filter(of == k).orderBy("query_id").toPandas()
+        if len(part):
+            yield part
+
+
+class Best:
+    """The k best chunks of each query so far, ties by chunk_id, in one group of chunks."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.query, self.score, self.chunk = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, dtype=object)
+
+    def add(self, scores: np.ndarray, chunks: np.ndarray) -> None:
+        """scores: a row for each query, a column for each chunk; those that are not finite don't count."""
+        if scores.shape[1] > self.k:
+            # Whatever is below a batch's own k-th score is none of the best.
+            least = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
+            query, at = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+        else:
+            query, at = np.nonzero(scores > -np.inf)
+        query, score, chunk = (np.concatenate(x) for x in ((self.query, query), (self.score, scores[query, at]), (self.chunk, chunks[at])))
+        order = np.lexsort((chunk.astype(str), -score, query))
+        query = query[order]
+        nth = np.arange(len(query)) - np.searchsorted(query, query)
+        order = order[nth < self.k]
+        self.query, self.score, self.chunk = query[nth < self.k], score[order], chunk[order]
+
+
+def best_in_tasks(chunks: DataFrame, columns: list[Column], block: pd.DataFrame, k: int, scorer: Callable[[], Callable[[pa.RecordBatch], np.ndarray]], rows: int = 1024) -> DataFrame:
+    """(query_id, kb_id, chunk_id, score) of each task's k best chunks of each knowledge base for each query of the block.
+
+    scorer makes, once in a task, what gives the scores of a batch's chunks, a row for each query. Only what tasks keep
+    is shuffled by what ranks them.
+    """
+    names = block["query_id"].to_numpy(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, best = scorer(), {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                scores, kbs = score(part), part.column("kb_id").to_numpy(zero_copy_only=False)
+                chunk = np.array(part.column("chunk_id").to_pylist(), dtype=object)
+                for kb in np.unique(kbs).tolist():
+                    here = np.flatnonzero(kbs == kb)
+                    best.setdefault(kb, Best(k)).add(scores[:, here], chunk[here])
+        for kb, b in best.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[b.query]), pa.array(np.full(len(b.query), kb), pa.int32()), pa.array(b.chunk.tolist(), pa.string()), pa.array(b.score)], ["query_id", "kb_id", "chunk_id", "score"]
+            )
+
+    kb = F.coalesce(F.col("kb_id"), F.lit(0)).cast("int").alias("kb_id")
+    return chunks.select(kb, F.col("chunk_id").cast("string").alias("chunk_id"), *columns).mapInArrow(run, "query_id long, kb_id int, chunk_id string, score double")
+
+
+def _all(passes: list[DataFrame], chunks: DataFrame) -> DataFrame:
+    none = chunks.sparkSession.createDataFrame([], "query_id long, kb_id int, chunk_id string, score double")
+    return reduce(DataFrame.unionByName, passes or [none])
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """queries (query_id long, embedding) and vectors (kb_id int, chunk_id string, embedding) -> query_id, kb_id,
     chunk_id, dense_score, dense_rank: for each query and knowledge base the k of largest cosine, ties by chunk_id.
@@ -52,46 +121,28 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUER
     Null and zero vectors are left out. Each block of queries is one pass over the vectors, which stay where they are:
     a task keeps its own k best, and only these are shuffled.
     """
-    ids = queries.filter("embedding is not null").select("query_id", "embedding").orderBy("query_id")
+    stored = vectors.filter("embedding is not null")
+    column = F.transform("embedding", lambda x: x.cast("double")).alias("embedding")
     passes = []
-    n = ids.count()
-    for start in range(0, max(n, 1), block):
-        part = ids.offset(start).limit(block).toPandas()
-        passes.append(vectors.filter("embedding is not null").select("kb_id", "chunk_id", "embedding").mapInPandas(_best_of(part, k), "query_id long, kb_id int, chunk_id string, dense_score double"))
-    out = passes[0]
-    for p in passes[1:]:
-        out = out.unionByName(p)
-    return ranked(out, ["query_id", "kb_id"], [F.col("dense_score").desc(), F.col("chunk_id")], "dense_rank", k)
-
+    for part in query_blocks(queries.filter("embedding is not null").select("query_id", "embedding"), block):
+        asked = _units(np.stack([np.asarray(v, np.float64) for v in part["embedding"]]))
 
-def _units(x: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, np.float64) for v in x])
-    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+        def scorer(asked=asked):
+            def score(batch: pa.RecordBatch) -> np.ndarray:
+                x = _units(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                # Rounded, so that the order of ties does not hang on the order of additions.
+                return np.where((x != 0).any(axis=1), np.round(asked @ x.T, 6) + 0.0, -np.inf)
 
+            return score
 
-def _best_of(queries: pd.DataFrame, k: int) -> Callable:
-    names = queries["query_id"].to_numpy()
-    matrix = _units(queries["embedding"]) if len(queries) else None
+        passes.append(best_in_tasks(stored, [column], part, k, scorer))
+    out = _all(passes, vectors).withColumnRenamed("score", "dense_score")
+    return ranked(out, ["query_id", "kb_id"], [F.col("dense_score").desc(), F.col("chunk_id")], "dense_rank", k)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if matrix is None or not len(pdf):
-                continue
-            x = _units(pdf["embedding"])
-            there = (x != 0).any(axis=1)
-            # Rounded, so that the order of ties does not hang on the order of additions.
-            scores = np.round(matrix @ x.T, 6) + 0.0  # no negative zeros
-            chunk = pdf["chunk_id"].to_numpy()
-            for kb, rows in pdf.groupby("kb_id").indices.items():
-                rows = rows[there[rows]]
-                order = rows[np.argsort(chunk[rows], kind="stable")]
-                best = np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]
-                for q in range(len(names)):
-                    hit = order[best[q]]
-                    yield pd.DataFrame({"query_id": names[q], "kb_id": kb, "chunk_id": chunk[hit], "dense_score": scores[q, hit]})
 
-    return run
+def _units(m: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
 def concatenated(hits: DataFrame, rank: str, kb_order: Column | None = None) -> DataFrame:
@@ -99,60 +150,158 @@ def concatenated(hits: DataFrame, rank: str, kb_order: Column | None = None) ->
     return ranked(hits, ["query_id"], [kb_order if kb_order is not None else F.col("kb_id"), F.col(rank)], "pos")
 
 
-def _grams(run: Column, n: int) -> Column:
-    return F.when(F.length(run) >= n, F.transform(F.sequence(F.lit(1), F.length(run) - (n - 1)), lambda i: F.substring(run, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
+class TokenCounts:
+    """How often tokens occur in runs, also inside of them; a token is looked up by its first characters."""
+
+    def __init__(self, tokens: list[str]):
+        self.tokens, self.n = tokens, len(tokens)
+        self.by_start: dict[str, list[int]] = {}
+        for k, t in enumerate(tokens):
+            if t:
+                self.by_start.setdefault(t[:3], []).append(k)
+        self.sizes = sorted({len(g) for g in self.by_start})
+        self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(self, run: str) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, times) of a run."""
+        if run not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            grams = {run[i : i + n] for n in self.sizes for i in range(len(run) - n + 1)}
+            found = [(k, run.count(self.tokens[k])) for g in grams & self.by_start.keys() for k in self.by_start[g]]
+            found = [x for x in found if x[1]]
+            self.known[run] = np.array([k for k, _ in found], np.int64), np.array([n for _, n in found], np.float64)
+        return self.known[run]
+
+    def matrix(self, runs: pa.ListArray) -> np.ndarray:
+        """Occurrences of each token in each list of runs."""
+        flat = runs.flatten().dictionary_encode()
+        found = [self.of(r) for r in flat.dictionary.to_pylist()]
+        sizes = np.array([len(k) for k, _ in found], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        tokens, times = (np.concatenate(x) if found else np.zeros(0) for x in ([k for k, _ in found], [n for _, n in found]))
+        row = np.repeat(np.arange(len(runs)), pc.list_value_length(runs).to_numpy(zero_copy_only=False))
+        run = flat.indices.to_numpy(zero_copy_only=False)
+        each = sizes[run]
+        at = np.repeat(starts[run] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        return np.bincount(np.repeat(row, each) * self.n + tokens[at].astype(np.int64), times[at], len(runs) * self.n).reshape(len(runs), self.n)
+
+
+def _asked(part: pd.DataFrame, terms: str) -> tuple[list[str], np.ndarray]:
+    """The distinct terms of a block's queries, and which query has which."""
+    names = sorted({t for ts in part[terms] for t in ts})
+    place = {t: k for k, t in enumerate(names)}
+    has = np.zeros((len(part), len(names)))
+    for q, ts in enumerate(part[terms]):
+        has[q, [place[t] for t in ts]] = 1.0
+    return names, has
+
+
+def lexical_best(queries: DataFrame, chunks: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, query) and (kb_id, chunk_id, content) -> query_id, kb_id, chunk_id, lexical_score: for each query and
+    knowledge base the k chunks with most occurrences of the query's tokens, also inside of words; above 0, ties by chunk_id.
+
+    A token holds characters of one class, so it occurs inside runs of that class alone: a task counts the tokens of a
+    block of queries in each distinct run once, and a chunk's scores are a product of matrices.
+    """
+    tokens = queries.select("query_id", X.query_tokens(F.coalesce("query", F.lit(""))).alias("tokens")).filter(F.size("tokens") > 0)
+    runs = F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(RUN), F.lit(0)).alias("runs")
+    passes = []
+    for part in query_blocks(tokens, block):
+        names, has = _asked(part, "tokens")
 
-def token_counts(tokens: DataFrame, runs: DataFrame) -> DataFrame:
-    """(token, run, times) for the tokens that occur in a run: joined on a token's first three (or two) characters."""
-    grams = runs.select("run", F.explode(F.array_distinct(F.concat(_grams(F.col("run"), 2), _grams(F.col("run"), 3)))).alias("gram"))
-    keyed = tokens.select("token", F.substring("token", 1, 3).alias("gram"))
-    both = grams.join(keyed, "gram").select("token", "run", X.count_of(F.col("run"), F.col("token")).alias("times"))
-    return both.filter("times > 0")
+        def scorer(names=names, has=has):
+            counts = TokenCounts(names)
 
+            def score(batch: pa.RecordBatch) -> np.ndarray:
+                scores = has @ counts.matrix(batch.column("runs")).T
+                return np.where(scores > 0, scores, -np.inf)
 
-def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, query) and (chunk_id, content) -> query_id, chunk_id, lexical_score: occurrences of the query's tokens
-    in the content, also inside of words, above 0.
+            return score
 
-    A token holds characters of one class, so it occurs inside runs of that class alone: contents are counted as
-    postings of their runs, and only distinct runs are searched for tokens.
-    """
-    asked = queries.select("query_id", F.explode(X.query_tokens(F.col("query"))).alias("token"))
-    postings = chunks.select("chunk_id", F.explode(F.regexp_extract_all("content", F.lit(RUN), F.lit(0))).alias("run"))
-    postings = postings.groupBy("run", "chunk_id").agg(F.count("*").alias("tf"))
-    times = token_counts(asked.select("token").distinct(), postings.select("run").distinct())
-    per_run = asked.join(times, "token").groupBy("query_id", "run").agg(F.sum("times").alias("times"))
-    scores = postings.join(per_run, "run").groupBy("query_id", "chunk_id").agg(F.sum(F.col("tf") * F.col("times")).alias("lexical_score"))
-    return scores.filter("lexical_score > 0")
+        passes.append(best_in_tasks(chunks, [runs], part, k, scorer, rows=256))
+    out = _all(passes, chunks).withColumn("lexical_score", F.col("score").cast("long")).drop("score")
+    return ranked(out, ["query_id", "kb_id"], [F.col("lexical_score").desc(), F.col("chunk_id")], "kb_rank", k).drop("kb_rank")
 
 
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """The k best over all knowledge bases, ties by chunk_id, with lexical_rank."""
-    return ranked(lexical_scores(queries, chunks), ["query_id"], [F.col("lexical_score").desc(), F.col("chunk_id")], "lexical_rank", k)
+    hits = lexical_best(queries, chunks.withColumn("kb_id", F.lit(0)), k).drop("kb_id")
+    return ranked(hits, ["query_id"], [F.col("lexical_score").desc(), F.col("chunk_id")], "lexical_rank", k)
+
 
+def bm25_best(queries: DataFrame, chunks: DataFrame, k: int, k1: float = K1, b: float = B, analyzer: str = "default", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, query) and (kb_id, chunk_id, content) -> query_id, kb_id, chunk_id, sparse_score: for each query and
+    knowledge base the k chunks of largest Okapi BM25 of analysed terms; idf is ln(1 + (N - df + 0.5) / (df + 0.5))."""
+    analyse = X.ANALYZERS[analyzer]
+    terms = chunks.select(*[c for c in ("kb_id", "chunk_id") if c in chunks.columns], analyse(F.coalesce("content", F.lit(""))).alias("terms")).filter(F.size("terms") > 0)
+    n, mean = terms.agg(F.count("*"), F.avg(F.size("terms"))).first()
+    asked = queries.select("query_id", F.array_distinct(analyse(F.coalesce("query", F.lit("")))).alias("terms")).filter(F.size("terms") > 0)
+    passes = []
+    for part in query_blocks(asked, block) if n else []:
+        names, has = _asked(part, "terms")
+        # As many rows as the block has terms.
+        few = F.broadcast(chunks.sparkSession.createDataFrame([(t,) for t in names], "term string"))
+        df = terms.select(F.explode(F.array_distinct("terms")).alias("term")).join(few, "term").groupBy("term").count().collect()
+        df = {r["term"]: r["count"] for r in df}
+        idf = np.array([math.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) for t in names])
+
+        def scorer(names=names, has=has, idf=idf):
+            place = {t: i for i, t in enumerate(names)}
+
+            def score(batch: pa.RecordBatch) -> np.ndarray:
+                lists = batch.column("terms")
+                flat, size = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                at = np.array([place.get(t, -1) for t in flat.dictionary.to_pylist()], np.int64)[flat.indices.to_numpy(zero_copy_only=False)]
+                row = np.repeat(np.arange(len(lists)), size)[at >= 0]
+                tf = np.bincount(row * len(names) + at[at >= 0], minlength=len(lists) * len(names)).reshape(len(lists), -1)
+                weight = idf * tf * (k1 + 1) / (tf + (k1 * (1 - b + b * size / mean))[:, None])
+                there = has @ (tf > 0).T > 0
+                return np.where(there, np.round(has @ weight.T, 6), -np.inf)
+
+            return score
+
+        passes.append(best_in_tasks(terms, [F.col("terms")], part, k, scorer, rows=256))
+    out = _all(passes, chunks).withColumnRenamed("score", "sparse_score")
+    return ranked(out, ["query_id", "kb_id"], [F.col("sparse_score").desc(), F.col("chunk_id")], "kb_rank", k).drop("kb_rank")
+
+
+def sparse_best(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """Learned sparse vectors, (query_id, vector) and (kb_id, chunk_id, vector) with maps of terms to weights -> query_id,
+    kb_id, chunk_id, sparse_score: the k of largest inner product of those that share a term."""
+    parts = lambda v: [F.map_keys(v).cast("array<string>").alias("terms"), F.map_values(v).cast("array<double>").alias("weights")]
+    asked = queries.filter("size(vector) > 0").select("query_id", *parts("vector"))
+    stored = vectors.filter("size(vector) > 0")
+    passes = []
+    for part in query_blocks(asked, block):
+        names, has = _asked(part, "terms")
+        place = {t: i for i, t in enumerate(names)}
+        weight = np.zeros_like(has)
+        for q, (ts, ws) in enumerate(zip(part["terms"], part["weights"], strict=True)):
+            weight[q, [place[t] for t in ts]] = ws
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """Okapi BM25 of lower-cased terms; idf is ln(1 + (N - df + 0.5) / (df + 0.5))."""
-    terms = chunks.select("chunk_id", F.explode(X.embedding_tokens(F.col("content"))).alias("term"))
-    postings = terms.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    sizes = postings.groupBy("chunk_id").agg(F.sum("tf").alias("size"))
-    whole = sizes.agg(F.count("*").alias("n"), F.avg("size").alias("mean_size"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(X.embedding_tokens(F.col("query")))).alias("term"))
-    found = postings.join(asked.select("term").distinct(), "term", "left_semi")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    scored = found.join(df, "term").join(sizes, "chunk_id").crossJoin(F.broadcast(whole))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean_size")))
-    scored = scored.select("chunk_id", "term", weight.alias("w")).join(asked, "term")
-    return scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("sparse_score"))
+        def scorer(place=place, has=has, weight=weight):
+            def score(batch: pa.RecordBatch) -> np.ndarray:
+                lists = batch.column("terms")
+                flat, size = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                at = np.array([place.get(t, -1) for t in flat.dictionary.to_pylist()], np.int64)[flat.indices.to_numpy(zero_copy_only=False)]
+                cells = np.repeat(np.arange(len(lists)), size)[at >= 0] * len(place) + at[at >= 0]
+                shape, n = (len(lists), len(place)), len(lists) * len(place)
+                x = np.bincount(cells, batch.column("weights").flatten().to_numpy(zero_copy_only=False)[at >= 0], n).reshape(shape)
+                there = has @ np.bincount(cells, minlength=n).reshape(shape).T > 0
+                return np.where(there, np.round(weight @ x.T, 6) + 0.0, -np.inf)
 
+            return score
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    return ranked(bm25_scores(queries, chunks), ["query_id"], [F.col("sparse_score").desc(), F.col("chunk_id")], "sparse_rank", k)
+        passes.append(best_in_tasks(stored, parts("vector"), part, k, scorer, rows=256))
+    out = _all(passes, vectors).withColumnRenamed("score", "sparse_score")
+    return ranked(out, ["query_id", "kb_id"], [F.col("sparse_score").desc(), F.col("chunk_id")], "kb_rank", k).drop("kb_rank")
 
 
-def sparse_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Inner products of learned sparse vectors: (query_id, term, weight) and (chunk_id, term, weight)."""
-    both = queries.withColumnRenamed("weight", "q_weight").join(chunks, "term")
-    return both.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("q_weight") * F.col("weight")), 6).alias("sparse_score"))
+def sparse_topk(best: DataFrame, k: int) -> DataFrame:
+    """The k best over all knowledge bases of what bm25_best() or sparse_best() gives, ties by chunk_id, with sparse_rank."""
+    return ranked(best.drop("kb_id"), ["query_id"], [F.col("sparse_score").desc(), F.col("chunk_id")], "sparse_rank", k)
+
+
+def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    return sparse_topk(bm25_best(queries, chunks.withColumn("kb_id", F.lit(0)), k), k)

@@ -64,6 +64,13 @@ def filter_range_ops(spark, sf_dir):
     return filters.apply_filters(documents(spark, sf_dir), {"n_chars": {"$gte": 500, "$lt": 1500, "$ne": 700, "$unknown": 1}}).select("document_id", "n_chars")
 
 
+@query
+def filter_pushdown(spark, sf_dir):
+    """Filters as SQL text; what is null or empty is left out."""
+    wanted = {"lang": ["de", "", None, "it's"], "n_chars": {"$gte": 500, "$lt": 5000, "$ne": None}, "source": ""}
+    return filters.pushed(table(spark, sf_dir, "documents"), wanted).select("doc_id", "lang")
+
+
 @query
 def permission_filter(spark, sf_dir):
     wanted = filters.permitted({"department": ["fr", "de", "es"]}, ["en", "es", "de"])
@@ -137,7 +144,7 @@ def file_names(spark, sf_dir):
 @query
 def clause_starts(spark, sf_dir):
     """Every document's text behind the clause number that its id spells."""
-    text = F.concat((F.col("document_id") % 7).cast("string"), F.when(F.col("document_id") % 3 == 0, ".").otherwise(" "), F.col("document_id").cast("string"), F.lit(" "), F.substring("text", 1, 20))
+    text = F.concat((F.col("document_id") % 7).cast("string"), F.when(F.col("document_id") % 3 == 0, ".").otherwise(" "), F.col("document_id").cast("string"), F.lit(" "), "text")
     return documents(spark, sf_dir).select("document_id", X.clause_number(text).alias("clause"), X.section_path(F.array(F.lit("a"), F.lit("b")), text).alias("section_path"))
 
 
@@ -161,6 +168,13 @@ def child_chunks(spark, sf_dir):
     return rows.select("document_id", "parent_index", "child_index", "content", "chunk_id")
 
 
+@query
+def chunk_preview(spark, sf_dir):
+    """What a document's upload would suggest, and the sample that it is suggested from."""
+    _, said = chunking.preview(documents(spark, sf_dir))
+    return said.select("document_id", "sample", "suggested.doc_type", "suggested.title")
+
+
 def _two_versions(spark, sf_dir):
     """Lines of every document as they are, and without each seventh, which is a new one instead."""
     old = chunking.line_segments(documents(spark, sf_dir)).select("document_id", F.col("seg_no").cast("long").alias("index"), "text")
@@ -280,12 +294,21 @@ def bm25_topk(spark, sf_dir):
     return retrieval.bm25_topk(items(spark, sf_dir), chunks(spark, sf_dir), 20).select("query_id", "chunk_id", "sparse_score")
 
 
+@query
+def bm25_analyzer(spark, sf_dir):
+    """BM25 of the terms of another analyzer."""
+    found = retrieval.bm25_best(items(spark, sf_dir), chunks(spark, sf_dir), 5, analyzer="english")
+    return found.select("query_id", "kb_id", "chunk_id", "sparse_score")
+
+
 @query
 def learned_sparse(spark, sf_dir):
     """Inner products of the vectors' positive components, as a sparse encoder would give them."""
-    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("term", "weight")).filter("weight > 0").withColumn("weight", F.col("weight").cast("double"))
-    asked = cells.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "term", "weight")
-    return retrieval.sparse_scores(asked, cells.select(F.col("vec_id").alias("chunk_id"), "term", "weight"))
+    cells = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("term"), x.cast("double").alias("weight"))), lambda c: c["weight"] > 0)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.map_from_entries(cells).alias("vector"))
+    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    stored = vectors.select(F.lit(0).alias("kb_id"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("chunk_id"), "vector")
+    return retrieval.sparse_topk(retrieval.sparse_best(asked, stored, 20), 20).select("query_id", "chunk_id", "sparse_score", "sparse_rank")
 
 
 @query
@@ -327,7 +350,7 @@ def rerank_local(spark, sf_dir):
 def parent_dedup(spark, sf_dir):
     """Documents as children of a parent of ten documents; parents of an even number are stored, others fall back."""
     rows = _lexical_candidates(spark, sf_dir).withColumn("parent_id", F.concat(F.lit("p"), F.floor(F.col("chunk_id").cast("long") / 10).cast("string")))
-    rows = rows.select("query_id", F.col("in_rank").alias("rank"), "chunk_id", "parent_id", F.substring("content", 1, 40).alias("content"), F.col("lexical_score").alias("score"))
+    rows = rows.select("query_id", F.col("in_rank").alias("rank"), "chunk_id", "parent_id", "content", F.col("lexical_score").alias("score"))
     stored = documents(spark, sf_dir).filter("document_id % 20 = 0").select(F.concat(F.lit("p"), F.floor(F.col("document_id") / 10).cast("string")).alias("parent_id"), F.concat(F.lit("stored "), "file_name").alias("content"))
     out = ranking.collapse_to_parents(rows, stored, 5)
     return out.withColumns({"child_ids": F.array_join("child_ids", ","), "matched_children": F.array_join("matched_children", ",")})
@@ -531,9 +554,58 @@ def trace_snapshot(spark, sf_dir):
 
 @query
 def trace_truncated(spark, sf_dir):
-    long = records.truncated(F.col("text"), "text")
-    lines = records.truncated(F.split("text", " "), "list")
-    return documents(spark, sf_dir).select("document_id", long.alias("cut"), F.size(lines).cast("long").alias("n_items"))
+    rows = documents(spark, sf_dir).select("document_id", "text", F.split("text", " ").alias("words"))
+    cut = {c: records.truncated(F.col(c), rows.schema[c].dataType) for c in ("text", "words")}
+    return rows.select("document_id", cut["text"].alias("cut"), F.size(cut["words"]).cast("long").alias("n_items"))
+
+
+@query
+def trace_payload(spark, sf_dir):
+    """A trace of each document, with a text in a structure in a list."""
+    inner = F.array(F.struct(F.col("text").alias("body"), F.array("doc_type", "department").alias("tags")))
+    rows = documents(spark, sf_dir).select("document_id", "file_name", inner.alias("parts"))
+    return records.trace(rows, "document_id", F.expr("timestamp'1998-01-02 03:04:05'"))
+
+
+@query
+def scalar_variables(spark, sf_dir):
+    """Orders of the customer with the largest balance, who is looked up as a variable."""
+    owner = records.variable(table(spark, sf_dir, "customer"), "c_custkey", F.col("c_acctbal").desc(), F.col("c_custkey"))
+    return table(spark, sf_dir, "orders").filter(F.col("o_custkey") <= owner).select("o_orderkey", "o_custkey", owner.alias("owner"))
+
+
+@query
+def first_lookup(spark, sf_dir):
+    return records.first_row(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("n_regionkey") == 1, F.col("n_name"))
+
+
+@query
+def dashboard_counts(spark, sf_dir):
+    return records.counts({"kbs": _kbs(spark, sf_dir), "documents": documents(spark, sf_dir), "questions": items(spark, sf_dir), "chats": table(spark, sf_dir, "conversations").select("conv_id").distinct()})
+
+
+@query
+def task_states(spark, sf_dir):
+    """Orders as uploads, their lines as tasks."""
+    return records.task_states(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linestatus", "F", "O")
+
+
+@query
+def task_uploads(spark, sf_dir):
+    """Tasks with the file they belong to, if it is still there."""
+    files = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("file_name"))
+    return table(spark, sf_dir, "orders").join(files, "o_custkey", "left").select(F.col("o_orderkey").alias("task_id"), F.col("o_orderstatus").alias("status"), "file_name")
+
+
+@query
+def score_format(spark, sf_dir):
+    share = (F.col("o_orderkey") % 97) / F.lit(97.0)
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.fixed(share, 3).alias("score"), X.percent(share).alias("share"), X.megabytes(F.col("o_orderkey") * 1000).alias("size"))
+
+
+@query
+def iso_times(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", X.iso(F.when(F.col("event_id") % 5 != 0, F.col("ts"))).alias("at"))
 
 
 @query
@@ -578,7 +650,7 @@ def chat_kb_bridge(spark, sf_dir):
 @query
 def citation_lookup(spark, sf_dir):
     """Documents of which each is cited three times, some under a wrong knowledge base."""
-    rows = documents(spark, sf_dir).filter("document_id % 5 = 0")
+    rows = documents(spark, sf_dir)
     cited = rows.select(F.when(F.col("document_id") % 3 == 0, 999).otherwise(F.col("kb_id")).alias("kb_id"), "document_id", F.explode(F.sequence(F.lit(1), F.lit(3))))
     return records.cited_documents(cited, documents(spark, sf_dir), _kbs(spark, sf_dir))
 
@@ -627,7 +699,7 @@ def envelope_roundtrip(spark, sf_dir):
 def citation_rewrite(spark, sf_dir):
     mark = F.element_at(F.array(F.lit("[[citation:"), F.lit("[citation:"), F.lit("[[Citation:")), (F.col("doc_id") % 3 + 1).cast("int"))
     end = F.when(F.col("doc_id") % 3 == 1, "]").otherwise("]]")
-    text = F.concat(F.substring("text", 1, 30), F.lit(" "), mark, F.col("doc_id").cast("string"), end, F.lit(" <think>x</think>"))
+    text = F.concat("text", F.lit(" "), mark, F.col("doc_id").cast("string"), end, F.lit(" <think>x</think>"))
     return table(spark, sf_dir, "documents").select("doc_id", X.fence_thoughts(X.link_citations(text)).alias("text"))
 
 

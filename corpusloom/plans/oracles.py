@@ -155,6 +155,26 @@ _META = "(file_name || chr(10) || substr(text, 1, 3000))"
 _LOW = lambda c: f"greatest(0.0, least(1.0, {c}))"
 
 ORACLE: dict[str, str] = {
+    "filter_pushdown": "select doc_id, lang from documents where lang in ('de', 'it''s') and n_chars >= 500 and n_chars < 5000",
+    "bm25_analyzer": "with " + BM25.replace(QUERY_TERM, "[a-z0-9]+") + """
+        select query_id, cast(substr(source, 4) as integer) kb_id, chunk_id, sparse_score from bm25 join documents on chunk_id = doc_id::varchar
+        qualify row_number() over (partition by query_id, kb_id order by sparse_score desc, chunk_id) <= 5""",
+    "chunk_preview": f"""with {DOCS}, {LINES},
+        d as (select document_id, any_value(file_name) file_name, substr(string_agg(text, chr(10) order by seg_no), 1, 6000) as text from lines group by 1)
+        select document_id, text as sample, {_rules(_META, metadata.DOC_TYPES, f"'{metadata.OTHER}'")} doc_type, 'doc_' || document_id title from d""",
+    "trace_payload": """select doc_id document_id, '1998-01-02T03:04:05' created_at,
+        to_json({'file_name': 'doc_' || doc_id || '.txt', 'parts': [{'body': substr(text, 1, 2000), 'tags': [source, lang]}]})::varchar payload from documents""",
+    "scalar_variables": """with v as (select c_custkey as owner from customer order by c_acctbal desc, c_custkey limit 1)
+        select o_orderkey, o_custkey, owner from orders, v where o_custkey <= owner""",
+    "first_lookup": "select n_nationkey, n_name from nation where n_regionkey = 1 order by n_name limit 1",
+    "dashboard_counts": """select 'kbs' as name, count(distinct source) n from documents union all select 'documents', count(*) from documents
+        union all select 'questions', count(*) from benchmark union all select 'chats', count(distinct coalesce(conv_id, -99)) from conversations""",
+    "task_states": """select l_orderkey, count(*) n_tasks, bool_and(l_linestatus = 'F') all_done, bool_or(l_linestatus = 'O') any_failed from lineitem group by 1""",
+    "task_uploads": """select o_orderkey task_id, o_orderstatus status, case when c_custkey % 2 = 0 then c_name end file_name from orders left join customer on o_custkey = c_custkey""",
+    "score_format": """select o_orderkey, printf('%.3f', round((o_orderkey % 97) / 97.0::double, 3)) score, printf('%.1f', round((o_orderkey % 97) / 97.0::double * 100, 1)) || '%' share,
+        printf('%.2f', round(o_orderkey * 1000 / 1048576.0::double, 2)) || ' MB' size from orders""",
+    "iso_times": """select event_id, case when event_id % 5 <> 0 then strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when microsecond(ts) % 1000000 = 0 then '' else '.' || strftime(ts, '%f') end end as at
+        from events""",
     "scan_filter_scalar": f"with {DOCS} select document_id, file_name from docs where department = 'fr' and kb_id = 3",
     "filter_membership_null": f"with {DOCS} select document_id, nullif(department, 'en') department from docs where department in ('de', 'en')",
     "filter_range_ops": f"with {DOCS} select document_id, n_chars from docs where n_chars >= 500 and n_chars < 1500 and n_chars <> 700",
@@ -171,7 +191,7 @@ ORACLE: dict[str, str] = {
         sha256(kb_id || ':' || file_name || ':' || sha256(text)) chunk_key from docs""",
     "content_hash": f"with {DOCS} select document_id, sha256(text) content_hash from docs",
     "file_names": f"with {DOCS} select document_id, title stem, 'txt' extension, 'text/plain' mime, 'ab' || file_name clean from docs",
-    "clause_starts": """with t as (select doc_id document_id, (doc_id % 7) || case when doc_id % 3 = 0 then '.' else ' ' end || doc_id || ' ' || substr(text, 1, 20) s from documents)
+    "clause_starts": """with t as (select doc_id document_id, (doc_id % 7) || case when doc_id % 3 = 0 then '.' else ' ' end || doc_id || ' ' || text s from documents)
         select document_id, nullif(regexp_extract(s, '^\\s*(\\d+(?:\\.\\d+){1,4})', 1), '') clause,
         'a > b' || coalesce(' > ' || nullif(regexp_extract(s, '^\\s*(\\d+(?:\\.\\d+){1,4})', 1), ''), '') section_path from t""",
     "parent_chunks": f"with recursive {DOCS}, {parents(1200)} select document_id, parent_index, content, section_path, parent_id from parents",
@@ -216,7 +236,7 @@ ORACLE: dict[str, str] = {
         scored as (select substr(q.id, 2)::bigint query_id, substr(d.id, 2) chunk_id, round(coalesce(s, 0), 6) + 0.0 dense_score
             from ids q join ids d on q.id[1] = 'q' and d.id[1] = 'd' left join dots on dots.q = q.id and dots.d = d.id)
         select *, row_number() over (partition by query_id order by dense_score desc, chunk_id) dense_rank from scored qualify dense_rank <= 3""",
-    "citation_lookup": f"with {DOCS} select kb_id, document_id, 'src' || kb_id kb_name, file_name from docs where document_id % 5 = 0 and document_id % 3 <> 0",
+    "citation_lookup": f"with {DOCS} select kb_id, document_id, 'src' || kb_id kb_name, file_name from docs where document_id % 3 <> 0",
     "metadata_confirm": f"with {DOCS}, {LINES} select l.document_id, seg_no, case when l.document_id % 4 = 2 then '后勤' else department end department from lines l join docs using (document_id)",
     "reindex_documents": f"with {DOCS}, {LINES} select document_id, seg_no, text from lines where document_id % 2 = 1 or seg_no = 0",
     "dense_topk_per_kb": f"with {dense()} select *, row_number() over (partition by query_id order by kb_id, dense_rank) pos from nearest",
@@ -225,8 +245,9 @@ ORACLE: dict[str, str] = {
     "lexical_topk": f"with {lexical_top(20)} select * from lexical_top",
     "bm25_topk": f"with {BM25} select query_id, chunk_id, sparse_score from bm25_ranked where sparse_rank <= 20",
     "learned_sparse": """with cells as (select vec_id, unnest(embedding)::double weight, unnest(range(64)) term from embeddings)
-        select q.vec_id query_id, c.vec_id chunk_id, round(sum(q.weight * c.weight), 6) sparse_score from cells q join cells c using (term)
-        where q.vec_id % 100 = 0 and q.weight > 0 and c.weight > 0 group by all""",
+        , scores as (select q.vec_id query_id, lpad(c.vec_id::varchar, 12, '0') chunk_id, round(sum(q.weight * c.weight), 6) sparse_score from cells q join cells c using (term)
+        where q.vec_id % 100 = 0 and q.weight > 0 and c.weight > 0 group by all)
+        select *, row_number() over (partition by query_id order by sparse_score desc, chunk_id) sparse_rank from scores qualify sparse_rank <= 20""",
     "rrf_fusion": f"""with {lexical_top(10)}, {BM25},
         lists as (select query_id, chunk_id, lexical_rank pos, 0 list_no from lexical_top union all select query_id, chunk_id, sparse_rank, 1 from bm25_ranked where sparse_rank <= 10),
         fused as (select query_id, chunk_id, round(sum(1.0::double / (60 + pos)), 12) s, min((list_no, pos)) first from lists group by all)
@@ -239,7 +260,7 @@ ORACLE: dict[str, str] = {
         select query_id, chunk_id, round(s, 6) rerank_score, row_number() over (partition by query_id order by s desc, lexical_rank) rerank_rank from scored qualify rerank_rank <= 4""",
     "parent_dedup": f"""with {lexical_top(10)},
         g as (select query_id, 'p' || (chunk_id::bigint // 10) parent_id, min(lexical_rank) best_rank, list(chunk_id order by lexical_rank) kids,
-                     arg_min(substr(text, 1, 40), lexical_rank) child, arg_min(lexical_score, lexical_rank) score
+                     arg_min(text, lexical_rank) child, arg_min(lexical_score, lexical_rank) score
               from lexical_top join documents on chunk_id = doc_id::varchar group by all),
         r as (select *, row_number() over (partition by query_id order by best_rank, parent_id) parent_rank from g qualify parent_rank <= 5),
         stored as (select 'p' || (doc_id // 10) parent_id, 'stored doc_' || doc_id || '.txt' content from documents where doc_id % 20 = 0)
@@ -304,7 +325,7 @@ ORACLE: dict[str, str] = {
     "metadata_merge": "select doc_id document_id, case when doc_id % 3 = 1 then 'confirmed' else lang end department from documents",
     "envelope_roundtrip": f"""with m as (select conv_id, turn, '{{"conv_id":' || conv_id || ',"turn":' || turn || '}}' context, text from conversations where text is not null)
         select conv_id, turn, length(base64(encode(context))) + {len(X.SEPARATOR)} + length(text) size, context, text answer from m""",
-    "citation_rewrite": "select doc_id, substr(text, 1, 30) || ' [citation](' || doc_id || ') ## 💭 深度思考' || chr(10) || '```thinkx```' as text from documents",
+    "citation_rewrite": "select doc_id, text || ' [citation](' || doc_id || ') ## 💭 深度思考' || chr(10) || '```thinkx```' as text from documents",
     "router_json": """select item_id query_id, case when item_id % 3 = 0 then 'chitchat' else 'retrieval' end intent,
         case when item_id % 2 = 0 then '医工' else '医工,后勤' end as domain, 'q' || item_id rewritten_query, 'a,b' kbs from benchmark""",
     "tumbling_latency": """select date_trunc('hour', ts) window_start, event_type, count(*) n, round(avg(value), 6) mean_value, max(value) max_value from events group by all""",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import providers
 from corpusloom.operators import chunking, evaluation, ranking, retrieval, routing
 from corpusloom.operators.filters import apply_filters
 from corpusloom.schemas import Budgets, Retrieval
@@ -16,63 +18,96 @@ from corpusloom.session import materialize
 
 @dataclass
 class Corpus:
-    """documents (kb_id, document_id, file_name, title, department, doc_type, text), and its chunks with their vectors."""
+    """documents (kb_id, document_id, file_name, title, department, doc_type, text), and its chunks with their vectors;
+    sparse, if there is a sparse encoder, has maps of terms to weights (chunk_id, vector)."""
 
     documents: DataFrame
     parents: DataFrame
     children: DataFrame
     vectors: DataFrame
+    sparse: DataFrame | None = None
+    embedding: str = "local_hash"
 
     @staticmethod
-    def build(documents: DataFrame, budgets: Budgets = Budgets()) -> Corpus:
+    def build(documents: DataFrame, budgets: Budgets = Budgets(), embedding: str = "local_hash", sparse: Callable[[DataFrame], DataFrame] | None = None) -> Corpus:
         parents = materialize(chunking.parents(chunking.line_segments(documents), budgets), "parents")
         labels = documents.select("document_id", "department", "doc_type")
         children = materialize(chunking.children(parents, budgets).join(labels, "document_id"), "children")
-        cells = retrieval.hash_embedding(children, "chunk_id", "content")
-        vectors = retrieval.as_vectors(cells, "chunk_id").join(children.select("chunk_id", "kb_id", "department"), "chunk_id")
-        return Corpus(documents, parents, children, materialize(vectors, "vectors"))
+        encoded = providers.embedding(embedding)(children, "chunk_id", "content")
+        vectors = encoded.join(children.select("chunk_id", "kb_id", "department"), "chunk_id")
+        return Corpus(documents, parents, children, materialize(vectors, "vectors"), materialize(sparse(children), "sparse_vectors") if sparse else None, embedding)
+
+
+def sparse_kind(retriever: str, store: str, learned: bool) -> str | None:
+    """What is fused with dense ranks: nothing, BM25 or learned sparse vectors where the store has them, else lexical ranks."""
+    if retriever == "dense":
+        return None
+    if store != "hybrid":
+        return "lexical"
+    return "bm25" if retriever == "hybrid_bm25" else "learned" if learned and retriever == "hybrid_sparse" else "lexical"
 
 
 @dataclass
 class Hits:
-    """What all configurations share: each query's dense hits in each knowledge base, its lexical scores, and its route."""
+    """What all configurations share: each query's best chunks in each knowledge base, dense and by other scores (query_id,
+    kb_id, chunk_id, score), and its route. Small talk is not searched for."""
 
     queries: DataFrame
     dense: DataFrame
-    lexical: DataFrame
+    others: dict[str, DataFrame]
     routes: DataFrame
 
     @staticmethod
-    def find(queries: DataFrame, corpus: Corpus, k: int, filters: dict | None = None, profiles: DataFrame | None = None) -> Hits:
-        """queries (query_id long, query); profiles (kb_id, profile) are needed for configurations with a router."""
+    def find(
+        queries: DataFrame, corpus: Corpus, k: int, filters: dict | None = None, profiles: DataFrame | None = None, kinds: tuple[str, ...] = ("lexical",), analyzer: str = "default",
+        sparse: Callable[[DataFrame], DataFrame] | None = None,
+    ) -> Hits:
+        """queries (query_id long, query); profiles (kb_id, profile) are needed for configurations with a router, and sparse, an
+        encoder of queries (query_id, vector), for learned sparse scores."""
         chunks, vectors = apply_filters(corpus.children, filters or {}), apply_filters(corpus.vectors, filters or {})
-        asked = retrieval.as_vectors(retrieval.hash_embedding(queries, "query_id", "query"), "query_id")
-        dense = retrieval.dense_topk(asked, vectors, k)
-        lexical = retrieval.lexical_scores(queries, chunks).join(chunks.select("chunk_id", "kb_id"), "chunk_id")
         routes = queries.select("query_id", F.lit(None).cast("int").alias("kb_id"), routing.intent(F.col("query")).alias("intent"))
         if profiles is not None:
             routes = routing.route(queries, profiles).select("query_id", "kb_id", "intent")
-        return Hits(queries, materialize(dense, "dense_hits"), materialize(lexical, "lexical_scores"), materialize(routes, "routes"))
-
-
-def retrieve(hits: Hits, corpus: Corpus, config: Retrieval) -> DataFrame:
+        routes = materialize(routes, "routes")
+        searched = queries.join(routes.filter("intent <> 'chitchat'").select("query_id"), "query_id", "left_semi")
+        asked = providers.embedding(corpus.embedding)(searched, "query_id", "query")
+        others = {}
+        for kind in kinds:
+            if kind == "lexical":
+                found = retrieval.lexical_best(searched, chunks, k).withColumnRenamed("lexical_score", "score")
+            elif kind == "bm25":
+                found = retrieval.bm25_best(searched, chunks, k, analyzer=analyzer).withColumnRenamed("sparse_score", "score")
+            else:
+                stored = corpus.sparse.join(chunks.select("chunk_id", "kb_id"), "chunk_id")
+                found = retrieval.sparse_best(sparse(searched), stored, k).withColumnRenamed("sparse_score", "score")
+            others[kind] = materialize(found, f"{kind}_hits")
+        return Hits(queries, materialize(retrieval.dense_topk(asked, vectors, k), "dense_hits"), others, routes)
+
+
+def retrieve(hits: Hits, corpus: Corpus, config: Retrieval, store: str = "exact") -> DataFrame:
     """A row per query: query_id, query, intent, parent_ids, document_ids, contexts, confidence, support, refusal_reason."""
-    dense, lexical = hits.dense.filter(F.col("dense_rank") <= config.candidates), hits.lexical
+    dense, kind = hits.dense.filter(F.col("dense_rank") <= config.candidates), sparse_kind(config.retriever, store, "learned" in hits.others)
+    other = hits.others[kind] if kind else None
     if config.router:
-        dense, lexical = (d.join(hits.routes.select("query_id", "kb_id"), ["query_id", "kb_id"]) for d in (dense, lexical))
+        mine = hits.routes.select("query_id", "kb_id")
+        dense, other = dense.join(mine, ["query_id", "kb_id"]), other.join(mine, ["query_id", "kb_id"]) if kind else None
     listed = retrieval.concatenated(dense, "dense_rank")
-    if config.retriever == "dense":
+    if not kind:
         ranked = listed.select("query_id", "chunk_id", F.col("pos").alias("in_rank"), F.lit(None).cast("double").alias("rrf_score"))
     else:
-        order = [F.col("lexical_score").desc(), F.col("chunk_id")]
-        words = retrieval.ranked(lexical, ["query_id"], order, "pos", config.candidates)
+        order = [F.col("score").desc(), F.col("chunk_id")]
+        words = retrieval.ranked(other, ["query_id"], order, "pos", config.candidates)
         fused = ranking.reciprocal_rank_fusion([listed, words], config.rrf_constant)
         ranked = fused.select("query_id", "chunk_id", F.col("rrf_rank").alias("in_rank"), "rrf_score")
     ranked = ranked.join(listed.select("query_id", "chunk_id", "dense_score"), ["query_id", "chunk_id"], "left")
+    if kind in ("bm25", "learned"):
+        ranked = ranked.join(other.select("query_id", "chunk_id", F.col("score").alias("sparse_score")), ["query_id", "chunk_id"], "left")
+    else:
+        ranked = ranked.withColumn("sparse_score", F.lit(None).cast("double"))
     texts = corpus.children.select("chunk_id", "parent_id", "document_id", "content")
-    rows = ranked.join(texts, "chunk_id").join(hits.queries, "query_id").withColumn("sparse_score", F.lit(None).cast("double"))
+    rows = ranked.join(texts, "chunk_id").join(hits.queries, "query_id")
     if config.rerank:
-        rows = ranking.rerank_local(rows, max(config.candidates, config.top_k)).withColumn("rank", F.col("rerank_rank"))
+        rows = providers.gated_reranker(config.reranker)(rows, max(config.candidates, config.top_k)).withColumn("rank", F.col("rerank_rank"))
     else:
         rows = rows.withColumns({"rank": F.col("in_rank"), "rerank_score": F.lit(None).cast("double")})
     scores = F.struct("rerank_score", "rrf_score", "dense_score", "document_id")
@@ -80,9 +115,7 @@ def retrieve(hits: Hits, corpus: Corpus, config: Retrieval) -> DataFrame:
     listed = F.sort_array(F.collect_list(F.struct("parent_rank", "parent_id", "content", "score")))
     found = best.groupBy("query_id").agg(listed.alias("p"))
     out = hits.queries.join(hits.routes.drop("kb_id"), "query_id").join(found, "query_id", "left")
-    empty = F.array().cast(found.schema["p"].dataType)
-    # Small talk is answered without a search.
-    out = out.withColumn("p", F.when(F.col("intent") == "chitchat", empty).otherwise(F.coalesce("p", empty)))
+    out = out.withColumn("p", F.coalesce("p", F.array().cast(found.schema["p"].dataType)))
     none, top = F.lit(None).cast("double"), F.try_element_at("p", F.lit(1))["score"]
     conf = ranking.confidence(top["rerank_score"], top["rrf_score"], none, none, top["dense_score"], config.rrf_constant, F.size("p") > 0)
     out = out.withColumns({"confidence": F.when(F.col("intent") == "chitchat", 1.0).otherwise(conf), "support": ranking.query_support(F.col("query"), F.col("p.content"))})

@@ -49,11 +49,16 @@ class Budgets:
 
 @dataclass(frozen=True)
 class Retrieval:
-    """One retrieval configuration; name labels its rows in reports."""
+    """One retrieval configuration; name labels its rows in reports.
+
+    retriever is dense alone, or fuses it with lexical ranks (hybrid_rrf), BM25 (hybrid_bm25) or learned sparse vectors
+    (hybrid_sparse); reranker, embedding and analyzer name entries of their registries.
+    """
 
     name: str = "default"
     retriever: str = "dense"
     rerank: bool = False
+    reranker: str = "local"
     router: bool = False
     top_k: int = 5
     candidates: int = 20

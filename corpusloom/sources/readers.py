@@ -97,10 +97,11 @@ def segments(spark: SparkSession, path: str, kb_id: int) -> DataFrame:
 
 
 def evaluation_set(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """A JSON-lines evaluation set with defaults for what it leaves out; blank lines are skipped."""
+    """A JSON-lines evaluation set with defaults for what it leaves out; blank lines are skipped. limit takes the first
+    queries by text."""
     rows = spark.read.schema(EVALUATION).json(path)
     rows = with_defaults(rows.filter("query is not null"))
-    return rows.limit(limit) if limit else rows
+    return rows.orderBy("query").limit(limit) if limit else rows
 
 
 def pages_text(pages: DataFrame) -> DataFrame:

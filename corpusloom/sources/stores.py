@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import changes
-from corpusloom.operators.filters import apply_filters
+from corpusloom.operators.filters import apply_filters, pushed
 from corpusloom.operators.retrieval import dense_topk
 
 TEXT_CHARS, PATH_CHARS = 65535, 2048
@@ -74,9 +74,10 @@ class VectorStore(ParquetTable):
         self.upsert(rows.withColumns(cut) if cut else rows)
 
     def search(self, queries: DataFrame, k: int, filters: dict | None = None, post_filter: bool = False) -> DataFrame:
-        """The k nearest of what the filters leave; post_filter: what they leave of the k nearest."""
+        """The k nearest of what the filters, pushed down to the scan, leave; post_filter: what they leave, matched row by
+        row, of the k nearest."""
         rows = self.read()
-        kept = apply_filters(rows, filters or {})
+        kept = apply_filters(rows, filters or {}) if post_filter else pushed(rows, filters or {})
         hits = dense_topk(queries, rows if post_filter else kept, k)
         return hits.join(kept.select("chunk_id"), "chunk_id", "left_semi") if post_filter else hits
 

@@ -7,33 +7,62 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.operators import chunking
+from corpusloom.operators.records import TEXT_CHARS
 from corpusloom.schemas import Budgets
+from corpusloom.session import materialize
 from corpusloom.sources.stores import ParquetTable
 
 # The stages of an ingestion and their progress.
-STAGES = (("parsing", 30), ("chunking", 45), ("embedding", 80), ("indexed", 100))
+STAGES = {"embedding": 20, "parsing": 30, "chunking": 45, "chunked": 65, "storing": 80, "indexed": 100}
+STAGE_SCHEMA = "batch_id long, stage string, progress int, message string, at timestamp"
 
 
 def ingest(spark: SparkSession, source: str, schema, parents: ParquetTable, children: ParquetTable, checkpoint: str, stages: str, budgets: Budgets = Budgets()) -> StreamingQuery:
     """Chunks document files (kb_id, document_id, file_name, text as Parquet) as they arrive and upserts them; a document that
-    comes again replaces its chunks. A batch that is repeated after a failure gives the same ids, so it changes nothing."""
+    comes again replaces its chunks. A batch that is repeated after a failure gives the same ids, so it changes nothing.
+
+    stages is a log: a row as each batch enters a stage, and one for its failure.
+    """
+
+    def enter(batch_id: int, stage: str, progress: int, message: str | None = None) -> None:
+        row = spark.createDataFrame([(batch_id, stage, progress, message)], "batch_id long, stage string, progress int, message string")
+        row.withColumn("at", F.current_timestamp()).write.mode("append").parquet(stages)
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        rows = chunking.parents(chunking.line_segments(batch), budgets)
-        kids = chunking.children(rows, budgets)
-        for table, new, key in ((parents, rows, "parent_id"), (children, kids, "chunk_id")):
-            old = table.read()
-            if old is not None:
-                old = old.join(batch.select("document_id").distinct(), "document_id", "left_anti")
-                new = old.unionByName(new)
-            table.replace(new.dropDuplicates([key]))
-        names = spark.createDataFrame([(batch_id, n, p) for n, p in STAGES], "batch_id long, stage string, progress int")
-        names.write.mode("append").parquet(stages)
+        reached = "embedding"
+        try:
+            for reached in ("embedding", "parsing"):
+                enter(batch_id, reached, STAGES[reached])
+            segments = materialize(chunking.line_segments(batch), "segments")
+            reached = "chunking"
+            enter(batch_id, reached, STAGES[reached])
+            rows = materialize(chunking.parents(segments, budgets), "parents")
+            reached = "chunked"
+            enter(batch_id, reached, STAGES[reached])
+            kids = chunking.children(rows, budgets)
+            reached = "storing"
+            enter(batch_id, reached, STAGES[reached])
+            for table, new, key in ((parents, rows, "parent_id"), (children, kids, "chunk_id")):
+                old = table.read()
+                if old is not None:
+                    old = old.join(batch.select("document_id").distinct(), "document_id", "left_anti")
+                    new = old.unionByName(new)
+                table.replace(new.dropDuplicates([key]))
+            enter(batch_id, "indexed", STAGES["indexed"])
+        except Exception as e:
+            enter(batch_id, "failed", STAGES[reached], str(e)[:TEXT_CHARS])
+            raise
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def states(stages: DataFrame) -> DataFrame:
+    """(batch_id, stage, progress, message): the last stage that each batch of the log has entered."""
+    last = F.max_by(F.struct("stage", "progress", "message"), F.struct("at", "progress")).alias("s")
+    return stages.groupBy("batch_id").agg(last).select("batch_id", "s.*")
+
+
 def _timed(events: DataFrame, late: str | None) -> DataFrame:
     """A stream with its watermark, which needs instants."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late and events.isStreaming else events

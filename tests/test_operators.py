@@ -94,7 +94,7 @@ def test_confidence(spark, score, want):
 
 def test_filters(spark):
     wanted = {"kb_id": [1, 2], "doc_type": "规章制度", "effective_date": {"$gte": "2024-01-01"}}
-    assert filters.pushdown_text(wanted) == 'kb_id in [1, 2] and doc_type == "规章制度" and effective_date >= "2024-01-01"'
+    assert filters.pushdown_text(wanted) == "`kb_id` in (1, 2) and `doc_type` = '规章制度' and `effective_date` >= '2024-01-01'"
     rows = spark.createDataFrame([(None,), ("2024-05-01",), ("医工",)], "x string")
     count = lambda e: filters.apply_filters(rows, {"x": e}).count()
     assert (count(["医工", ""]), count(["医工"]), count([]), count(None)) == (2, 1, 0, 1)
@@ -174,7 +174,7 @@ def test_lexical_scores_count_inside_words(spark):
     rows = [("c1", "报修工单报修 XbcX bc bcbcb"), ("c2", "nothing"), ("c3", "")]
     chunks = spark.createDataFrame(rows, "chunk_id string, content string")
     queries = spark.createDataFrame([(1, "报修 bc zz"), (2, "")], "query_id long, query string")
-    got = {(r.query_id, r.chunk_id): r.lexical_score for r in retrieval.lexical_scores(queries, chunks).collect()}
+    got = {(r.query_id, r.chunk_id): r.lexical_score for r in retrieval.lexical_best(queries, chunks.withColumn("kb_id", F.lit(1)), 10).collect()}
     assert got == {(1, "c1"): sum(rows[0][1].count(t) for t in ("报修", "bc"))}
 
 
