@@ -263,9 +263,26 @@ def find(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int, int]
     return out
 
 
+def repeated_labels(graph: Graph) -> np.ndarray:
+    """The observed labels, and on tokens that have none those of the tokens that they repeat; links are of each repeat with
+    the one before it."""
+    labels = graph.seen.copy()
+    repeats = [(a, b) for a, b, kind in graph.links.tolist() if kind == 1]
+    for a, b in repeats:
+        if labels[b] < 0:
+            labels[b] = labels[a]
+    for a, b in reversed(repeats):
+        if labels[a] < 0:
+            labels[a] = labels[b]
+    return labels
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Field:
-    """Learns the field from the patterns' finds in at most sample documents, those whose ids hash lowest; of repeats, from
-    each and the one before it, as an anchor's many links would outweigh all else."""
+    """Learns the field from the patterns' finds in at most sample documents, those whose ids hash lowest, one row of each.
+
+    What the patterns found is hidden from the field there, which learns it from shapes and neighbours; tokens that repeat a
+    find, and that the patterns missed, are of its kind too. Of repeats it learns from each and the one before it, as an
+    anchor's many links would outweigh all else."""
     ids = docs.select(F.col("doc_id").alias("id")).filter("id is not null").orderBy(F.xxhash64("id"), "id").limit(sample)
     ids = materialize(ids.distinct(), "pii_sample")
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
@@ -273,8 +290,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Field:
     def graphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             g = graph_of(list(pdf["text"]), anchored=False)
-            yield pd.DataFrame({"n": [len(g.seen)], "shapes": [g.shapes.astype(np.int8).tobytes()], "seen": [g.seen.astype(np.int8).tobytes()], "links": [g.links.astype(np.int32).tobytes()]})
+            yield pd.DataFrame({"n": [len(g.seen)], "shapes": [g.shapes.astype(np.int8).tobytes()], "seen": [repeated_labels(g).astype(np.int8).tobytes()], "links": [g.links.astype(np.int32).tobytes()]})
 
+    texts = texts.groupBy("id").agg(F.min("text").alias("text"))
     rows = texts.select("text").mapInPandas(graphs, "n long, shapes binary, seen binary, links binary").toPandas().sort_values(["n", "shapes", "seen"])
     first = np.concatenate([[0], np.cumsum(rows["n"])]).astype(np.int64)
     shapes = np.concatenate([np.frombuffer(x, np.int8).reshape(-1, len(SLOTS)) for x in rows["shapes"]] or [np.zeros((0, len(SLOTS)), np.int8)]).astype(np.int64)

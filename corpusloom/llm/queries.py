@@ -243,6 +243,16 @@ ORACLE: dict[str, str] = {
     select n.page_id, n.host, n.path, f.rule, l.canon is not null and f.says is null as listed,
            coalesce(f.says, case when l.canon is not null then 'block' else 'allow' end) verdict
     from named n left join fits f using (page_id) left join listed l on n.canon = l.canon""",
+    "op8_cover_tree": """
+    with recursive fit as (
+        select vec_id, label, embedding::double[] e from embeddings
+        where label is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+          and list_sum(list_transform(embedding, lambda x: x::double * x::double)) > 0
+    ),
+    links as (select a.vec_id x, b.vec_id y from fit a join fit b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.93),
+    reach(x, y) as (select vec_id, vec_id from embeddings union select r.x, l.y from reach r join links l on r.y = l.x),
+    counts as (select x, count(*) n from links group by x)
+    select vec_id, coalesce(any_value(n), 0) n_links, min(y) component_id, vec_id = min(y) kept from embeddings join reach on vec_id = reach.x left join counts on vec_id = counts.x group by vec_id""",
     "op9_digest_index": """
     select doc_id, max(doc_id) over w keep_id, count(*) over w group_size, doc_id = max(doc_id) over w kept,
            sha256(coalesce(text, '')) text_sha256

@@ -4,6 +4,7 @@ repeated rows, an empty copy, and columns with clashing names."""
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -348,6 +349,56 @@ def test_scores_are_those_of_brute_force_counts(spark, sf_dir):
     assert sum(got[i].score - got[i].base_score for i in tokens if held[i]) > 0
 
 
+def brute_scores(train, texts, depth=suffix_tree.MAX_DEPTH):
+    """The suffix tree by dictionaries: contexts are tuples of words, the newest first. Also the retained contexts."""
+    c = Counter(t for ts in train for t in ts)
+    n, least = sum(c.values()), suffix_tree.LEAST_EVENTS
+    root = lambda w: (c[w] + 0.5) / (n + 0.5 * (len(c) + 1))
+    counts = Counter()
+    for ts in train:
+        for k, w in enumerate(ts):
+            for d in range(1, min(depth, k) + 1):
+                counts[tuple(reversed(ts[k - d : k])), w] += 1
+    uses = {(w,): m for w, m in c.items() if m >= least and w is not None}
+    p, rest, diverges = {}, {}, {}
+
+    def after(context, w):
+        if not context:
+            return root(w)
+        return p[context, w] if (context, w) in p else rest[context] * after(context[:-1], w)
+
+    for d in range(1, depth + 1):
+        level = {x: m for x, m in uses.items() if len(x) == d}
+        for x, m in level.items():
+            events = {w: k for (y, w), k in counts.items() if y == x and k >= least and c[w] >= least}
+            above = {w: after(x[:-1], w) for w in events}
+            rest[x] = 1 - sum((k - suffix_tree.DISCOUNT) / m for k in events.values())
+            left, left_above = max(0.0, 1 - sum(events.values()) / m), max(1e-12, 1 - sum(above.values()))
+            gain = sum(k * math.log(k / m / above[w]) for w, k in events.items()) + m * left * math.log(max(left, 1e-300) / left_above)
+            diverges[x] = bool(events) and gain > 0.5 * math.log(n) * len(events)
+            p |= {(x, w): (k - suffix_tree.DISCOUNT) / m + rest[x] * above[w] for w, k in events.items()}
+        uses |= {(w, *x): k for x in level for w, k in ((w, counts[x, w]) for w in c) if k >= least and c[w] >= least and w is not None and (w, *x)[:-1] in level}
+    kept = {x[: k + 1] for x, yes in diverges.items() if yes for k in range(len(x))}
+
+    def log_p(ts, k):
+        longest = max((d for d in range(min(depth, k) + 1) if not d or tuple(reversed(ts[k - d : k])) in kept), default=0)
+        return math.log10(after(tuple(reversed(ts[k - longest : k])), ts[k]))
+
+    return [sum(log_p(ts, k) for k in range(len(ts))) for ts in texts], kept
+
+
+def test_scores_are_those_of_a_brute_force_tree(spark):
+    rng = np.random.default_rng(3)
+    patterns = ["a b c d e", "x b c d f", "a c c d g", "q r s t u"]
+    texts = [" ".join(patterns[k] for k in rng.integers(0, 4, 6)) + (" rare%d" % i if i % 9 == 0 else "") for i in range(60)]
+    docs = spark.createDataFrame([(i, t, i < 45) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    got = {r.doc_id: r.score for r in suffix_tree.score(docs, F.col("train")).collect()}
+    tokens = [[*t.split(), None] for t in texts]
+    want, kept = brute_scores(tokens[:45], tokens)
+    assert max(map(len, kept)) >= 3
+    assert all(got[i] == pytest.approx(want[i], abs=1e-6) for i in range(60))
+
+
 def test_next_words_of_each_state_sum_to_one(spark):
     """Scores of all one-word continuations, the end and an unknown word included, are a distribution."""
     texts = ["a b a b a b c"] * 40 + ["b b c a"] * 30 + ["c a b"] * 30
@@ -445,6 +496,30 @@ def test_field_carries_labels_to_repeats(spark):
     assert [(pii_crf.KINDS[k], text[s:e]) for s, k, e in spans] == [("phone", "+15551234567"), ("phone", "15551234567")]
 
 
+def test_spans_are_those_of_exact_marginals(spark):
+    """All spans of a short text against sums over every labelling of its tokens."""
+    text = "call +15551234567 or 15551234567 mail me@x.org and 15551234567 at 10"
+    docs = spark.createDataFrame([(i, f"tel +1555123{4000 + i} or 1555123{4000 + i} ok {i}") for i in range(40)] + [(99, text)], "doc_id long, text string")
+    field = pii_crf.fit(docs)
+    graph = pii_crf.graph_of([text])
+    node = sum(w[graph.shapes[:, k]] for k, w in enumerate(field.shape))
+    weights = np.zeros((len(graph.seen), pii_crf.LABELS))
+    for labels in itertools.product(range(pii_crf.LABELS), repeat=len(graph.seen)):
+        if all(s < 0 or s == x for s, x in zip(graph.seen, labels, strict=True)):
+            x = math.exp(sum(node[i, v] for i, v in enumerate(labels) if graph.seen[i] < 0) + sum(field.pair[kind][labels[a], labels[b]] for a, b, kind in graph.links))
+            for i, v in enumerate(labels):
+                weights[i, v] += x
+    exact = weights / weights.sum(axis=1, keepdims=True)
+    assert np.abs(exact - pii_crf.beliefs(graph, field)).max() < 0.05
+    got = pii_crf.detect(docs.filter("doc_id = 99"), field).first()
+    base = {(s["kind"], s["start"], s["end"]) for s in got.base}
+    spans, mine = {(s["kind"], s["start"], s["end"]) for s in got.spans}, set()
+    for (start, end), p, seen in zip(graph.spans[0], exact, graph.seen, strict=True):
+        if seen < 0 and p.argmax() and p.max() >= pii_crf.BELIEF:
+            mine.add((pii_crf.KINDS[p.argmax() - 1], start, end))
+    assert spans == base | mine and len(mine) >= 2
+
+
 def test_field_reaches_a_hundred_repeats_and_no_other_document():
     shape = [np.zeros((n, pii_crf.LABELS)) for n in pii_crf.SLOTS]
     pair = np.zeros((2, pii_crf.LABELS, pii_crf.LABELS))
