@@ -36,8 +36,9 @@ def format_windows(turns: DataFrame, stride: int = STRIDE, history: int = HISTOR
     """(conv_id, turn, role, text) -> a row per window: conv_id, window, n_context, formatted, loss_spans.
 
     Tokens are words of the text plus MARKS a turn. A window's own turns are those that begin in its stride,
-    so it holds at most stride tokens and one turn more; history must not exceed stride. Context turns (the
-    conversation's first turn if it is the system's, and history) come first. loss_spans are code points of
+    so of its own it holds at most stride tokens and one turn more; turns are never cut, so a long one makes a long
+    window. history must not exceed stride. Context turns (the conversation's first turn if it is the system's, and at
+    most history tokens and one turn) come first, on top of that. loss_spans are code points of
     formatted, end exclusive. Rows are ordered by turn, nulls first, then role and text; null roles and
     texts are empty; a null conv_id is a conversation; repeated rows are turns each. Other columns are ignored.
     """

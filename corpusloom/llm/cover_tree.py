@@ -21,6 +21,8 @@ from corpusloom.llm.common import connected_components, join_groups, materialize
 THRESHOLD = 0.93
 #: Bound of all labels' pivots together, which are broadcast; vectors of a node that one task takes.
 MAX_PIVOTS, BLOCK = 2048, 2048
+#: Rows of a block that are tried as centres at once.
+CANDIDATES = 128
 #: Bounds are held with this margin, so rounding never decides; open pairs are decided by the cosine itself.
 MARGIN = 1e-6
 
@@ -33,10 +35,8 @@ def unit_rows(vectors: pd.Series) -> np.ndarray:
 class Level:
     """One level of a cover tree: each row's node, and the nodes' centres and covering radii."""
 
-    def __init__(self, node_of: np.ndarray, centre: np.ndarray, apart2: np.ndarray):
-        self.node_of, self.centre = node_of, centre
-        self.radius = np.zeros(len(centre))
-        np.maximum.at(self.radius, node_of, np.sqrt(np.maximum(0, apart2[np.arange(len(node_of)), centre[node_of]])))
+    def __init__(self, node_of: np.ndarray, centre: np.ndarray, radius: np.ndarray):
+        self.node_of, self.centre, self.radius = node_of, centre, radius
         self.order = np.argsort(node_of, kind="stable")
         self.start = np.searchsorted(node_of[self.order], np.arange(len(centre) + 1))
 
@@ -44,26 +44,44 @@ class Level:
         return self.order[self.start[node] : self.start[node + 1]]
 
 
+def covered(x: np.ndarray, rows: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, float]]:
+    """(members, covering radius) of nodes of rows: each takes what is left within the radius of the first row left, its first.
+
+    The next CANDIDATES rows are held against what is left at once; what a node takes is held against no later one."""
+    left = rows
+    while len(left):
+        apart2 = np.maximum(0.0, 2 - 2 * (x[left[:CANDIDATES]] @ x[left].T))
+        free, near = np.ones(len(left), bool), apart2 <= radius * radius
+        near[np.arange(len(near)), np.arange(len(near))] = True
+        several = near.sum(axis=1) > 1
+        for k, far in enumerate(apart2):
+            if free[k] and not several[k]:
+                free[k] = False
+                yield left[k : k + 1], 0.0
+            elif free[k]:
+                own = free & near[k]
+                free &= ~own
+                members = np.flatnonzero(own)
+                yield left[np.concatenate([[k], members[members != k]])], float(np.sqrt(far[own].max())) if len(members) > 1 else 0.0
+        left = left[free]
+
+
 def levels(x: np.ndarray, apart: float) -> list[Level]:
     """Nested covers: a node's members are within the level's radius of its centre, from 2 * apart halving to apart / 4."""
-    apart2 = 2 - 2 * (x @ x.T)
-    radius, groups, alone, out = 2 * apart, [np.arange(len(x))], np.zeros(0, np.int64), []
+    radius, groups, alone, out = 2 * apart, [np.arange(len(x))], [], []
     while True:
-        node_of, centre, below = np.empty(len(x), np.int64), [], []
+        node_of, centre, reach, below = np.empty(len(x), np.int64), [], [], []
         for rows in groups:
-            near = (apart2 if len(rows) == len(x) else apart2[np.ix_(rows, rows)]) <= radius * radius
-            np.fill_diagonal(near, True)
-            free = np.ones(len(rows), bool)
-            for k in np.flatnonzero(near.sum(axis=1) > 1):  # the others are nodes of their own
-                own = near[k] & free
-                if free[k] and own.sum() > 1:
-                    free &= ~own
-                    node_of[rows[own]] = len(centre)
-                    centre.append(rows[k])
-                    below.append(rows[own])
-            alone = np.concatenate([alone, rows[free]])
+            for members, far in covered(x, rows, radius):
+                if len(members) == 1:  # a node of its own from here on
+                    alone.append(members[0])
+                else:
+                    node_of[members] = len(centre)
+                    centre.append(members[0])
+                    reach.append(far)
+                    below.append(members)
         node_of[alone] = len(centre) + np.arange(len(alone))
-        out.append(Level(node_of, np.concatenate([np.array(centre, np.int64), alone]), apart2))
+        out.append(Level(node_of, np.array(centre + alone, np.int64), np.array(reach + [0.0] * len(alone))))
         if radius <= apart / 4 or not below:
             return out
         groups, radius = below, radius / 2
@@ -179,7 +197,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = THRESHOLD, block: int =
 
     Vectors are compared when their labels and lengths are equal. Null, empty and zero vectors, vectors with null
     or non-finite components, and vectors without a label link with nothing; so does a null vec_id, whose
-    component is null. Equal vectors are linked and compared once; rows that repeat a vec_id are a vector each.
+    component is null. Vectors whose squares add up to zero count as zero. Equal vectors are linked and compared once; rows that repeat a vec_id are a vector each.
     Other columns are ignored. An empty table gives no rows.
     """
     spark = vectors.sparkSession
