@@ -30,7 +30,7 @@ K = BANDS * ROWS
 SKETCH_BITS = 34
 #: Members of a bucket with which all of it are compared.
 HUBS = 4
-REMEMBERED, BATCH_SHINGLES, BATCH_ROWS = 100_000, 100_000, 250
+REMEMBERED, BATCH_SHINGLES, BATCH_ROWS = 60_000, 60_000, 150
 
 _words = re.compile(WORD).findall
 _u, MASK = np.uint64, (1 << 64) - 1

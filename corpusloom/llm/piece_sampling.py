@@ -41,7 +41,7 @@ LONGEST_UNIT = 24
 #: Units that a worker remembers (of more, those seen once are forgotten), and adds at once; ids, and steps of lattices, held for each on average.
 REMEMBERED, TOGETHER, HELD, STEPS = 150_000, 8_000, 20, 30
 #: Rows, and characters unless a single row has more, that are searched at once.
-BATCH_ROWS, BATCH_CHARS = 512, 800_000
+BATCH_ROWS, BATCH_CHARS = 512, 600_000
 #: A text with no more segmentations than these is searched by listing them, should its parts run out of mass.
 LISTED = 4096
 
@@ -128,8 +128,8 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Lattices:
     """The units seen by a worker: their two best segmentations, these ones' probabilities, and the steps of their lattices."""
 
-    def __init__(self, pieces: Pieces):
-        self.pieces = pieces
+    def __init__(self, pieces: Pieces, remembered: int = REMEMBERED):
+        self.pieces, self.remembered = pieces, remembered
         names = sorted(pieces.ids, key=len, reverse=True)
         codes, sizes, so_long = _codes(names)
         self.longest_piece = int(sizes[0])
@@ -170,10 +170,10 @@ class Lattices:
     def forget_if_full(self) -> None:
         """Keeps the units that were seen again, unless these are more than half of what may be remembered."""
         n = len(self.unit)
-        if n <= REMEMBERED and self.used <= HELD * REMEMBERED and self.first_step[self.n_states] <= STEPS * REMEMBERED and len(self.chunk) <= 2 * REMEMBERED:
+        if n <= self.remembered and self.used <= HELD * self.remembered and self.first_step[self.n_states] <= STEPS * self.remembered and len(self.chunk) <= 2 * self.remembered:
             return
         keep = np.flatnonzero(self.seen[:n] > 1)
-        if len(keep) > REMEMBERED // 2 or self.size[keep].sum() > HELD * REMEMBERED // 2:
+        if len(keep) > self.remembered // 2 or self.size[keep].sum() > HELD * self.remembered // 2:
             keep = keep[:0]
         m, place = len(keep), np.full(n, -1)
         place[keep] = np.arange(m)
@@ -181,7 +181,7 @@ class Lattices:
         ends, units = np.array(self.chunk_ends), place[np.array(self.chunk_units, np.int64)]
         lost = np.concatenate([[0], np.cumsum(units < 0)])
         stay = lost[ends[1:]] == lost[ends[:-1]]
-        if stay.sum() > REMEMBERED:
+        if stay.sum() > self.remembered:
             stay[:] = False
         self.chunk = dict(zip(itertools.compress(self.chunk, stay.tolist()), range(int(stay.sum())), strict=True))
         sizes = np.diff(ends)[stay]
@@ -850,11 +850,14 @@ def spelled_runs(ids: np.ndarray, ends: list[int], spelled: pa.Array) -> Iterato
         yield data[offsets[a] : offsets[b]]
 
 
-#: A worker's lattices outlive its tasks; of one vocabulary at a time.
+#: Lattices that outlive a worker's tasks; of one vocabulary at a time.
 _held: dict[str, Lattices] = {}
 
 
-def _lattices(pieces: Pieces) -> Lattices:
+def _lattices(pieces: Pieces, held: bool) -> Lattices:
+    if not held:
+        _held.clear()
+        return Lattices(pieces, REMEMBERED // 3)
     if pieces.name not in _held:
         _held.clear()
         _held[pieces.name] = Lattices(pieces)
@@ -874,7 +877,7 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
-def encode(docs: DataFrame, pieces: Pieces, k: int = K, seed: int = 0, check: bool = False, repeat: str | None = None, together: bool = False) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, k: int = K, seed: int = 0, check: bool = False, repeat: str | None = None, together: bool = False, held: bool = True) -> DataFrame:
     """(doc_id, text, maybe more) -> a row for each of up to k segmentations: doc_id, sample from 0 on in falling order of
     perturbed log-probability, ids, log_prob, perturbed, inclusion; with check also exact, whether ids give the text.
 
@@ -883,14 +886,15 @@ def encode(docs: DataFrame, pieces: Pieces, k: int = K, seed: int = 0, check: bo
     then they take k each in turn of the samples drawn without replacement, beginning anew where a text has no more,
     and inclusion is that among k samples for each row so far. With together, a text's rows are one, with an array
     samples after doc_id and what other columns docs has but for text and repeat; otherwise other columns are
-    ignored. Texts are never cut; a very long one is searched alone, at about 50 bytes a character. An empty table gives no rows.
+    ignored. held: workers keep lattices from task to task, up to about 150 MB, which is faster; without it they keep a
+    third as many, and none after a task. Texts are never cut; a very long one is searched alone, at about 50 bytes a character. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     keep = [f for f in docs.schema.fields if together and f.name not in ("doc_id", "text", repeat)]
     kept = [f"kept_{n}" for n in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices, spelled = _lattices(shared.value), pa.array(shared.value.spelled, pa.binary())
+        lattices, spelled = _lattices(shared.value, held), pa.array(shared.value.spelled, pa.binary())
         for part in itertools.chain.from_iterable(map(_parts, batches)):
             turns, rows, sizes, flat = part.column("turn").to_pylist(), [], [0], []
             which, ends = [], [0]

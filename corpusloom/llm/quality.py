@@ -14,8 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import WORD, fold, materialize, text_or_empty
@@ -23,14 +24,14 @@ from corpusloom.llm.common import WORD, fold, materialize, text_or_empty
 #: Hashed vectors, their length, and the lengths of character n-grams of a word between < and >.
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (3, 4)
 #: Hashed vectors of pairs of neighbouring words.
-PAIR_BUCKETS = 1 << 17
+PAIR_BUCKETS = 1 << 16
 #: Bound of the training sample: so many documents of each label.
 SAMPLE_PER_LABEL = 2500
 EPOCHS, RATE, SEED = 6, 1.0, 7
 #: A small sample is gone through more often, until there are so many steps.
 LEAST_STEPS = 15_000
 #: Words that a Python worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 
 _words = re.compile(WORD).findall
 
@@ -154,12 +155,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
 
     # One row of those that repeat an id, so that what comes to the driver is bounded like the sample.
     rows = texts.mapInPandas(bags, "doc_id string, quality int, at binary, n binary").groupBy("doc_id").agg(F.min(F.struct("at", "n", "quality")).alias("r"))
-    rows = rows.select("doc_id", "r.*").toPandas().sort_values("doc_id")
-    found = [(np.frombuffer(a, np.int32), np.frombuffer(n, np.float32)) for a, n in zip(rows["at"], rows["n"], strict=True)]
-    return train(found, rows["quality"].to_numpy(np.int64))
+    rows = rows.select("doc_id", "r.*").orderBy("doc_id").toArrow()
+    found = list(zip(_views(rows["at"], np.int32), _views(rows["n"], np.float32), strict=True))
+    return train(found, rows["quality"].to_numpy().astype(np.int64))
 
 
-def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+def _views(column: pa.ChunkedArray, kind: type) -> Iterator[np.ndarray]:
+    """Each binary value as an array, without copies."""
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        ends = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield np.frombuffer(data, kind, (b - a) // 4, a)
+
+
+def scored(docs: DataFrame, model: Model, column: str = "score", text: Column | None = None) -> DataFrame:
     """docs, all columns kept, with the probability of label 1; null texts count as empty and score as the bias says.
     A column of that name is replaced. Texts are scored whole, one at a time, each word of one at about 200 bytes."""
     share = docs.sparkSession.sparkContext.broadcast(model)
@@ -171,4 +181,4 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
         for s in texts:
             yield pd.Series([score_text(t, made[0], share.value.bias) for t in s], dtype="float64")
 
-    return docs.withColumn(column, F.pandas_udf(run, "double")(text_or_empty()))
+    return docs.withColumn(column, F.pandas_udf(run, "double")(text_or_empty() if text is None else F.coalesce(text, F.lit(""))))

@@ -104,12 +104,10 @@ def test_round_trip(pieces, lattices, text):
         assert P.decode(ids, pieces.spelled) == text
 
 
-def test_forgetting_changes_nothing(pieces, monkeypatch):
+def test_forgetting_changes_nothing(pieces):
     texts = [f"some words {i} here and{i % 7} there" for i in range(200)]
     run = lambda lattices: [[tuple(g[0].tolist()) for g in P.top_k(t, lattices, t, 2)] for t in texts]
     want = run(P.Lattices(pieces))
-    monkeypatch.setattr(P, "REMEMBERED", 20)
-
     def run(lattices):
         out = []
         for t in texts:
@@ -117,7 +115,7 @@ def test_forgetting_changes_nothing(pieces, monkeypatch):
             out.append([tuple(g[0].tolist()) for g in P.top_k(t, lattices, t, 2)])
         return out
 
-    assert run(P.Lattices(pieces)) == want
+    assert run(P.Lattices(pieces, 20)) == want
 
 
 def test_encode_rows(spark, pieces):
@@ -150,7 +148,7 @@ def test_walks_follow_the_lattice(lattices):
         lattices.add_many([unit])
         k = np.array([lattices.place[unit]])
         ways = all_ways(lattices, unit)
-        begins = {ids: lattices.low[k[0], r] for r, ids in enumerate(sorted(ways, key=ways.get, reverse=True)[:2]) if len(ways) > 1}
+        begins = {ids: lattices.begins(k)[0, r] for r, ids in enumerate(sorted(ways, key=ways.get, reverse=True)[:2]) if len(ways) > 1}
         v = (np.arange(4000) + 0.5) / 4000
         offs, sizes, logs, low = lattices.walk(np.repeat(k, 4000), v)
         got = [tuple(lattices.buffer[o : o + s].tolist()) for o, s in zip(offs, sizes, strict=True)]
