@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import curriculum, dart_minhash, digest_index, piece_sampling, quality
-from corpusloom.llm.common import flat, join_groups, nested, new_path, text_or_empty
+from corpusloom.llm.common import flat, join_groups, nested, new_path
 
 #: A document stays when its quality score is at least this.
 LEAST_QUALITY = 0.3
@@ -27,7 +27,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     rows of labels without an id or a label teach nothing.
     """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
-    scored = quality.scored(nested(docs, text=text_or_empty()), model)
+    scored = quality.scored(nested(docs), model, text=F.col("row.text"))
     return flat(scored.filter(F.col("score") >= LEAST_QUALITY))
 
 
@@ -80,7 +80,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("position")
     rows = in_order(docs).withColumn("turn", F.row_number().over(same) - 1).orderBy("position")
-    return piece_sampling.encode(rows, piece_sampling.load(spark), k=SAMPLES, repeat="turn", together=True)
+    return piece_sampling.encode(rows, piece_sampling.load(spark), k=SAMPLES, repeat="turn", together=True, held=False)
 
 
 STAGES = [
