@@ -2,12 +2,14 @@
 
 import io
 import json
+import math
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import metadata
+from corpusloom.functions import metadata, providers
 from corpusloom.functions import text as X
 from corpusloom.operators import changes, chunking, evaluation, filters, ranking, retrieval, routing
 from corpusloom.plans import pipeline
@@ -272,7 +274,6 @@ def test_containing_short_and_long_items(spark):
 
 
 def test_providers(spark):
-    from corpusloom.functions import providers
 
     rows = spark.createDataFrame([(1, 1, "a", "x", 1), (1, 2, "a", "aa", 2)], "query_id long, in_rank int, query string, content string, chunk_id long")
     providers.register_reranker("Length", providers.model_reranker(lambda qs, cs: [float(len(c)) for c in cs]))
@@ -284,3 +285,94 @@ def test_providers(spark):
     assert providers.store_for("hybrid", "local_hash") == "exact"
     with pytest.raises(ValueError, match="no embedding"):
         providers.embedding("nope")
+
+
+# Searches within tasks
+
+
+def test_best_keeps_what_sorting_keeps():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        k, n = int(rng.integers(1, 5)), int(rng.integers(0, 40))
+        chunks = np.array([f"c{i}" for i in rng.permutation(n)], dtype=object)
+        scores = rng.integers(0, 4, (3, n)).astype(float)
+        scores[scores == 0] = -np.inf
+        best, at = retrieval.Best(k), 0
+        while at < n:
+            step = int(rng.integers(1, 12))
+            best.add(scores[:, at : at + step], chunks[at : at + step])
+            at += step
+        got = sorted(zip(best.query.tolist(), (-best.score).tolist(), best.chunk.tolist(), strict=True))
+        want = [(q, -s, c) for q in range(3) for s, c in sorted(((s, c) for s, c in zip(scores[q].tolist(), chunks, strict=True) if s > 0), key=lambda x: (-x[0], x[1]))[:k]]
+        assert got == sorted(want)
+
+
+def test_sparse_vectors_and_bm25_in_blocks(spark):
+    chunks = spark.createDataFrame([(1, "a", "red red fish"), (1, "b", "blue fish"), (2, "c", "red"), (2, "d", ""), (2, "e", None)], "kb_id int, chunk_id string, content string")
+    queries = spark.createDataFrame([(i, q) for i, q in enumerate(["red fish", "blue", "", "none"])], "query_id long, query string")
+    one, many = (sorted(map(tuple, retrieval.bm25_best(queries, chunks, 3, block=b).collect())) for b in (1, 100))
+    assert one == many and {(q, c) for q, _, c, _ in many} == {(0, "a"), (0, "b"), (0, "c"), (1, "b")}
+    idf = lambda df: math.log(1 + (3 - df + 0.5) / (df + 0.5))
+    weight = lambda tf, n: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 2))
+    assert {c: s for q, _, c, s in many if q == 0}["a"] == pytest.approx(idf(2) * (weight(2, 3) + weight(1, 3)), abs=1e-6)
+    as_vector = lambda d, key, t: d.select(*key, F.map_from_arrays(F.array_distinct(F.split(t, " ")), F.transform(F.array_distinct(F.split(t, " ")), lambda x: F.lit(1.5))).alias("vector"))
+    got = retrieval.sparse_best(as_vector(queries.filter("query <> ''"), ["query_id"], "query"), as_vector(chunks.filter("content <> ''"), ["kb_id", "chunk_id"], "content"), 1)
+    assert sorted(map(tuple, got.collect())) == [(0, 1, "a", 4.5), (0, 2, "c", 2.25), (1, 1, "b", 2.25)]
+    assert retrieval.sparse_topk(got, 1).filter("query_id = 0").first()["chunk_id"] == "a"
+    assert retrieval.lexical_best(queries.limit(0), chunks, 3).count() == 0 and retrieval.bm25_best(queries, chunks.limit(0), 3).count() == 0
+
+
+def test_retriever_modes(spark):
+    assert [pipeline.sparse_kind(r, s, True) for r, s in (("dense", "hybrid"), ("hybrid_bm25", "hybrid"), ("hybrid_sparse", "hybrid"), ("hybrid_bm25", "exact"), ("hybrid_rrf", "hybrid"))] == [None, "bm25", "learned", "lexical", "lexical"]
+    assert pipeline.sparse_kind("hybrid_sparse", "hybrid", False) == "lexical"
+    rows = [(1, i, f"d{i}.txt", f"d{i}", "x", "y", t) for i, t in enumerate(["pump repair manual", "cleaning schedule of floors", "pump purchase contract"])]
+    docs = spark.createDataFrame(rows, "kb_id int, document_id long, file_name string, title string, department string, doc_type string, text string")
+    queries = spark.createDataFrame([(1, "pump repair"), (2, "你好")], "query_id long, query string")
+    words = lambda d, key, t: d.select(key, F.map_from_arrays(F.array_distinct(F.split(t, " ")), F.transform(F.array_distinct(F.split(t, " ")), lambda x: F.lit(1.0))).alias("vector"))
+    corpus = pipeline.Corpus.build(docs, sparse=lambda c: words(c, "chunk_id", "content"))
+    hits = pipeline.Hits.find(queries, corpus, 5, kinds=("lexical", "bm25", "learned"), sparse=lambda q: words(q, "query_id", "query"))
+    for mode in ("dense", "hybrid_rrf", "hybrid_bm25", "hybrid_sparse"):
+        got = {r.query_id: r for r in pipeline.retrieve(hits, corpus, Retrieval(mode, retriever=mode, rerank=True), "hybrid").collect()}
+        assert got[1].document_ids[0] == 0 and got[1].intent == "retrieval"
+        assert got[2].intent == "chitchat" and got[2].parent_ids == [] and got[2].confidence == 1.0
+
+
+def test_a_single_candidate_is_not_reranked(spark):
+    rows = spark.createDataFrame([(1, "pump", "a", "pump text", 1), (2, "pump", "b", "pump text", 1), (2, "pump", "c", "text", 2)], "query_id long, query string, chunk_id string, content string, in_rank int")
+    rows = rows.withColumns({c: F.lit(None).cast("double") for c in ("rrf_score", "dense_score", "sparse_score")})
+    got = {r.chunk_id: r.rerank_score for r in providers.gated_reranker("local")(rows, 5).collect()}
+    assert got["a"] is None and got["b"] > got["c"]
+
+
+def test_filters_reach_the_scan(spark, sf_dir):
+    rows = filters.pushed(spark.read.parquet(f"{sf_dir}/documents.parquet"), {"lang": ["de", "it's"], "n_chars": {"$gte": 10}})
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "In(lang, [de,it's])" in plan and "GreaterThanOrEqual(n_chars,10)" in plan
+    assert filters.pushdown_text({"a": "", "b": [None, ""], "c": {"$gt": None}}) == ""
+
+
+# Previews and states
+
+
+def test_preview_stores_nothing(spark):
+    docs = spark.createDataFrame([(7, 5, "手册 2024-03.txt", "操作 XY-100\n\nsecond line")], "kb_id int, document_id long, file_name string, text string")
+    chunks, said = chunking.preview(docs)
+    assert {(r.kb_id, r.document_id) for r in chunks.collect()} == {(0, 0)}
+    r = said.first()
+    assert r.sample == "操作 XY-100\nsecond line" and r.suggested.doc_type == "设备手册" and r.suggested.equipment_model == "XY-100"
+
+
+def test_a_failed_batch_is_logged(spark, tmp_path):
+    schema = "kb_id int, document_id long, file_name string, text string"
+
+    class Broken(stores.ParquetTable):
+        def replace(self, rows, partition_by=None):
+            raise OSError("disk full")
+
+    tables = [Broken(spark, f"file://{tmp_path}/{n}", [k]) for n, k in (("parents", "parent_id"), ("children", "chunk_id"))]
+    spark.createDataFrame([(1, 1, "a.txt", "one")], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    with pytest.raises(Exception, match="disk full"):
+        ingest.ingest(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, *tables, f"{tmp_path}/cp", f"{tmp_path}/stages").awaitTermination()
+    log = spark.read.schema(ingest.STAGE_SCHEMA).parquet(f"{tmp_path}/stages")
+    assert [r.stage for r in log.orderBy("at").collect()] == ["embedding", "parsing", "chunking", "chunked", "storing", "failed"]
+    assert [(r.stage, r.progress) for r in ingest.states(log).collect()] == [("failed", 80)]
