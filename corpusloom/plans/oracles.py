@@ -6,6 +6,7 @@ from corpusloom.functions import metadata
 from corpusloom.functions import text as X
 from corpusloom.operators import routing
 from corpusloom.plans.catalog import _NAMES
+from corpusloom.schemas import ABLATION
 
 QUERY_TERM, PROFILE_TERM = X.QUERY_TERM, X.PROFILE_TERM
 
@@ -154,7 +155,76 @@ def _rules(text: str, rules: tuple, otherwise: str) -> str:
 _META = "(file_name || chr(10) || substr(text, 1, 3000))"
 _LOW = lambda c: f"greatest(0.0, least(1.0, {c}))"
 
+def corpus(where: str = "true") -> str:
+    """Chunks of the documents, and each query's scores of all of them."""
+    return f"""all_{DOCS}, docs as (select * from all_docs where {where}), {parents(1000)}, {children(500, 120)},
+        chunks as (select document_id, kb_id, parent_id, c.content, sha256('child::' || parent_id || '::' || child_index || '::' || c.content) chunk_id
+            from children c join (select document_id, kb_id, parent_id from parents) using (document_id, parent_id)),
+        bodies as (select 'q' || item_id id, text body from benchmark union all select chunk_id, content from chunks), {EMBED},
+        dots as (select q.id q, d.id d, sum(q.weight * d.weight) s from units q join units d using (idx) where q.id[1] = 'q' and d.id[1] <> 'q' group by all),
+        ids as (select distinct id from units),
+        cosines as (select substr(q.id, 2)::bigint query_id, d.id chunk_id, round(coalesce(s, 0), 6) + 0.0 dense_score
+            from ids q join ids d on q.id[1] = 'q' and d.id[1] <> 'q' left join dots on dots.q = q.id and dots.d = d.id),
+        tokens as (select item_id query_id, unnest({distinct_terms("text", QUERY_TERM)}) token from benchmark),
+        lexical as (select query_id, kb_id, chunk_id, sum({count_of("content", "token")}) score from tokens join chunks on contains(content, token) group by all),
+        routes as (with {PROFILES} select item_id query_id, coalesce(kb_id, (select min(kb_id) from profiles)) kb_id from benchmark left join ranked on query_id = item_id and rank = 1)"""
+
+
+def results(p: str, hybrid: bool, rerank: bool, router: bool, candidates: int) -> str:
+    """{p}_out: what one configuration retrieves for each query from corpus()."""
+    mine = "join routes using (query_id, kb_id)" if router else ""
+    return f"""{p}_near as (
+            select *, row_number() over (partition by query_id order by kb_id, dense_rank) pos from (
+                select query_id, kb_id, chunk_id, dense_score, row_number() over (partition by query_id, kb_id order by dense_score desc, chunk_id) dense_rank
+                from cosines join chunks using (chunk_id) qualify dense_rank <= {candidates}) {mine}),
+        {p}_words as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) pos from lexical {mine} qualify pos <= {candidates}),
+        {p}_lists as (select query_id, chunk_id, pos, 0 list_no from {p}_near union all select query_id, chunk_id, pos, 1 from {p}_words where {hybrid}),
+        {p}_fused as (select query_id, chunk_id, round(sum(1.0::double / (60 + pos)), 12) rrf, min(list_no * 1000000 + pos) first from {p}_lists group by all),
+        {p}_rows as (
+            select f.query_id, chunk_id, case when {hybrid} then rrf end rrf, dense_score, content, parent_id, document_id,
+                   row_number() over (partition by f.query_id order by case when {hybrid} then rrf end desc, first, chunk_id) in_rank, count(*) over (partition by f.query_id) n,
+                   {distinct_terms("text", QUERY_TERM, True)} ts, lower(content) || chr(10) body
+            from {p}_fused f left join {p}_near using (query_id, chunk_id) join chunks using (chunk_id) join benchmark on item_id = f.query_id),
+        {p}_scored as (
+            select *, case when {rerank} and len(ts) > 0 then round(len(list_filter(ts, lambda t: contains(body, t))) * 2.0::double
+                + least(coalesce(list_sum(list_transform(ts, lambda t: {count_of('body', 't')})), 0), 20) * 0.1::double + (coalesce(rrf, 0) * 20.0::double + coalesce(dense_score, 0)), 9) end s from {p}_rows),
+        {p}_ranked as (
+            select *, case when n > 1 then s end rerank, row_number() over (partition by query_id order by s desc nulls last, in_rank) rank from {p}_scored qualify not {rerank} or rank <= {max(candidates, 5)}),
+        {p}_parents as (
+            select query_id, parent_id, min(rank) best, arg_min(document_id, rank) document_id, arg_min(coalesce(rerank, -1), rank) rerank, arg_min(coalesce(rrf, -1), rank) rrf, arg_min(coalesce(dense_score, -9), rank) dense,
+                   row_number() over (partition by query_id order by min(rank), parent_id) parent_rank from {p}_ranked group by query_id, parent_id qualify parent_rank <= 5),
+        {p}_found as (
+            select query_id, list(parent_id order by parent_rank) parent_ids, list(document_id order by parent_rank) docs, string_agg(content, chr(10) order by parent_rank) filter (parent_rank <= 3) ctx,
+                   arg_min(rerank, parent_rank) rerank, arg_min(rrf, parent_rank) rrf, arg_min(dense, parent_rank) dense from {p}_parents join (select parent_id, content from parents) using (parent_id) group by 1),
+        {p}_out as (
+            select item_id query_id, coalesce(array_to_string(parent_ids, ','), '') parent_ids, coalesce(list_filter(docs, lambda d, i: list_position(docs, d) = i), []) document_ids,
+                   case when parent_ids is null then 0.0 when rerank <> -1 then {_LOW('rerank')} when rrf <> -1 then {_LOW('rrf * 60')}
+                        when dense <> -9 then {_LOW('case when dense between 0 and 1 then dense else 1.0::double / (1.0 + greatest(dense, 0.0)) end')} else 0.0 end confidence,
+                   case when ctx is null or len(ts) = 0 then 0.0 else len(list_filter(ts, lambda t: contains(ctx, t)))::double / len(ts) end support
+            from (select *, {distinct_terms("text", QUERY_TERM)} ts from benchmark) b left join {p}_found f on f.query_id = item_id)"""
+
+
+REASON = """case when parent_ids = '' then 'no_parent_context' when confidence < 0.2 then format('confidence_below_threshold:{:.4f}<0.2000', confidence::double)
+    when support < 0.18 then format('query_support_below_threshold:{:.4f}<0.1800', support::double) end"""
+
+_CONFIGS = {c.name: results(c.name, c.retriever != "dense", c.rerank, c.router, c.candidates) for c in ABLATION}
+_METRICS = f"""want as (select item_id query_id, list(distinct d.doc_id) relevant from benchmark b join documents d on contains(d.text, b.text) group by all),
+    answers as ({" union all ".join(f"select '{c.name}' config, query_id, document_ids got, {REASON if c.refusal else 'null'} reason from {c.name}_out" for c in ABLATION)}),
+    judged as (
+        select config, relevant is not null good, reason is not null refused,
+               case when relevant is null then 0.0 else len(list_intersect(got[1:5], relevant))::double / len(relevant) end recall,
+               coalesce(1.0::double / list_min(list_filter(list_transform(got, lambda x, i: case when list_contains(relevant, x) then i end), lambda x: x is not null)), 0.0) rr,
+               case when relevant is null then 0.0 else coalesce(list_sum(list_transform(got[1:10], lambda x, i: case when list_contains(relevant, x) then 1.0::double / log2(i + 1) else 0.0 end)), 0.0)
+                   / list_sum(list_transform(range(1, least(len(relevant), 10) + 1), lambda i: 1.0::double / log2(i + 1))) end ndcg
+        from answers left join want using (query_id))"""
+
 ORACLE: dict[str, str] = {
+    "retrieval_pipeline": f"""with recursive {corpus()}, {_CONFIGS["routed"]}
+        select query_id, 'retrieval' intent, parent_ids, round(confidence, 6) confidence, round(support, 6) support, {REASON} refusal_reason from routed_out""",
+    "trial_retrieval": f"""with recursive {corpus("kb_id = 3")}, {results("trial", True, True, False, 20)} select query_id, parent_ids, round(confidence, 6) confidence from trial_out""",
+    "ablation_report": f"""with recursive {corpus()}, {", ".join(_CONFIGS.values())}, {_METRICS}
+        select config, round(coalesce(avg(recall) filter (good), 0), 6) recall_at_5, round(coalesce(avg(rr) filter (good), 0), 6) mrr, round(coalesce(avg(ndcg) filter (good), 0), 6) ndcg_at_10,
+               round(coalesce(avg(refused::int) filter (not good), 0), 6) negative_refusal_rate, round(coalesce(avg(refused::int) filter (good), 0), 6) false_refusal_rate from judged group by config""",
     "filter_pushdown": "select doc_id, lang from documents where lang in ('de', 'it''s') and n_chars >= 500 and n_chars < 5000",
     "bm25_analyzer": "with " + BM25.replace(QUERY_TERM, "[a-z0-9]+") + """
         select query_id, cast(substr(source, 4) as integer) kb_id, chunk_id, sparse_score from bm25 join documents on chunk_id = doc_id::varchar
