@@ -21,7 +21,7 @@ from corpusloom.functions import text as X
 
 DIMENSION = 384
 #: Queries that one pass over the chunks broadcasts; runs of which a task remembers the tokens.
-QUERY_BLOCK, REMEMBERED = 1024, 200_000
+QUERY_BLOCK, REMEMBERED = 256, 200_000
 K1, B = 1.2, 0.75
 RUN = r"[一-鿿]+|[A-Za-z0-9_-]+"
 
