@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, cover_tree, curriculum, dart_minhash, digest_index, pii_crf, piece_sampling, quality, suffix_tree, url_filter
+from corpusloom.llm import chat, cover_tree, curriculum, dart_minhash, digest_index, divergence, pii_crf, piece_sampling, quality, suffix_tree, toxicity, url_filter, whitening
 from corpusloom.llm.common import fold, new_path
 
 
@@ -112,6 +112,21 @@ def op10_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spelled("base"), 256).alias("base_sha256"), spelled("spans").alias("spans"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    rows = toxicity.scored(docs, model).select("doc_id", (fold(F.col("doc_id")) % 3 == 1).alias("held_out"), "score")
+    return rows.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_piece_sampling": op2_piece_sampling,
@@ -123,6 +138,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cover_tree": op8_cover_tree,
     "op9_digest_index": op9_digest_index,
     "op10_skip_chain_crf": op10_skip_chain_crf,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_whitening": op12_whitening,
+    "op13_toxicity": op13_toxicity,
 }
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -257,4 +275,34 @@ ORACLE: dict[str, str] = {
     select doc_id, max(doc_id) over w keep_id, count(*) over w group_size, doc_id = max(doc_id) over w kept,
            sha256(coalesce(text, '')) text_sha256
     from documents window w as (partition by coalesce(text, ''))""",
+    "op11_source_divergence": r"""
+    with docs as (
+        select row_number() over () d, coalesce(lang, '') lang, coalesce(source, '') source,
+               regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') terms from documents
+    ),
+    grps as (select distinct lang, source from docs),
+    said as (select d, lang, source, unnest(terms) term from docs),
+    known as (select lang, term from said group by all having count(distinct d) >= 3),
+    counts as (select lang, source, term, count(*) n from said semi join known using (lang, term) group by all),
+    sizes as (select lang, count(*) v from known group by 1),
+    totals as (select lang, source, coalesce(sum(n), 0)::hugeint total from grps left join counts using (lang, source) group by all),
+    p as (
+        select lang, source, term, coalesce(n, 0) n, (1 + 1000000000::hugeint * (coalesce(n, 0) + 1) // (total + v)) p
+        from totals join known using (lang) join sizes using (lang) left join counts using (lang, source, term)
+    ),
+    whole as (
+        select lang, term, 1 + 1000000000::hugeint * (w.n + 1) // (t.total + v) q
+        from (select lang, term, sum(n)::hugeint n from counts group by all) w join (select lang, sum(total)::hugeint total from totals group by 1) t using (lang) join sizes using (lang)
+    ),
+    pairs as (
+        select g.lang, g.source, 'pair' part, h.source item, coalesce(s.value, 0)::bigint as value from grps g join grps h on g.lang = h.lang and g.source <> h.source
+        left join (
+            select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+        ) s on s.lang = g.lang and s.source = g.source and s.item = h.source
+    ),
+    terms as (
+        select p.lang, p.source, 'term' part, p.term item, ((p - q) * (p - q) // q)::bigint as value from p join whole using (lang, term) where n > 0 and p > q
+    )
+    select *, (row_number() over (partition by lang, source order by value desc, item))::int as rank from pairs
+    union all select *, (row_number() over (partition by lang, source order by value desc, item))::int as rank from terms qualify rank <= 200""".replace("{upper}", _UPPER).replace("{lower}", _UPPER.lower()),
 }
