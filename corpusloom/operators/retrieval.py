@@ -22,6 +22,9 @@ from corpusloom.functions import text as X
 DIMENSION = 384
 #: Queries that one pass over the chunks broadcasts; runs of which a task remembers the tokens.
 QUERY_BLOCK, REMEMBERED = 256, 200_000
+#: Scores are ranked to so many digits, so that the order of equal ones does not hang on the order of additions: cosines, and
+#: sums of weights, which are larger.
+DIGITS, SUM_DIGITS = 12, 9
 K1, B = 1.2, 0.75
 RUN = r"[一-鿿]+|[A-Za-z0-9_-]+"
 
@@ -118,20 +121,30 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUER
     """queries (query_id long, embedding) and vectors (kb_id int, chunk_id string, embedding) -> query_id, kb_id,
     chunk_id, dense_score, dense_rank: for each query and knowledge base the k of largest cosine, ties by chunk_id.
 
-    Null and zero vectors are left out. Each block of queries is one pass over the vectors, which stay where they are:
-    a task keeps its own k best, and only these are shuffled.
+    Null, empty and zero vectors are left out, and vectors are only held against queries of their length. Each block of queries
+    is a pass over the vectors, which stay where they are: a task keeps its own k best, and only these are shuffled.
     """
     stored = vectors.filter("embedding is not null")
     column = F.transform("embedding", lambda x: x.cast("double")).alias("embedding")
     passes = []
     for part in query_blocks(queries.filter("embedding is not null").select("query_id", "embedding"), block):
-        asked = _units(np.stack([np.asarray(v, np.float64) for v in part["embedding"]]))
-
-        def scorer(asked=asked):
+        asked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        size = part["embedding"].map(len).to_numpy()
+        for d in np.unique(size[size > 0]).tolist():
+            x = units(np.stack([np.asarray(v, np.float64) for v in part["embedding"][size == d]]))
+            there = (x != 0).any(axis=1)
+            asked[d] = np.flatnonzero(size == d)[there], x[there]
+
+        def scorer(asked=asked, n=len(part)):
             def score(batch: pa.RecordBatch) -> np.ndarray:
-                x = _units(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
-                # Rounded, so that the order of ties does not hang on the order of additions.
-                return np.where((x != 0).any(axis=1), np.round(asked @ x.T, 6) + 0.0, -np.inf)
+                lists = batch.column("embedding")
+                size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                out = np.full((n, batch.num_rows), -np.inf)
+                for d, (at, q) in asked.items():
+                    here = np.flatnonzero(size == d)
+                    x = units(lists.take(pa.array(here)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
+                    out[np.ix_(at, here)] = np.where((x != 0).any(axis=1), np.round(q @ x.T, DIGITS) + 0.0, -np.inf)
+                return out
 
             return score
 
@@ -140,11 +153,26 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUER
     return ranked(out, ["query_id", "kb_id"], [F.col("dense_score").desc(), F.col("chunk_id")], "dense_rank", k)
 
 
-def _units(m: np.ndarray) -> np.ndarray:
+def units(m: np.ndarray) -> np.ndarray:
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
+def best_pairs(q: np.ndarray, x: np.ndarray, chunks: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, chunk, score) of the k best of x for each row of q, all unit vectors, ties by chunk."""
+    scores = np.round(q @ x.T, DIGITS) + 0.0
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        at, of = np.nonzero(scores >= least[:, None])
+    else:
+        at, of = (a.ravel() for a in np.indices(scores.shape))
+    score, chunk = scores[at, of], chunks[of]
+    order = np.lexsort((chunk.astype(str), -score, at))
+    at = at[order]
+    top = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[top], chunk[order][top], score[order][top]
+
+
 def concatenated(hits: DataFrame, rank: str, kb_order: Column | None = None) -> DataFrame:
     """Adds pos, a hit's place in the query's list: knowledge bases one after the other, not sorted again."""
     return ranked(hits, ["query_id"], [kb_order if kb_order is not None else F.col("kb_id"), F.col(rank)], "pos")
@@ -257,7 +285,7 @@ def bm25_best(queries: DataFrame, chunks: DataFrame, k: int, k1: float = K1, b:
                 tf = np.bincount(row * len(names) + at[at >= 0], minlength=len(lists) * len(names)).reshape(len(lists), -1)
                 weight = idf * tf * (k1 + 1) / (tf + (k1 * (1 - b + b * size / mean))[:, None])
                 there = has @ (tf > 0).T > 0
-                return np.where(there, np.round(has @ weight.T, 6), -np.inf)
+                return np.where(there, np.round(has @ weight.T, SUM_DIGITS), -np.inf)
 
             return score
 
@@ -289,7 +317,7 @@ def sparse_best(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUE
                 shape, n = (len(lists), len(place)), len(lists) * len(place)
                 x = np.bincount(cells, batch.column("weights").flatten().to_numpy(zero_copy_only=False)[at >= 0], n).reshape(shape)
                 there = has @ np.bincount(cells, minlength=n).reshape(shape).T > 0
-                return np.where(there, np.round(weight @ x.T, 6) + 0.0, -np.inf)
+                return np.where(there, np.round(weight @ x.T, SUM_DIGITS) + 0.0, -np.inf)
 
             return score
 

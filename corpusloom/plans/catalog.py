@@ -12,9 +12,16 @@ from corpusloom.functions import text as X
 from corpusloom.operators import changes, chunking, evaluation, filters, ranking, records, retrieval, routing
 from corpusloom.plans import pipeline
 from corpusloom.schemas import ABLATION, Budgets, Retrieval
+from corpusloom.session import new_path
 from corpusloom.sources import readers
+from corpusloom.sources.buckets import BucketStore
+from corpusloom.sources.stores import make_store
+from corpusloom.sources.vector_index import VectorIndex
 from corpusloom.streaming import ingest
 
+#: What the events' types stand for as steps of an ingestion.
+_STEPS = {"signup": "submitted", "view": "parsing", "click": "chunking", "purchase": "indexed", "error": "error"}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -201,6 +208,22 @@ def chunk_diff_banded(spark, sf_dir):
     return changes.banded_diff(old, new, scope=["document_id"]).withColumn("index", F.coalesce("index", F.lit(-1).cast("long")))
 
 
+@query
+def ingested_parents(spark, sf_dir):
+    """Parents in a store of chunks: every document, then a quarter again with new texts, while a tenth goes."""
+    docs = documents(spark, sf_dir)
+    store = BucketStore(spark, new_path(spark, "chunks"), tables=ingest.CHUNK_TABLES)
+
+    def put(rows: DataFrame, gone: DataFrame | None = None) -> None:
+        parents = chunking.parents(chunking.line_segments(rows))
+        store.replace({"parents": parents, "children": chunking.children(parents)}, gone)
+
+    put(docs)
+    put(docs.filter("document_id % 4 = 0").withColumn("text", F.concat(F.lit("Again. "), F.substring("text", 1, 600))), docs.filter("document_id % 10 = 7"))
+    kids = store.read("children").groupBy("parent_id").agg(F.count("*").alias("n_children"))
+    return store.read("parents").join(kids, "parent_id").select("document_id", "parent_index", "content", "parent_id", (F.col("n_children") > 0).alias("has_children"))
+
+
 @query
 def dup_probe(spark, sf_dir):
     """Uploads of every document, a third under another name, against the documents of even id."""
@@ -243,6 +266,11 @@ def update_where(spark, sf_dir):
 # Search
 
 
+def _told(hits: DataFrame, score: str = "dense_score") -> DataFrame:
+    """Scores as the results show them; they are ranked before."""
+    return hits.withColumn(score, F.round(score, 6))
+
+
 @query
 def hash_embedding(spark, sf_dir):
     rows = retrieval.hash_embedding(items(spark, sf_dir), "query_id", "query")
@@ -256,7 +284,7 @@ def hash_cosine_topk(spark, sf_dir):
 
     rows = chunks(spark, sf_dir)
     found = vectors(rows, "chunk_id", "content").join(rows.select("kb_id", "chunk_id"), "chunk_id")
-    return retrieval.dense_topk(vectors(items(spark, sf_dir), "query_id", "query"), found, 3)
+    return _told(retrieval.dense_topk(vectors(items(spark, sf_dir), "query_id", "query"), found, 3))
 
 
 def _vectors(spark, sf_dir):
@@ -268,20 +296,57 @@ def _vectors(spark, sf_dir):
 @query
 def dense_topk_per_kb(spark, sf_dir):
     asked, stored = _vectors(spark, sf_dir)
-    return retrieval.concatenated(retrieval.dense_topk(asked, stored, 5), "dense_rank")
+    return _told(retrieval.concatenated(retrieval.dense_topk(asked, stored, 5), "dense_rank"))
+
+
+@query
+def vector_index_topk(spark, sf_dir):
+    """The same nearest vectors by a clustered index, which is written in two parts."""
+    asked, stored = _vectors(spark, sf_dir)
+    index = VectorIndex(spark, new_path(spark, "vector_index"))
+    index.put(stored.filter("vec_id % 5 <> 4"))
+    index.put(stored.filter("vec_id % 5 = 4"))
+    return _told(index.search(asked, 5))
+
+
+@query
+def vector_index_filtered(spark, sf_dir):
+    """Customers nearest by balance, nation and key in three dimensions, of two segments; some are deleted before."""
+    rows = table(spark, sf_dir, "customer")
+    at = F.array((F.col("c_acctbal") / 1000).cast("double"), (F.col("c_nationkey") - 12).cast("double"), (F.col("c_custkey") % 97 - 48).cast("double"))
+    rows = rows.select(F.lit(1).alias("kb_id"), F.lpad(F.col("c_custkey").cast("string"), 12, "0").alias("chunk_id"), "c_custkey", F.col("c_mktsegment").alias("segment"), at.alias("embedding"))
+    index = VectorIndex(spark, new_path(spark, "vector_index"))
+    index.put(rows)
+    index.delete(rows.filter("c_custkey % 10 = 3"))
+    index.delete_where({"segment": "MACHINERY"})
+    asked = rows.filter("c_custkey % 100 = 0").select(F.col("c_custkey").alias("query_id"), "embedding")
+    return _told(index.search(asked, 4, {"segment": ["BUILDING", "AUTOMOBILE", "MACHINERY"]}))
+
+
+@query
+def store_changes(spark, sf_dir):
+    """A vector store after two puts, of which the second replaces a third, and deletions by chunk and by filter."""
+    _, stored = _vectors(spark, sf_dir)
+    rows = stored.select("kb_id", "chunk_id", "vec_id", F.lit("first").alias("content"), "embedding")
+    store = make_store("exact", spark, new_path(spark, "store"))
+    store.put(rows)
+    store.put(rows.filter("vec_id % 3 = 0").withColumn("content", F.lit("second")))
+    store.delete(rows.filter("vec_id % 7 = 0"))
+    store.delete_where({"kb_id": 2, "content": "first"})
+    return store.read().select("kb_id", "chunk_id", "content")
 
 
 @query
 def dense_topk_filtered(spark, sf_dir):
     asked, stored = _vectors(spark, sf_dir)
-    return retrieval.dense_topk(asked, filters.apply_filters(stored, {"vec_id": {"$gte": 100}, "kb_id": [1, 2, 3]}), 5)
+    return _told(retrieval.dense_topk(asked, filters.apply_filters(stored, {"vec_id": {"$gte": 100}, "kb_id": [1, 2, 3]}), 5))
 
 
 @query
 def dense_postfilter(spark, sf_dir):
     asked, stored = _vectors(spark, sf_dir)
     kept = filters.apply_filters(stored, {"vec_id": {"$gte": 100}})
-    return retrieval.dense_topk(asked, stored, 5).join(kept.select("chunk_id"), "chunk_id", "left_semi")
+    return _told(retrieval.dense_topk(asked, stored, 5).join(kept.select("chunk_id"), "chunk_id", "left_semi"))
 
 
 @query
@@ -291,14 +356,14 @@ def lexical_topk(spark, sf_dir):
 
 @query
 def bm25_topk(spark, sf_dir):
-    return retrieval.bm25_topk(items(spark, sf_dir), chunks(spark, sf_dir), 20).select("query_id", "chunk_id", "sparse_score")
+    return _told(retrieval.bm25_topk(items(spark, sf_dir), chunks(spark, sf_dir), 20), "sparse_score").select("query_id", "chunk_id", "sparse_score")
 
 
 @query
 def bm25_analyzer(spark, sf_dir):
     """BM25 of the terms of another analyzer."""
     found = retrieval.bm25_best(items(spark, sf_dir), chunks(spark, sf_dir), 5, analyzer="english")
-    return found.select("query_id", "kb_id", "chunk_id", "sparse_score")
+    return _told(found, "sparse_score").select("query_id", "kb_id", "chunk_id", "sparse_score")
 
 
 @query
@@ -308,7 +373,7 @@ def learned_sparse(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.map_from_entries(cells).alias("vector"))
     asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
     stored = vectors.select(F.lit(0).alias("kb_id"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("chunk_id"), "vector")
-    return retrieval.sparse_topk(retrieval.sparse_best(asked, stored, 20), 20).select("query_id", "chunk_id", "sparse_score", "sparse_rank")
+    return _told(retrieval.sparse_topk(retrieval.sparse_best(asked, stored, 20), 20), "sparse_score").select("query_id", "chunk_id", "sparse_score", "sparse_rank")
 
 
 @query
@@ -317,7 +382,7 @@ def direct_kb_query(spark, sf_dir):
     rows = chunks(spark, sf_dir).filter("kb_id = 3")
     found = retrieval.as_vectors(retrieval.hash_embedding(rows, "chunk_id", "content"), "chunk_id").withColumn("kb_id", F.lit(3))
     asked = retrieval.as_vectors(retrieval.hash_embedding(items(spark, sf_dir), "query_id", "query"), "query_id")
-    return retrieval.dense_topk(asked, found, 3).select("query_id", "chunk_id", "dense_score", "dense_rank")
+    return _told(retrieval.dense_topk(asked, found, 3)).select("query_id", "chunk_id", "dense_score", "dense_rank")
 
 
 # Ranking
@@ -724,3 +789,11 @@ def tumbling_latency(spark, sf_dir):
 @query
 def session_events(spark, sf_dir):
     return ingest.sessions(table(spark, sf_dir, "events"))
+
+
+@query
+def ingestion_states(spark, sf_dir):
+    """Events as steps of documents: a user is a document."""
+    stage = F.create_map(*[F.lit(x) for pair in _STEPS.items() for x in pair])[F.col("event_type")]
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), stage.alias("stage"), F.col("ts").cast("timestamp").alias("at"), F.col("props").alias("message"), F.col("event_id").alias("order"))
+    return ingest.document_states(rows, retries=1, patience="36 hours").withColumn("at", F.col("at").cast("timestamp_ntz"))

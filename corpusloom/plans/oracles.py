@@ -47,7 +47,7 @@ whole as (select count(*) n, avg(size) mean_size from sizes),
 asked as (select distinct query_id, term from (select item_id query_id, unnest(regexp_extract_all(lower(text), '{QUERY_TERM}')) term from benchmark)),
 freq as (select term, count(*) df from postings group by all),
 bm25 as (
-    select query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * size / mean_size))), 6) sparse_score
+    select query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * size / mean_size))), 9) sparse_score
     from asked join postings using (term) join freq using (term) join sizes using (chunk_id), whole group by all),
 bm25_ranked as (select *, row_number() over (partition by query_id order by sparse_score desc, chunk_id) sparse_rank from bm25)"""
 
@@ -65,7 +65,7 @@ COSINE = """list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p
 
 def dense(where: str = "true", k: int = 5) -> str:
     return f"""scored as (
-        select q.vec_id query_id, v.label kb_id, lpad(v.vec_id::varchar, 12, '0') chunk_id, round({COSINE}, 6) dense_score
+        select q.vec_id query_id, v.label kb_id, lpad(v.vec_id::varchar, 12, '0') chunk_id, round({COSINE}, 12) dense_score
         from embeddings q join embeddings v on q.vec_id % 100 = 0 and ({where})),
     nearest as (select *, row_number() over (partition by query_id, kb_id order by dense_score desc, chunk_id) dense_rank from scored qualify dense_rank <= {k})"""
 
@@ -163,7 +163,7 @@ def corpus(where: str = "true") -> str:
         bodies as (select 'q' || item_id id, text body from benchmark union all select chunk_id, content from chunks), {EMBED},
         dots as (select q.id q, d.id d, sum(q.weight * d.weight) s from units q join units d using (idx) where q.id[1] = 'q' and d.id[1] <> 'q' group by all),
         ids as (select distinct id from units),
-        cosines as (select substr(q.id, 2)::bigint query_id, d.id chunk_id, round(coalesce(s, 0), 6) + 0.0 dense_score
+        cosines as (select substr(q.id, 2)::bigint query_id, d.id chunk_id, round(coalesce(s, 0), 12) + 0.0 dense_score
             from ids q join ids d on q.id[1] = 'q' and d.id[1] <> 'q' left join dots on dots.q = q.id and dots.d = d.id),
         tokens as (select item_id query_id, unnest({distinct_terms("text", QUERY_TERM)}) token from benchmark),
         lexical as (select query_id, kb_id, chunk_id, sum({count_of("content", "token")}) score from tokens join chunks on contains(content, token) group by all),
@@ -227,8 +227,8 @@ ORACLE: dict[str, str] = {
                round(coalesce(avg(refused::int) filter (not good), 0), 6) negative_refusal_rate, round(coalesce(avg(refused::int) filter (good), 0), 6) false_refusal_rate from judged group by config""",
     "filter_pushdown": "select doc_id, lang from documents where lang in ('de', 'it''s') and n_chars >= 500 and n_chars < 5000",
     "bm25_analyzer": "with " + BM25.replace(QUERY_TERM, "[a-z0-9]+") + """
-        select query_id, cast(substr(source, 4) as integer) kb_id, chunk_id, sparse_score from bm25 join documents on chunk_id = doc_id::varchar
-        qualify row_number() over (partition by query_id, kb_id order by sparse_score desc, chunk_id) <= 5""",
+        select query_id, cast(substr(source, 4) as integer) kb_id, chunk_id, round(sparse_score, 6) sparse_score from bm25 join documents on chunk_id = doc_id::varchar
+        qualify row_number() over (partition by query_id, kb_id order by bm25.sparse_score desc, chunk_id) <= 5""",
     "chunk_preview": f"""with {DOCS}, {LINES},
         d as (select document_id, any_value(file_name) file_name, substr(string_agg(text, chr(10) order by seg_no), 1, 6000) as text from lines group by 1)
         select document_id, text as sample, {_rules(_META, metadata.DOC_TYPES, f"'{metadata.OTHER}'")} doc_type, 'doc_' || document_id title from d""",
@@ -296,28 +296,54 @@ ORACLE: dict[str, str] = {
     "hash_cosine_topk": f"""with bodies as (select 'q' || item_id id, text body from benchmark union all select 'd' || doc_id, text from documents), {EMBED},
         dots as (select q.id q, d.id d, sum(q.weight * d.weight) s from units q join units d using (idx) where q.id[1] = 'q' and d.id[1] = 'd' group by all),
         ids as (select distinct id from units),
-        scored as (select substr(q.id, 2)::bigint query_id, substr(d.id, 2) chunk_id, round(coalesce(s, 0), 6) + 0.0 dense_score
+        scored as (select substr(q.id, 2)::bigint query_id, substr(d.id, 2) chunk_id, round(coalesce(s, 0), 12) + 0.0 dense_score
             from ids q join ids d on q.id[1] = 'q' and d.id[1] = 'd' left join dots on dots.q = q.id and dots.d = d.id),
         placed as (select query_id, cast(substr(source, 4) as integer) kb_id, chunk_id, dense_score from scored join documents on chunk_id = doc_id::varchar)
-        select *, row_number() over (partition by query_id, kb_id order by dense_score desc, chunk_id) dense_rank from placed qualify dense_rank <= 3""",
+        select * replace (round(dense_score, 6) as dense_score), row_number() over (partition by query_id, kb_id order by placed.dense_score desc, chunk_id) dense_rank from placed qualify dense_rank <= 3""",
     "direct_kb_query": f"""with bodies as (select 'q' || item_id id, text body from benchmark union all select 'd' || doc_id, text from documents where source = 'src3'), {EMBED},
         dots as (select q.id q, d.id d, sum(q.weight * d.weight) s from units q join units d using (idx) where q.id[1] = 'q' and d.id[1] = 'd' group by all),
         ids as (select distinct id from units),
-        scored as (select substr(q.id, 2)::bigint query_id, substr(d.id, 2) chunk_id, round(coalesce(s, 0), 6) + 0.0 dense_score
+        scored as (select substr(q.id, 2)::bigint query_id, substr(d.id, 2) chunk_id, round(coalesce(s, 0), 12) + 0.0 dense_score
             from ids q join ids d on q.id[1] = 'q' and d.id[1] = 'd' left join dots on dots.q = q.id and dots.d = d.id)
-        select *, row_number() over (partition by query_id order by dense_score desc, chunk_id) dense_rank from scored qualify dense_rank <= 3""",
+        select * replace (round(dense_score, 6) as dense_score), row_number() over (partition by query_id order by scored.dense_score desc, chunk_id) dense_rank from scored qualify dense_rank <= 3""",
     "citation_lookup": f"with {DOCS} select kb_id, document_id, 'src' || kb_id kb_name, file_name from docs where document_id % 3 <> 0",
     "metadata_confirm": f"with {DOCS}, {LINES} select l.document_id, seg_no, case when l.document_id % 4 = 2 then '后勤' else department end department from lines l join docs using (document_id)",
     "reindex_documents": f"with {DOCS}, {LINES} select document_id, seg_no, text from lines where document_id % 2 = 1 or seg_no = 0",
-    "dense_topk_per_kb": f"with {dense()} select *, row_number() over (partition by query_id order by kb_id, dense_rank) pos from nearest",
-    "dense_topk_filtered": f"with {dense('v.vec_id >= 100 and v.label in (1, 2, 3)')} select * from nearest",
-    "dense_postfilter": f"with {dense()} select * from nearest where chunk_id::bigint >= 100",
+    "dense_topk_per_kb": f"with {dense()} select * replace (round(dense_score, 6) as dense_score), row_number() over (partition by query_id order by kb_id, dense_rank) pos from nearest",
+    "vector_index_topk": f"with {dense()} select * replace (round(dense_score, 6) as dense_score) from nearest",
+    "vector_index_filtered": """with v as (
+            select c_custkey, lpad(c_custkey::varchar, 12, '0') chunk_id, c_mktsegment segment, [(c_acctbal / 1000)::double, (c_nationkey - 12)::double, (c_custkey % 97 - 48)::double] e from customer),
+        s as (
+            select q.c_custkey query_id, 1 kb_id, v.chunk_id, round(list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e))), 12) dense_score
+            from v q join v on q.c_custkey % 100 = 0 and v.c_custkey % 10 <> 3 and v.segment in ('BUILDING', 'AUTOMOBILE'))
+        select * replace (round(dense_score, 6) as dense_score), row_number() over (partition by query_id order by s.dense_score desc, chunk_id) dense_rank from s qualify dense_rank <= 4""",
+    "store_changes": """select label kb_id, lpad(vec_id::varchar, 12, '0') chunk_id, case when vec_id % 3 = 0 then 'second' else 'first' end as content
+        from embeddings where vec_id % 7 <> 0 and not (label = 2 and vec_id % 3 <> 0)""",
+    "ingested_parents": f"""with recursive all_docs as (select * from documents where doc_id % 10 <> 7 or doc_id % 4 = 0),
+        {DOCS.replace('from documents', 'from (select * replace (case when doc_id % 4 = 0 then \'Again. \' || substr(text, 1, 600) else text end as text) from all_docs)')}, {parents(1200)}
+        select document_id, parent_index, content, parent_id, true has_children from parents""",
+    "ingestion_states": """with e as (
+            select user_id document_id, case event_type when 'signup' then 'submitted' when 'view' then 'parsing' when 'click' then 'chunking' when 'purchase' then 'indexed' else 'error' end stage,
+                   ts "at", props message, event_id o from events),
+        firsts as (select document_id, coalesce(max(("at", o)) filter (stage = 'submitted'), min(("at", o))) since from e group by 1),
+        rows as (select e.* from e join firsts using (document_id) where ("at", o) >= since),
+        l as (
+            select document_id, arg_max(stage, ("at", o)) stage, max("at") "at", count(*) filter (stage = 'error') errors, count(*) filter (stage = 'indexed') indexed,
+                   arg_max(stage, ("at", o)) filter (stage <> 'error') reached, arg_max(message, ("at", o)) filter (stage = 'error') said from rows group by 1),
+        t as (select *, case when indexed > 0 then 'indexed' when errors > 1 or "at" < (select max(ts) from events) - interval 36 hours then 'failed'
+                             when stage = 'error' then 'retrying' else stage end state from l)
+        select document_id, state, errors::int errors, "at",
+               (case when state = 'indexed' then 100 when state = 'retrying' then 0 else case reached when 'parsing' then 30 when 'chunking' then 45 when 'indexed' then 100 else 0 end end)::int progress,
+               case when state in ('failed', 'retrying') then case when errors > 1 or state = 'retrying' then said else 'stuck in ' || stage end end message
+        from t""",
+    "dense_topk_filtered": f"with {dense('v.vec_id >= 100 and v.label in (1, 2, 3)')} select * replace (round(dense_score, 6) as dense_score) from nearest",
+    "dense_postfilter": f"with {dense()} select * replace (round(dense_score, 6) as dense_score) from nearest where chunk_id::bigint >= 100",
     "lexical_topk": f"with {lexical_top(20)} select * from lexical_top",
-    "bm25_topk": f"with {BM25} select query_id, chunk_id, sparse_score from bm25_ranked where sparse_rank <= 20",
+    "bm25_topk": f"with {BM25} select query_id, chunk_id, round(sparse_score, 6) sparse_score from bm25_ranked where sparse_rank <= 20",
     "learned_sparse": """with cells as (select vec_id, unnest(embedding)::double weight, unnest(range(64)) term from embeddings)
-        , scores as (select q.vec_id query_id, lpad(c.vec_id::varchar, 12, '0') chunk_id, round(sum(q.weight * c.weight), 6) sparse_score from cells q join cells c using (term)
+        , scores as (select q.vec_id query_id, lpad(c.vec_id::varchar, 12, '0') chunk_id, round(sum(q.weight * c.weight), 9) sparse_score from cells q join cells c using (term)
         where q.vec_id % 100 = 0 and q.weight > 0 and c.weight > 0 group by all)
-        select *, row_number() over (partition by query_id order by sparse_score desc, chunk_id) sparse_rank from scores qualify sparse_rank <= 20""",
+        select * replace (round(sparse_score, 6) as sparse_score), row_number() over (partition by query_id order by scores.sparse_score desc, chunk_id) sparse_rank from scores qualify sparse_rank <= 20""",
     "rrf_fusion": f"""with {lexical_top(10)}, {BM25},
         lists as (select query_id, chunk_id, lexical_rank pos, 0 list_no from lexical_top union all select query_id, chunk_id, sparse_rank, 1 from bm25_ranked where sparse_rank <= 10),
         fused as (select query_id, chunk_id, round(sum(1.0::double / (60 + pos)), 12) s, min((list_no, pos)) first from lists group by all)

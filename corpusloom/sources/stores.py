@@ -1,77 +1,44 @@
-"""Chunk tables and vector stores on Parquet: upsert by key, deletion by key or filter, search."""
+"""Vector stores by name: upsert by chunk, deletion by chunk or filter, search."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import changes
 from corpusloom.operators.filters import apply_filters, pushed
 from corpusloom.operators.retrieval import dense_topk
+from corpusloom.sources.buckets import BucketStore
+from corpusloom.sources.vector_index import VectorIndex
 
 TEXT_CHARS, PATH_CHARS = 65535, 2048
 
 
-@dataclass
-class ParquetTable:
-    """A table of numbered versions below path: a change writes the next version, readers see the last that is whole.
+class VectorStore:
+    """Chunks with an embedding, in buckets of the hash of chunk_id, searched by a scan; missing scalars are empty, long texts are cut
+    to what the store's columns hold."""
 
-    versions() looks at success marks, so a version that a failed job left behind is never read.
-    """
-
-    spark: SparkSession
-    path: str
-    keys: list[str]
-
-    def versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.rows = BucketStore(spark, path, key="chunk_id", tables=("chunks",), buckets=buckets)
 
     def read(self) -> DataFrame | None:
-        found = self.versions()
-        return self.spark.read.parquet(f"{self.path}/v{found[-1]}") if found else None
+        return self.rows.read()
 
-    def replace(self, rows: DataFrame, partition_by: list[str] | None = None) -> None:
-        n = max(self.versions(), default=-1) + 1
-        rows.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(f"{self.path}/v{n}")
-
-    def upsert(self, rows: DataFrame, order: str | None = None, partition_by: list[str] | None = None) -> None:
-        old = self.read()
-        self.replace(rows if old is None else changes.merge_by_key(old, rows, self.keys, order), partition_by)
+    def put(self, chunks: DataFrame) -> None:
+        """Adds chunks; those that are there are replaced. Only the buckets that hold them are rewritten."""
+        self.rows.upsert(stored(chunks), ["chunk_id"])
 
     def delete(self, doomed: DataFrame) -> None:
-        old = self.read()
-        if old is not None:
-            self.replace(old.join(doomed.select(*self.keys).distinct(), self.keys, "left_anti"))
+        if self.read() is not None:
+            self.rows.delete(doomed)
 
     def delete_where(self, filters: dict) -> None:
         """Nothing for an empty filter."""
-        old = self.read()
-        if old is not None and filters:
-            self.replace(changes.to_delete(apply_filters(old, filters), old, self.keys))
+        self.rows.delete_where(filters)
 
     def drop(self) -> None:
-        old = self.read()
-        if old is not None:
-            self.replace(old.limit(0))
-
-
-class VectorStore(ParquetTable):
-    """Chunks with an embedding; missing scalars are empty, long texts are cut to what the store's columns hold."""
-
-    def put(self, chunks: DataFrame) -> None:
-        kinds = dict(chunks.dtypes)
-        rows = chunks.select(*[F.coalesce(F.col(c), F.lit("" if k == "string" else 0)).alias(c) if k in ("string", "int", "bigint", "double") else F.col(c) for c, k in kinds.items()])
-        cut = {c: F.substring(c, 1, n) for c, n in (("content", TEXT_CHARS), ("section_path", PATH_CHARS)) if c in kinds}
-        self.upsert(rows.withColumns(cut) if cut else rows)
+        self.rows.drop()
 
     def search(self, queries: DataFrame, k: int, filters: dict | None = None, post_filter: bool = False) -> DataFrame:
         """The k nearest of what the filters, pushed down to the scan, leave; post_filter: what they leave, matched row by
@@ -82,17 +49,32 @@ class VectorStore(ParquetTable):
         return hits.join(kept.select("chunk_id"), "chunk_id", "left_semi") if post_filter else hits
 
 
-STORES: dict[str, Callable[..., ParquetTable]] = {"exact": VectorStore}
+class ClusteredStore(VectorIndex):
+    """Chunks with an embedding in a clustered index."""
+
+    def put(self, chunks: DataFrame) -> None:
+        super().put(stored(chunks))
+
+
+def stored(chunks: DataFrame) -> DataFrame:
+    kinds = dict(chunks.dtypes)
+    rows = chunks.select(*[F.coalesce(F.col(c), F.lit("" if k == "string" else 0)).alias(c) if k in ("string", "int", "bigint", "double") else F.col(c) for c, k in kinds.items()])
+    cut = {c: F.substring(c, 1, n) for c, n in (("content", TEXT_CHARS), ("section_path", PATH_CHARS)) if c in kinds}
+    return rows.withColumns(cut) if cut else rows
+
+
+Store = VectorStore | ClusteredStore
+STORES: dict[str, Callable[..., Store]] = {"exact": VectorStore, "clustered": ClusteredStore}
 
 
-def register_store(name: str, make: Callable[..., ParquetTable]) -> None:
+def register_store(name: str, make: Callable[..., Store]) -> None:
     STORES[name.lower()] = make
 
 
-def make_store(name: str, spark: SparkSession, path: str) -> ParquetTable:
+def make_store(name: str, spark: SparkSession, path: str) -> Store:
     if name.lower() not in STORES:
         raise ValueError(f"no vector store named {name}; there are {', '.join(sorted(STORES))}")
-    return STORES[name.lower()](spark, path, ["chunk_id"])
+    return STORES[name.lower()](spark, path)
 
 
 def append_traces(traces: DataFrame, path: str) -> None:

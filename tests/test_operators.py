@@ -14,7 +14,7 @@ from corpusloom.functions import text as X
 from corpusloom.operators import changes, chunking, evaluation, filters, ranking, retrieval, routing
 from corpusloom.plans import pipeline
 from corpusloom.schemas import Budgets, Retrieval
-from corpusloom.sources import readers, stores
+from corpusloom.sources import buckets, readers, stores
 from corpusloom.streaming import ingest
 
 
@@ -221,8 +221,9 @@ def test_evaluation_set(spark, tmp_path):
     assert {r.type for r in got.collect()} == {"事实型", "负例"}
 
 
-def test_store(spark, tmp_path):
-    store = stores.make_store("exact", spark, f"file://{tmp_path}/store")
+@pytest.mark.parametrize("name", ["exact", "clustered"])
+def test_store(spark, tmp_path, name):
+    store = stores.make_store(name, spark, f"file://{tmp_path}/store")
     rows = spark.createDataFrame([(1, "a", "x", [1.0, 0.0]), (1, "b", None, [0.0, 1.0])], "kb_id int, chunk_id string, content string, embedding array<double>")
     assert store.read() is None
     store.put(rows)
@@ -243,17 +244,21 @@ def test_store(spark, tmp_path):
 
 def test_stream_replaces_documents(spark, tmp_path):
     schema = "kb_id int, document_id long, file_name string, text string"
-    parents, children = (stores.ParquetTable(spark, f"file://{tmp_path}/{n}", [k]) for n, k in (("parents", "parent_id"), ("children", "chunk_id")))
+    store = buckets.BucketStore(spark, f"file://{tmp_path}/chunks", tables=ingest.CHUNK_TABLES, buckets=8)
 
     def arrive(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        ingest.ingest(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, parents, children, f"{tmp_path}/cp", f"{tmp_path}/stages").awaitTermination()
+        ingest.ingest(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, store, f"{tmp_path}/cp", f"{tmp_path}/stages").awaitTermination()
 
     arrive([(1, 1, "a.txt", "one\ntwo"), (1, 2, "b.txt", "three")])
-    assert parents.read().count() == 2
+    assert store.read("parents").count() == 2
     arrive([(1, 1, "a.txt", "four")])
-    assert {r.content for r in parents.read().collect()} == {"four", "three"}
-    assert {r.content for r in children.read().collect()} == {"four", "three"}
+    assert {r.content for r in store.read("parents").collect()} == {"four", "three"}
+    assert {r.content for r in store.read("children").collect()} == {"four", "three"}
+    # A batch that the checkpoint has lost, but the store has not, is not put in again.
+    assert store.done(("ingest", 1)) and not store.done(("ingest", 2))
+    assert store.replace({"parents": store.read("parents").limit(0)}, gone=store.read("parents"), mark=("ingest", 1)) == 1
+    assert store.read("parents").count() == 2
     assert spark.read.parquet(f"{tmp_path}/stages").filter("progress = 100").count() == 2
 
 
@@ -365,14 +370,14 @@ def test_preview_stores_nothing(spark):
 def test_a_failed_batch_is_logged(spark, tmp_path):
     schema = "kb_id int, document_id long, file_name string, text string"
 
-    class Broken(stores.ParquetTable):
-        def replace(self, rows, partition_by=None):
+    class Broken(buckets.BucketStore):
+        def replace(self, *args, **kwargs):
             raise OSError("disk full")
 
-    tables = [Broken(spark, f"file://{tmp_path}/{n}", [k]) for n, k in (("parents", "parent_id"), ("children", "chunk_id"))]
+    store = Broken(spark, f"file://{tmp_path}/chunks", tables=ingest.CHUNK_TABLES)
     spark.createDataFrame([(1, 1, "a.txt", "one")], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
     with pytest.raises(Exception, match="disk full"):
-        ingest.ingest(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, *tables, f"{tmp_path}/cp", f"{tmp_path}/stages").awaitTermination()
+        ingest.ingest(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, store, f"{tmp_path}/cp", f"{tmp_path}/stages").awaitTermination()
     log = spark.read.schema(ingest.STAGE_SCHEMA).parquet(f"{tmp_path}/stages")
     assert [r.stage for r in log.orderBy("at").collect()] == ["embedding", "parsing", "chunking", "chunked", "storing", "failed"]
     assert [(r.stage, r.progress) for r in ingest.states(log).collect()] == [("failed", 80)]
