@@ -33,13 +33,17 @@ def rerank_local(candidates: DataFrame, top_n: int | None = None) -> DataFrame:
     tokens = X.rerank_tokens(F.col("query"))
     more = F.coalesce(F.col("child_text"), F.lit("")) if "child_text" in candidates.columns else F.lit("")
     text = F.lower(F.concat(F.coalesce(F.col("content"), F.lit("")), F.lit("\n"), more))
-    rows = candidates.withColumns({"_tokens": tokens, "_text": text})
-    hits = F.size(F.filter("_tokens", lambda t: F.contains(F.col("_text"), t)))
-    times = F.aggregate("_tokens", F.lit(0).cast("long"), lambda s, t: s + X.count_of(F.col("_text"), t))
+    # Few bytes may be much work: without a number Spark would leave all candidates to one task.
+    rows = candidates.repartition(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id", "chunk_id")
+    rows = rows.withColumns({"_tokens": tokens, "_text": text})
+    counts = F.transform("_tokens", lambda t: F.when(F.contains(F.col("_text"), t), X.count_of(F.col("_text"), t)).otherwise(0))
+    rows = rows.withColumn("_counts", counts)
+    hits = F.size(F.filter("_counts", lambda n: n > 0))
+    times = F.aggregate("_counts", F.lit(0).cast("long"), lambda s, n: s + n)
     known = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     score = hits * 2.0 + F.least(times, F.lit(20)) * 0.1 + (known("rrf_score") * 20.0 + known("dense_score") + known("sparse_score"))
     score = F.when(F.size("_tokens") > 0, F.round(score, 9))
-    rows = rows.withColumn("rerank_score", score).drop("_tokens", "_text")
+    rows = rows.withColumn("rerank_score", score).drop("_tokens", "_text", "_counts")
     return ranked(rows, ["query_id"], [F.col("rerank_score").desc_nulls_last(), F.col("in_rank")], "rerank_rank", top_n)
 
 

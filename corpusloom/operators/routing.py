@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.operators.patterns import contained
 from corpusloom.operators.retrieval import ranked
 
 # Words too common to be keywords, domain words, greetings.
@@ -108,8 +109,9 @@ def resolve_names(names: DataFrame, kbs: DataFrame) -> DataFrame:
     rows = names.join(exact, F.col("name") == F.col("n"), "left").withColumn("number", F.nullif(number, F.lit("")).cast("int"))
     known = rows.filter("exact_id is not null or number is not null").select("name", F.coalesce("exact_id", "number").alias("kb_id"))
     rest = rows.filter("exact_id is null and number is null").select("name")
-    inside = rest.join(kbs.select(F.col("name").alias("n"), "kb_id").filter("n <> ''"), F.contains(F.col("name"), F.col("n")), "left")
-    return known.unionByName(inside.groupBy("name").agg(F.min("kb_id").alias("kb_id")))
+    inside = contained(rest.filter("name is not null").distinct(), "name", "name", kbs, "name").join(kbs.select(F.col("name").alias("pattern"), "kb_id"), "pattern")
+    inside = inside.groupBy(F.col("name").alias("n")).agg(F.min("kb_id").alias("kb_id"))
+    return known.unionByName(rest.distinct().join(inside, F.col("name") == F.col("n"), "left").select("name", "kb_id"))
 
 
 def parse_route(answer: Column) -> Column:

@@ -13,7 +13,7 @@ from corpusloom.operators import changes, chunking, evaluation, filters, ranking
 from corpusloom.plans import pipeline
 from corpusloom.schemas import ABLATION, Budgets, Retrieval
 from corpusloom.session import new_path
-from corpusloom.sources import readers
+from corpusloom.sources import postings, readers
 from corpusloom.sources.buckets import BucketStore
 from corpusloom.sources.stores import make_store
 from corpusloom.sources.vector_index import VectorIndex
@@ -366,6 +366,36 @@ def bm25_analyzer(spark, sf_dir):
     return _told(found, "sparse_score").select("query_id", "kb_id", "chunk_id", "sparse_score")
 
 
+@query
+def bm25_index_topk(spark, sf_dir):
+    """BM25 from a stored index, which is built once for all queries."""
+    index = postings.bm25_index(chunks(spark, sf_dir).withColumn("kb_id", F.lit(0)), new_path(spark, "bm25_index"))
+    return _told(postings.bm25_search(items(spark, sf_dir), index, 20), "sparse_score").select("query_id", "chunk_id", "sparse_score")
+
+
+@query
+def bm25_index_analyzer(spark, sf_dir):
+    """The same of another analyzer's terms, for each knowledge base."""
+    index = postings.bm25_index(chunks(spark, sf_dir), new_path(spark, "bm25_index"), analyzer="english")
+    return _told(postings.bm25_search(items(spark, sf_dir), index, 5, analyzer="english"), "sparse_score").select("query_id", "kb_id", "chunk_id", "sparse_score")
+
+
+def _sparse_vectors(spark, sf_dir):
+    """The vectors' positive components, as a sparse encoder would give them."""
+    cells = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("term"), x.cast("double").alias("weight"))), lambda c: c["weight"] > 0)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.map_from_entries(cells).alias("vector"))
+    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    return asked, vectors.select(F.lit(0).alias("kb_id"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("chunk_id"), "vector")
+
+
+@query
+def sparse_index_topk(spark, sf_dir):
+    """Inner products of learned sparse vectors from a stored index."""
+    asked, stored = _sparse_vectors(spark, sf_dir)
+    hits = postings.sparse_search(asked, postings.sparse_index(stored, new_path(spark, "sparse_index")), 20)
+    return _told(retrieval.sparse_topk(hits, 20), "sparse_score").select("query_id", "chunk_id", "sparse_score", "sparse_rank")
+
+
 @query
 def learned_sparse(spark, sf_dir):
     """Inner products of the vectors' positive components, as a sparse encoder would give them."""
@@ -593,6 +623,33 @@ def retrieval_pipeline(spark, sf_dir):
     return out.select("query_id", "intent", F.array_join("parent_ids", ",").alias("parent_ids"), F.round("confidence", 6).alias("confidence"), F.round("support", 6).alias("support"), "refusal_reason")
 
 
+def _retrieved(out: DataFrame) -> DataFrame:
+    return out.select("query_id", F.array_join("parent_ids", ",").alias("parent_ids"), F.round("confidence", 6).alias("confidence"), F.round("support", 6).alias("support"))
+
+
+@query
+def retrieval_bm25(spark, sf_dir):
+    """Dense ranks fused with BM25 from a stored index, reranked."""
+    corpus = pipeline.Corpus.build(documents(spark, sf_dir), Budgets.for_ingestion()).indexed(("bm25",))
+    config = Retrieval("bm25", retriever="hybrid_bm25", rerank=True, top_k=5, candidates=10, refusal=False)
+    hits = pipeline.Hits.find(items(spark, sf_dir), corpus, config.candidates, kinds=("bm25",))
+    return _retrieved(pipeline.retrieve(hits, corpus, config, store="hybrid"))
+
+
+@query
+def retrieval_learned(spark, sf_dir):
+    """Dense ranks fused with learned sparse vectors from a stored index; a term's weight is one and the logarithm of its count."""
+
+    def weights(rows: DataFrame, key: str, text: str) -> DataFrame:
+        terms = rows.select(key, F.explode(X.embedding_tokens(F.col(text))).alias("term")).groupBy(key, "term").agg((1 + F.log(F.count("*"))).alias("weight"))
+        return terms.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("vector"))
+
+    corpus = pipeline.Corpus.build(documents(spark, sf_dir), Budgets.for_ingestion(), sparse=lambda rows: weights(rows, "chunk_id", "content")).indexed(("learned",))
+    config = Retrieval("learned", retriever="hybrid_sparse", top_k=5, candidates=10, refusal=False)
+    hits = pipeline.Hits.find(items(spark, sf_dir), corpus, config.candidates, kinds=("learned",), sparse=lambda rows: weights(rows, "query_id", "query"))
+    return _retrieved(pipeline.retrieve(hits, corpus, config, store="hybrid"))
+
+
 @query
 def trial_retrieval(spark, sf_dir):
     """A trial of one knowledge base: four times as many candidates as results, reranked."""

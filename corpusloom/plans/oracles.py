@@ -170,24 +170,44 @@ def corpus(where: str = "true") -> str:
         routes as (with {PROFILES} select item_id query_id, coalesce(kb_id, (select min(kb_id) from profiles)) kb_id from benchmark left join ranked on query_id = item_id and rank = 1)"""
 
 
-def results(p: str, hybrid: bool, rerank: bool, router: bool, candidates: int) -> str:
-    """{p}_out: what one configuration retrieves for each query from corpus()."""
+#: Scores of all chunks of corpus() by BM25, and by learned sparse vectors of one and the logarithm of a term's count.
+CHUNK_BM25 = f"""terms as (select kb_id, chunk_id, unnest(regexp_extract_all(lower(content), '{QUERY_TERM}')) term from chunks),
+    postings as (select kb_id, chunk_id, term, count(*) tf from terms group by all),
+    sizes as (select chunk_id, sum(tf) size from postings group by all),
+    whole as (select count(*) n, avg(size) mean_size from sizes),
+    asked as (select distinct item_id query_id, unnest(regexp_extract_all(lower(text), '{QUERY_TERM}')) term from benchmark),
+    freq as (select term, count(*) df from postings group by all),
+    bm25 as (
+        select query_id, kb_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * size / mean_size))), 9) score
+        from asked join postings using (term) join freq using (term) join sizes using (chunk_id), whole group by all)"""
+CHUNK_LEARNED = f"""counted as (
+        select id, term, 1 + ln(count(*)) weight from (
+            select 'q' || item_id id, unnest(regexp_extract_all(lower(text), '{QUERY_TERM}')) term from benchmark
+            union all select chunk_id, unnest(regexp_extract_all(lower(content), '{QUERY_TERM}')) from chunks) group by all),
+    learned as (
+        select substr(q.id, 2)::bigint query_id, kb_id, chunk_id, round(sum(q.weight * d.weight), 9) score
+        from counted q join counted d on q.term = d.term and q.id[1] = 'q' join chunks on d.id = chunk_id group by all)"""
+
+
+def results(p: str, hybrid: bool, rerank: bool, router: bool, candidates: int, words: str = "lexical") -> str:
+    """{p}_out: what one configuration retrieves for each query from corpus(); words: where the scores that are fused are."""
+    sparse = "coalesce(sparse_score, 0)" if words != "lexical" else "0"
     mine = "join routes using (query_id, kb_id)" if router else ""
     return f"""{p}_near as (
             select *, row_number() over (partition by query_id order by kb_id, dense_rank) pos from (
                 select query_id, kb_id, chunk_id, dense_score, row_number() over (partition by query_id, kb_id order by dense_score desc, chunk_id) dense_rank
                 from cosines join chunks using (chunk_id) qualify dense_rank <= {candidates}) {mine}),
-        {p}_words as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) pos from lexical {mine} qualify pos <= {candidates}),
+        {p}_words as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) pos, score sparse_score from {words} {mine} qualify pos <= {candidates}),
         {p}_lists as (select query_id, chunk_id, pos, 0 list_no from {p}_near union all select query_id, chunk_id, pos, 1 from {p}_words where {hybrid}),
         {p}_fused as (select query_id, chunk_id, round(sum(1.0::double / (60 + pos)), 12) rrf, min(list_no * 1000000 + pos) first from {p}_lists group by all),
         {p}_rows as (
-            select f.query_id, chunk_id, case when {hybrid} then rrf end rrf, dense_score, content, parent_id, document_id,
+            select f.query_id, chunk_id, case when {hybrid} then rrf end rrf, dense_score, w.score sparse_score, content, parent_id, document_id,
                    row_number() over (partition by f.query_id order by case when {hybrid} then rrf end desc, first, chunk_id) in_rank, count(*) over (partition by f.query_id) n,
                    {distinct_terms("text", QUERY_TERM, True)} ts, lower(content) || chr(10) body
-            from {p}_fused f left join {p}_near using (query_id, chunk_id) join chunks using (chunk_id) join benchmark on item_id = f.query_id),
+            from {p}_fused f left join {p}_near using (query_id, chunk_id) left join (select query_id, chunk_id, score from {words}) w using (query_id, chunk_id) join chunks using (chunk_id) join benchmark on item_id = f.query_id),
         {p}_scored as (
             select *, case when {rerank} and len(ts) > 0 then round(len(list_filter(ts, lambda t: contains(body, t))) * 2.0::double
-                + least(coalesce(list_sum(list_transform(ts, lambda t: {count_of('body', 't')})), 0), 20) * 0.1::double + (coalesce(rrf, 0) * 20.0::double + coalesce(dense_score, 0)), 9) end s from {p}_rows),
+                + least(coalesce(list_sum(list_transform(ts, lambda t: {count_of('body', 't')})), 0), 20) * 0.1::double + (coalesce(rrf, 0) * 20.0::double + coalesce(dense_score, 0) + {sparse}), 9) end s from {p}_rows),
         {p}_ranked as (
             select *, case when n > 1 then s end rerank, row_number() over (partition by query_id order by s desc nulls last, in_rank) rank from {p}_scored qualify not {rerank} or rank <= {max(candidates, 5)}),
         {p}_parents as (
@@ -222,6 +242,10 @@ ORACLE: dict[str, str] = {
     "retrieval_pipeline": f"""with recursive {corpus()}, {_CONFIGS["routed"]}
         select query_id, 'retrieval' intent, parent_ids, round(confidence, 6) confidence, round(support, 6) support, {REASON} refusal_reason from routed_out""",
     "trial_retrieval": f"""with recursive {corpus("kb_id = 3")}, {results("trial", True, True, False, 20)} select query_id, parent_ids, round(confidence, 6) confidence from trial_out""",
+    "retrieval_bm25": f"""with recursive {corpus()}, {CHUNK_BM25}, {results("b", True, True, False, 10, "bm25")}
+        select query_id, parent_ids, round(confidence, 6) confidence, round(support, 6) support from b_out""",
+    "retrieval_learned": f"""with recursive {corpus()}, {CHUNK_LEARNED}, {results("s", True, False, False, 10, "learned")}
+        select query_id, parent_ids, round(confidence, 6) confidence, round(support, 6) support from s_out""",
     "ablation_report": f"""with recursive {corpus()}, {", ".join(_CONFIGS.values())}, {_METRICS}
         select config, round(coalesce(avg(recall) filter (good), 0), 6) recall_at_5, round(coalesce(avg(rr) filter (good), 0), 6) mrr, round(coalesce(avg(ndcg) filter (good), 0), 6) ndcg_at_10,
                round(coalesce(avg(refused::int) filter (not good), 0), 6) negative_refusal_rate, round(coalesce(avg(refused::int) filter (good), 0), 6) false_refusal_rate from judged group by config""",
@@ -429,3 +453,6 @@ ORACLE: dict[str, str] = {
         s as (select *, sum(opens) over (partition by user_id order by ts) k from g)
         select user_id, min(ts) session_start, count(*) n from s group by user_id, k""",
 }
+
+# What an index finds is what a scan finds.
+ORACLE |= {"bm25_index_topk": ORACLE["bm25_topk"], "bm25_index_analyzer": ORACLE["bm25_analyzer"], "sparse_index_topk": ORACLE["learned_sparse"]}

@@ -6,20 +6,23 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import providers
 from corpusloom.operators import chunking, evaluation, ranking, retrieval, routing
 from corpusloom.operators.filters import apply_filters
+from corpusloom.operators.patterns import contained
 from corpusloom.schemas import Budgets, Retrieval
-from corpusloom.session import materialize
+from corpusloom.session import materialize, new_path
+from corpusloom.sources.postings import PostingIndex, bm25_index, bm25_search, sparse_index, sparse_search
 
 
 @dataclass
 class Corpus:
     """documents (kb_id, document_id, file_name, title, department, doc_type, text), and its chunks with their vectors;
-    sparse, if there is a sparse encoder, has maps of terms to weights (chunk_id, vector)."""
+    sparse, if there is a sparse encoder, has maps of terms to weights (chunk_id, vector). bm25 and learned are stored indexes, which
+    searches without filters read instead of the chunks."""
 
     documents: DataFrame
     parents: DataFrame
@@ -27,6 +30,17 @@ class Corpus:
     vectors: DataFrame
     sparse: DataFrame | None = None
     embedding: str = "local_hash"
+    bm25: PostingIndex | None = None
+    learned: PostingIndex | None = None
+
+    def indexed(self, kinds: tuple[str, ...], analyzer: str = "default") -> Corpus:
+        """The corpus with stored indexes of these kinds: bm25, learned."""
+        path = new_path(self.children.sparkSession, "indexes")
+        if "bm25" in kinds:
+            self.bm25 = bm25_index(self.children, f"{path}/bm25", analyzer=analyzer)
+        if "learned" in kinds:
+            self.learned = sparse_index(self.sparse.join(self.children.select("chunk_id", "kb_id"), "chunk_id"), f"{path}/learned")
+        return self
 
     @staticmethod
     def build(documents: DataFrame, budgets: Budgets = Budgets(), embedding: str = "local_hash", sparse: Callable[[DataFrame], DataFrame] | None = None) -> Corpus:
@@ -75,8 +89,12 @@ class Hits:
         for kind in kinds:
             if kind == "lexical":
                 found = retrieval.lexical_best(searched, chunks, k).withColumnRenamed("lexical_score", "score")
+            elif kind == "bm25" and corpus.bm25 and not filters:
+                found = bm25_search(searched, corpus.bm25, k, analyzer=analyzer).withColumnRenamed("sparse_score", "score")
             elif kind == "bm25":
                 found = retrieval.bm25_best(searched, chunks, k, analyzer=analyzer).withColumnRenamed("sparse_score", "score")
+            elif corpus.learned and not filters:
+                found = sparse_search(sparse(searched), corpus.learned, k).withColumnRenamed("sparse_score", "score")
             else:
                 stored = corpus.sparse.join(chunks.select("chunk_id", "kb_id"), "chunk_id")
                 found = retrieval.sparse_best(sparse(searched), stored, k).withColumnRenamed("sparse_score", "score")
@@ -143,18 +161,9 @@ def ablation(hits: Hits, corpus: Corpus, relevant: DataFrame, configs: tuple[Ret
 
 
 def containing(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(document_id, text) and (item_id, text) -> item_id, document_id of the documents that contain the item's text.
-
-    Candidates share three whole words from inside the item; an item of under five words is held against all.
-    """
-    words: Column = F.split("text", r"\s+")
-    grams = lambda w, at: F.concat_ws(" ", F.get(w, at), F.get(w, at + 1), F.get(w, at + 2))
-    long_items = items.filter(F.size(words) >= 5).select("item_id", F.col("text").alias("passage"), grams(words, F.lit(1)).alias("gram"))
-    rows = documents.withColumn("w", words)
-    places = F.when(F.size("w") > 2, F.sequence(F.lit(0), F.size("w") - 3)).otherwise(F.array().cast("array<int>"))
-    found = rows.select("document_id", F.explode(F.array_distinct(F.transform(places, lambda i: grams(F.col("w"), i)))).alias("gram"))
-    pairs = found.join(long_items, "gram").select("document_id", "item_id", "passage").distinct()
-    hits = pairs.join(documents.select("document_id", "text"), "document_id").filter(F.contains("text", "passage"))
-    short = items.filter(F.size(words) < 5).select("item_id", F.col("text").alias("passage"))
-    few = documents.join(short, F.contains("text", "passage"))
-    return hits.select("item_id", "document_id").unionByName(few.select("item_id", "document_id"))
+    """(document_id, text) and (item_id, text) -> item_id, document_id of the documents that contain the item's text. An empty item is in
+    all documents with a text."""
+    found = contained(documents, "document_id", "text", items, "text")
+    hits = found.join(items.select("item_id", F.col("text").alias("pattern")), "pattern").select("item_id", "document_id")
+    empty = items.filter("text = ''").select("item_id")
+    return hits.unionByName(empty.join(documents.filter("text is not null").select("document_id")))
