@@ -31,7 +31,8 @@ def digest_of(text: Column | None = None) -> Column:
 class DigestIndex:
     """Digests seen so far, in a folder of any store that the cluster shares, for one writer at a time.
 
-    The folder holds layout (the number of buckets, fixed when the index is made), digests, commits and verdicts.
+    The folder holds layout (the number of buckets, fixed when the index is made), digests, commits, verdicts, and places:
+    which folder has the digests since when compact() wrote them anew.
     """
 
     spark: SparkSession
@@ -45,35 +46,75 @@ class DigestIndex:
             self.spark.createDataFrame([(self.buckets,)], "buckets int").write.mode("overwrite").parquet(layout)
         self.buckets = self.spark.read.parquet(layout).first()["buckets"]
 
+    def _place(self) -> tuple[int, str]:
+        """How often the digests were compacted, and the folder that has them."""
+        if not exists(self.spark, f"{self.path}/places"):
+            return 0, "digests"
+        last = self.spark.read.schema("n int, folder string").parquet(f"{self.path}/places").orderBy(F.col("n").desc()).first()
+        return (last["n"], last["folder"]) if last else (0, "digests")
+
     @property
     def table(self) -> str:
-        """The name under which the session's catalogue knows the digests; each path has its own."""
-        return "digest_index_" + hashlib.sha256(self.path.encode()).hexdigest()[:32]
+        """The name under which the session's catalogue knows the digests; each folder has its own."""
+        return self._name(self._place()[1])
+
+    def _name(self, folder: str) -> str:
+        return "digest_index_" + hashlib.sha256((self.path + folder.removeprefix("digests")).encode()).hexdigest()[:32]
 
-    def _open(self) -> None:
+    def _open(self) -> str:
+        """Makes the digests known to the session; their table's name."""
+        folder = self._place()[1]
+        name = self._name(folder)
         self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, n_docs BIGINT, attempt STRING) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {int(self.buckets)} BUCKETS LOCATION '{self.path}/digests'"
+            f"CREATE TABLE IF NOT EXISTS {name} (digest BINARY, keep_id BIGINT, n_docs BIGINT, attempt STRING) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {int(self.buckets)} BUCKETS LOCATION '{self.path}/{folder}'"
         )
+        return name
 
     def commits(self) -> DataFrame:
         return self.spark.read.schema("batch string, attempt string").parquet(f"{self.path}/commits")
 
+    def _committed(self) -> DataFrame:
+        name = self._open()
+        # One row for each batch: far fewer than there are files.
+        return self.spark.table(name).join(F.broadcast(self.commits().select("attempt")), "attempt", "left_semi")
+
     def read(self) -> DataFrame:
         """digest, keep_id, n_docs of all committed batches."""
-        self._open()
-        # One row for each batch: far fewer than there are files.
-        return self.spark.table(self.table).join(F.broadcast(self.commits().select("attempt")), "attempt", "left_semi").drop("attempt")
+        return self._committed().drop("attempt")
 
-    def _append(self, fresh: DataFrame, attempt: str) -> None:
-        self._open()
+    def _write(self, fresh: DataFrame, folder: str) -> None:
         (
-            fresh.select("digest", "keep_id", "n_docs", F.lit(attempt).alias("attempt"))
-            .repartition(self.buckets, "digest")
+            fresh.select("digest", "keep_id", "n_docs", "attempt").repartition(self.buckets, "digest")
             .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
-            .option("path", f"{self.path}/digests").saveAsTable(self.table)
+            .option("path", f"{self.path}/{folder}").saveAsTable(self._name(folder))
         )
 
+    def _append(self, fresh: DataFrame, attempt: str) -> None:
+        self._open()
+        self._write(fresh.withColumn("attempt", F.lit(attempt)), self._place()[1])
+
+    def compact(self) -> None:
+        """Writes the committed digests anew, one sorted file a bucket, and drops what attempts without a commit have left.
+
+        The new folder counts from the moment its name is among the places; the one before it stays until the next time, for those
+        who read it now, and older ones go. By the index's one writer.
+        """
+        n, old = self._place()
+        folder = f"digests-{uuid.uuid4().hex}"
+        # A new column: else Spark takes the table for dealt to buckets already, leaves out the shuffle, and then reads it file by file.
+        self._write(self._committed().withColumn("digest", F.unhex(F.hex("digest"))), folder)
+        self.spark.createDataFrame([(n + 1, folder)], "n int, folder string").coalesce(1).write.mode("append").parquet(f"{self.path}/places")
+        kept = {folder, old, *(f"{r['batch']}-{r['attempt']}" for r in self.commits().collect())}
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("digests")]
+        verdicts = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/verdicts")
+        found += [s.getPath() for s in fs.listStatus(verdicts)] if fs.exists(verdicts) else []
+        for path in found:
+            if path.getName() not in kept:
+                fs.delete(path, True)
+
     def ingest(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
         """Dedups docs (doc_id long, text) against themselves and the index, and appends what is new.
 
@@ -129,15 +170,18 @@ def _indexed_hot(hot: DataFrame) -> bool:
     return hot.limit(HOT_SHARE + 1).count() > HOT_SHARE
 
 
-def in_batches(docs: DataFrame, index: DigestIndex, cuts: list[int]) -> DataFrame:
+def in_batches(docs: DataFrame, index: DigestIndex, cuts: list[int], name: str) -> DataFrame:
     """Ingests docs (doc_id long, text) in batches of falling doc_id, cut at these ids, null ids last, so that of all equal
-    texts the largest doc_id stays; ingest()'s columns, group_size counted over all batches."""
+    texts the largest doc_id stays; ingest()'s columns, group_size counted over all batches.
+
+    name stands for this table among all that the index takes: the batches are named by it, so one that was ingested under the
+    name is not judged again."""
     key, parts, above = F.col("doc_id").cast("long"), [], F.lit(True)
     for cut in sorted(set(cuts), reverse=True):
         parts.append(docs.filter(above & (key > cut)))
         above = key <= cut
     parts.append(docs.filter(above | key.isNull()))
-    verdicts = [index.ingest(part.select("doc_id", "text"), f"part {n}") for n, part in enumerate(parts)]
+    verdicts = [index.ingest(part.select("doc_id", "text"), f"{name}/{n} of {len(parts)}") for n, part in enumerate(parts)]
     rows = verdicts[0]
     for more in verdicts[1:]:
         rows = rows.unionByName(more)

@@ -99,7 +99,7 @@ def op9_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     index = digest_index.DigestIndex(spark, new_path(spark, "digest_index"))
-    verdicts = digest_index.in_batches(docs, index, [] if low is None else [(low + high) // 2])
+    verdicts = digest_index.in_batches(docs, index, [] if low is None else [(low + high) // 2], "documents")
     return verdicts.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

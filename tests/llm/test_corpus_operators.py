@@ -55,6 +55,34 @@ def test_index_over_two_batches(spark, odd):
     assert same.read().count() == 9 and same.buckets == 4
 
 
+def test_two_tables_in_one_index(spark):
+    index = digest_index.DigestIndex(spark, common.new_path(spark, "index"), 4)
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    two = spark.createDataFrame([(7, "b"), (8, "c"), (9, "c")], "doc_id long, text string")
+    assert {(r.doc_id, r.keep_id, r.kept) for r in digest_index.in_batches(one, index, [1], "one").collect()} == {(1, 1, True), (2, 2, True)}
+    assert {(r.doc_id, r.keep_id, r.kept) for r in digest_index.in_batches(two, index, [8], "two").collect()} == {(7, 2, False), (8, 9, False), (9, 9, True)}
+    assert index.read().count() == 3
+
+
+def test_a_compacted_index_says_the_same(spark, odd):
+    index = digest_index.DigestIndex(spark, common.new_path(spark, "index"), 4)
+    for k in range(3):
+        index.ingest(odd.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(f" {k % 2}"))), f"batch {k}")
+    index._append(spark.createDataFrame([(b"dead", 1, 1)], "digest binary, keep_id long, n_docs long"), "no commit")
+    before = sorted(map(tuple, index.read().collect()))
+    index.compact()
+    assert spark.table(index.table).count() == len(before)
+    assert sorted(map(tuple, index.read().collect())) == before
+    assert len({r[0] for r in spark.table(index.table).select(F.input_file_name()).distinct().collect()}) <= 4
+    again = index.ingest(spark.createDataFrame([(50, "new one"), (51, " 1")], "doc_id long, text string"))
+    assert {(r.doc_id, r.kept) for r in again.collect()} == {(50, True), (51, False)}
+    index.compact()
+    assert index.read().count() == len(before) + 1
+    assert index.ingest(odd, "batch 1").count() == odd.count()
+    fresh = digest_index.DigestIndex(spark, index.path)
+    assert fresh.read().count() == len(before) + 1
+
+
 def test_a_batch_counts_once(spark, odd):
     index = digest_index.DigestIndex(spark, common.new_path(spark, "index"), 4)
     lost = index.ingest(odd, "monday")  # its consumer fails
@@ -88,7 +116,7 @@ def test_each_path_has_its_own_index(spark):
 
 def test_batches_of_falling_ids(spark, odd):
     index = digest_index.DigestIndex(spark, common.new_path(spark, "index"), 4)
-    got = digest_index.in_batches(odd, index, [0, 4]).collect()
+    got = digest_index.in_batches(odd, index, [0, 4], "odd").collect()
     want = digest_index.DigestIndex(spark, common.new_path(spark, "index"), 4).ingest(odd).collect()
     assert sorted((str(r.doc_id), r.keep_id, r.group_size, r.digest) for r in got) == sorted((str(r.doc_id), r.keep_id, r.group_size, r.digest) for r in want)
     assert sum(r.kept for r in got) == 8
