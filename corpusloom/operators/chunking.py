@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import metadata
@@ -19,6 +19,8 @@ from corpusloom.schemas import Budgets
 
 #: Characters of a document from which its metadata is suggested.
 SAMPLE_CHARS = 6000
+#: Levels of headings.
+LEVELS = 6
 
 _clause = re.compile(X.CLAUSE)
 _paragraph = re.compile(r"\n{2,}|\r\n")
@@ -98,11 +100,36 @@ def sample_text(segments: DataFrame) -> DataFrame:
     return whole.select("kb_id", "document_id", "file_name", F.substring("whole", 1, SAMPLE_CHARS).alias("sample"))
 
 
+def heading_paths(segments: DataFrame, title: Column, level: Column) -> DataFrame:
+    """segments (document_id, seg_no, text, ...) with section_path: the headings that a segment stands under, by level, null where a segment
+    is none; a heading stands under itself, and a clause's number comes last.
+
+    A heading of level n keeps the first n entries of the stack, of which the title is the first, and adds itself: so it
+    stands at most one deeper than the heading before, and its depth is a running minimum of level less its number among the
+    document's headings. The entry at a depth is the last heading that is no deeper. Window functions over one sort of a
+    document's segments, of any source; no document is gathered in a row.
+    """
+    so_far = Window.partitionBy("document_id").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = segments.withColumns({"_level": level, "_title": title})
+    rows = rows.withColumn("_n", F.count("_level").over(so_far))
+    rows = rows.withColumn("_depth", F.when(F.col("_level").isNotNull(), F.col("_n") + F.least(F.lit(0), F.min(F.col("_level") - F.col("_n")).over(so_far))))
+    entry = lambda p: F.last(F.when(F.col("_depth") <= p, F.col("text")), ignorenulls=True).over(so_far)
+    rows = rows.withColumn("_now", F.coalesce(F.last("_depth", ignorenulls=True).over(so_far), F.lit(0)))
+    rows = rows.withColumns({f"_at{p}": entry(p) for p in range(LEVELS + 1)})
+    first = F.coalesce("_at0", "_title")
+    stack = F.slice(F.array(first, *[F.col(f"_at{p}") for p in range(1, LEVELS + 1)]), F.lit(1), (F.col("_now") + 1).cast("int"))
+    made = ["_level", "_title", "_n", "_depth", "_now", *[f"_at{p}" for p in range(LEVELS + 1)]]
+    return rows.withColumn("section_path", X.section_path(stack, F.col("text"))).drop(*made)
+
+
 def preview(documents: DataFrame, budgets: Budgets = Budgets()) -> tuple[DataFrame, DataFrame]:
     """(chunks, suggestions) of documents that are not stored yet: the children that ingestion would make, under the ids of
-    knowledge base 0 and document 0, with file_name; and the metadata that each document's name and sample suggest."""
+    knowledge base 0 and document 0, with file_name, and upload, the document's id; and the metadata that each document's name
+    and sample suggest."""
     segments = line_segments(documents)
-    chunks = children(parents(segments.withColumns({"kb_id": F.lit(0), "document_id": F.lit(0).cast("long")}), budgets), budgets)
+    rows = parents(segments, budgets).withColumnRenamed("document_id", "upload").withColumns({"kb_id": F.lit(0), "document_id": F.lit(0).cast("long")})
+    rows = rows.withColumn("parent_id", X.sha256_of(F.lit("parent"), F.col("kb_id"), F.col("document_id"), F.col("parent_index"), F.col("content")))
+    chunks = children(rows, budgets)
     said = sample_text(segments).select("document_id", "file_name", "sample", metadata.suggest(F.col("file_name"), F.col("sample")).alias("suggested"))
     return chunks, said
 

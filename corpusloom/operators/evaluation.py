@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import materialize
+
+#: Values of a group that one task sorts at most; quantiles of a group's sketch.
+SMALL_GROUP, GRID = 100_000, 64
+
 
 def is_labeled(answerable: Column, relevant: Column) -> Column:
     return ~answerable | ((F.size(relevant) > 0) & ~F.exists(relevant, lambda x: F.startswith(x, F.lit("TODO_"))))
@@ -43,6 +50,48 @@ def nearest_rank(values: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) within group (order by {values})")
 
 
+def exact_percentile(rows: DataFrame, group: str, value: str, p: float, small: int = SMALL_GROUP) -> DataFrame:
+    """(group, value, n): each group's nearest-rank percentile, one of its values, for groups of any size; nulls don't count.
+
+    Rounds close in on the rank: a group's values are sketched by GRID quantiles, which tasks add up, the two around the rank are
+    counted exactly, and what is not between them goes. Groups that have no more than small values left are sorted.
+    """
+    values = materialize(rows.select(F.col(group).alias("g"), F.col(value).alias("v")).filter("v is not null"), "percentile_values")
+    state = values.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    state = state.withColumns({"t": F.greatest(F.ceil(F.col("n") * F.lit(p)), F.lit(1)), "m": F.col("n")})
+    state = materialize(state, "percentile_state")
+    within = lambda s: values.join(s.withColumnRenamed("g", "_g"), F.col("g").eqNullSafe(F.col("_g"))).filter("v between lo and hi")
+    grid = [k / GRID for k in range(GRID + 1)]
+    done = []
+    while True:
+        done.append(state.filter("lo = hi").select("g", "n", F.col("lo").alias("v")))
+        few = within(state.filter((F.col("lo") < F.col("hi")) & (F.col("m") <= small)))
+        few = few.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("v"))).filter("place = t")
+        done.append(few.select("g", "n", "v"))
+        state = state.filter((F.col("lo") < F.col("hi")) & (F.col("m") > small))
+        if state.isEmpty():
+            break
+        at = (F.col("t") / F.col("m") * GRID).cast("int")
+        sketch = within(state).groupBy("g").agg(F.percentile_approx("v", grid, 10 * GRID).alias("q")).withColumnRenamed("g", "_g")
+        near = state.join(sketch, F.col("g").eqNullSafe(F.col("_g"))).drop("_g")
+        near = near.withColumns({"a": F.get("q", F.greatest(at - 1, F.lit(0))), "b": F.get("q", F.least(at + 2, F.lit(GRID)))}).drop("q")
+        a, b, v = F.col("a"), F.col("b"), F.col("v")
+        counted = within(near).groupBy("g", "n", "lo", "hi", "t", "m", "a", "b").agg(
+            F.count_if(v < a).alias("less"), F.count_if(v == a).alias("at_a"), F.count_if((v > a) & (v < b)).alias("inside"), F.count_if((v == b) & (b > a)).alias("at_b"),
+            F.max(F.when(v < a, v)).alias("below"), F.min(F.when((v > a) & (v < b), v)).alias("first"), F.max(F.when((v > a) & (v < b), v)).alias("last"), F.min(F.when(v > b, v)).alias("above"),
+        )
+        t, upto_a, upto_in = F.col("t"), F.col("less") + F.col("at_a"), F.col("less") + F.col("at_a") + F.col("inside")
+        upto_b = upto_in + F.col("at_b")
+        kept = lambda lo, hi, before, m: F.struct(lo.alias("lo"), hi.alias("hi"), (t - before).cast("long").alias("t"), m.cast("long").alias("m"))
+        step = (
+            F.when(t <= F.col("less"), kept(F.col("lo"), F.col("below"), F.lit(0), F.col("less"))).when(t <= upto_a, kept(a, a, F.lit(0), F.lit(1)))
+            .when(t <= upto_in, kept(F.col("first"), F.col("last"), upto_a, F.col("inside"))).when(t <= upto_b, kept(b, b, F.lit(0), F.lit(1)))
+            .otherwise(kept(F.col("above"), F.col("hi"), upto_b, F.col("m") - upto_b))
+        )
+        state = materialize(counted.select("g", "n", step.alias("s")).select("g", "n", "s.*"), "percentile_state")
+    return reduce(DataFrame.unionByName, done).select(F.col("g").alias(group), F.col("v").alias(value), "n")
+
+
 def report(results: DataFrame) -> DataFrame:
     """results (config, answerable, labeled, recall, rr, ndcg, latency_ms, refused) -> a row per config: quality over answerable,
     labelled queries, refusal over the others, latency over all; 0 where there is none."""

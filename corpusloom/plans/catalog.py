@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from corpusloom.schemas import ABLATION, Budgets, Retrieval
 from corpusloom.session import new_path
 from corpusloom.sources import postings, readers
 from corpusloom.sources.buckets import BucketStore
+from corpusloom.sources.pages import PagedTable
 from corpusloom.sources.stores import make_store
 from corpusloom.sources.vector_index import VectorIndex
 from corpusloom.streaming import ingest
@@ -182,6 +184,21 @@ def chunk_preview(spark, sf_dir):
     return said.select("document_id", "sample", "suggested.doc_type", "suggested.title")
 
 
+@query
+def preview_chunks(spark, sf_dir):
+    """The chunks that an upload would have, under the ids of nothing that is stored."""
+    found, _ = chunking.preview(documents(spark, sf_dir))
+    return found.select("upload", "document_id", "parent_index", "child_index", F.sha2("content", 256).alias("content_hash"), "chunk_id")
+
+
+@query
+def heading_paths(spark, sf_dir):
+    """Every third line of a document as a heading, of a level that its length tells."""
+    lines = chunking.line_segments(documents(spark, sf_dir))
+    level = F.when(F.col("seg_no") % 3 == 0, F.length("text") % 6 + 1)
+    return chunking.heading_paths(lines, F.col("section_path"), level).select("document_id", "seg_no", "section_path")
+
+
 def _two_versions(spark, sf_dir):
     """Lines of every document as they are, and without each seventh, which is a new one instead."""
     old = chunking.line_segments(documents(spark, sf_dir)).select("document_id", F.col("seg_no").cast("long").alias("index"), "text")
@@ -582,6 +599,15 @@ def p95_latency(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("config")).agg(evaluation.nearest_rank("value", 0.95).alias("p95_latency_ms"), F.count("*").alias("n"))
 
 
+@query
+def exact_percentiles(spark, sf_dir):
+    """The percentile by closing in on it; no task sorts more than 200 values of a group."""
+    parts = [evaluation.exact_percentile(table(spark, sf_dir, "events"), "event_type", "value", p, small=200).withColumn("p", F.lit(p)) for p in (0.05, 0.5, 0.95)]
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("event_type"), F.col("l_quantity").cast("double").alias("value"))
+    parts.append(evaluation.exact_percentile(lines, "event_type", "value", 0.9, small=200).withColumn("p", F.lit(0.9)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def evaluation_report(spark, sf_dir):
     """Events as results: the value is the latency, its parity and user tell the rest."""
@@ -735,9 +761,17 @@ def page_offset(spark, sf_dir):
     return records.page(documents(spark, sf_dir).select("document_id", "file_name"), "document_id", 20, 25)
 
 
+@query
+def page_zoned(spark, sf_dir):
+    """A deep page of orders by date and key, of a table of which only the page's files are read."""
+    rows = table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey", "o_custkey")
+    paged = PagedTable(spark, new_path(spark, "paged"), ["o_orderdate", "o_orderkey"]).write(rows, files=16)
+    return paged.page(1000, 40)
+
+
 @query
 def chat_history_last6(spark, sf_dir):
-    out = records.last_turns(table(spark, sf_dir, "conversations").filter("text is not null"), "conv_id", "turn")
+    out = records.last_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn")
     return out.select("conv_id", F.array_join("turns", "\n").alias("turns"))
 
 
@@ -750,7 +784,7 @@ def doc_kb_join(spark, sf_dir):
 @query
 def kb_docs_left(spark, sf_dir):
     kbs = _kbs(spark, sf_dir).select("kb_id").unionByName(spark.range(1).select(F.lit(999).alias("kb_id")))
-    out = records.nested(kbs, documents(spark, sf_dir).filter("n_chars < 300"), "kb_id", ["document_id"], "docs")
+    out = records.nested(kbs, documents(spark, sf_dir), "kb_id", ["document_id"], "docs")
     return out.select("kb_id", F.array_join(F.transform("docs", lambda d: d["document_id"].cast("string")), ",").alias("docs"))
 
 
@@ -812,7 +846,7 @@ def reindex_documents(spark, sf_dir):
 
 @query
 def envelope_roundtrip(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").filter("text is not null").withColumn("context", F.to_json(F.struct("conv_id", "turn")))
+    rows = table(spark, sf_dir, "conversations").withColumn("context", F.to_json(F.struct("conv_id", "turn")))
     rows = rows.withColumn("message", X.envelope(F.col("context"), F.col("text")))
     return rows.select("conv_id", "turn", F.length("message").cast("long").alias("size"), X.envelope_context(F.col("message")).alias("context"), X.envelope_answer(F.col("message")).alias("answer"))
 

@@ -291,6 +291,15 @@ ORACLE: dict[str, str] = {
     "parent_chunks": f"with recursive {DOCS}, {parents(1200)} select document_id, parent_index, content, section_path, parent_id from parents",
     "child_chunks": f"""with recursive {DOCS}, {parents(1000)}, {children(500, 120)} select document_id, parent_index, child_index, content,
         sha256('child::' || parent_id || '::' || child_index || '::' || content) chunk_id from children""",
+    "preview_chunks": f"""with recursive {DOCS}, {parents(1200).replace("'parent::' || kb_id || '::' || document_id || '::'", "'parent::0::0::'")}, {children(350, 60)}
+        select document_id upload, 0::bigint document_id, parent_index, child_index::int child_index, sha256(content) content_hash, sha256('child::' || parent_id || '::' || child_index || '::' || content) chunk_id from children""",
+    "heading_paths": f"""with recursive {DOCS}, {LINES},
+        walk as (
+            select document_id, -1 seg_no, any_value(section_path) title, [any_value(section_path)] stack, ''::varchar as text from lines group by 1
+            union all
+            select w.document_id, l.seg_no, title, case when l.seg_no % 3 = 0 then list_append(stack[1:(length(l.text) % 6 + 1)], l.text) else stack end, l.text
+            from walk w join lines l on l.document_id = w.document_id and l.seg_no = w.seg_no + 1)
+        select document_id, seg_no::int seg_no, concat_ws(' > ', array_to_string(stack, ' > '), nullif(regexp_extract(text, '{CLAUSE_SQL}', 1), '')) section_path from walk where seg_no >= 0""",
     "chunk_diff_banded": f"""with recursive {DOCS}, {VERSIONS},
         olds as (select document_id, content_hash, list(struct_pack(i := index, u := uuid) order by index) os from old group by all),
         news as (select document_id, content_hash, list(index order by index) ns from new group by all),
@@ -416,6 +425,9 @@ ORACLE: dict[str, str] = {
         coalesce(list_sum(list_transform(retrieved[1:10], lambda x, i: case when list_contains(relevant, x) then 1.0::double / log2(i + 1) else 0.0 end)), 0.0)
         / list_sum(list_transform(range(1, least(len(relevant), 10) + 1), lambda i: 1.0::double / log2(i + 1))) end, 6) ndcg from judged""",
     "p95_latency": "select event_type config, quantile_disc(value, 0.95) p95_latency_ms, count(*) n from events group by all",
+    "exact_percentiles": " union all ".join(f"select event_type, quantile_disc(value, {p}) as value, count(*) n, {p}::double p from events group by event_type" for p in (0.05, 0.5, 0.95))
+    + " union all select l_returnflag, quantile_disc(l_quantity::double, 0.9), count(*), 0.9::double from lineitem group by 1",
+    "page_zoned": "select o_orderdate, o_orderkey, o_custkey from orders order by o_orderdate, o_orderkey limit 40 offset 1000",
     "evaluation_report": """with e as (select event_type config, event_id % 3 > 0 a, event_id % 3 > 0 and event_id % 5 > 0 g, user_id u, value from events)
         select config, round(coalesce(avg((u % 4) / 4.0::double) filter (g), 0), 6) recall_at_5, round(coalesce(avg((u % 8) / 8.0::double) filter (g), 0), 6) mrr,
                round(coalesce(avg((u % 16) / 16.0::double) filter (g), 0), 6) ndcg_at_10, quantile_disc(value, 0.95) p95_latency_ms,
@@ -429,11 +441,11 @@ ORACLE: dict[str, str] = {
     "trace_snapshot": f"with {lexical_top(10)} select query_id, chunk_id, lexical_rank rank, lexical_score, substr(text, 1, 240) preview from lexical_top join documents on chunk_id = doc_id::varchar",
     "trace_truncated": "select doc_id document_id, substr(text, 1, 2000) cut, least(80, len(string_split(text, ' '))) n_items from documents",
     "page_offset": "select doc_id document_id, 'doc_' || doc_id || '.txt' file_name from documents order by doc_id limit 25 offset 20",
-    "chat_history_last6": """select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) turns from (
-        select *, row_number() over (partition by conv_id order by turn desc) r from conversations where text is not null) where r <= 6 group by all""",
+    "chat_history_last6": """select conv_id, string_agg(concat_ws(': ', role, text), chr(10) order by turn) turns from (
+        select *, row_number() over (partition by conv_id order by turn desc) r from conversations) where r <= 6 group by all""",
     "doc_kb_join": "select doc_id document_id, source as name from documents where cast(substr(source, 4) as integer) % 2 = 0",
     "kb_docs_left": f"""with {DOCS}, k as (select distinct kb_id from docs union all select 999)
-        select k.kb_id, coalesce(string_agg(document_id::varchar, ',' order by document_id), '') docs from k left join docs d on d.kb_id = k.kb_id and n_chars < 300 group by all""",
+        select k.kb_id, coalesce(string_agg(document_id::varchar, ',' order by document_id), '') docs from k left join docs d on d.kb_id = k.kb_id group by all""",
     "kb_semi": f"with {DOCS} select distinct kb_id from docs where department = 'de'",
     "chat_kb_bridge": """select c_custkey, n_name, n_suppliers from customer join nation on c_nationkey = n_nationkey
         join (select s_nationkey, count(*) n_suppliers from supplier group by all) on s_nationkey = n_nationkey""",
@@ -443,7 +455,7 @@ ORACLE: dict[str, str] = {
                case when regexp_matches({_META}, '{metadata.DATE}') then regexp_extract({_META}, '{metadata.DATE}', 1) || '-' || lpad(regexp_extract({_META}, '{metadata.DATE}', 2), 2, '0') || '-'
                     || lpad(coalesce(nullif(regexp_extract({_META}, '{metadata.DATE}', 3), ''), '01'), 2, '0') end effective_date from d""",
     "metadata_merge": "select doc_id document_id, case when doc_id % 3 = 1 then 'confirmed' else lang end department from documents",
-    "envelope_roundtrip": f"""with m as (select conv_id, turn, '{{"conv_id":' || conv_id || ',"turn":' || turn || '}}' context, text from conversations where text is not null)
+    "envelope_roundtrip": f"""with m as (select conv_id, turn, '{{"conv_id":' || conv_id || ',"turn":' || turn || '}}' context, text from conversations)
         select conv_id, turn, length(base64(encode(context))) + {len(X.SEPARATOR)} + length(text) size, context, text answer from m""",
     "citation_rewrite": "select doc_id, text || ' [citation](' || doc_id || ') ## 💭 深度思考' || chr(10) || '```thinkx```' as text from documents",
     "router_json": """select item_id query_id, case when item_id % 3 = 0 then 'chitchat' else 'retrieval' end intent,

@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.operators.chunking import line_segments
 from corpusloom.operators.evaluation import with_defaults
 from corpusloom.schemas import EVALUATION
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _heading = re.compile(X.HEADING)
 _clause = re.compile(X.CLAUSE)
+_line_ends = re.compile(X.LINE_ENDS)
+#: White space by its Unicode property, as X.strip() removes it.
+_white = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def _texts(node) -> str:
@@ -71,29 +73,38 @@ def pdf_segments(content: bytes, title: str) -> list[dict]:
     return out
 
 
-def _parsed(parse):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for kb, doc, name, title, content in pdf.itertuples(index=False):
-                rows = [{"kb_id": kb, "document_id": doc, "file_name": name, "seg_no": k, **s} for k, s in enumerate(parse(bytes(content), title))]
-                if rows:
-                    yield pd.DataFrame(rows).astype({"page": "Int32"})
+def text_segments(content: bytes, title: str) -> list[dict]:
+    """Lines that aren't blank, as line_segments() has them."""
+    lines = (t.strip(_white) for t in _line_ends.split(content.decode("utf-8", "replace")))
+    return [{"text": t, "section_path": title, "page": None, "is_heading": False, "is_table": False} for t in lines if t]
 
-    return run
+
+PARSERS = {"docx": docx_segments, "pdf": pdf_segments}
+
+
+def parsed_file(name: str, content: bytes) -> list[dict]:
+    """A file's segments, by its extension; files of no known extension are text."""
+    title, dot, ext = name.rpartition(".")
+    return PARSERS.get(ext.lower() if dot else "", text_segments)(content, title or name)
+
+
+def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for kb, doc, name, content in pdf.itertuples(index=False):
+            rows = [{"kb_id": kb, "document_id": doc, "file_name": name, "seg_no": k, **s} for k, s in enumerate(parsed_file(name, bytes(content)))]
+            if rows:
+                yield pd.DataFrame(rows).astype({"page": "Int32"})
 
 
 SEGMENT_SCHEMA = "kb_id int, document_id long, file_name string, seg_no int, text string, section_path string, page int, is_heading boolean, is_table boolean"
 
 
 def segments(spark: SparkSession, path: str, kb_id: int) -> DataFrame:
-    """Segments of all files below path: .docx and .pdf by their parsers, all others as lines of text."""
+    """Segments of all files below path, of any store that Spark reads: .docx and .pdf by their parsers, all others as lines of
+    text. The folder is read once."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.select(
-        F.lit(kb_id).alias("kb_id"), F.xxhash64("path").alias("document_id"), X.base_name(F.col("path")).alias("file_name"), X.stem(F.col("path")).alias("title"), "content", X.extension(F.col("path")).alias("ext")
-    )
-    parsed = [files.filter(F.col("ext") == ext).drop("ext").mapInPandas(_parsed(parse), SEGMENT_SCHEMA) for ext, parse in (("docx", docx_segments), ("pdf", pdf_segments))]
-    plain = files.filter(~F.col("ext").isin("docx", "pdf")).withColumn("text", F.decode("content", "utf-8"))
-    return parsed[0].unionByName(parsed[1]).unionByName(line_segments(plain))
+    files = files.select(F.lit(kb_id).alias("kb_id"), F.xxhash64("path").alias("document_id"), X.base_name(F.col("path")).alias("file_name"), "content")
+    return files.mapInPandas(_parsed, SEGMENT_SCHEMA)
 
 
 def evaluation_set(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
