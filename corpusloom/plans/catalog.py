@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import metadata
 from corpusloom.functions import text as X
-from corpusloom.operators import changes, chunking, evaluation, filters, ranking, records, retrieval, routing
+from corpusloom.operators import changes, chunking, evaluation, filters, ranking, records, retrieval, routing, segmentation
 from corpusloom.plans import pipeline
 from corpusloom.schemas import ABLATION, Budgets, Retrieval
 from corpusloom.session import new_path
@@ -171,6 +171,13 @@ def parent_chunks(spark, sf_dir):
     return rows.select("document_id", "parent_index", "content", "section_path", "parent_id")
 
 
+@query
+def parent_chunks_scanned(spark, sf_dir):
+    """The same parents, by buckets of lines in place of whole documents."""
+    rows = segmentation.parents(chunking.line_segments(documents(spark, sf_dir)), bucket=64)
+    return rows.select("document_id", "parent_index", "content", "section_path", "parent_id")
+
+
 @query
 def child_chunks(spark, sf_dir):
     rows = chunking.children(chunking.parents(chunking.line_segments(documents(spark, sf_dir)), Budgets.for_ingestion()), Budgets.for_ingestion())

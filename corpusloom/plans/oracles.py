@@ -467,4 +467,4 @@ ORACLE: dict[str, str] = {
 }
 
 # What an index finds is what a scan finds.
-ORACLE |= {"bm25_index_topk": ORACLE["bm25_topk"], "bm25_index_analyzer": ORACLE["bm25_analyzer"], "sparse_index_topk": ORACLE["learned_sparse"]}
+ORACLE |= {"bm25_index_topk": ORACLE["bm25_topk"], "bm25_index_analyzer": ORACLE["bm25_analyzer"], "sparse_index_topk": ORACLE["learned_sparse"], "parent_chunks_scanned": ORACLE["parent_chunks"]}
