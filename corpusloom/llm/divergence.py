@@ -27,7 +27,7 @@ LEAST_DOCS, TOP = 3, 200
 #: Probabilities are whole numbers of this part.
 UNIT = 1_000_000_000
 #: Characters of text that a task sorts at once; cells of numbers that it holds for pairs of sources.
-SORTED_CHARS, CELLS = 12_000_000, 2_000_000
+SORTED_CHARS, CELLS = 6_000_000, 2_000_000
 
 PARTIAL = "lang_no int, term string, grp int, df long, n long"
 KEPT = "lang_no int, term string, grps array<int>, counts array<long>"
