@@ -128,7 +128,8 @@ class Graph:
 
 
 def graph_of(texts: list[str], anchored: bool = True) -> Graph:
-    """Repeats are linked with their anchor, the first observed one or else the first; if not anchored, each with the one before it."""
+    """Repeats are linked with their anchor, the first observed one or else the first; if not anchored, each with the one before it. A number
+    of several tokens that a pattern found repeats what has its digits."""
     spans, shapes, seen, links, base = [], [], [], [], []
     for text in texts:
         found = base_spans(text)
@@ -138,7 +139,7 @@ def graph_of(texts: list[str], anchored: bool = True) -> Graph:
         spans.append(tokens)
         places: dict[str, list[int]] = {}
         chained: set[int] = set()
-        before, k = None, 0
+        before, k, told = None, 0, None
         by_start = sorted(found)
         for start, end in tokens:
             token, me = text[start:end], len(shapes)
@@ -149,13 +150,18 @@ def graph_of(texts: list[str], anchored: bool = True) -> Graph:
             cover, j = [], k
             while j < len(by_start) and by_start[j][0] < end:
                 if by_start[j][2] > start:
-                    cover.append(by_start[j][1])
+                    cover.append((by_start[j][1], by_start[j]))
                 j += 1
-            seen.append(1 + min(cover) if cover else -1)
+            seen.append(1 + min(cover)[0] if cover else -1)
+            # The first token of a number that a pattern found stands for all of it.
+            key = skip_key(token)
+            if cover and (now := min(cover)[1]) != told:
+                told = now
+                key = skip_key(text[now[0] : now[2]]) if now[1] >= 2 else key
             if before is not None and gap <= 3:
                 links.append((me - 1, me, 0))
                 chained.add(me)
-            places.setdefault(skip_key(token), []).append(me)
+            places.setdefault(key, []).append(me)
             before = end
         for same in places.values():
             anchor = next((i for i in same if seen[i] >= 0), same[0])
@@ -243,26 +249,54 @@ def beliefs(graph: Graph, field: Field, rounds: int | None = None) -> np.ndarray
     return np.exp(_log_softmax(total))
 
 
+def whole(kind: int, token: str) -> bool:
+    """Whether it has all digits of a card or a telephone number."""
+    digits = _no_digit.sub("", token)
+    return 14 <= len(digits) <= 19 and luhn(digits) if KINDS[kind] == "card" else 10 <= len(digits) <= 15
+
+
 def find(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """(base spans, all spans) of each text, as (start, kind, end)."""
     graph = graph_of(texts)
     p = beliefs(graph, field)
     label = np.where(p.max(axis=1) >= BELIEF, p.argmax(axis=1), 0) if len(p) else np.zeros(0, np.int64)
     out, at = [], 0
-    for tokens, base in zip(graph.spans, graph.base, strict=True):
+    for text, tokens, base in zip(texts, graph.spans, graph.base, strict=True):
         more: list[tuple[int, int, int]] = []
         for k, (s, e) in enumerate(tokens):
             if label[at + k] and graph.seen[at + k] < 0:
                 kind = int(label[at + k]) - 1
-                # Parts of one number, with a blank and a bracket between them at most, are one span.
+                # Parts of one number, with a blank and a bracket between them at most, are one span; whole numbers are apart.
                 if more and kind >= 2 and more[-1][1] == kind and s - more[-1][2] <= 3 and label[at + k - 1] == label[at + k]:
-                    s = more.pop()[0]
+                    if not whole(kind, text[s:e]) and not whole(kind, text[more[-1][0] : more[-1][2]]):
+                        s = more.pop()[0]
                 more.append((s, kind, e))
         at += len(tokens)
         out.append((base, sorted(base + more)))
     return out
 
 
+def with_repeats(text: str) -> str:
+    """The text, and at its end each telephone and card number of the patterns' finds once more, in two spellings that the patterns don't
+    know, each other number of seven digits or more, and each address without its domain's end, which is none: what a repeat is
+    worth, and what an address needs, is learned from these."""
+    base = base_spans(text)
+    said = []
+    for start, kind, end in base:
+        digits = _no_digit.sub("", text[start:end])
+        if kind == 3:
+            said += [digits, "-".join((digits[:1], digits[1:4], digits[4:]))]
+        elif kind == 2:
+            said += [".".join(digits[k : k + 4] for k in range(0, len(digits), 4)), "/".join((digits[:8], digits[8:]))]
+        elif kind == 0:
+            said.append(text[start:end].partition(".")[0] if "@" in text[start:end].partition(".")[0] else "x@" + text[start:end].partition("@")[2].partition(".")[0])
+    for start, end in variables(text):
+        known = any(s < end and start < e for s, _, e in base)
+        if not known and "@" not in text[start:end] and len(_no_digit.sub("", text[start:end])) >= 7:
+            said.append(text[start:end])
+    return text + "".join(f"\nand again {x} as said" for x in said)
+
+
 def repeated_labels(graph: Graph) -> np.ndarray:
     """The observed labels, and on tokens that have none those of the tokens that they repeat; links are of each repeat with
     the one before it."""
@@ -281,7 +315,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Field:
     """Learns the field from the patterns' finds in at most sample documents, those whose ids hash lowest, one row of each.
 
     What the patterns found is hidden from the field there, which learns it from shapes and neighbours; tokens that repeat a
-    find, and that the patterns missed, are of its kind too. Of repeats it learns from each and the one before it, as an
+    find, and that the patterns missed, are of its kind too. Numbers are repeated at the end of each text, so that there are
+    repeats to learn from. Of repeats it learns from each and the one before it, as an
     anchor's many links would outweigh all else."""
     ids = docs.select(F.col("doc_id").alias("id")).filter("id is not null").orderBy(F.xxhash64("id"), "id").limit(sample)
     ids = materialize(ids.distinct(), "pii_sample")
@@ -289,7 +324,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> Field:
 
     def graphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            g = graph_of(list(pdf["text"]), anchored=False)
+            g = graph_of([with_repeats(t) for t in pdf["text"]], anchored=False)
             yield pd.DataFrame({"n": [len(g.seen)], "shapes": [g.shapes.astype(np.int8).tobytes()], "seen": [repeated_labels(g).astype(np.int8).tobytes()], "links": [g.links.astype(np.int32).tobytes()]})
 
     texts = texts.groupBy("id").agg(F.min("text").alias("text"))

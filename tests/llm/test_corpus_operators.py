@@ -579,6 +579,42 @@ def test_messages_give_the_marginals_of_a_tree():
     assert np.allclose(got, want / want.sum(axis=1, keepdims=True), atol=2e-3)
 
 
+def test_a_learned_field_carries_labels_to_repeats(spark):
+    """What is planted in other texts than those that it learned from: recall of repeats in spellings that no pattern knows, and what is left alone."""
+    rng = np.random.default_rng(11)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def card() -> str:
+        while not pii_crf.luhn(d := "4" + digits(15)):
+            pass
+        return d
+
+    def text(k: int) -> tuple[str, set[str], set[str]]:
+        phone, number, other = "1" + digits(10), card(), "7" + digits(9)
+        told = [f"+{phone}", f"+{phone[0]} ({phone[1:4]}) {phone[4:7]}-{phone[7:]}"][k % 2]
+        said = {phone, f"{phone[0]}-{phone[1:4]}-{phone[4:7]}-{phone[7:]}", ".".join(number[i : i + 4] for i in range(0, 16, 4))}
+        filler = " and some words between them here "
+        body = filler.join([f"order {other} of us", f"call {told}", f"card {number}", *sorted(said), f"order {other} again", "mail a@b or k@example.org"])
+        return body, said, {other, "a@b"}
+
+    learn = spark.createDataFrame([(k, text(k)[0]) for k in range(150)], "doc_id long, text string")
+    field = pii_crf.fit(learn)
+    hits = wanted = 0
+    for k in range(40):
+        body, said, none = text(k)
+        found = {body[s:e] for s, _, e in pii_crf.find([body], field)[0][1]}
+        hits, wanted = hits + len(said & found), wanted + len(said)
+        assert not none & found
+    assert hits / wanted > 0.95
+
+
+def test_whole_numbers_side_by_side_are_two(spark):
+    shape = [np.zeros((n, pii_crf.LABELS)) for n in pii_crf.SLOTS]
+    shape[5][1, 3] = 9.0
+    found = pii_crf.find(["4465758382889437 4465758382889437"], pii_crf.Field(shape, np.zeros((2, pii_crf.LABELS, pii_crf.LABELS))))[0][1]
+    assert [(s, e) for s, _, e in found] == [(0, 16), (17, 33)]
+
+
 def test_pii_of_odd_rows(spark, odd):
     got = {(r.doc_id, tuple(s.kind for s in r.base)) for r in pii_crf.detect(odd, pii_crf.fit(odd)).collect()}
     assert {k for d, k in got if d == 8} == {("phone", "email")} and all(not k for d, k in got if d != 8)
