@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bloom import blocked_bloom, with_maybe
-from corpusloom.llm.common import WORD, connected_components, flat, materialize, nested, text_or_empty
+from corpusloom.llm.common import WORD, connected_components, flat, materialize, nested, text_or_empty, trimmed
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair has a band in common with probability 0.99997.
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     out. Texts are never cut; a very long one takes about 200 bytes a word of its task's memory.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = texts.mapInArrow(_sketches, "doc_id long, node long, size long, s0 long, s1 long, bands array<long>")
+    rows = texts.mapInArrow(trimmed(_sketches), "doc_id long, node long, size long, s0 long, s1 long, bands array<long>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "sketches")
     # One row of each node stands for it: all of them have the same sketch.
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
@@ -308,7 +308,7 @@ def elements_of(texts: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame
     some = with_maybe(texts, F.col("doc_id"), blocked_bloom(needed.filter("doc_id is not null"), needed.count()))
     some = some.filter("maybe or doc_id is null").drop("maybe")
     some = some.join(needed.select(F.col("doc_id").alias("i")).distinct(), F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
-    return materialize(some.mapInArrow(_packed, "node long, elements binary"), "elements")
+    return materialize(some.mapInArrow(trimmed(_packed), "node long, elements binary"), "elements")
 
 
 def verified(packed: DataFrame, pairs: DataFrame, at_least: float) -> DataFrame:
@@ -347,7 +347,7 @@ def differences(packed: DataFrame, members: DataFrame, at_least: float) -> DataF
     """
     r = (1 - at_least) / (1 + at_least)
     sets = members.filter("node <> hub").join(packed, "node").join(packed.select(F.col("node").alias("hub"), F.col("elements").alias("h_elements")), "hub")
-    rows = sets.mapInArrow(_differences, "hub long, node long, size long, comp long, apart long, h_size long, element long")
+    rows = sets.mapInArrow(trimmed(_differences), "hub long, node long, size long, comp long, apart long, h_size long, element long")
     rows = materialize(rows, "all_differences")
     key = ["hub", "element"]
     rows = rows.join(materialize(rows.groupBy(*key).agg(F.count("*").alias("df")).filter("df > 1"), "shared_differences"), key)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from corpusloom.llm.common import text_or_empty
+from corpusloom.llm.common import text_or_empty, trimmed
 from corpusloom.llm.suffix_tree import Places
 
 #: The vocabulary; it is read by the driver alone.
@@ -935,7 +935,7 @@ def encode(docs: DataFrame, pieces: Pieces, k: int = K, seed: int = 0, check: bo
     ids = StructType.fromDDL("sample int, ids array<int>, log_prob double, perturbed double, inclusion double" + (", exact boolean" if check or not together else ""))
     if together:
         schema = StructType([StructField("doc_id", kind), *[StructField(n, f.dataType) for f, n in zip(keep, kept, strict=True)], StructField("samples", ArrayType(ids))])
-        return texts.mapInArrow(run, schema).toDF("doc_id", *[f.name for f in keep], "samples")
+        return texts.mapInArrow(run if held else trimmed(run), schema).toDF("doc_id", *[f.name for f in keep], "samples")
     rows = texts.mapInArrow(run, StructType([StructField("doc_id", kind), *ids.fields]))
     return rows if check else rows.drop("exact")
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, fold, materialize, text_or_empty
+from corpusloom.llm.common import WORD, fold, materialize, text_or_empty, trimmed
 
 #: Hashed vectors, their length, and the lengths of character n-grams of a word between < and >.
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (3, 4)
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype(str), "quality": pdf["quality"], "at": [a.tobytes() for a, _ in found], "n": [n.tobytes() for _, n in found]})
 
     # One row of those that repeat an id, so that what comes to the driver is bounded like the sample.
-    rows = texts.mapInPandas(bags, "doc_id string, quality int, at binary, n binary").groupBy("doc_id").agg(F.min(F.struct("at", "n", "quality")).alias("r"))
+    rows = texts.mapInPandas(trimmed(bags), "doc_id string, quality int, at binary, n binary").groupBy("doc_id").agg(F.min(F.struct("at", "n", "quality")).alias("r"))
     rows = rows.select("doc_id", "r.*").orderBy("doc_id").toArrow()
     found = list(zip(_views(rows["at"], np.int32), _views(rows["n"], np.float32), strict=True))
     return train(found, rows["quality"].to_numpy().astype(np.int64))
@@ -181,4 +181,4 @@ def scored(docs: DataFrame, model: Model, column: str = "score", text: Column |
         for s in texts:
             yield pd.Series([score_text(t, made[0], share.value.bias) for t in s], dtype="float64")
 
-    return docs.withColumn(column, F.pandas_udf(run, "double")(text_or_empty() if text is None else F.coalesce(text, F.lit(""))))
+    return docs.withColumn(column, F.pandas_udf(trimmed(run), "double")(text_or_empty() if text is None else F.coalesce(text, F.lit(""))))
