@@ -47,11 +47,10 @@ def word_hash(word: str) -> int:
 
 
 def pairs(hashes: np.ndarray) -> np.ndarray:
-    """Buckets of the pairs of neighbouring words, of the words' hashes in order; a word after itself is one n-gram,
-    whatever the word."""
+    """Buckets of the pairs of neighbouring words, of the words' hashes in order."""
     h = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.where(hashes[:-1] == hashes[1:], BUCKETS, (h >> np.uint64(40)).astype(np.int64) % (PAIR_BUCKETS - 1) + BUCKETS + 1)
+    return (h >> np.uint64(40)).astype(np.int64) % PAIR_BUCKETS + BUCKETS
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -351,6 +352,43 @@ def test_classifier_on_held_out_rows(spark, sf_dir):
     assert len(rows) > 50 and np.mean(right) > 0.9 and np.mean([r.score >= 0.3 for r in rows if r.quality]) > 0.95
 
 
+def test_scores_are_those_of_averaged_vectors(spark, odd):
+    """The softmax of the mean of all vectors, one for each word, n-gram and pair, kept apart by a layer of known numbers."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(quality.BUCKETS + quality.PAIR_BUCKETS, 3))
+    layer, bias = rng.normal(size=(3, 2)), rng.normal(size=2)
+    model = quality.Model(vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0]))
+    h32, h64 = (lambda s: xxhash.xxh32_intdigest(s)), (lambda s: xxhash.xxh3_64_intdigest(s))
+
+    def pair(a, b):
+        h = (h64(a) * 0x9E3779B97F4A7C15 ^ h64(b) * 0xC2B2AE3D27D4EB4F) % 2**64
+        h = (h ^ (h >> 31)) * 0xD6E8FEB86659FD93 % 2**64
+        return quality.BUCKETS + (h >> 40) % quality.PAIR_BUCKETS
+
+    def score(text):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+        at = [h32("w" + w) % quality.BUCKETS for w in words]
+        at += [h32(g) % quality.BUCKETS for w in words for n in quality.GRAMS for i in range(len(w) + 3 - n) for g in [f"<{w}>"[i : i + n]]]
+        at += [pair(a, b) for a, b in zip(words, words[1:])]
+        z = (np.mean([vectors[k] for k in at], axis=0) if at else np.zeros(3)) @ layer + bias
+        return np.exp(z[1]) / np.exp(z).sum()
+
+    texts = ["a", "ab ab ab", "the the cat", "Ünder größe  \n und\tso", " ".join(f"w{k % 37}" for k in range(5000)), "x" * 3000, *(r.text for r in odd.select("text").collect())]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.scored(rows, model).collect():
+        assert r.score == pytest.approx(score(texts[r.doc_id]), abs=1e-9)
+
+
+def test_training_tells_labels_apart_and_reruns_agree():
+    texts, labels = ["a b", "c d", "a b c", "c d d", "b", "d"], np.array([1, 0, 1, 0, 1, 0])
+    bags = [quality.bag(t) for t in texts]
+    model = quality.train(bags, labels)
+    margins = [model.bias + float(model.parts[at] @ n) / float(n.sum()) for at, n in bags]
+    assert all((m > 0) == (y == 1) for m, y in zip(margins, labels))
+    again = quality.train(bags, labels)
+    assert np.array_equal(model.parts, again.parts) and model.bias == again.bias
+
+
 def test_classifier_on_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 0), (4, 0), (4, 1), (77, 1)], "doc_id long, quality int")
     model = quality.fit(odd, labels)
