@@ -32,6 +32,12 @@ def profiles(kbs: DataFrame, documents: DataFrame, parents: DataFrame) -> DataFr
     )
     first = ranked(parents, ["kb_id"], [F.col("document_id"), F.col("parent_index")], "_n", SAMPLES)
     samples = first.groupBy("kb_id").agg(F.sort_array(F.collect_list(F.struct("_n", F.substring("content", 1, SAMPLE_CHARS).alias("c")))).alias("s"))
+    return assemble(kbs, facts, titles, samples)
+
+
+def assemble(kbs: DataFrame, facts: DataFrame, titles: DataFrame, samples: DataFrame) -> DataFrame:
+    """The profiles of kbs from facts (kb_id, document_count, departments, doc_types), titles (kb_id, t: structs with title, in order)
+    and samples (kb_id, s: structs with c, a parent's beginning, in order)."""
     out = kbs.join(facts, "kb_id", "left").join(titles, "kb_id", "left").join(samples, "kb_id", "left")
     empty = F.array().cast("array<string>")
     out = out.select(

@@ -16,6 +16,7 @@ from corpusloom.schemas import ABLATION, Budgets, Retrieval
 from corpusloom.session import new_path
 from corpusloom.sources import postings, readers
 from corpusloom.sources.buckets import BucketStore
+from corpusloom.sources.kept_profiles import KeptProfiles, Rows
 from corpusloom.sources.pages import PagedTable
 from corpusloom.sources.stores import make_store
 from corpusloom.sources.vector_index import VectorIndex
@@ -522,6 +523,30 @@ def kb_profile(spark, sf_dir):
     return _profiles(spark, sf_dir).select("kb_id", "document_count", F.array_join("departments", ",").alias("departments"), F.array_join("titles", ",").alias("titles"), "summary")
 
 
+def _kept_profiles(spark, sf_dir):
+    """Built from every document; then two knowledge bases and parts of others go, and a third has new texts and a confirmed
+    department."""
+    rows_of = lambda docs: Rows(docs, docs.select("kb_id", "document_id", F.lit(0).alias("parent_index"), F.col("text").alias("content")))
+    docs = documents(spark, sf_dir)
+    kept = KeptProfiles(spark, new_path(spark, "profiles"))
+    kept.build(rows_of(docs))
+    stay, again = (F.col("document_id") % 10 != 7) & (F.col("document_id") % 11 != 7), F.col("document_id") % 3 == 0
+    newer = docs.filter(stay & again).withColumn("text", F.concat(F.lit("Again "), "text")).withColumn("department", F.lit("confirmed"))
+    kept.change(rows_of(newer), rows_of(docs.filter(~stay | again)), rows_of(docs.filter(stay & ~again).unionByName(newer)))
+    return kept
+
+
+@query
+def kept_profile(spark, sf_dir):
+    p = _kept_profiles(spark, sf_dir).profiles(_kbs(spark, sf_dir))
+    return p.select("kb_id", "document_count", F.array_join("departments", ",").alias("departments"), F.array_join("titles", ",").alias("titles"), "summary")
+
+
+@query
+def kept_keywords(spark, sf_dir):
+    return _kept_profiles(spark, sf_dir).keywords()
+
+
 def _keywords(spark, sf_dir, **how):
     p = _profiles(spark, sf_dir).withColumn("t", F.concat_ws(" ", "name", F.array_join("titles", " "), "sample"))
     return routing.keywords(p, "kb_id", "t", **how)

@@ -135,6 +135,10 @@ PROFILES = f"""facts as (
         from wanted join offered using (token) join (select query_id, count(*) n from wanted group by all) using (query_id) group by all),
     ranked as (select *, row_number() over (partition by query_id order by exact desc, kb_id) rank from matches)"""
 
+#: DOCS after the changes that the catalogue makes to kept profiles.
+CHANGED = DOCS.replace("lang department", "case when doc_id % 3 = 0 then 'confirmed' else lang end department").replace(
+    " text, n_chars", " case when doc_id % 3 = 0 then 'Again ' || text else text end as text, n_chars").replace("from documents)", "from documents where doc_id % 10 <> 7 and doc_id % 11 <> 7)")
+
 JUDGED = lexical_top(10) + """, want as (select item_id query_id, list(distinct d.doc_id::varchar) relevant from benchmark b join documents d on contains(d.text, b.text) group by all),
     judged as (
         select b.item_id query_id, coalesce(relevant, []) relevant, coalesce(r.retrieved, []) retrieved from benchmark b
@@ -409,6 +413,13 @@ ORACLE: dict[str, str] = {
     "kb_keywords": f"with {DOCS}, {PROFILES} select * from keywords",
     "kb_keywords_by_frequency": f"""with {DOCS}, {PROFILES} select kb_id, keyword, {count_of('lower(body)', 'keyword')} n,
         row_number() over (partition by kb_id order by {count_of('lower(body)', 'keyword')} desc, keyword) rank from words qualify rank <= 40""",
+    "kept_profile": f"""with {CHANGED}, {PROFILES} select kb_id, document_count, array_to_string(departments, ',') departments, array_to_string(titles, ',') titles, summary from profiles
+        union all select distinct cast(substr(source, 4) as integer) kb_id, 0, '', '', '知识库名称：' || source || chr(10) || '描述：无' || chr(10) || '文档数：0' || chr(10) || '部门：未标注' || chr(10)
+            || '文档类型：未标注' || chr(10) || '代表文档：暂无文档' from documents where cast(substr(source, 4) as integer) not in (select kb_id from docs)""",
+    "kept_keywords": f"""with {CHANGED}, bodies as (select kb_id, title body from docs union all select kb_id, text from docs),
+        words as (select kb_id, unnest(list_distinct(list_transform(regexp_extract_all(body, '{PROFILE_TERM}'), lambda w: lower(w)))) keyword from bodies)
+        select kb_id, keyword, count(*) n, row_number() over (partition by kb_id order by count(*) desc, keyword) rank
+        from words where length(keyword) >= 2 group by kb_id, keyword qualify rank <= 40""",
     "profile_match": f"with {DOCS}, {PROFILES} select query_id, kb_id, round(exact, 4) score, array_to_string(terms[1:12], ',') matched_terms, rank from ranked where rank <= 3",
     "route_heuristic": f"""with {DOCS}, {PROFILES} select item_id query_id, coalesce(kb_id, (select min(kb_id) from profiles)) kb_id,
         'retrieval' intent, '{routing.OTHER}' as domain from benchmark left join ranked on query_id = item_id and rank = 1""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -168,6 +169,11 @@ class BucketStore:
                     raise
         raise AssertionError
 
+    def change(self, keys: DataFrame, after: dict[str, Callable[[DataFrame | None], DataFrame | None]], mark: tuple[str, int] | None = None) -> int:
+        """One commit in which after[table] makes the new rows of the buckets of keys from all their old ones, None before
+        the first. It is called again when another writer was faster."""
+        return self._change(keys, after, mark)
+
     def replace(self, batch: dict[str, DataFrame], gone: DataFrame | None = None, mark: tuple[str, int] | None = None) -> int:
         """All rows, in all tables, of the batch's keys and of gone's are replaced by the batch's. Returns the commit's number.
 
