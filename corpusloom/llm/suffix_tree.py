@@ -1,34 +1,40 @@
 """LM scoring: a probabilistic suffix tree over words.
 
-Candidate contexts of one or more words are those with at least a given share of all training tokens; one is
-retained when its next words diverge from those after its suffix by more than the description of the difference
-costs. Next-symbol distributions are discounted and smoothed by the suffix's, down to the counts of single words.
-A text is scored from the longest suffix state at each of its tokens.
-
-All candidates hold a least share of the tokens, so there are at most as many as its inverse, however large the
-corpus: they are broadcast. The counts of single words are not bounded so; the rare words of each text are joined
-with them by a shuffle.
+A context of one to four words is a candidate when it occurs LEAST_EVENTS times in training, and so is a word after it;
+one is retained when its next words diverge from those after its suffix by more than the description of the
+difference costs. Next-symbol distributions are discounted and smoothed by the suffix's, down to the counts of single
+words. A text is scored from the longest suffix state at each of its tokens.
+
+All runs of words that are frequent enough are counted, however many: tasks count theirs and send sorted parts of the range of
+hashes, and what is shared by fewer texts than a candidate needs is known by then. Levels are joined with those below. A run's
+state and event add up in logarithms along a text, so each run has one value: those of the most frequent
+runs are broadcast, up to MOST_SHARED, and the others are joined with the places of the texts that a filter lets through.
 """
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fold, materialize, text_or_empty
+from corpusloom.llm.common import fold, materialize, release, text_or_empty
 
 MAX_DEPTH = 4
-#: Least shares of all training tokens: of a context, of a word that has a place in contexts' distributions, and of
-#: a context followed by a word.
-CONTEXT_SHARE, WORD_SHARE, EVENT_SHARE = 2.0**-15, 2.0**-18, 2.0**-21
 DISCOUNT, LEAST_EVENTS = 0.5, 3
+#: What tasks hold: words of at least this share of all training tokens, and the values of so many runs of words. All others are joined.
+WORD_SHARE, MOST_SHARED = 2.0**-18, 1 << 20
+#: Bits of a filter for each key, and its most 64-bit words; a longer list makes it let more through, which is sorted out later.
+FILTER_BITS, FILTER_WORDS = 16, 1 << 22
+#: Texts are joined with what tasks don't hold in so many slices, one after the other: all at once would take more disk.
+SLICES = 3
 REMEMBERED, BUFFER = 500_000, 2_000_000
 
 _u = np.uint64
@@ -58,9 +64,9 @@ def token_hashes(text: bytes, hashes: _Hashes) -> np.ndarray:
     return out
 
 
-def longer(context: np.ndarray, older: np.ndarray) -> np.ndarray:
-    """The context with one more, older word before it."""
-    return mix(context * _u(0x9E3779B97F4A7C15) + older)
+def longer(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The run of words that is context but for its last and suffix but for its first word."""
+    return mix(context * _u(0x9E3779B97F4A7C15) + suffix)
 
 
 class Places:
@@ -91,29 +97,46 @@ class Places:
         return out
 
 
+class Filter:
+    """Says of hashes whether they may be among the listed ones: a 64-bit word with three bits for each."""
+
+    def __init__(self, keys: DataFrame, n: int):
+        size = max(4, min(FILTER_WORDS, n * FILTER_BITS // 64)).bit_length()
+        key, one = F.col(keys.columns[0]), F.lit(1).cast("long")
+        bit = lambda at: F.call_function("shiftleft", one, F.shiftrightunsigned(key, at).bitwiseAND(63).cast("int"))
+        bits = keys.groupBy(F.shiftrightunsigned(key, 65 - size).alias("at")).agg(F.bit_or(bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12))).alias("bits"))
+        t = bits.toArrow()
+        self.shift, self.words = _u(65 - size), np.zeros(1 << (size - 1), _u)
+        self.words[t.column("at").to_numpy()] = t.column("bits").to_numpy().view(_u)
+
+    def has(self, q: np.ndarray) -> np.ndarray:
+        bits = _u(1) << (q & _u(63)) | _u(1) << ((q >> _u(6)) & _u(63)) | _u(1) << ((q >> _u(12)) & _u(63))
+        return self.words[q >> self.shift] & bits == bits
+
+
 @dataclass
 class Tree:
-    """words: the frequent words' hashes and log10 probabilities at the root. contexts: for each length, the retained
-    contexts' hashes, the log10 weight of the suffix's distribution, and events, (place of context << 32 | place of
-    word) sorted, with log10 probabilities."""
+    """words: the frequent words' hashes and log10 probabilities at the root. contexts: for each length of a run of words, the most
+    frequent runs' hashes, and what they add to the log10 probability of their last word and of the word after them.
+    listed: whether a run may have a value. rest: (key, value) of the runs that are not among contexts."""
 
     words: Places
     word_log: np.ndarray
-    contexts: list[tuple[Places, np.ndarray, np.ndarray, np.ndarray]]
+    contexts: list[tuple[Places, np.ndarray, np.ndarray]]
+    listed: Filter | None
+    rest: DataFrame | None
     train_tokens: int
     train_words: int
 
 
-def contexts_at(tokens: np.ndarray, starts: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For each length up to depth, each token's context; 0 where the text begins after the context would."""
+def runs_at(tokens: np.ndarray, starts: np.ndarray, longest: int) -> list[np.ndarray]:
+    """For each length up to longest, the run of words that ends at each token; 0 where the text begins after it would."""
     place = np.arange(len(tokens)) - np.repeat(starts, np.diff(np.append(starts, len(tokens))))
-    out, last = [], None
-    for d in range(1, depth + 1):
-        older = np.zeros_like(tokens)
-        older[d:] = tokens[:-d]
-        last = mix(older) if last is None else longer(last, older)
-        last = np.where(place >= d, last, _u(0))
-        out.append(last)
+    out = [mix(tokens)]
+    for k in range(1, longest):
+        run = np.zeros_like(tokens)
+        run[1:] = longer(out[-1][:-1], out[-1][1:])
+        out.append(np.where(place >= k, run, _u(0)))
     return out
 
 
@@ -162,97 +185,171 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
-@dataclass
-class _Level:
-    """All candidates of one length: their words (newest first), counts, suffixes one level up, and events."""
-
-    words: np.ndarray
-    keys: np.ndarray
-    n: np.ndarray
-    suffix: np.ndarray
-    pairs: np.ndarray
-    p: np.ndarray
-    rest: np.ndarray
-    diverges: np.ndarray
-
-
-def _probability(levels: list[_Level], root: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Of words after contexts of the last of levels; after nothing if there is none."""
-    if not levels:
-        return root[word]
-    at = np.minimum(np.searchsorted(levels[-1].pairs, context << 32 | word), max(0, len(levels[-1].pairs) - 1))
-    hit = levels[-1].pairs[at] == (context << 32 | word) if len(levels[-1].pairs) else np.zeros(len(word), bool)
-    below = levels[-1].rest[context] * _probability(levels[:-1], root, levels[-1].suffix[context], word)
-    return np.where(hit, levels[-1].p[at], below) if len(levels[-1].pairs) else below
-
-
-def _level(levels: list[_Level], root: np.ndarray, words: np.ndarray, keys: np.ndarray, n: np.ndarray, suffix: np.ndarray, pairs: np.ndarray, c: np.ndarray, total: float) -> _Level:
-    context, word = pairs >> 32, pairs & 0xFFFFFFFF
-    above = _probability(levels, root, suffix[context], word)
-    own = (c - DISCOUNT) / n[context]
-    rest = 1 - np.bincount(context, own, len(n))
-    # Counts times the divergence of the context's next words from its suffix's; words without an event count as one.
-    seen, seen_above = np.bincount(context, c, len(n)) / n, np.bincount(context, above, len(n))
-    left, left_above = np.maximum(1 - seen, 0), np.maximum(1 - seen_above, 1e-12)
-    gain = np.bincount(context, c * np.log(c / n[context] / above), len(n))
-    gain += n * left * np.log(np.maximum(left, 1e-300) / left_above)
-    events = np.bincount(context, minlength=len(n))
-    cost = 0.5 * math.log(max(2.0, total)) * events
-    return _Level(words, keys, n, suffix, pairs, own + rest[context] * above, rest, (events > 0) & (gain > cost))
+_PARTS = "length int, part int, context binary, suffix binary, n binary"
+_RUNS = "length int, run long, context long, suffix long, n long"
 
 
-def learn(docs: DataFrame, words: DataFrame, max_depth: int = MAX_DEPTH) -> Tree:
-    """docs: text of the training texts; words: (key, n), the counts of all their tokens."""
-    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+def _summed(run: np.ndarray, *columns: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct runs in order, with their columns and how often each stands there, or the sum of n."""
+    order = np.argsort(run)
+    run = run[order]
+    first = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.zeros(0, np.int64)
+    total = np.diff(np.append(first, len(run))) if n is None else np.add.reduceat(n[order], first) if len(run) else n
+    return run[first], *[c[order[first]] for c in columns], total
+
+
+def _sorted_parts(lengths: list[int], filtered, parts: int) -> Callable:
+    """Counts each task's runs of words, a buffer at a time, cut into parts of the range of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, below = _Hashes(), lengths[0] - 1
+        held: dict[int, list[tuple]] = {k: [] for k in lengths}
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for k in lengths:
+                if held[k]:
+                    runs, context, suffix, n = _summed(*map(np.concatenate, zip(*held[k], strict=True)))
+                    held[k].clear()
+                    cuts = np.searchsorted((runs >> _u(32)) * _u(parts) >> _u(32), np.arange(parts + 1, dtype=_u))
+                    some = np.flatnonzero(np.diff(cuts))
+                    binary = lambda x, some=some, cuts=cuts: pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((np.append(cuts[some], cuts[-1]) * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+                    columns = [binary(context), binary(suffix if k > 1 else np.zeros(len(suffix), "V0")), binary(n.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), *columns], ["length", "part", "context", "suffix", "n"])
+
+        for _, tokens, starts in _texts(batches, hashes):
+            runs = [tokens, *runs_at(tokens, starts, lengths[-1])]
+            may = filtered.value.has(runs[below]) if filtered else None
+            for k in lengths:
+                if may is None:
+                    at = np.flatnonzero(runs[k]) if k > 1 else np.arange(len(tokens))
+                else:
+                    may = may & np.append(False, may[:-1])  # a run is not more frequent than the shorter runs in it
+                    at = np.flatnonzero(may & (runs[k] != 0))
+                # A single word stands in for its context.
+                held[k].append((runs[k][at], runs[k - 1][at - 1] if k > 1 else tokens[at], runs[k - 1][at] if k > 1 else tokens[at]))
+                size += len(at)
+            if size >= BUFFER:
+                yield from out()
+                size = 0
+        yield from out()
+
+    return run
+
+
+def _merged(part: pa.Table) -> pa.Table:
+    """One part of the range of hashes of all tasks; words of any count, longer runs that are frequent enough."""
+    length = part.column("length")[0].as_py()
+    context, suffix = (np.frombuffer(b"".join(part.column(c).to_pylist()), _u) for c in ("context", "suffix"))
+    n = np.frombuffer(b"".join(part.column("n").to_pylist()), np.int32).astype(np.int64)
+    run, context, suffix, n = _summed(*((longer(context, suffix), context, suffix) if length > 1 else (mix(context), context, context)), n=n)
+    keep = n >= (LEAST_EVENTS if length > 1 else 1)
+    longs = [pa.array(x[keep].view(np.int64)) for x in (run, context, suffix, n)]
+    return pa.table([pa.array(np.full(int(keep.sum()), length, np.int32)), *longs], names=["length", "run", "context", "suffix", "n"])
+
+
+def count_runs(docs: DataFrame, lengths: list[int], below: Filter | None = None) -> DataFrame:
+    """(length, run, context, suffix, n) of all single words, and of longer runs of words with LEAST_EVENTS.
+
+    lengths rise by one; with below, a filter of the runs one word shorter than the first of them, only what it lets through is sent."""
     spark = docs.sparkSession
-    least = lambda share: max(LEAST_EVENTS, total * share)
-    word_keys, word_n = _arrays(words.filter(F.col("n") >= least(WORD_SHARE)))
-    root = (word_n + 0.5) / (total + 0.5 * (kinds + 1))
-    tree = Tree(Places(word_keys), np.log10(root), [], int(total), int(kinds))
-    known = spark.sparkContext.broadcast(tree.words)
-
-    new = np.flatnonzero((word_n >= least(CONTEXT_SHARE)) & (word_keys != _u(END)))[:, None]
-    n, suffix = word_n[new[:, 0]], np.zeros(len(new), np.int64)
-    levels: list[_Level] = []
-    while len(new) and len(levels) < max_depth:
-        depth, keys = len(levels) + 1, mix(word_keys[new[:, 0]])
-        for k in range(1, depth):
-            keys = longer(keys, word_keys[new[:, k]])
-        here = spark.sparkContext.broadcast(Places(keys))
-
-        def events(tokens: np.ndarray, starts: np.ndarray, depth=depth, here=here) -> np.ndarray:
-            context = here.value.find(contexts_at(tokens, starts, depth)[-1])
-            at = np.flatnonzero(context >= 0)
-            word = known.value.find(tokens[at])
-            return (context[at] << 32 | word)[word >= 0].view(_u)
-
-        pairs, c = _arrays(count(docs, events).filter(F.col("n") >= least(EVENT_SHARE)))
-        levels.append(_level(levels, root, new, keys, n, suffix, pairs.view(np.int64), c, total))
-        # A context with a word after it is a context one word longer, if it is frequent enough and does not end a text.
-        context, word = levels[-1].pairs >> 32, levels[-1].pairs & 0xFFFFFFFF
-        big = (c >= least(CONTEXT_SHARE)) & (word_keys[word] != _u(END))
-        new, n = np.column_stack([word[big], new[context[big]]]), c[big]
-        # Its suffix is a candidate too: it is at least as frequent.
-        shorter = mix(word_keys[new[:, 0]])
-        for k in range(1, depth):
-            shorter = longer(shorter, word_keys[new[:, k]])
-        suffix = here.value.find(shorter)
-        new, n, suffix = new[suffix >= 0], n[suffix >= 0], suffix[suffix >= 0]
-
-    keep = [level.diverges.copy() for level in levels]
-    for k in range(len(levels) - 1, 0, -1):  # the suffixes of what is retained are
-        keep[k - 1][levels[k].suffix[keep[k]]] = True
-    for level, kept in zip(levels, keep, strict=True):
-        place = np.cumsum(kept) - 1
-        context, word = level.pairs >> 32, level.pairs & 0xFFFFFFFF
-        has = kept[context]
-        pairs = (place[context[has]] << 32 | word[has]).view(_u)
-        tree.contexts.append((Places(level.keys[kept]), np.log10(np.maximum(level.rest[kept], 1e-300)), Places(mix(pairs)), np.log10(level.p[has])))
-    return tree
+    filtered = spark.sparkContext.broadcast(below) if below else None
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.mapInArrow(_sorted_parts(lengths, filtered, parts), _PARTS)
+    out = materialize(rows.groupBy("length", "part").applyInArrow(_merged, _RUNS), "runs")
+    _forget_shuffles(spark)
+    return out
+
+
+def _forget_shuffles(spark: SparkSession) -> None:
+    """Shuffle files stay until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _level(events: DataFrame, below: DataFrame, total: float) -> DataFrame:
+    """events, of contexts of one length, with their probability p, what they add to the logarithm of their suffix's event (own),
+    that of the context's weight of its suffix's distribution (next), and whether it diverges. below: (run, n, p), one word shorter."""
+    rows = events.join(below.select(F.col("run").alias("suffix"), F.col("p").alias("above")), "suffix")
+    rows = rows.join(below.select(F.col("run").alias("context"), F.col("n").alias("uses")), "context")
+    # Counts times the divergence of the context's next words from its suffix's; words without an event count as one.
+    stats = rows.groupBy("context").agg(
+        F.first("uses").alias("u"), F.count("*").alias("events"), (1 - F.sum((F.col("n") - DISCOUNT) / F.col("uses"))).alias("rest"), F.sum("n").alias("seen"),
+        F.sum("above").alias("seen_above"), F.sum(F.col("n") * F.log(F.col("n") / F.col("uses") / F.col("above"))).alias("gain"),
+    )
+    left, left_above = F.greatest(1 - F.col("seen") / F.col("u"), F.lit(0.0)), F.greatest(1 - F.col("seen_above"), F.lit(1e-12))
+    gain = F.col("gain") + F.col("u") * left * F.log(F.greatest(left, F.lit(1e-300)) / left_above)
+    stats = stats.select("context", "rest", (gain > 0.5 * math.log(max(2.0, total)) * F.col("events")).alias("diverges"))
+    p = (F.col("n") - DISCOUNT) / F.col("uses") + F.col("rest") * F.col("above")
+    log_rest = F.log10(F.greatest("rest", F.lit(1e-300)))
+    return rows.join(stats, "context").select(
+        "run", "context", "suffix", "n", "uses", p.alias("p"), (F.log10(p / F.col("above")) - log_rest).alias("own"), log_rest.alias("next"), "diverges"
+    )
+
+
+def _values(levels: list[DataFrame]) -> DataFrame:
+    """(length, key, n, own, next) of all retained contexts and their events: what such a run adds to the log10 probability of its last
+    word and of the next one. levels: of contexts from one word on."""
+    out, kept = [], None
+    for k in range(len(levels), 0, -1):
+        level = levels[k - 1]
+        keep = level.filter("diverges").select("context")
+        if kept is not None:  # the suffixes of what is retained are
+            keep = keep.unionByName(level.join(kept.withColumnRenamed("context", "run"), "run").select(F.col("suffix").alias("context")))
+        kept = materialize(keep.distinct(), "kept")
+        states = level.join(kept, "context")
+        out.append(states.select(F.lit(k + 1).alias("length"), F.col("run").alias("key"), "n", "own", F.lit(0.0).alias("next")))
+        contexts = states.groupBy("context").agg(F.first("uses").alias("n"), F.first("next").alias("next"))
+        out.append(contexts.select(F.lit(k).alias("length"), F.col("context").alias("key"), "n", F.lit(0.0).alias("own"), "next"))
+    return reduce(DataFrame.unionByName, out).groupBy("length", "key").agg(F.max("n").alias("n"), F.sum("own").alias("own"), F.sum("next").alias("next"))
+
+
+def _least_shared(values: DataFrame) -> tuple[int, int]:
+    """The least n of the values that tasks hold, and how many values there are."""
+    t = values.groupBy(F.least("n", F.lit(MOST_SHARED)).alias("n")).count().toArrow()
+    n, many = t.column("n").to_numpy(), t.column("count").to_numpy()
+    order = np.argsort(-n)
+    fit = int((np.cumsum(many[order]) <= MOST_SHARED).sum())
+    return (int(n[order[fit - 1]]) if fit else 1 << 62), int(many.sum())
+
+
+def learn(docs: DataFrame, words: DataFrame, max_depth: int = MAX_DEPTH, runs: DataFrame | None = None) -> Tree:
+    """docs: text of the training texts; words: (key, n), the counts of all their tokens; runs: count_runs() of one and two words."""
+    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    spark, den = docs.sparkSession, total + 0.5 * (kinds + 1)
+    word_keys, word_n = _arrays(words.filter(F.col("n") >= max(LEAST_EVENTS, total * WORD_SHARE)))
+    tree = Tree(Places(word_keys), np.log10((word_n + 0.5) / den), [], None, None, int(total), int(kinds))
+    if not max_depth:
+        return tree
+    runs = count_runs(docs, [1, 2]) if runs is None else runs
+    below = runs.filter((F.col("length") == 1) & (F.col("n") >= LEAST_EVENTS)).select("run", "n", ((F.col("n") + 0.5) / den).alias("p"))
+    levels: list[DataFrame] = []
+    # Two words are counted with single ones, and the longest two lengths together: each pass reads all texts.
+    for lengths in [[2], [3], list(range(4, max_depth + 2))]:
+        lengths = [k for k in lengths if k <= max_depth + 1]
+        if not lengths:
+            break
+        if lengths[0] > 2:
+            found = levels[-1].select("run")
+            runs = count_runs(docs, lengths, Filter(found, found.count()))
+        for k in lengths:
+            levels.append(materialize(_level(runs.filter(F.col("length") == k), below, total), "level"))
+            below = levels[-1].select("run", "n", "p")
+        if lengths[0] > 2:
+            release(runs)
+        _forget_shuffles(spark)
+    values = materialize(_values(levels), "values")
+    release(*levels)
+    least, many = _least_shared(values)
+    t = values.filter(F.col("n") >= least).toArrow()
+    length, key, own, after = (t.column(c).to_numpy() for c in ("length", "key", "own", "next"))
+    for k in range(1, max_depth + 2):
+        tree.contexts.append((Places(key[length == k].astype(np.int64).view(_u)), own[length == k], after[length == k]))
+    return replace(tree, listed=Filter(values.select("key"), many), rest=values.filter(F.col("n") < least).select("key", (F.col("own") + F.col("next")).alias("value")))
 
 
 def _scores(tree) -> Callable:
-    """For each text, what the frequent words add up to, and the hashes of the others."""
+    """For each text, what the frequent words and runs of words add up to, and the hashes of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, t = _Hashes(), tree.value
@@ -260,21 +357,30 @@ def _scores(tree) -> Callable:
             word = t.words.find(tokens)
             rare = word < 0
             base = np.where(rare, 0.0, t.word_log[word]) if len(t.word_log) else np.zeros(len(tokens))
-            score = base.copy()
-            longest = np.ones(len(tokens), bool)
-            for (places, rest, events, logs), context in zip(t.contexts, contexts_at(tokens, starts, len(t.contexts)), strict=True):
-                at = np.flatnonzero(longest)
-                state = places.find(context[at])
-                longest[at[state < 0]] = False
+            score, ends = base.copy(), np.append(starts[1:], len(tokens))
+            inside = np.ones(len(tokens), bool)
+            inside[ends - 1] = False
+            places, keys = [np.flatnonzero(rare)], [tokens[rare]]
+            has = None
+            for (listed, own, after), runs in zip(t.contexts, runs_at(tokens, starts, len(t.contexts)) if t.contexts else [], strict=True):
+                # A run has a value as an event of a retained context, or as a context, whose suffix is retained.
+                at = np.flatnonzero(runs if has is None else (has | np.append(False, has[:-1])) & (runs != 0))
+                at = at[t.listed.has(runs[at])]
+                has = np.zeros(len(tokens), bool)
+                has[at] = True
+                state = listed.find(runs[at])
+                places.append(at[state < 0])
+                keys.append(runs[places[-1]])
                 at, state = at[state >= 0], state[state >= 0]
-                event = events.find(mix((state << 32 | np.maximum(word[at], 0)).view(_u)))
-                event[rare[at]] = -1
-                score[at] = np.where(event >= 0, logs[event] if len(logs) else 0.0, rest[state] + score[at])
-            counts = np.diff(np.append(starts, len(tokens)))
+                score[at] += own[state] + after[state] * inside[at]
+            counts = ends - starts
             n_rare = np.add.reduceat(rare.astype(np.int64), starts)
+            place, key = np.concatenate(places), np.concatenate(keys)
+            order = np.argsort(place, kind="stable")
+            n_keys = np.bincount(np.searchsorted(starts, place, side="right") - 1, minlength=len(starts))
             yield pa.RecordBatch.from_arrays(
                 [part.column("row"), part.column("doc_id"), pa.array(counts), pa.array(counts - n_rare), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(score, starts)),
-                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32)), pa.array(tokens[rare].view(np.int64)))],
+                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_keys)]).astype(np.int32)), pa.array(key[order].view(np.int64)))],
                 ["row", "doc_id", "n_tokens", "n_frequent", "base", "score", "rare"],
             )
 
@@ -290,21 +396,31 @@ def score(docs: DataFrame, training: Column, max_depth: int = MAX_DEPTH) -> Data
     """
     texts = docs.select("doc_id", text_or_empty().alias("text"), training.alias("training"))
     learned = texts.filter("training").select("text")
-    words = materialize(count(learned, lambda tokens, starts: tokens), "word_counts")
-    tree = learn(learned, words, max_depth)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    runs = count_runs(learned, [1, 2] if max_depth else [1])
+    words = materialize(runs.filter("length = 1").select(F.col("context").alias("key"), "n"), "word_counts")
+    tree = learn(learned, words, max_depth, runs)
+    release(runs)
+    shared = docs.sparkSession.sparkContext.broadcast(replace(tree, rest=None))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, n_tokens long, n_frequent long, base double, score double, rare array<long>"
     rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     rows = materialize(rows.mapInArrow(_scores(shared), schema), "text_scores")
-    n = F.coalesce(F.col("n"), F.lit(0))
-    log = F.log10((n + F.lit(0.5)) / F.lit(tree.train_tokens + 0.5 * (tree.train_words + 1)))
-    rare = rows.select("row", F.explode("rare").alias("key")).join(words, "key", "left")
-    rare = rare.groupBy("row").agg(F.sum(log).alias("rare_log"), F.sum((n > 0).cast("long")).alias("rare_known"))
-    log, seen = F.coalesce("rare_log", F.lit(0.0)), F.coalesce("rare_known", F.lit(0))
+    # Words that training has not seen count as half a one.
+    table = words.select("key", F.log10((F.col("n") + 0.5) / 0.5).alias("value"), F.lit(True).alias("word"))
+    if tree.rest is not None:
+        table = table.unionByName(tree.rest.withColumn("word", F.lit(False)))
+    found = []
+    for k in range(SLICES):
+        rare = rows.filter(F.col("row") % SLICES == k).select("row", F.explode("rare").alias("key")).join(table, "key")
+        rare = rare.groupBy("row").agg(F.sum("value").alias("all"), F.sum(F.when(F.col("word"), F.col("value"))).alias("words"), F.count_if("word").alias("known"))
+        found.append(materialize(rare, "text_sums"))
+        _forget_shuffles(docs.sparkSession)
+    rare = reduce(DataFrame.unionByName, found)
+    known = lambda c: F.coalesce(c, F.lit(0))
+    unseen = (F.col("n_tokens") - F.col("n_frequent")) * math.log10(0.5 / (tree.train_tokens + 0.5 * (tree.train_words + 1)))
     return rows.drop("rare").join(rare, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_frequent") + seen).alias("n_known"), F.lit(tree.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + log).alias("base_score"), (F.col("score") + log).alias("score"),
+        "doc_id", "n_tokens", (F.col("n_frequent") + known("known")).alias("n_known"), F.lit(tree.train_tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + unseen + known("words")).alias("base_score"), (F.col("score") + unseen + known("all")).alias("score"),
     )
 
 

@@ -465,6 +465,24 @@ def test_scores_are_those_of_a_brute_force_tree(spark):
     assert all(got[i] == pytest.approx(want[i], abs=1e-6) for i in range(60))
 
 
+@pytest.mark.parametrize("most", [0, 25])
+def test_scores_do_not_depend_on_which_runs_tasks_hold(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_tree, "MOST_SHARED", most)
+    test_scores_are_those_of_a_brute_force_tree(spark)
+
+
+def test_contexts_of_a_small_share_are_learned(spark):
+    """Three occurrences make a context and its event, in a corpus of any size."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 30, 10_000)) for _ in range(20)]
+    texts = [f"{t} {'north by northwest with six geese' if i < 3 else ''}" for i, t in enumerate(texts)] + ["north by northwest with six geese"]
+    docs = spark.createDataFrame([(i, t, i < 20) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    (r,) = suffix_tree.score(docs, F.col("train")).filter("doc_id = 20").collect()
+    assert r.n_known == 7 and r.train_tokens == 200_038
+    # Five of its six words follow one that they alone follow, 2.5 of 3 times after the discount.
+    assert r.score - r.base_score > 5 * math.log10(2.5 / 3 * 200_000 / 3.5) - 0.01
+
+
 def test_next_words_of_each_state_sum_to_one(spark):
     """Scores of all one-word continuations, the end and an unknown word included, are a distribution."""
     texts = ["a b a b a b c"] * 40 + ["b b c a"] * 30 + ["c a b"] * 30
