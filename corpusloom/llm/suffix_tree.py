@@ -25,17 +25,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fold, materialize, release, text_or_empty
+from corpusloom.llm.common import fold, materialize, release, text_or_empty, trimmed
 
 MAX_DEPTH = 4
 DISCOUNT, LEAST_EVENTS = 0.5, 3
 #: What tasks hold: words of at least this share of all training tokens, and the values of so many runs of words. All others are joined.
-WORD_SHARE, MOST_SHARED = 2.0**-18, 1 << 20
+WORD_SHARE, MOST_SHARED = 2.0**-18, 1 << 19
 #: Bits of a filter for each key, and its most 64-bit words; a longer list makes it let more through, which is sorted out later.
 FILTER_BITS, FILTER_WORDS = 16, 1 << 22
 #: Texts are joined with what tasks don't hold in so many slices, one after the other: all at once would take more disk.
 SLICES = 3
-REMEMBERED, BUFFER = 500_000, 2_000_000
+REMEMBERED, BUFFER = 300_000, 1_000_000
 
 _u = np.uint64
 END = xxhash.xxh3_64_intdigest(b"", seed=1)
@@ -255,7 +255,7 @@ def count_runs(docs: DataFrame, lengths: list[int], below: Filter | None = None)
     spark = docs.sparkSession
     filtered = spark.sparkContext.broadcast(below) if below else None
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.mapInArrow(_sorted_parts(lengths, filtered, parts), _PARTS)
+    rows = docs.mapInArrow(trimmed(_sorted_parts(lengths, filtered, parts)), _PARTS)
     out = materialize(rows.groupBy("length", "part").applyInArrow(_merged, _RUNS), "runs")
     _forget_shuffles(spark)
     return out
@@ -340,6 +340,7 @@ def learn(docs: DataFrame, words: DataFrame, max_depth: int = MAX_DEPTH, runs: D
         _forget_shuffles(spark)
     values = materialize(_values(levels), "values")
     release(*levels)
+    _forget_shuffles(spark)
     least, many = _least_shared(values)
     t = values.filter(F.col("n") >= least).toArrow()
     length, key, own, after = (t.column(c).to_numpy() for c in ("length", "key", "own", "next"))
@@ -404,7 +405,7 @@ def score(docs: DataFrame, training: Column, max_depth: int = MAX_DEPTH) -> Data
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, n_tokens long, n_frequent long, base double, score double, rare array<long>"
     rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    rows = materialize(rows.mapInArrow(_scores(shared), schema), "text_scores")
+    rows = materialize(rows.mapInArrow(trimmed(_scores(shared)), schema), "text_scores")
     # Words that training has not seen count as half a one.
     table = words.select("key", F.log10((F.col("n") + 0.5) / 0.5).alias("value"), F.lit(True).alias("word"))
     if tree.rest is not None:
