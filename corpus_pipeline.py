@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import curriculum, dart_minhash, digest_index, piece_sampling, quality
-from corpusloom.llm.common import flat, join_groups, nested, new_path
+from corpusloom.llm.common import flat, forget_shuffles, join_groups, materialize, nested, release
 
 #: A document stays when its quality score is at least this.
 LEAST_QUALITY = 0.3
@@ -96,10 +96,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each result written to the shared folder and read as the next one's docs."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        path = new_path(spark, "stage")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """Applies the stages to documents, each result written to the shared folder, read as the next one's docs, and then deleted."""
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for n, (_, stage) in enumerate(STAGES[:-1]):
+        docs = materialize(stage(spark, before, sf_dir), "stage")
+        if n:
+            release(before)
+        before = docs
+        forget_shuffles(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -77,12 +77,22 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return whole
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark reads."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables that materialize() has written; nothing may read them later."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t._written_to)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(t.sparkSession, t._written_to)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Shuffle files stay until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -139,7 +149,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps: each takes a minimum per node, by tasks before the shuffle, and joins
     it back, so a node with very many links is split like any other skewed join. Each round is written to the
-    shared folder; the driver only learns whether all that is left are stars.
+    shared folder; the driver only learns whether all that is left are stars. The result is read from the last round's
+    table, and release() deletes that.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -159,6 +170,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     for _ in range(max_rounds):
         now = star(star(now, True), False)
+        forget_shuffles(edges.sparkSession)
         # Stars alone are left when no end has two centres and no centre is an end.
         ends = now.groupBy("a").agg(F.count("*").alias("n"))
         if ends.filter("n > 1").isEmpty() and ends.join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
@@ -166,7 +178,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     labels = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return labels.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    labels = labels.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    labels._written_to = now._written_to
+    return labels
 
 
 #: Up to so many rows with one row per group are broadcast; more are joined by a salted shuffle.

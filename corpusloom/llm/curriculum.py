@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import flat, join_groups, materialize, n_words, nested, prefix_sum, text_or_empty
+from corpusloom.llm.common import flat, join_groups, materialize, n_words, nested, prefix_sum, release, text_or_empty
 
 #: Sources by code point, null last, take these in turn.
 WEIGHTS = (5, 2, 1)
@@ -87,7 +87,7 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES
     if not 0 <= share <= cap or cap > 2:
         raise ValueError("0 <= share <= cap <= 2 is needed")
     sized = docs.select("doc_id", "source", source_key(F.col("source")).alias("key"), n_words(text_or_empty()).alias("size"))
-    units = materialize(sized.groupBy("doc_id", "key").agg(F.sum("size").alias("size"), F.first("source").alias("source")), "units")
+    units = given = materialize(sized.groupBy("doc_id", "key").agg(F.sum("size").alias("size"), F.first("source").alias("source")), "units")
     per_source = units.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     units = join_groups(units.drop("source"), targets(per_source, weights, share, cap), "key")
 
@@ -101,6 +101,7 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES
     fits = F.col("before") + F.col("size") / F.lit(2.0) <= left
     units = units.withColumn("copies", F.col("whole") + F.when(fits, 1).otherwise(0)).drop("h", "first", "offered", "before", "whole")
     units = materialize(units, "mixed_units")
+    release(given)
 
     taken = units.groupBy("key").agg(F.sum(F.col("size") * F.col("copies")).alias("source_taken"))
     entries = units.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))

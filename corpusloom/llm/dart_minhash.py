@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.bloom import blocked_bloom, with_maybe
-from corpusloom.llm.common import WORD, connected_components, flat, materialize, nested, text_or_empty, trimmed
+from corpusloom.llm.common import WORD, connected_components, flat, forget_shuffles, materialize, nested, release, text_or_empty, trimmed
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8 a pair has a band in common with probability 0.99997.
@@ -221,6 +221,8 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     chosen = groups.select(F.col("node").alias("g_node"), F.col("best.row").alias("g_row"))
     nodes = rows.join(chosen, (F.col("node") == F.col("g_node")) & (F.col("row") == F.col("g_row"))).select("node", "doc_id", "size", "s0", "s1", "bands")
     nodes = materialize(nodes, "sketch_nodes")
+    ids = materialize(rows.select("doc_id", "node", "row"), "row_nodes")
+    release(rows)
 
     members = nodes.select("node", "size", "s0", "s1", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -228,35 +230,48 @@ def near_duplicates(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:
     placed = members.join(buckets, F.col("bucket") == F.col("b")).drop("b").withColumn("comp", F.col("node"))
     placed = materialize(placed, "placed_members")
     packed = elements_of(texts, nodes, placed.select("node").distinct())
-    links = comps = None
+    release(nodes, buckets)
+    forget_shuffles(docs.sparkSession)
+    comps = None
 
     def linked(pairs: DataFrame) -> bool:
         """Verifies pairs; whether that has changed the components."""
-        nonlocal links, comps
-        found = verified(packed, pairs, at_least)
-        if comps is not None and found.isEmpty():
-            return False
-        links = found if links is None else links.unionByName(found)
-        comps = connected_components(links)
-        return True
-
-    if linked(star_pairs(placed, nodes, hubs_of(placed), at_least, sketched=True)):
+        nonlocal comps
+        found, old = verified(packed, pairs, at_least), comps
+        release(pairs)
+        changed = old is None or not found.isEmpty()
+        if changed:  # what was linked before is a star around each component's smallest node
+            comps = connected_components(found if old is None else found.unionByName(old.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        release(found, *([old] if changed and old is not None else []))
+        forget_shuffles(docs.sparkSession)
+        return changed
+
+    hubs = hubs_of(placed)
+    if linked(star_pairs(placed, hubs, at_least, sketched=True)):
         placed = _still_mixed(placed, comps)
+    release(hubs)
     hubs = hubs_of(placed, of_largest=True)
-    if linked(star_pairs(placed, nodes, hubs, at_least, sketched=False)):
+    if linked(star_pairs(placed, hubs, at_least, sketched=False)):
         placed = _still_mixed(placed, comps)
     rest = placed.join(hubs, F.col("bucket") == F.col("b")).select("node", "size", "comp", F.col("hubs")[0].alias("hub")).distinct()
-    apart = differences(packed, materialize(rest, "mixed_nodes"), at_least)
+    rest = materialize(rest, "mixed_nodes")
+    release(placed, hubs)
+    apart = differences(packed, rest, at_least)
+    release(rest)
     if linked(across(apart, at_least, first=True)):
-        apart = materialize(_with_comp(apart, comps), "differences")
+        before, apart = apart, materialize(_with_comp(apart, comps), "differences")
+        release(before)
     linked(across(apart, at_least))
+    release(packed, apart)
 
     classes = groups.join(comps, F.col("node") == F.col("id"), "left").withColumn("comp", F.coalesce("component", "node"))
     classes = materialize(classes.select("node", "comp", "best", "n"), "class_nodes")
+    release(groups, comps)
     wide = materialize(classes.groupBy("comp").agg(F.min("best").alias("first"), F.sum("n").alias("group_size")), "classes")
     decided = classes.select("node", "comp").join(wide, "comp").select(F.col("node").alias("d_node"), "first", "group_size")
     decided = materialize(decided, "decided_nodes")
-    out = rows.select("doc_id", "node", "row").join(decided, F.col("node") == F.col("d_node"))
+    release(classes, wide)
+    out = ids.join(decided, F.col("node") == F.col("d_node"))
     return out.select("doc_id", F.col("first.doc_id").alias("class_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"))
 
 
@@ -277,7 +292,7 @@ def hubs_of(placed: DataFrame, of_largest: bool = False) -> DataFrame:
     return materialize(hubs.select("b", F.array_distinct(F.array(*[f"m{k}.node" for k in range(HUBS)])).alias("hubs")), "bucket_hubs")
 
 
-def star_pairs(placed: DataFrame, nodes: DataFrame, hubs: DataFrame, at_least: float, sketched: bool) -> DataFrame:
+def star_pairs(placed: DataFrame, hubs: DataFrame, at_least: float, sketched: bool) -> DataFrame:
     """(a, b): members of each bucket with its hubs, unless sizes, or maybe sketches, are too unlike."""
     pairs = placed.join(hubs, F.col("bucket") == F.col("b")).select("node", "comp", "size", "s0", "s1", F.explode("hubs").alias("hub"))
     pairs = pairs.filter("node <> hub").distinct()
@@ -295,11 +310,14 @@ def _with_comp(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _still_mixed(placed: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component."""
-    placed = materialize(_with_comp(placed, comps), "placed_members")
+    """Members of the buckets that hold more than one component, in place of placed."""
+    before, placed = placed, materialize(_with_comp(placed, comps), "placed_members")
+    release(before)
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
     mixed = materialize(mixed.select(F.col("bucket").alias("b")), "mixed_buckets")
-    return materialize(placed.join(mixed, F.col("bucket") == F.col("b")).drop("b"), "mixed_members")
+    out = materialize(placed.join(mixed, F.col("bucket") == F.col("b")).drop("b"), "mixed_members")
+    release(placed, mixed)
+    return out
 
 
 def elements_of(texts: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -308,7 +326,9 @@ def elements_of(texts: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame
     some = with_maybe(texts, F.col("doc_id"), blocked_bloom(needed.filter("doc_id is not null"), needed.count()))
     some = some.filter("maybe or doc_id is null").drop("maybe")
     some = some.join(needed.select(F.col("doc_id").alias("i")).distinct(), F.col("doc_id").eqNullSafe(F.col("i")), "left_semi")
-    return materialize(some.mapInArrow(trimmed(_packed), "node long, elements binary"), "elements")
+    out = materialize(some.mapInArrow(trimmed(_packed), "node long, elements binary"), "elements")
+    release(needed)
+    return out
 
 
 def verified(packed: DataFrame, pairs: DataFrame, at_least: float) -> DataFrame:
@@ -348,15 +368,18 @@ def differences(packed: DataFrame, members: DataFrame, at_least: float) -> DataF
     r = (1 - at_least) / (1 + at_least)
     sets = members.filter("node <> hub").join(packed, "node").join(packed.select(F.col("node").alias("hub"), F.col("elements").alias("h_elements")), "hub")
     rows = sets.mapInArrow(trimmed(_differences), "hub long, node long, size long, comp long, apart long, h_size long, element long")
-    rows = materialize(rows, "all_differences")
+    every = materialize(rows, "all_differences")
     key = ["hub", "element"]
-    rows = rows.join(materialize(rows.groupBy(*key).agg(F.count("*").alias("df")).filter("df > 1"), "shared_differences"), key)
+    shared = materialize(every.groupBy(*key).agg(F.count("*").alias("df")).filter("df > 1"), "shared_differences")
+    rows = every.join(shared, key)
     by_node = Window.partitionBy("hub", "node")
     # Differences that no other member has come first; only their number counts.
     place = F.col("apart") - F.count("*").over(by_node) + F.row_number().over(by_node.orderBy("df", "element")) - 1
     # Whatever the other set, n is at least (apart - r * (size + h_size)) / 2.
     last = (F.col("apart") + F.lit(r) * (F.col("size") + F.col("h_size"))) / 2 + F.lit(1e-6)
-    return materialize(rows.withColumn("pos", place).filter(F.col("pos") <= last).drop("df", "h_size"), "differences")
+    out = materialize(rows.withColumn("pos", place).filter(F.col("pos") <= last).drop("df", "h_size"), "differences")
+    release(every, shared)
+    return out
 
 
 def across(rows: DataFrame, at_least: float, first: bool = False) -> DataFrame:
@@ -382,7 +405,9 @@ def across(rows: DataFrame, at_least: float, first: bool = False) -> DataFrame:
     need = (F.col("apart") + F.col("o_apart") - F.lit(r) * (F.col("size") + F.col("o_size"))) / 2 - F.lit(1e-6)
     enough = F.least(F.col("apart") - F.col("pos"), F.col("o_apart") - F.col("o_pos")) >= need
     pairs = both.filter((F.col("comp") != F.col("o_comp")) & enough & _sizes_allow("size", "o_size", at_least))
-    return materialize(pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct(), "cross_pairs")
+    out = materialize(pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct(), "cross_pairs")
+    release(largest, mixed)
+    return out
 
 
 def dedup(docs: DataFrame, at_least: float = SIMILARITY) -> DataFrame:

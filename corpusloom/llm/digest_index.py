@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import exists, flat, materialize, nested, new_path, text_or_empty
+from corpusloom.llm.common import delete, exists, flat, materialize, nested, new_path, release, text_or_empty
 
 #: A digest with more than one row in HOT_SHARE is hot; so at most HOT_SHARE digests are.
 HOT_SHARE = 1000
@@ -152,8 +152,14 @@ class DigestIndex:
         verdicts.write.parquet(path)
         self._append(fresh, attempt)
         self.spark.createDataFrame([(name, attempt)], "batch string, attempt string").coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        release(rows, fresh, decided)
         return self.spark.read.parquet(path)
 
+    def drop(self) -> None:
+        """Deletes the index and its verdicts; nothing may read them later."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        delete(self.spark, self.path)
+
 
 def spread(rows: DataFrame, decided: DataFrame) -> DataFrame:
     """rows with what is decided on their digest. The at most HOT_SHARE hot digests are broadcast; the others are
@@ -195,10 +201,13 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str | None =
 
     Of rows that repeat a doc_id and a text, one stays.
     """
-    spark = docs.sparkSession
-    index = index or DigestIndex(spark, new_path(spark, "digest_index"))
+    spark, own = docs.sparkSession, index is None
+    if own:  # as many buckets as a shuffle has parts, so that each task writes one
+        index = DigestIndex(spark, new_path(spark, "digest_index"), int(spark.conf.get("spark.sql.shuffle.partitions")))
     verdicts = index.ingest(docs, batch).groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     verdicts = materialize(verdicts.filter("not kept or n > 1").select(F.col("digest").alias("v_digest"), F.col("doc_id").alias("v_id"), "kept"), "dropped_keys")
+    if own:
+        index.drop()
     rows = nested(docs, digest=digest_of(), id=F.col("doc_id").cast("long"))
     same = (F.col("digest") == F.col("v_digest")) & F.col("id").eqNullSafe(F.col("v_id"))
     stays = rows.join(verdicts, same, "left_anti").select("row")

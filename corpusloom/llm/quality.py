@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, fold, materialize, text_or_empty, trimmed
+from corpusloom.llm.common import WORD, fold, materialize, release, text_or_empty, trimmed
 
 #: Hashed vectors, their length, and the lengths of character n-grams of a word between < and >.
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (3, 4)
@@ -155,6 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
     # One row of those that repeat an id, so that what comes to the driver is bounded like the sample.
     rows = texts.mapInPandas(trimmed(bags), "doc_id string, quality int, at binary, n binary").groupBy("doc_id").agg(F.min(F.struct("at", "n", "quality")).alias("r"))
     rows = rows.select("doc_id", "r.*").orderBy("doc_id").toArrow()
+    release(sample)
     found = list(zip(_views(rows["at"], np.int32), _views(rows["n"], np.float32), strict=True))
     return train(found, rows["quality"].to_numpy().astype(np.int64))
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -710,6 +711,23 @@ def test_pipeline_stages(spark, sf_dir):
         assert len({tuple(s.ids) for s in r.samples}) == len(r.samples)
 
 
+def tables_left(spark):
+    return Counter(name.rsplit("-", 1)[0] for name in os.listdir(common.shared_dir(spark).removeprefix("file://")))
+
+
+def test_stages_leave_little_behind(spark, sf_dir):
+    """What a stage has written for itself goes, but for what its result is read from."""
+    docs = documents(spark, sf_dir)
+    docs = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 100_000).withColumn("text", F.concat("text", F.lit(" again"))))
+    before = tables_left(spark)
+    for stage in (corpus_pipeline.keep_quality, corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.mix_sources):
+        docs = common.materialize(stage(spark, docs, sf_dir), "stage")
+    assert tables_left(spark) - before == Counter(["stage"] * 4 + ["dropped_keys", "dropped_ids", "row_nodes", "decided_nodes", "mixed_units"] + ["groups"] * 2)
+    before = tables_left(spark)
+    corpus_pipeline.run(spark, sf_dir)
+    assert (tables_left(spark) - before)["stage"] == 1
+
+
 def test_run_is_its_stages(spark, sf_dir, monkeypatch):
     """run() on a table of its own: a bad document, copies, near copies and two sources."""
     monkeypatch.setattr(corpus_pipeline, "LEAST_QUALITY", 0.5)
