@@ -13,7 +13,6 @@ runs are broadcast, up to MOST_SHARED, and the others are joined with the places
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
@@ -22,10 +21,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import fold, materialize, release, text_or_empty, trimmed
+from corpusloom.llm.common import fold, forget_shuffles, materialize, release, text_or_empty, trimmed
 
 MAX_DEPTH = 4
 DISCOUNT, LEAST_EVENTS = 0.5, 3
@@ -35,7 +34,8 @@ WORD_SHARE, MOST_SHARED = 2.0**-18, 1 << 19
 FILTER_BITS, FILTER_WORDS = 16, 1 << 22
 #: Texts are joined with what tasks don't hold in so many slices, one after the other: all at once would take more disk.
 SLICES = 3
-REMEMBERED, BUFFER = 300_000, 1_000_000
+#: Pairs that a task holds before it counts them, and the bytes of a word that is hashed by itself.
+BUFFER, LONG_WORD = 1_000_000, 64
 
 _u = np.uint64
 END = xxhash.xxh3_64_intdigest(b"", seed=1)
@@ -47,21 +47,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _u(33))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+#: ASCII white space, as booleans; the lower bytes of a 64-bit word.
+_BLANKS = bytes(c in b" \t\n\v\f\r" for c in range(256))
+_LOWER = np.array([(1 << 8 * n) - 1 for n in range(9)], _u)
 
 
-def token_hashes(text: bytes, hashes: _Hashes) -> np.ndarray:
-    """The text's words, A-Z lower-cased, split at ASCII white space, and its end."""
-    words = text.lower().split()
-    out = np.empty(len(words) + 1, _u)
-    out[:-1] = np.fromiter(map(hashes.__getitem__, words), _u, len(words))
-    out[-1] = END
-    return out
+def hashes_of(texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """The texts' words, A-Z lower-cased, split at ASCII white space, each text's with its end after them; and where each text's begin and end.
+
+    A word's hash is that of its length, then of eight bytes at a time, over all words that are so long; the longest, of which there are
+    few, are hashed one by one."""
+    raw = b" ".join([b"", *texts, bytes(8)]).lower()
+    blank = np.frombuffer(raw.translate(_BLANKS), bool)[:-8]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    begin, size = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    h = size.astype(_u) * _u(0x9E3779B97F4A7C15)
+    rows, at, left = slice(None), begin, size
+    for _ in range(LONG_WORD // 8):
+        h[rows] = mix(h[rows] ^ (eights[at] & _LOWER[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        rows, at, left = more if isinstance(rows, slice) else rows[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(raw[begin[k] : begin[k] + size[k]])
+    bounds = np.cumsum([1] + [len(t) + 1 for t in texts])
+    before = np.searchsorted(begin, bounds) + np.arange(len(texts) + 1)
+    out = np.empty(len(h) + len(texts), _u)
+    word = np.ones(len(out), bool)
+    word[before[1:] - 1] = False
+    out[word], out[~word] = h, END
+    return out, before.tolist()
+
+
+def token_hashes(text: int, hashes: tuple[np.ndarray, list[int]]) -> np.ndarray:
+    """The words and the end of one of the texts of hashes_of()."""
+    tokens, bounds = hashes
+    return tokens[bounds[text] : bounds[text + 1]]
 
 
 def longer(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
@@ -140,12 +163,13 @@ def runs_at(tokens: np.ndarray, starts: np.ndarray, longest: int) -> list[np.nda
     return out
 
 
-def _texts(batches: Iterator[pa.RecordBatch], hashes: _Hashes) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Batches with all their tokens in one array, and where each text's begin."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            lists = [token_hashes(t, hashes) for t in part.column("text").cast(pa.binary()).to_pylist()]
+            hashes = hashes_of(part.column("text").cast(pa.binary()).to_pylist())
+            lists = [token_hashes(k, hashes) for k in range(part.num_rows)]
             starts = np.cumsum([0] + [len(x) for x in lists[:-1]])
             yield part, np.concatenate(lists), starts
 
@@ -154,13 +178,13 @@ def _counted(keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callabl
     """Counts the keys of each task's texts, a buffer at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = _Hashes(), [], 0
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
-        for _, tokens, starts in _texts(batches, hashes):
+        for _, tokens, starts in _texts(batches):
             held.append(keys_of(tokens, starts))
             size += len(held[-1])
             if size >= BUFFER:
@@ -202,7 +226,7 @@ def _sorted_parts(lengths: list[int], filtered, parts: int) -> Callable:
     """Counts each task's runs of words, a buffer at a time, cut into parts of the range of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, below = _Hashes(), lengths[0] - 1
+        below = lengths[0] - 1
         held: dict[int, list[tuple]] = {k: [] for k in lengths}
         size = 0
 
@@ -217,7 +241,7 @@ def _sorted_parts(lengths: list[int], filtered, parts: int) -> Callable:
                     columns = [binary(context), binary(suffix if k > 1 else np.zeros(len(suffix), "V0")), binary(n.astype(np.int32))]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), *columns], ["length", "part", "context", "suffix", "n"])
 
-        for _, tokens, starts in _texts(batches, hashes):
+        for _, tokens, starts in _texts(batches):
             runs = [tokens, *runs_at(tokens, starts, lengths[-1])]
             may = filtered.value.has(runs[below]) if filtered else None
             for k in lengths:
@@ -257,16 +281,10 @@ def count_runs(docs: DataFrame, lengths: list[int], below: Filter | None = None)
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.mapInArrow(trimmed(_sorted_parts(lengths, filtered, parts)), _PARTS)
     out = materialize(rows.groupBy("length", "part").applyInArrow(_merged, _RUNS), "runs")
-    _forget_shuffles(spark)
+    forget_shuffles(spark)
     return out
 
 
-def _forget_shuffles(spark: SparkSession) -> None:
-    """Shuffle files stay until the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _level(events: DataFrame, below: DataFrame, total: float) -> DataFrame:
     """events, of contexts of one length, with their probability p, what they add to the logarithm of their suffix's event (own),
     that of the context's weight of its suffix's distribution (next), and whether it diverges. below: (run, n, p), one word shorter."""
@@ -337,10 +355,10 @@ def learn(docs: DataFrame, words: DataFrame, max_depth: int = MAX_DEPTH, runs: D
             below = levels[-1].select("run", "n", "p")
         if lengths[0] > 2:
             release(runs)
-        _forget_shuffles(spark)
+        forget_shuffles(spark)
     values = materialize(_values(levels), "values")
     release(*levels)
-    _forget_shuffles(spark)
+    forget_shuffles(spark)
     least, many = _least_shared(values)
     t = values.filter(F.col("n") >= least).toArrow()
     length, key, own, after = (t.column(c).to_numpy() for c in ("length", "key", "own", "next"))
@@ -353,8 +371,8 @@ def _scores(tree) -> Callable:
     """For each text, what the frequent words and runs of words add up to, and the hashes of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, t = _Hashes(), tree.value
-        for part, tokens, starts in _texts(batches, hashes):
+        t = tree.value
+        for part, tokens, starts in _texts(batches):
             word = t.words.find(tokens)
             rare = word < 0
             base = np.where(rare, 0.0, t.word_log[word]) if len(t.word_log) else np.zeros(len(tokens))
@@ -415,7 +433,7 @@ def score(docs: DataFrame, training: Column, max_depth: int = MAX_DEPTH) -> Data
         rare = rows.filter(F.col("row") % SLICES == k).select("row", F.explode("rare").alias("key")).join(table, "key")
         rare = rare.groupBy("row").agg(F.sum("value").alias("all"), F.sum(F.when(F.col("word"), F.col("value"))).alias("words"), F.count_if("word").alias("known"))
         found.append(materialize(rare, "text_sums"))
-        _forget_shuffles(docs.sparkSession)
+        forget_shuffles(docs.sparkSession)
     rare = reduce(DataFrame.unionByName, found)
     known = lambda c: F.coalesce(c, F.lit(0))
     unseen = (F.col("n_tokens") - F.col("n_frequent")) * math.log10(0.5 / (tree.train_tokens + 0.5 * (tree.train_words + 1)))

@@ -484,6 +484,19 @@ def test_contexts_of_a_small_share_are_learned(spark):
     assert r.score - r.base_score > 5 * math.log10(2.5 / 3 * 200_000 / 3.5) - 0.01
 
 
+def test_words_hashed_together_are_those_of_each_text():
+    rng = np.random.default_rng(7)
+    odd = [b"", b" ", b"A b\ta\n\x0b\x0c\rB", b"\x1c \x1f\x85 \xc2\xa0x y\xe2\x80\x83z", b"a\x00 a a\x00\x00 \x00", b"x" * 200 + b" " + b"X" * 200 + b" " + b"x" * 199 + b"y"]
+    odd += [b" ".join(b"w" * n for n in range(1, 140)), b"12345678 123456789 1234567 12345678\x00", "\u00c4 \u00e4 \u00c4".encode()]
+    odd += [bytes(rng.integers(0, 256, 3000).astype(np.uint8)) for _ in range(20)]
+    tokens, bounds = suffix_tree.hashes_of(odd)
+    want = [[*t.lower().split(), None] for t in odd]
+    assert [b - a for a, b in zip(bounds, bounds[1:], strict=False)] == list(map(len, want))
+    pairs = {(w, h) for t, ts in enumerate(want) for w, h in zip(ts, suffix_tree.token_hashes(t, (tokens, bounds)).tolist(), strict=True)}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+    assert tokens[bounds[1] - 1] == suffix_tree.END
+
+
 def test_next_words_of_each_state_sum_to_one(spark):
     """Scores of all one-word continuations, the end and an unknown word included, are a distribution."""
     texts = ["a b a b a b c"] * 40 + ["b b c a"] * 30 + ["c a b"] * 30
