@@ -290,8 +290,8 @@ class Lattices:
     def add_many(self, units: list[str]) -> None:
         """add() for many units at once: a step for each start and length of a piece, over all units that are so long."""
         units = [u for u in units if u not in self.place]
-        known = self.pieces.ids.keys()
-        for u in [u for u in units if len(u) > LONGEST_UNIT or not known >= set(u)]:
+        spelled = set("".join(units)) - self.pieces.ids.keys()
+        for u in [u for u in units if len(u) > LONGEST_UNIT or spelled and not spelled.isdisjoint(u)]:
             self.add(u)  # long, or with characters in bytes
         units = sorted((u for u in units if u not in self.place), key=len, reverse=True)
         for k in range(0, len(units), TOGETHER):
@@ -316,20 +316,22 @@ class Lattices:
         n, longest = codes.shape
         mass, score = np.zeros((longest + 1, n)), np.zeros((2, longest + 1, n))
         mass[0], score[0, 0] = 1.0, 1.0
-        came, by, rank = np.zeros((2, longest + 1, n), np.int8), np.zeros((2, longest + 1, n), np.int32), np.zeros((2, longest + 1, n), np.int8)
+        #: The piece, the rank of the way before it, and where it begins, of the two best ways to each place.
+        way = np.zeros((2, longest + 1, n), np.int64)
 
         def offer(j: int, rows: np.ndarray, x: np.ndarray, i: int, k: np.ndarray, r: int) -> None:
             """A way to j of weight x, that came from i by piece k and i's way of rank r."""
+            (best, second), (to_best, to_second) = score[:, j], way[:, j]
             if not r:
-                up = x > score[0, j, rows]
+                up = x > best[rows]
                 a = rows[up]
-                for t in (score, came, by, rank):
-                    t[1, j, a] = t[0, j, a]
-                score[0, j, a], came[0, j, a], by[0, j, a], rank[0, j, a] = x[up], i, k[up], 0
-                rows, x, k = rows[~up], x[~up], k[~up]
-            up = x > score[1, j, rows]
+                second[a], to_second[a] = best[a], to_best[a]
+                best[a], to_best[a] = x[up], k[up] << 16 | i
+                up = ~up
+                rows, x, k = rows[up], x[up], k[up]
+            up = x > second[rows]
             a = rows[up]
-            score[1, j, a], came[1, j, a], by[1, j, a], rank[1, j, a] = x[up], i, k[up], r
+            second[a], to_second[a] = x[up], k[up] << 16 | r << 8 | i
 
         found: list[tuple[np.ndarray, ...]] = []
         for i, j, rows, k in self._spans(codes, so_long):
@@ -348,9 +350,10 @@ class Lattices:
             rows = np.flatnonzero(p[which] > 0)
             at, r = sizes[rows], np.full(len(rows), which)
             while len(rows):
-                ids[which, rows, lengths[which, rows]] = self.piece_ids[by[r, at, rows]]
+                last = way[r, at, rows]
+                ids[which, rows, lengths[which, rows]] = self.piece_ids[last >> 16]
                 lengths[which, rows] += 1
-                at, r = came[r, at, rows].astype(np.int64), rank[r, at, rows].astype(np.int64)
+                at, r = last & 255, last >> 8 & 255
                 rows, at, r = rows[at > 0], at[at > 0], r[at > 0]
         first = len(self.unit)
         self._grow(first + n)
@@ -544,19 +547,18 @@ class Lattices:
             own = chunks_of(text)
             counts[r] = len(own)
             chunks += own
-        known = list(map(self.chunk.get, chunks))
-        missing = [i for i, at in enumerate(known) if at is None]
-        if missing:
-            new = {chunks[i] for i in missing}
-            cut = {c: _units(c if c[0] in _STARTS else BLANK + c) for c in new}
-            self.add_many(list(set(itertools.chain.from_iterable(cut.values()))))
-            for c, units in cut.items():
-                self.chunk[c] = len(self.chunk_ends) - 1
-                self.chunk_units.extend(map(self.place.__getitem__, units))
-                self.chunk_ends.append(len(self.chunk_units))
-            for i in missing:
-                known[i] = self.chunk[chunks[i]]
-        at = np.array(known, np.int64)
+        at = np.fromiter(map(self.chunk.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            lost = list(map(chunks.__getitem__, missing.tolist()))
+            new = list(dict.fromkeys(lost))
+            cut = [_units(c if c[0] in _STARTS else BLANK + c) for c in new]
+            units = list(itertools.chain.from_iterable(cut))
+            self.add_many(list(dict.fromkeys(units)))
+            self.chunk.update(zip(new, range(len(self.chunk), len(self.chunk) + len(new)), strict=True))
+            self.chunk_ends.extend(itertools.accumulate(map(len, cut), initial=self.chunk_ends.pop()))
+            self.chunk_units.extend(map(self.place.__getitem__, units))
+            at[missing] = np.fromiter(map(self.chunk.__getitem__, lost), np.int64, len(lost))
         ends = np.array(self.chunk_ends)
         sizes = ends[at + 1] - ends[at]
         places = np.array(self.chunk_units, np.int64)[ragged(ends[at], sizes)]
@@ -638,6 +640,8 @@ class Search:
         self.p = lattices.p[self.places]
         #: For each round, where the units' ids stand, how many, and their log-probabilities.
         self.samples: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        #: The ids of each round's samples, one text after the other, and where each text's begin, once found() has asked.
+        self.spelled: list[tuple[np.ndarray, np.ndarray]] = []
         self.queues: list[list[tuple]] = [[] for _ in texts]
         #: (round, log-probability, perturbed) of each text's samples.
         self.out: list[list[tuple[int, float, float]]] = [[] for _ in texts]
@@ -678,7 +682,8 @@ class Search:
         pick[later] += u[later] >= p[later, 0] + p[later, 1]
         which = np.minimum(pick, 1)
         offs, lengths, logs = np.zeros(len(self.places), np.int64), np.zeros(len(self.places), np.int32), np.zeros(len(self.places))
-        offs[at], lengths[at], logs[at] = lattices.off[places, which], lattices.size[places, which], lattices.log_p[places, which]
+        flat = 2 * places + which
+        offs[at], lengths[at], logs[at] = lattices.off.ravel().take(flat), lattices.size.ravel().take(flat), lattices.log_p.ravel().take(flat)
 
         # Units that are drawn from their lattices, without some segmentations: (unit, text, excluded).
         other = at[pick == 2]
@@ -697,8 +702,9 @@ class Search:
         v = _uniform(self.keys[owner], 1, stream + 1, other - self.starts[owner]) * np.maximum(0.0, 1 - wide.sum(axis=1))
         for r in (0, 1):
             v += np.where(v >= low[:, r], wide[:, r], 0.0)
-        units, lows, points, failed = [other], [low], [v], set()
-        for x in deviate.tolist():
+        units, lows, points, failed = [], [], [], set()
+        parts = _uniform(self.keys[who[deviate]], 1, stream + 1, start[deviate]).tolist()
+        for x, part in zip(deviate.tolist(), parts, strict=True):
             d, _, _, s, taken = jobs[x]
             i = int(begin[x] + s)
             place = self.places[i]
@@ -711,13 +717,14 @@ class Search:
             if left <= 1e-13:
                 failed.add(x)
                 continue
-            point = float(_uniform(self.keys[d : d + 1], 1, stream + 1, np.array([s]))[0]) * left
+            point = part * left
             for b, w in gone:
                 point += w if point >= b else 0.0
-            units.append(np.array([i]))
-            points.append(np.array([point]))
-            lows.append(np.array([[gone[0][0], gone[-1][0]]]))
-        other, v, low = np.concatenate(units), np.concatenate(points), np.concatenate(lows)
+            units.append(i)
+            points.append(point)
+            lows.append((gone[0][0], gone[-1][0]))
+        if units:
+            other, v, low = np.append(other, units), np.append(v, points), np.concatenate([low, lows])
         offs[other], lengths[other], logs[other], found = lattices.walk(self.places[other], np.minimum(v, 1 - 2.0**-53))
         # Rounding at an interval's border may have led back to what is excluded.
         for i in other[(found[:, None] == low).any(axis=1)].tolist():
@@ -793,10 +800,13 @@ class Search:
         if len(self.out[d]) < self.ks[d] and (listed := self._listed(d)):
             return listed
         limit = -self.queues[d][0][0] if self.queues[d] else -math.inf
+        for offs, sizes, _ in self.samples[len(self.spelled) :]:
+            before = np.concatenate([[0], np.cumsum(sizes)])
+            self.spelled.append((self.lattices.buffer[ragged(offs, sizes)], before[np.append(self.starts, self.ends[-1])]))
         out = []
         for s, log_p, value in self.out[d]:
-            offs, sizes, _ = self.samples[s]
-            out.append((self.lattices.buffer[ragged(offs[a:b], sizes[a:b])], log_p, value, _inclusion(log_p, limit)))
+            ids, begin = self.spelled[s]
+            out.append((ids[begin[d] : begin[d + 1]], log_p, value, _inclusion(log_p, limit)))
         return out
 
     def _listed(self, d: int) -> list[tuple] | None:

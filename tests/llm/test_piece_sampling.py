@@ -158,6 +158,22 @@ def test_walks_follow_the_lattice(lattices):
         assert all(low[i] <= v[i] and (got[i] not in begins or low[i] == begins[got[i]]) for i in range(4000))
 
 
+def test_new_chunks_are_looked_up_together(pieces, monkeypatch):
+    """Ids of a round are spelled once for all texts, and a repeated new chunk is cut into units once."""
+    cut, joined = [], []
+    real_units, real_ragged = P._units, P.ragged
+    monkeypatch.setattr(P, "_units", lambda c: cut.append(c) or real_units(c))
+    fresh = P.Lattices(pieces)
+    texts = [f"some words, no{k % 3} some" for k in range(40)]
+    search = P.Search(texts, list(range(40)), [3] * 40, fresh)
+    assert len(cut) == len(set(cut)) and len(fresh.chunk) == len(set(cut)) == len(fresh.chunk_ends) - 1
+    search.run()
+    monkeypatch.setattr(P, "ragged", lambda offs, sizes: joined.append(1) or real_ragged(offs, sizes))
+    found = list(map(search.found, range(40)))
+    assert len(joined) == len(search.samples)
+    assert all(P.decode(ids, pieces.spelled) == t for t, ways in zip(texts, found, strict=True) for ids, *_ in ways)
+
+
 def test_many_texts_are_as_one_by_one(pieces):
     texts = [*ODD, "rea on", "Several unbelievably long words\nin two lines", "rea on", "=" * 60 + " rea"]
     one, many = P.Lattices(pieces), P.Lattices(pieces)
