@@ -3,14 +3,15 @@
 Words, pairs of neighbouring words, and words' character n-grams are hashed to vectors, a document is the average of all of them, and a softmax
 layer tells its label; vectors and layer are trained together by stochastic gradient descent in numpy on a
 bounded sample of labelled documents. As the layer is linear, a word or pair adds one number to a document's score;
-scoring sums these numbers over the whole text on the executors.
+scoring sums these numbers over the whole text on the executors. Many texts are scored together: their distinct words are
+hashed by array steps.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, fold, materialize, release, text_or_empty, trimmed
+from corpusloom.llm.common import fold, materialize, release, text_or_empty, trimmed
 
 #: Hashed vectors, their length, and the lengths of character n-grams of a word between < and >.
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (3, 4)
@@ -30,20 +31,57 @@ SAMPLE_PER_LABEL = 2500
 EPOCHS, RATE, SEED = 6, 1.0, 7
 #: A small sample is gone through more often, until there are so many steps.
 LEAST_STEPS = 15_000
-#: Words that a Python worker remembers.
-REMEMBERED = 100_000
-
-_words = re.compile(WORD).findall
-
-
-def features(word: str) -> list[int]:
-    """Buckets of the word and of its n-grams."""
-    marked, h = f"<{word}>", xxhash.xxh32_intdigest
-    return [h(f"w{word}") % BUCKETS] + [h(marked[i : i + n]) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)]
-
-
-def word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+#: Characters of texts that are scored together; a longer text is scored alone.
+TOGETHER = 1 << 18
+
+
+def piece_hashes(raw: bytes, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """xxh32 of the pieces of raw, which goes on for three bytes after the last: those of one length by array steps, those from 16 bytes on one by one."""
+    out, u = np.zeros(len(begin), np.uint32), np.uint32
+    ones, fours = np.frombuffer(raw, np.uint8), np.ndarray(len(raw) - 3, "<u4", raw, strides=(1,))
+    for n in np.flatnonzero(np.bincount(size)).tolist():
+        rows = np.flatnonzero(size == n)
+        if n >= 16:
+            out[rows] = [xxhash.xxh32_intdigest(raw[k : k + n]) for k in begin[rows].tolist()]
+            continue
+        at, h = begin[rows], np.full(len(rows), 374761393 + n, u)
+        for k in range(n // 4):
+            h += fours[at + 4 * k] * u(3266489917)
+            h = (h << u(17) | h >> u(15)) * u(668265263)
+        for k in range(n - n % 4, n):
+            h += ones[at + k] * u(374761393)
+            h = (h << u(11) | h >> u(21)) * u(2654435761)
+        h = (h ^ h >> u(15)) * u(2246822519)
+        h = (h ^ h >> u(13)) * u(3266489917)
+        out[rows] = h ^ h >> u(16)
+    return out
+
+
+def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(places of words, buckets) of the words and of their n-grams."""
+    size, place = np.fromiter(map(len, words), np.int64, len(words)), np.arange(len(words))
+    raw = b"w" + b"w".join(words) + bytes(3)
+    at, found = [place], [piece_hashes(raw, np.cumsum(size + 1) - size - 1, size + 1)]
+    raw = b"<" + b"><".join(words) + b">"
+    begin = np.flatnonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)  # of the characters
+    word = np.repeat(place, size + 2)[begin] if words else place
+    begin, raw = np.append(begin, len(raw)), raw + bytes(3)
+    for n in GRAMS:
+        whole = np.flatnonzero(word[: 1 - n] == word[n - 1 :])
+        at.append(word[whole])
+        found.append(piece_hashes(raw, begin[whole], begin[whole + n] - begin[whole]))
+    return np.concatenate(at), np.concatenate(found).astype(np.int64) % BUCKETS
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def distinct_words(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of all texts, each word's place among them, and how many words each text has. Bytes are split at ASCII white space alone."""
+    words = [t.encode().split() for t in texts]
+    coded = pa.array(list(chain.from_iterable(words)), pa.binary()).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.fromiter(map(len, words), np.int64, len(words))
 
 
 def pairs(hashes: np.ndarray) -> np.ndarray:
@@ -55,13 +93,11 @@ def pairs(hashes: np.ndarray) -> np.ndarray:
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of the whole text."""
-    words = _words(text)
-    counts = np.bincount(pairs(np.fromiter(map(word_hash, words), np.uint64, len(words))), minlength=BUCKETS + PAIR_BUCKETS).astype(np.float32)
-    for w in words:
-        for k in features(w):
-            counts[k] += 1
+    words, at, _ = distinct_words([text])
+    word, found = features(words)
+    counts = np.bincount(found, np.bincount(at, minlength=len(words))[word], BUCKETS + PAIR_BUCKETS) + np.bincount(pairs(word_hashes(words)[at]), minlength=BUCKETS + PAIR_BUCKETS)
     at = np.flatnonzero(counts)
-    return at.astype(np.int32), counts[at]
+    return at.astype(np.int32), counts[at].astype(np.float32)
 
 
 @dataclass
@@ -102,35 +138,21 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     return Model(vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0]))
 
 
-class _Margins(dict):
-    """word -> its place in the arrays of the words' parts of the margin, numbers of features, and hashes."""
-
-    def __init__(self, parts: np.ndarray):
-        self.parts, self.all_parts = parts.tolist(), parts
-        self.clear()
-
-    def clear(self) -> None:
-        super().clear()
-        self.part, self.size, self.hash = np.zeros(REMEMBERED), np.zeros(REMEMBERED), np.zeros(REMEMBERED, np.uint64)
-
-    def __missing__(self, word: str) -> int:
-        found, at = features(word), len(self)
-        self[word] = at
-        if at == len(self.part):  # a text of more words than are remembered between texts
-            self.part, self.size, self.hash = (np.concatenate([x, np.zeros_like(x)]) for x in (self.part, self.size, self.hash))
-        self.part[at], self.size[at], self.hash[at] = sum(map(self.parts.__getitem__, found)), len(found), word_hash(word)
-        return at
+def score_texts(texts: list[str], model: Model) -> np.ndarray:
+    words, at, n_words = distinct_words(texts)
+    word, found = features(words)
+    part, size = np.bincount(word, model.parts[found], len(words)), np.bincount(word, minlength=len(words))
+    text = np.repeat(np.arange(len(texts)), n_words)
+    near = np.flatnonzero(text[1:] == text[:-1])  # the last word of a text and the first of the next are no pair
+    margin = np.bincount(text, part[at], len(texts)) + np.bincount(text[near], model.parts[pairs(word_hashes(words)[at])[near]], len(texts))
+    total = np.bincount(text, size[at], len(texts)) + np.maximum(n_words - 1, 0)
+    return 1 / (1 + np.exp(-np.clip(model.bias + margin / np.maximum(total, 1), -500, 500)))
 
 
-def score_text(text: str, margins: _Margins, bias: float) -> float:
-    words = _words(text)
-    if len(margins) + len(words) > REMEMBERED:
-        margins.clear()
-    at = np.fromiter(map(margins.__getitem__, words), np.int64, len(words))
-    near = pairs(margins.hash[at])
-    size = margins.size[at].sum() + len(near)
-    margin = bias + ((margins.part[at].sum() + margins.all_parts[near].sum()) / size if size else 0.0)
-    return float(1 / (1 + np.exp(-np.clip(margin, -500, 500))))
+def score_batch(texts: list[str], model: Model) -> np.ndarray:
+    """Scores so many texts at a time that they hold TOGETHER characters, one at least."""
+    group = np.cumsum([0, *map(len, texts)])[:-1] // TOGETHER
+    return np.concatenate([score_texts(texts[a:b], model) for a, b in pairwise([*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(texts)])])
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model:
@@ -171,14 +193,11 @@ def _views(column: pa.ChunkedArray, kind: type) -> Iterator[np.ndarray]:
 
 def scored(docs: DataFrame, model: Model, column: str = "score", text: Column | None = None) -> DataFrame:
     """docs, all columns kept, with the probability of label 1; null texts count as empty and score as the bias says.
-    A column of that name is replaced. Texts are scored whole, one at a time, each word of one at about 200 bytes."""
+    A column of that name is replaced. Texts are scored whole, each word of those that are scored together at about 200 bytes."""
     share = docs.sparkSession.sparkContext.broadcast(model)
-    made: list[_Margins] = []
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if not made:
-            made.append(_Margins(share.value.parts))
         for s in texts:
-            yield pd.Series([score_text(t, made[0], share.value.bias) for t in s], dtype="float64")
+            yield pd.Series(score_batch(s.tolist(), share.value) if len(s) else [], dtype="float64")
 
     return docs.withColumn(column, F.pandas_udf(trimmed(run), "double")(text_or_empty() if text is None else F.coalesce(text, F.lit(""))))

@@ -380,6 +380,23 @@ def test_scores_are_those_of_averaged_vectors(spark, odd):
         assert r.score == pytest.approx(score(texts[r.doc_id]), abs=1e-9)
 
 
+def test_texts_scored_together_hash_their_distinct_words_by_array_steps(monkeypatch):
+    """What is hashed one by one are words' hashes for pairs, and words and n-grams from 16 bytes on, once a group of texts; scores are those of each text alone."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"{'wö'[k % 2]}{k}" for k in rng.integers(0, 500, 300)) for _ in range(40)] + ["", "😀😀😀😀", "x" * 40, "a"]
+    raw = "".join(texts).encode()
+    begin, size = rng.integers(0, len(raw) - 30, 500), np.arange(500) % 30
+    assert quality.piece_hashes(raw, begin, size).tolist() == [xxhash.xxh32_intdigest(raw[b : b + n]) for b, n in zip(begin.tolist(), size.tolist())]
+    calls = Counter()
+    for name in ("xxh32_intdigest", "xxh3_64_intdigest"):
+        monkeypatch.setattr(quality.xxhash, name, lambda x, f=getattr(xxhash, name), name=name: calls.update([name]) or f(x))
+    model = quality.Model(rng.normal(size=quality.BUCKETS + quality.PAIR_BUCKETS), 0.3)
+    got = quality.score_batch(texts, model)
+    assert calls["xxh32_intdigest"] < 10 and calls["xxh3_64_intdigest"] <= 503
+    monkeypatch.setattr(quality, "TOGETHER", 700)
+    assert got == pytest.approx(quality.score_batch(texts, model), abs=1e-12) and got == pytest.approx([quality.score_texts([t], model)[0] for t in texts], abs=1e-12)
+
+
 def test_training_tells_labels_apart_and_reruns_agree():
     texts, labels = ["a b", "c d", "a b c", "c d d", "b", "d"], np.array([1, 0, 1, 0, 1, 0])
     bags = [quality.bag(t) for t in texts]
