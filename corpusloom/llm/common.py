@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import suppress
@@ -90,9 +91,11 @@ def release(*tables: DataFrame) -> None:
 
 
 def forget_shuffles(spark: SparkSession) -> None:
-    """Shuffle files stay until the driver collects its garbage."""
+    """Shuffle files stay until the driver collects its garbage; those of the last query only go with a second collection, a moment after the first."""
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.3)
+    spark._jvm.System.gc()
 
 
 def text_or_empty(name: str = "text") -> Column:

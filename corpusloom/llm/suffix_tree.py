@@ -32,7 +32,7 @@ DISCOUNT, LEAST_EVENTS = 0.5, 3
 WORD_SHARE, MOST_SHARED = 2.0**-18, 1 << 19
 #: Bits of a filter for each key, and its most 64-bit words; a longer list makes it let more through, which is sorted out later.
 FILTER_BITS, FILTER_WORDS = 16, 1 << 22
-#: Texts are joined with what tasks don't hold in so many slices, one after the other: all at once would take more disk.
+#: Texts are scored, and joined with what tasks don't hold, in so many slices, one after the other: all at once would take more disk.
 SLICES = 3
 #: Pairs that a task holds before it counts them, and the bytes of a word that is hashed by itself.
 BUFFER, LONG_WORD = 1_000_000, 64
@@ -98,7 +98,7 @@ class Places:
     def __init__(self, keys: np.ndarray, room: int = 2):
         size = 1 << max(4, (room * len(keys)).bit_length())
         self.keys, self.mask = keys, _u(size - 1)
-        self.slots = np.full(size, -1, np.int32 if room > 2 else np.int64)
+        self.slots = np.full(size, -1, np.int32)
         left, at = np.arange(len(keys)), (keys & self.mask).astype(np.int64)
         while len(left):
             free = self.slots[at] < 0
@@ -141,7 +141,7 @@ class Filter:
 class Tree:
     """words: the frequent words' hashes and log10 probabilities at the root. contexts: for each length of a run of words, the most
     frequent runs' hashes, and what they add to the log10 probability of their last word and of the word after them.
-    listed: whether a run may have a value. rest: (key, value) of the runs that are not among contexts."""
+    listed: whether a run may have a value. rest: (key, value) of the runs that are not among contexts, read from values."""
 
     words: Places
     word_log: np.ndarray
@@ -150,6 +150,7 @@ class Tree:
     rest: DataFrame | None
     train_tokens: int
     train_words: int
+    values: DataFrame | None = None
 
 
 def runs_at(tokens: np.ndarray, starts: np.ndarray, longest: int) -> list[np.ndarray]:
@@ -281,6 +282,8 @@ def count_runs(docs: DataFrame, lengths: list[int], below: Filter | None = None)
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.mapInArrow(trimmed(_sorted_parts(lengths, filtered, parts)), _PARTS)
     out = materialize(rows.groupBy("length", "part").applyInArrow(_merged, _RUNS), "runs")
+    if filtered:
+        filtered.destroy()
     forget_shuffles(spark)
     return out
 
@@ -364,7 +367,9 @@ def learn(docs: DataFrame, words: DataFrame, max_depth: int = MAX_DEPTH, runs: D
     length, key, own, after = (t.column(c).to_numpy() for c in ("length", "key", "own", "next"))
     for k in range(1, max_depth + 2):
         tree.contexts.append((Places(key[length == k].astype(np.int64).view(_u)), own[length == k], after[length == k]))
-    return replace(tree, listed=Filter(values.select("key"), many), rest=values.filter(F.col("n") < least).select("key", (F.col("own") + F.col("next")).alias("value")))
+    listed = Filter(values.select("key"), many)
+    forget_shuffles(spark)
+    return replace(tree, listed=listed, values=values, rest=values.filter(F.col("n") < least).select("key", (F.col("own") + F.col("next")).alias("value")))
 
 
 def _scores(tree) -> Callable:
@@ -419,28 +424,32 @@ def score(docs: DataFrame, training: Column, max_depth: int = MAX_DEPTH) -> Data
     words = materialize(runs.filter("length = 1").select(F.col("context").alias("key"), "n"), "word_counts")
     tree = learn(learned, words, max_depth, runs)
     release(runs)
-    shared = docs.sparkSession.sparkContext.broadcast(replace(tree, rest=None))
+    shared = docs.sparkSession.sparkContext.broadcast(replace(tree, rest=None, values=None))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, n_tokens long, n_frequent long, base double, score double, rare array<long>"
-    rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    rows = materialize(rows.mapInArrow(trimmed(_scores(shared)), schema), "text_scores")
     # Words that training has not seen count as half a one.
     table = words.select("key", F.log10((F.col("n") + 0.5) / 0.5).alias("value"), F.lit(True).alias("word"))
     if tree.rest is not None:
         table = table.unionByName(tree.rest.withColumn("word", F.lit(False)))
+    known = lambda c: F.coalesce(c, F.lit(0))
+    unseen = (F.col("n_tokens") - F.col("n_frequent")) * math.log10(0.5 / (tree.train_tokens + 0.5 * (tree.train_words + 1)))
     found = []
     for k in range(SLICES):
-        rare = rows.filter(F.col("row") % SLICES == k).select("row", F.explode("rare").alias("key")).join(table, "key")
+        # A row's slice is its own, however the table is read; a slice's hashes are deleted before the next one's are written.
+        part = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES)) == k).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+        rows = materialize(part.mapInArrow(trimmed(_scores(shared)), schema), "text_scores")
+        rare = rows.select("row", F.explode("rare").alias("key")).join(table, "key")
         rare = rare.groupBy("row").agg(F.sum("value").alias("all"), F.sum(F.when(F.col("word"), F.col("value"))).alias("words"), F.count_if("word").alias("known"))
-        found.append(materialize(rare, "text_sums"))
+        sums = rows.drop("rare").join(rare, "row", "left").select(
+            "doc_id", "n_tokens", (F.col("n_frequent") + known("known")).alias("n_known"), F.lit(tree.train_tokens).cast("long").alias("train_tokens"),
+            (F.col("base") + unseen + known("words")).alias("base_score"), (F.col("score") + unseen + known("all")).alias("score"),
+        )
+        found.append(materialize(sums, "text_sums"))
+        release(rows)
         forget_shuffles(docs.sparkSession)
-    rare = reduce(DataFrame.unionByName, found)
-    known = lambda c: F.coalesce(c, F.lit(0))
-    unseen = (F.col("n_tokens") - F.col("n_frequent")) * math.log10(0.5 / (tree.train_tokens + 0.5 * (tree.train_words + 1)))
-    return rows.drop("rare").join(rare, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_frequent") + known("known")).alias("n_known"), F.lit(tree.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + unseen + known("words")).alias("base_score"), (F.col("score") + unseen + known("all")).alias("score"),
-    )
+    release(words, *([tree.values] if tree.values is not None else []))
+    shared.destroy()
+    return reduce(DataFrame.unionByName, found)
 
 
 def score_held_out(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import itertools
 import math
 import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -573,6 +574,42 @@ def test_scores_of_odd_rows(spark, odd):
     assert suffix_tree.score_held_out(odd.limit(0)).count() == 0
 
 
+def files_of_shuffles(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in found.split("\n") if "/shuffle_" in f}
+
+
+def test_shuffles_of_the_last_query_are_forgotten(spark):
+    common.forget_shuffles(spark)
+    before = files_of_shuffles(spark)
+    rows = spark.range(20_000).selectExpr("id", "id % 100 as k").mapInArrow(common.trimmed(lambda batches: batches), "id long, k long")
+    out = common.materialize(rows.groupBy("k").applyInArrow(lambda t: t.slice(0, 1), "id long, k long"), "some")
+    new = files_of_shuffles(spark) - before
+    common.forget_shuffles(spark)
+    for _ in range(20):
+        if not new & files_of_shuffles(spark):
+            break
+        time.sleep(0.1)
+    assert new and not new & files_of_shuffles(spark) and out.count() == 100
+
+
+def test_a_scored_table_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    """Texts are scored a slice at a time, and what a slice wrote is deleted before the next one's."""
+    written, at_once = [], []
+
+    def watched(df, name, real=suffix_tree.materialize):
+        out = real(df, name)
+        written.append((name, out._written_to))
+        at_once.append(sum(n == "text_scores" and common.exists(spark, p) for n, p in written))
+        return out
+
+    monkeypatch.setattr(suffix_tree, "materialize", watched)
+    docs = spark.createDataFrame([(i, f"a b c a b w{i % 7}", i % 3 > 0) for i in range(90)] + [(None, "a b c", False)] * 3, "doc_id long, text string, train boolean")
+    got = suffix_tree.score(docs, F.col("train"))
+    assert max(at_once) == 1 and got.count() == 93 and got.filter("doc_id is null").select("score").distinct().count() == 1
+    assert {n for n, p in written if common.exists(spark, p)} <= {"text_sums", "kept"}
+
+
 # Personal data
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
