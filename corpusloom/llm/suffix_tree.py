@@ -438,7 +438,7 @@ def score(docs: DataFrame, training: Column, max_depth: int = MAX_DEPTH) -> Data
         # A row's slice is its own, however the table is read; a slice's hashes are deleted before the next one's are written.
         part = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES)) == k).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
         rows = materialize(part.mapInArrow(trimmed(_scores(shared)), schema), "text_scores")
-        rare = rows.select("row", F.explode("rare").alias("key")).join(table, "key")
+        rare = rows.select("row", F.explode("rare").alias("key")).join(table.hint("shuffle_hash"), "key")
         rare = rare.groupBy("row").agg(F.sum("value").alias("all"), F.sum(F.when(F.col("word"), F.col("value"))).alias("words"), F.count_if("word").alias("known"))
         sums = rows.drop("rare").join(rare, "row", "left").select(
             "doc_id", "n_tokens", (F.col("n_frequent") + known("known")).alias("n_known"), F.lit(tree.train_tokens).cast("long").alias("train_tokens"),
