@@ -84,8 +84,10 @@ class DigestIndex:
         return self._committed().drop("attempt")
 
     def _write(self, fresh: DataFrame, folder: str) -> None:
+        # By the bucket's own number: however many parts a shuffle has, a bucket gets one file and a task writes one bucket.
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
         (
-            fresh.select("digest", "keep_id", "n_docs", "attempt").repartition(self.buckets, "digest")
+            fresh.select("digest", "keep_id", "n_docs", "attempt").repartitionById(self.buckets, bucket)
             .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
             .option("path", f"{self.path}/{folder}").saveAsTable(self._name(folder))
         )

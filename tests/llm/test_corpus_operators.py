@@ -86,6 +86,20 @@ def test_a_compacted_index_says_the_same(spark, odd):
     assert fresh.read().count() == len(before) + 1
 
 
+def test_a_bucket_has_one_file_a_batch_however_a_key_is_dealt(spark, monkeypatch):
+    frame = type(spark.range(1))
+    dealt = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols: dealt(self, max(n, 21) if cols and isinstance(n, int) else n, *cols))
+    index = digest_index.DigestIndex(spark, common.new_path(spark, "index"), 4)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    files = lambda: Counter(re.search(r"_(\d{5})\.", r[0])[1] for r in spark.table(index.table).select(F.input_file_name()).distinct().collect())
+    assert index.ingest(docs).filter("kept").count() == 400
+    assert files() == {f"{k:05}": 1 for k in range(4)}
+    assert index.ingest(docs.withColumn("text", F.concat("text", F.lit("!")))).filter("kept").count() == 400
+    index.compact()
+    assert files() == {f"{k:05}": 1 for k in range(4)} and index.read().count() == 800
+
+
 def test_a_batch_counts_once(spark, odd):
     index = digest_index.DigestIndex(spark, common.new_path(spark, "index"), 4)
     lost = index.ingest(odd, "monday")  # its consumer fails
