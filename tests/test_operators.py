@@ -151,6 +151,16 @@ def test_refusal(spark):
     assert one(spark, s=ranking.query_support(F.lit("如何 报修工单"), lit("报修 工单 x"))).s == 0.5
 
 
+def test_refusal_prints_scores_as_sql_does(spark):
+    config = Retrieval(support_threshold=1.0)
+    scores = [k / n for n in (32, 96, 160) for k in range(n)] + [0.00015, 0.12345, 0.00025, 1e-9, 0.99995]
+    df = spark.createDataFrame([(s,) for s in scores], "s double")
+    got = df.select("s", ranking.refusal_reason(F.lit("q"), F.lit("retrieval"), F.lit(1), F.lit(0.9), F.col("s"), config).alias("r"), X.rounded(F.col("s") - 1, 4).alias("less")).collect()
+    assert [(r.s, r.r, r.less) for r in got] == [(s, f"query_support_below_threshold:{s:.4f}<1.0000", f"{s - 1:.4f}") for s in scores]
+    low = one(spark, r=ranking.refusal_reason(F.lit("q"), F.lit("retrieval"), F.lit(1), F.lit(0.03125), F.lit(0.9), config)).r
+    assert low == "confidence_below_threshold:0.0312<0.2000"
+
+
 def test_metadata(spark):
     s = lambda name, text: one(spark, s=metadata.suggest(F.lit(name), F.lit(text))).s
     a = s("智慧后勤运维管理平台操作手册.docx", "本文描述后勤报修工单、运维任务和操作流程。")
