@@ -45,6 +45,35 @@ def test_hash_embedding_places(spark):
     assert {(0, 129, False), (1, 176, True), (2, 102, False), (3, 63, False)} <= got
 
 
+def test_hash_vectors_are_made_where_the_texts_are(spark):
+    texts = ["报修工单 报修", None, "", "qx-9000 abc abc ABC", "a b c", "one two three four five six seven eight nine ten " * 30]
+    rows = spark.createDataFrame([(i % 5, i, t) for i, t in enumerate(texts * 3)], "kb int, id long, text string").repartition(3)
+    out = retrieval.hash_vectors(rows, "id", "text")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "").replace("Exchange REPARTITION", "")
+    want = {r.id: r.embedding for r in retrieval.as_vectors(retrieval.hash_embedding(rows, "id", "text"), "id").collect()}
+    assert {r.id: (r.kb, r.embedding) for r in out.collect()} == {i: (i % 5, v) for i, v in want.items()} and len(want) == 9
+    again = rows.withColumn("id", F.col("id") % 4)
+    want = {r.id: r.embedding for r in retrieval.as_vectors(retrieval.hash_embedding(again, "id", "text"), "id").collect()}
+    got = [(r.id, r.embedding) for r in retrieval.hash_vectors(again, "id", "text").collect()]
+    assert len(got) == again.count() and dict(got) == want
+    counts = {r.id: dict(zip(r.terms, r.times, strict=True)) for r in retrieval.term_counts(rows, "id", "text").collect()}
+    assert counts[3] == {"qx-9000": 1, "abc": 3} and counts[0] == {"报修工单": 1, "报修": 2, "修工": 1, "工单": 1} and 1 not in counts
+
+
+def test_best_of_many_batches():
+    rng = np.random.default_rng(5)
+    scores, names = rng.integers(0, 30, (4, 900)).astype(float), np.array([f"c{k:04}" for k in rng.permutation(900)], dtype=object)
+    scores[rng.random(scores.shape) < 0.2] = -np.inf
+    scores[3] = -np.inf
+    for width in (1, 7, 300):
+        best = retrieval.Best(10)
+        for at in range(0, 900, width):
+            best.add(scores[:, at : at + width], names[at : at + width])
+        got = sorted(zip(best.query.tolist(), (-best.score).tolist(), best.chunk.tolist(), strict=True))
+        want = [(q, *x) for q in range(3) for x in sorted((-s, c) for s, c in zip(scores[q], names, strict=True) if s > -np.inf)[:10]]
+        assert got == want
+
+
 def test_parents_and_children():
     seg = lambda t, table=False: {"text": t, "section_path": "s", "page": None, "is_heading": False, "is_table": table}
     texts = lambda segs: ["\n\n".join(p["texts"]) for p in chunking.fold_parents(segs, 10)]
