@@ -79,6 +79,28 @@ def test_bm25_of_odd_chunks(spark, tmp_path):
     assert postings.bm25_search(queries, none, 3).count() == 0
 
 
+def test_index_shuffles_each_chunk_once_and_tells_repeated_ones(spark, tmp_path):
+    """Blocks of queries, chunks of one id, and what a build and a search shuffle: no row for each posting."""
+    rng = np.random.default_rng(4)
+    words = [" ".join(f"w{w}" for w in rng.integers(0, 300, 60)) for _ in range(900)]
+    chunks = spark.createDataFrame([(c % 3, f"c{c:03}", w) for c, w in enumerate(words)], "kb_id int, chunk_id string, content string")
+    queries = spark.createDataFrame([(q, words[q]) for q in range(0, 900, 10)], "query_id long, query string")
+    index = postings.bm25_index(chunks, f"file://{tmp_path}/i")
+    assert index.blocks().count() == 9 and index.blocks().agg(F.sum(F.size("nth"))).first()[0] > 9 * 5000
+    want = {tuple(r) for r in retrieval.bm25_best(queries, chunks, 4).collect()}
+    hits = postings.bm25_search(queries, index, 4)
+    assert {tuple(r) for r in hits.collect()} == want and len(want) == 90 * 3 * 4
+    assert "Generate" not in hits._jdf.queryExecution().executedPlan().toString()
+    whole = postings.WEIGHTS, postings.QUERY_BLOCK
+    postings.WEIGHTS, postings.QUERY_BLOCK = 300 * 7, 8
+    assert {tuple(r) for r in postings.bm25_search(queries, index, 4).collect()} == want
+    postings.WEIGHTS, postings.QUERY_BLOCK = whole
+    twice = spark.createDataFrame([(1, "a", "red blue"), (1, "a", "red"), (1, "b", "red")], "kb_id int, chunk_id string, content string")
+    once = spark.createDataFrame([(1, "a", "red blue red"), (1, "b", "red")], "kb_id int, chunk_id string, content string")
+    tf = [{(r.chunks[n], t) for r in postings.bm25_index(df, f"file://{tmp_path}/{k}").blocks().collect() for t, n in zip(np.repeat(r.terms, r.sizes), r.nth, strict=True)} for k, df in enumerate((twice, once))]
+    assert tf[0] == tf[1] == {("a", "red"), ("a", "blue"), ("b", "red")}
+
+
 # Patterns
 
 
