@@ -3,11 +3,14 @@
 Whether a segment begins a parent hangs on the segment before, and on one number, the size of the open parent. What a bucket
 does to that number is a small map: the larger the size that comes in, the earlier the bucket's first break for size, and
 from that break on all is settled. So buckets are summed up side by side, their maps are applied one after the other to find
-the size that comes into each, and then each bucket places its own segments. No document is gathered in a row.
+the size that comes into each, and then each bucket places its own segments. No document's text is gathered in a row,
+and a row is a bucket, so that a batch holds many.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.schemas import Budgets
+from corpusloom.session import materialize
 
 #: Segments of a bucket.
 BUCKET = 4096
@@ -66,50 +70,55 @@ def bucket_map(size: np.ndarray, breaks: np.ndarray, free: np.ndarray, limit: in
 
 def parents(segments: DataFrame, budgets: Budgets = Budgets(), bucket: int = BUCKET) -> DataFrame:
     """The rows and ids of chunking.parents(), whatever the number of a document's segments; seg_no tells their order."""
-    order = Window.partitionBy(*_DOC).orderBy("seg_no")
+    order = Window.partitionBy("doc").orderBy("seg_no")
     was = lambda c: F.lag(c).over(order)
-    rows = segments.withColumn("nth", F.row_number().over(order) - 1)
+    # What the scan needs of a text is told before its shuffle. One key that is never null: whatever goes by it shares a shuffle.
+    rows = segments.withColumns({"size": F.length("text"), "free": X.starts_clause(F.col("text")), "doc": F.to_json(F.struct(*_DOC))}).withColumn("nth", F.row_number().over(order) - 1)
     path = F.coalesce("section_path", F.lit(""))
     apart = (was(path) != "") & (was(path) != path)
-    rows = rows.withColumns({
-        "breaks": F.coalesce((F.col("nth") == 0) | F.col("is_table") | F.col("is_heading") | was("is_table") | apart, F.lit(False)), "free": X.starts_clause(F.col("text")),
-        "size": F.length("text"), "bucket": F.floor(F.col("nth") / bucket).cast("int"),
-    })
-    keys = [*_DOC, "bucket"]
-    types = "kb_id int, document_id long, file_name string, bucket int"
-    steps = rows.select(*keys, "nth", "size", "breaks", "free")
-
-    def arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        pdf.sort_values("nth", inplace=True)
-        return pdf["size"].to_numpy(np.int64), pdf["breaks"].to_numpy(bool), pdf["free"].to_numpy(bool)
-
-    def summed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        least, out, begun, total = bucket_map(*arrays(pdf), budgets.parent)
-        return pd.DataFrame({**dict(zip(keys, ([k] for k in key), strict=True)), "least": [least], "out": [out], "begun": [begun], "total": [total]})
-
-    def entered(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        held, parent, found = 0, 0, []
-        for r in pdf.sort_values("bucket").itertuples():
-            found.append((*key, r.bucket, held, parent))
-            k = int(np.searchsorted(r.least, held, side="right")) - 1
-            held, parent = (held + r.total if r.out[k] < 0 else int(r.out[k])), parent + int(r.begun[k])
-        return pd.DataFrame(found, columns=[*keys, "held", "parent"])
-
-    def placed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        held, parent = int(pdf["held"].iloc[0]), int(pdf["parent"].iloc[0])
-        _, begins = walk(*arrays(pdf), held, budgets.parent)
-        return pd.DataFrame({**dict(zip(_DOC, key, strict=False)), "nth": pdf["nth"], "parent": parent + np.cumsum(begins) - 1})
-
-    maps = steps.groupBy(*keys).applyInPandas(summed, f"{types}, least array<long>, out array<long>, begun array<long>, total long")
-    entries = maps.groupBy(*_DOC).applyInPandas(entered, f"{types}, held long, parent long")
-    same = lambda a, b, names: [a[c].eqNullSafe(b[c]) for c in names]
-    given = steps.join(entries, same(steps, entries, keys)).select(*[steps[c] for c in steps.columns], "held", "parent")
-    at = given.groupBy(*keys).applyInPandas(placed, "kb_id int, document_id long, file_name string, nth int, parent long")
-    whole = rows.join(at, same(rows, at, [*_DOC, "nth"])).select(*[rows[c] for c in rows.columns], "parent")
-    grouped = whole.groupBy(*_DOC, "parent").agg(
-        F.sort_array(F.collect_list(F.struct("nth", "text"))).alias("texts"), F.max_by(path, "nth").alias("section_path"), F.min_by("page", F.when(F.col("page").isNotNull(), F.col("nth"))).alias("page")
+    breaks = F.coalesce((F.col("nth") == 0) | F.col("is_table") | F.col("is_heading") | was("is_table") | apart, F.lit(False))
+    keys = ["doc", "bucket"]
+    steps = rows.select("doc", F.floor(F.col("nth") / bucket).cast("int").alias("bucket"), "nth", "size", breaks.alias("breaks"), "free")
+    # A row for each bucket, so that many buckets of many documents go through Python at once.
+    shape = steps.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("nth", "size", "breaks", "free"))).alias("s"))
+    shape = materialize(shape.select(*keys, *[F.col(f"s.{c}").alias(c) for c in ("size", "breaks", "free")]), "shapes")
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            maps = [bucket_map(np.asarray(s, np.int64), np.asarray(b, bool), np.asarray(f, bool), budgets.parent) for s, b, f in zip(pdf["size"], pdf["breaks"], pdf["free"], strict=True)]
+            yield pdf[keys].assign(**{c: [m[k] for m in maps] for k, c in enumerate(("least", "out", "begun", "total"))})
+
+    def entered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for doc, maps in pdf[["doc", "maps"]].itertuples(index=False):
+                held, parent = 0, 0
+                for m in maps:
+                    found.append((doc, m["bucket"], held, parent))
+                    k = int(np.searchsorted(m["least"], held, side="right")) - 1
+                    held, parent = (held + m["total"] if m["out"][k] < 0 else int(m["out"][k])), parent + int(m["begun"][k])
+            yield pd.DataFrame(found, columns=[*keys, "held", "parent"])
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            numbers = []
+            for s, b, f, held, parent in pdf[["size", "breaks", "free", "held", "parent"]].itertuples(index=False):
+                _, begins = walk(np.asarray(s, np.int64), np.asarray(b, bool), np.asarray(f, bool), int(held), budgets.parent)
+                numbers.append(int(parent) + np.cumsum(begins) - 1)
+            yield pdf[keys].assign(parents=numbers)
+
+    maps = shape.mapInPandas(summed, "doc string, bucket int, least array<long>, out array<long>, begun array<long>, total long")
+    maps = maps.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("bucket", "least", "out", "begun", "total"))).alias("maps"))
+    entries = maps.mapInPandas(entered, "doc string, bucket int, held long, parent long")
+    at = shape.join(entries, keys).mapInPandas(placed, "doc string, bucket int, parents array<int>")
+    # Four bytes a segment; the texts stay where the window has them, and so does all that follows.
+    numbers = at.groupBy("doc").agg(F.flatten(F.sort_array(F.collect_list(F.struct("bucket", "parents")))["parents"]).alias("numbers"))
+    whole = rows.select("doc", *_DOC, "nth", "text", path.alias("path"), "page").join(numbers, "doc").withColumn("parent", F.col("numbers")[F.col("nth")]).drop("numbers")
+    grouped = whole.groupBy("doc", "parent").agg(
+        *[F.first(c).alias(c) for c in _DOC], F.sort_array(F.collect_list(F.struct("nth", "text"))).alias("texts"), F.max_by("path", "nth").alias("section_path"),
+        F.min_by("page", F.when(F.col("page").isNotNull(), F.col("nth"))).alias("page"),
     )
     grouped = grouped.withColumn("content", F.array_join(F.col("texts.text"), "\n\n")).filter(X.strip(F.col("content")) != "")
-    numbered = grouped.withColumn("parent_index", (F.row_number().over(Window.partitionBy(*_DOC).orderBy("parent")) - 1).cast("int"))
+    numbered = grouped.withColumn("parent_index", (F.row_number().over(Window.partitionBy("doc").orderBy("parent")) - 1).cast("int"))
     out = numbered.select(*_DOC, "parent_index", "content", F.coalesce(F.nullif("section_path", F.lit("")), F.col("file_name")).alias("section_path"), F.col("page").cast("int").alias("page"))
     return out.withColumn("parent_id", X.sha256_of(F.lit("parent"), F.col("kb_id"), F.col("document_id"), F.col("parent_index"), F.col("content")))

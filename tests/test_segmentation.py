@@ -49,6 +49,17 @@ def test_scan_and_fold_give_the_same_parents(spark, bucket):
     assert segmentation.parents(df.limit(0), budgets).count() == 0
 
 
+def test_texts_are_shuffled_once_and_no_group_goes_through_python(spark):
+    rows = [(None if d % 5 == 0 else 1, d, f"f{d}.txt", k, "x" * (5 + (k * d) % 40), None, None, False, False) for d in range(30) for k in range(20)]
+    df = spark.createDataFrame(rows, SEGMENTS)
+    out = segmentation.parents(df, Budgets(parent=120), bucket=7)
+    columns = ["kb_id", "document_id", "file_name", "parent_index", "content", "section_path", "parent_id"]
+    want = chunking.parents(df, Budgets(parent=120)).select(*columns).collect()
+    assert sorted(out.select(*columns).collect(), key=str) == sorted(want, key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "FlatMapGroups" not in plan and sum("Exchange hashpartitioning" in line and "page" in line for line in plan.splitlines()) <= 1
+
+
 def test_a_document_of_a_million_lines(spark):
     line = F.concat(F.lit("line "), F.col("id").cast("string"), F.repeat(F.lit(" word"), (F.col("id") % 9).cast("int")))
     df = spark.range(0, 1_000_000, numPartitions=16).select(
