@@ -69,11 +69,31 @@ def test_best_of_many_batches():
         best = retrieval.Best(10)
         for at in range(0, 900, width):
             best.add(scores[:, at : at + width], names[at : at + width])
+        best.merge()
         got = sorted(zip(best.query.tolist(), (-best.score).tolist(), best.chunk.tolist(), strict=True))
         want = [(q, *x) for q in range(3) for x in sorted((-s, c) for s, c in zip(scores[q], names, strict=True) if s > -np.inf)[:10]]
         assert got == want
 
 
+def test_a_corpus_s_texts_stay_where_they_are(spark):
+    """Parents are made without a shuffle, with what the documents say of them; a search joins only the texts it has found."""
+    text = "\n".join(f"line {k} of some words about pumps" for k in range(60))
+    rows = [(1, d, f"d{d}.txt", f"d{d}", "en", "a", f"{text} {d}") for d in range(40)] + [(2, 90, "n.txt", "n", "de", "b", None), (2, 91, "e.txt", "e", None, "b", " \n")]
+    docs = spark.createDataFrame(rows, "kb_id int, document_id long, file_name string, title string, department string, doc_type string, text string")
+    budgets = Budgets(parent=300)
+    got = chunking.parents_of(docs, budgets, keep=("department", "doc_type"))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    columns = ["kb_id", "document_id", "file_name", "parent_index", "content", "section_path", "page", "parent_id"]
+    want = chunking.parents(chunking.line_segments(docs), budgets).select(*columns).collect()
+    assert sorted(got.select(*columns).collect(), key=str) == sorted(want, key=str) and len(want) > 200
+    assert {(r.document_id, r.department, r.doc_type) for r in got.collect()} == {(d, "en", "a") for d in range(40)}
+    again = docs.unionByName(docs.filter("document_id = 3"))
+    assert chunking.parents_of(again, budgets).count() == chunking.parents(chunking.line_segments(again), budgets).join(again.select("document_id"), "document_id").count()
+    corpus = pipeline.Corpus.build(docs, budgets)
+    hits = pipeline.Hits.find(spark.createDataFrame([(1, "line 7")], "query_id long, query string"), corpus, 3)
+    assert 3 <= hits.texts.count() <= 6 < corpus.children.count() and hits.parents.count() <= 6
+
+
 def test_parents_and_children():
     seg = lambda t, table=False: {"text": t, "section_path": "s", "page": None, "is_heading": False, "is_table": table}
     texts = lambda segs: ["\n\n".join(p["texts"]) for p in chunking.fold_parents(segs, 10)]
